@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from . import toxicity
 from .line_dedup import dedup_lines
 
 
@@ -36,5 +37,10 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
-QUERIES = {"op10_line_windows": op10_line_windows}
+def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-or toxicity of every document, with its worst sentence."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
 ORACLE_SQL = {"op10_line_windows": OP10_SQL}
