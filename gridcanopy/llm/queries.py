@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import toxicity
+from . import simhash, toxicity
 from .line_dedup import dedup_lines
 
 
@@ -37,10 +37,18 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy-or toxicity of every document, with its worst sentence."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
+QUERIES = {"op3_simhash": op3_simhash, "op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
 ORACLE_SQL = {"op10_line_windows": OP10_SQL}
