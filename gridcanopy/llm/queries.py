@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import simhash, toxicity
+from . import packing, repair, simhash, toxicity
 from .line_dedup import dedup_lines
 
 
@@ -45,10 +45,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written as grammar blocks and read back."""
+    path = repair.write_tokens(table(spark, sf_dir, "documents"))
+    return repair.read_tokens(spark, path, with_ids=False)
+
+
 def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy-or toxicity of every document, with its worst sentence."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
+QUERIES = {"op3_simhash": op3_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op6_repair_tokens": op6_repair_tokens, "op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
 ORACLE_SQL = {"op10_line_windows": OP10_SQL}
