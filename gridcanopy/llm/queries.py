@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import decontaminate, packing, repair, simhash, toxicity
+from . import decontaminate, embedding_dedup, packing, repair, simhash, toxicity
 from .line_dedup import dedup_lines
 
 
@@ -61,10 +61,34 @@ def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+r(vec_id, c) AS (
+  SELECT vec_id, vec_id FROM e UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.c),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT m.vec_id, coalesce(n.n_links, 0) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
+FROM m LEFT JOIN n ON m.vec_id = n.vec_id
+"""
+
+
 def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy-or toxicity of every document, with its worst sentence."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op6_repair_tokens": op6_repair_tokens, "op7_qgram_decontamination": op7_qgram_decontamination, "op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
-ORACLE_SQL = {"op10_line_windows": OP10_SQL}
+QUERIES = {"op8_multi_index": op8_multi_index, "op3_simhash": op3_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op6_repair_tokens": op6_repair_tokens, "op7_qgram_decontamination": op7_qgram_decontamination, "op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
+ORACLE_SQL = {"op8_multi_index": OP8_SQL, "op10_line_windows": OP10_SQL}
