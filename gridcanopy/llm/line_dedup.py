@@ -71,3 +71,14 @@ def _windows(base: DataFrame, width: int) -> DataFrame:
 def _order(columns: list[str]) -> list:
     names = [c for c in columns if c.lower() not in ("n_lines", "n_removed")]
     return [F.col(f"`{c}`") for c in names] + ["n_lines", "n_removed"]
+
+
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """The cleaned documents with their own columns; a column ``n_chars`` counts anew where lines went."""
+    clash = {c: f"__{k}" for k, c in enumerate(docs.columns) if c.lower() in ("n_lines", "n_removed")}
+    out = dedup_lines(docs.withColumnsRenamed(clash))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        counted = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", counted)
+    return out.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
