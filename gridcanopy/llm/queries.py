@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import decontaminate, embedding_dedup, packing, repair, simhash, toxicity
+from . import decontaminate, embedding_dedup, packing, repair, simhash, suffix_tree_lm, toxicity
 from .line_dedup import dedup_lines
 
 
@@ -37,6 +37,11 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a probabilistic suffix tree, and under word counts."""
+    return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -90,5 +95,5 @@ def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op8_multi_index": op8_multi_index, "op3_simhash": op3_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op6_repair_tokens": op6_repair_tokens, "op7_qgram_decontamination": op7_qgram_decontamination, "op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
+QUERIES = {"op1_suffix_tree_lm": op1_suffix_tree_lm, "op8_multi_index": op8_multi_index, "op3_simhash": op3_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op6_repair_tokens": op6_repair_tokens, "op7_qgram_decontamination": op7_qgram_decontamination, "op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
 ORACLE_SQL = {"op8_multi_index": OP8_SQL, "op10_line_windows": OP10_SQL}
