@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import decontaminate, embedding_dedup, packing, repair, simhash, suffix_tree_lm, toxicity
+from . import decontaminate, embedding_dedup, packing, pii, repair, simhash, suffix_tree_lm, toxicity
 from .line_dedup import dedup_lines
 
 
@@ -42,6 +42,11 @@ def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and those that weak supervision adds."""
+    return pii.find(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -95,5 +100,5 @@ def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_suffix_tree_lm": op1_suffix_tree_lm, "op8_multi_index": op8_multi_index, "op3_simhash": op3_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op6_repair_tokens": op6_repair_tokens, "op7_qgram_decontamination": op7_qgram_decontamination, "op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
+QUERIES = {"op2_weak_pii": op2_weak_pii, "op1_suffix_tree_lm": op1_suffix_tree_lm, "op8_multi_index": op8_multi_index, "op3_simhash": op3_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op6_repair_tokens": op6_repair_tokens, "op7_qgram_decontamination": op7_qgram_decontamination, "op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
 ORACLE_SQL = {"op8_multi_index": OP8_SQL, "op10_line_windows": OP10_SQL}
