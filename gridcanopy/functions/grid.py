@@ -287,6 +287,6 @@ class Grid:
                 "_r1": F.least(high(py("ymin")), F.lit(self.nrow)) - 1,
             }
         ).where("_c0 <= _c1 and _r0 <= _r1")
-        out = out.withColumn("row", F.explode(F.sequence("_r0", "_r1")).cast("int"))
-        out = out.withColumn("col", F.explode(F.sequence("_c0", "_c1")).cast("int"))
+        out = out.withColumn("row", F.explode(F.sequence(F.col("_r0").cast("int"), F.col("_r1").cast("int"))))
+        out = out.withColumn("col", F.explode(F.sequence(F.col("_c0").cast("int"), F.col("_c1").cast("int"))))
         return out.drop("_c0", "_c1", "_r0", "_r1")
