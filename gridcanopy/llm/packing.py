@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 LENGTH = 2048
 END_ID = 0
@@ -32,8 +31,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenize
     idt = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
             for doc, raw in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):

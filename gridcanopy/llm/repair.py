@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_root
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 END_ID = 1
 #: Ids after which a block is closed (a longer document makes a longer block).
@@ -141,8 +140,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     idt = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part, block = TaskContext.get().partitionId(), 0
         held: list[bytes] = []
         names: list = []

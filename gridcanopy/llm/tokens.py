@@ -2,50 +2,144 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
-CACHE_WORDS = 250_000
+#: Words that a worker keeps for good, further ones that it keeps for a while, and words of texts that
+#: are looked up together.
+CACHE_WORDS, YOUNG_WORDS, GROUP_WORDS, JOINED = 600_000, 150_000, 1 << 17, 2_000
 #: Characters that Python's split drops and the tokenizer does not take for white space.
 _ODD = "\x1c\x1d\x1e\x1f"
+#: Marks that, after a letter or digit, start a token run of their own.
+_TAIL = ".,!%&*$#|;:?"
+
+class Known(dict):
+    """Encodings of words; a word without one is noted and stands for nothing.
+
+    The words seen first, most of them frequent, stay; ``young`` holds those met after it was full.
+    """
+
+    def __init__(self):
+        self.missing: list[str] = []
+        self.young: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.young.get(word)
+        if found is None:
+            self.missing.append(word)
+            return b""
+        return found
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str | None = None) -> WordEncoder:
+    """The worker's encoder for a vocabulary file; its cache outlives the task."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 class WordEncoder:
     """Encode texts as bytes of little-endian unsigned 32-bit ids.
 
     ``word_bpe_49k.json`` never joins characters across white space, so a text's ids are the ids of
-    its white-space-separated pieces in order; each distinct piece goes through the tokenizers
-    library once while it stays in the cache.  Texts with characters on whose class Python and the
-    library disagree are encoded whole.
+    its white-space-separated words in order.  A word that is not in the cache is lower-cased if
+    ASCII, as the vocabulary does, and marks after its last letter are looked up apart; what is left goes
+    through the tokenizers library, words of letters many at a time (each is one token run, which
+    ends in a word-end id).  Texts with characters on whose class Python and the library disagree are
+    encoded whole.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.cache = Known()
 
-    def _raw(self, pieces: list[str]) -> list[bytes]:
+    def _each(self, pieces: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of letters, joined by blanks and parted at word-end ids."""
+        out: list[bytes] = []
+        for k in range(0, len(words), JOINED):
+            part = words[k : k + JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):
+                out += self._each(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The encodings of words that are not in the cache."""
+        split, new = {}, set()
+        known = self.cache
+        for w in missing:
+            core = w.lower() if w.isascii() else w
+            bare = core.rstrip(_TAIL)
+            tail = core[len(bare) :]
+            if not (bare and bare[-1].lower().isalnum()):
+                bare, tail = core, ""
+            split[w] = (bare, tail)
+            new.add(bare)
+            new.add(tail)
+        new.discard("")
+        fresh = {"": b""}
+        todo = [w for w in new if w not in known]
+        plain = [w for w in todo if w.isalpha()]
+        fresh.update(zip(plain, self._words(plain)))
+        other = [w for w in todo if not w.isalpha()]
+        fresh.update(zip(other, self._each(other)))
+        fresh.update((w, known[w]) for w in new if w in known)
+        return {w: fresh[a] + fresh[b] for w, (a, b) in split.items()} | fresh
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cache, out = self.cache, []
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        size = 0
         for text in texts:
             text = text or ""
             if any(c in text for c in _ODD):
-                out.append(self._raw([text])[0])
+                out += self._group(held)
+                held, size = [], 0
+                out += self._each([text])
                 continue
-            words = text.split()
-            try:
-                out.append(b"".join(map(cache.__getitem__, words)))
-            except KeyError:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                new = list({w for w in words if w not in cache})
-                cache.update(zip(new, self._raw(new)))
-                out.append(b"".join(map(cache.__getitem__, words)))
+            held.append(text.split())
+            size += len(held[-1])
+            if size >= GROUP_WORDS:
+                out += self._group(held)
+                held, size = [], 0
+        return out + self._group(held)
+
+    def _group(self, texts: list[list[str]]) -> list[bytes]:
+        cache = self.cache
+        cache.missing = missing = []
+        get, out, again = cache.__getitem__, [], []
+        for words in texts:
+            before = len(missing)
+            out.append(b"".join(map(get, words)))
+            if len(missing) > before:
+                again.append(len(out) - 1)
+        if missing:
+            new = self._learn(set(missing))
+            (cache if len(cache) + len(new) <= CACHE_WORDS else cache.young).update(new)
+            for k in again:
+                out[k] = b"".join(map(get, texts[k]))
+            if len(cache.young) > YOUNG_WORDS:
+                cache.young.clear()
         return out
