@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import Extent, Grid, QuadExtent
+from ..functions.lineage import shared_root
 from ..functions.units import LinearUnit
 from ..operators import csm as surface
 from ..operators import metrics, raster, terrain, trees
 from ..operators.points import PointFilter, bilinear, nearest, normalize
+from ..sources.las import read_points, write_las_files
+from ..sources.rasters import read_raster, write_tiles
 from . import adapter
 from .adapter import SQL
 
@@ -605,3 +609,29 @@ def _max_height(s, d):
     """Id and height of the tree of each cell."""
     _, g, tops, crowns = _forest(s, d)
     return trees.segment_rasters(crowns, trees.tree_table(tops, crowns, g, tile=64))
+
+
+# Files -----------------------------------------------------------------------------------------
+@query(
+    "las_scan",
+    """SELECT return_number, classification, withheld, count(*) AS n, round(sum(round(x, 2)), 4) AS sx, round(sum(y), 4) AS sy, sum(z) AS sz, CAST(sum(least(intensity, 65535)) AS BIGINT) AS si
+       FROM pts GROUP BY return_number, classification, withheld""",
+)
+def _las_scan(s, d):
+    """The points written as LAS files and scanned back."""
+    folder = f"{shared_root(s)}/las-{uuid.uuid4().hex}"
+    pts = adapter.points(s, d).withColumn("number_of_returns", F.least("number_of_returns", F.lit(15)))
+    write_las_files(pts, folder).write.format("noop").mode("overwrite").save()
+    got = read_points(s, folder).groupBy("return_number", "classification", "withheld")
+    out = got.agg(F.count("*").alias("n"), F.round(F.sum(F.round("x", 2)), 4).alias("sx"), F.round(F.sum("y"), 4).alias("sy"), F.sum("z").alias("sz"), F.sum("intensity").alias("si"))
+    return out.withColumns({c: F.col(c).cast("int") for c in ("return_number", "classification")})
+
+
+@query("raster_scan", "SELECT row, col, round(value, 6) AS value FROM dem")
+def _raster_scan(s, d):
+    """The ground written as one GeoTIFF tile and read back."""
+    g = adapter.dem_grid(s, d)
+    folder = f"{shared_root(s)}/tif-{uuid.uuid4().hex}"
+    tiles = write_tiles(adapter.dem(s, d), g, folder, tile=max(g.nrow, g.ncol))
+    path = tiles.select("path").first()["path"]
+    return read_raster(s, path)[0].withColumn("value", F.round("value", 6))

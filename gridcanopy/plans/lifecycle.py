@@ -17,7 +17,7 @@ from ..operators import metrics, terrain, trees
 from ..operators.points import already_normalized, normalize, reproject
 from ..sources.files import find_files
 from ..sources.las import las_catalogue, read_points
-from ..sources.rasters import SIDE_FILES, read_raster, write_table
+from ..sources.rasters import SIDE_FILES, raster_grid, read_raster, write_table
 from .config import RunConfig
 
 #: Products by name, each ``Run -> {table name: DataFrame}``; more can be registered.
@@ -186,17 +186,21 @@ def open_run(spark: SparkSession, config: RunConfig) -> Run:
         part = read_points(spark, path)
         points = part if points is None else points.unionByName(part)
     points = reproject(points, source, to)
-    dems = []
-    for path in find_files(list(config.dem), (".asc", ".tif", ".tiff"), SIDE_FILES):
-        dem, grid = read_raster(spark, path)
-        factor = LinearUnit.named(config.dem_units or unit.name).factor_to(to.z_unit)
-        dems.append((dem.withColumn("value", F.col("value") * factor), grid))
     extent = Extent(b[0], b[1], b[2], b[3])
     if to.epsg != source.epsg:
         corner = spark.createDataFrame(extent.corners(), "x double, y double")
         x, y = source.transform(to, F.col("x"), F.col("y"))
         e = corner.select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
         extent = Extent(*e)
+    reach = max(config.topo_scale, default=0.0) + 2 * config.cellsize
+    dems = []
+    for path in find_files(list(config.dem), (".asc", ".tif", ".tiff"), SIDE_FILES):
+        box = raster_grid(path).extent
+        if not box.overlaps(extent.buffer(reach)):  # files apart from the points are not read
+            continue
+        dem, grid = read_raster(spark, path)
+        factor = LinearUnit.named(config.dem_units or unit.name).factor_to(to.z_unit)
+        dems.append((dem.withColumn("value", F.col("value") * factor), grid))
     grid = Grid.from_resolution(extent, config.cellsize, None, config.xorigin, config.yorigin)
     return Run(spark, config, points, dems, grid, files)
 

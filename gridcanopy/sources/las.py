@@ -236,3 +236,22 @@ def write_las(path: str, columns: dict[str, np.ndarray], point_format: int = 6,
     if new:
         struct.pack_into("<QIQ", head, 235, 0, 0, n)
     write_file(path, bytes(head) + vlr + rec.tobytes())
+
+
+def write_las_files(points: DataFrame, folder: str, point_format: int = 6, scale: float = 0.01, wkt: str = "") -> DataFrame:
+    """Write points as files under ``folder`` from the executors: ``(path, n_points)``.
+
+    Each Arrow batch of a partition is a file, named by both, so a retried task writes the same files.
+    """
+    from pyspark import TaskContext
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for k, pdf in enumerate(batches):
+            if len(pdf):
+                path = f"{folder}/part-{part:05d}-{k:05d}.las"
+                write_las(path, {c: pdf[c].to_numpy() for c in pdf.columns}, point_format, scale, wkt)
+                yield pdf.iloc[:1, :0].assign(path=path, n_points=len(pdf))
+
+    names = ["x", "y", "z", "intensity", "return_number", "number_of_returns", "classification", "withheld", "scan_angle"]
+    return points.select(*[c for c in names if c in points.columns]).mapInPandas(run, "path string, n_points long")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import Extent, Grid
-from .files import read_range, write_file
+from .files import file_size, read_range, write_file
+from .las import read_header
 
 NO_DATA = -9999.0
 #: Values under this are no data whatever the header says.
@@ -30,6 +31,14 @@ def raster_grid(path: str) -> Grid:
     return _ascii_head(path)[0] if path.lower().endswith(".asc") else _tiff_head(path)[0]
 
 
+def file_extent(path: str) -> Extent:
+    """The extent of a point or raster file, from its header."""
+    if path.lower().endswith((".las", ".laz")):
+        h = read_header(path)
+        return Extent(h.low[0], h.high[0], h.low[1], h.high[1], h.crs.epsg or None)
+    return raster_grid(path).extent
+
+
 def _ascii_head(path: str) -> tuple[Grid, float, int]:
     raw = read_range(path, 0, 4096).decode("ascii", "replace")
     head, at = {}, 0
@@ -80,8 +89,6 @@ def read_rows(path: str, first: int, last: int) -> tuple[Grid, np.ndarray]:
     """Rows ``first`` to ``last`` as doubles, no data as NaN; TIFF reads only the strips they lie in."""
     if path.lower().endswith(".asc"):
         grid, missing, at = _ascii_head(path)
-        from .files import file_size
-
         body = read_range(path, at, file_size(path) - at)
         v = np.array(body.split(), float).reshape(grid.nrow, grid.ncol)[first : last + 1]
     else:
