@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import decontaminate, embedding_dedup, packing, pii, repair, simhash, suffix_tree_lm, toxicity
+from . import decontaminate, embedding_dedup, lengths, packing, pii, repair, simhash, suffix_tree_lm, toxicity
 from .line_dedup import dedup_lines
 
 
@@ -55,6 +55,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every encoded length of a document as a context limit, with the exact sums it answers."""
+    return lengths.by_limit(lengths.suffix_sums(lengths.token_counts(table(spark, sf_dir, "documents"))))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -100,5 +105,16 @@ def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_weak_pii": op2_weak_pii, "op1_suffix_tree_lm": op1_suffix_tree_lm, "op8_multi_index": op8_multi_index, "op3_simhash": op3_simhash, "op5_best_fit_packing": op5_best_fit_packing, "op6_repair_tokens": op6_repair_tokens, "op7_qgram_decontamination": op7_qgram_decontamination, "op9_toxicity_mil": op9_toxicity_mil, "op10_line_windows": op10_line_windows}
+QUERIES = {
+    "op1_suffix_tree_lm": op1_suffix_tree_lm,
+    "op2_weak_pii": op2_weak_pii,
+    "op3_simhash": op3_simhash,
+    "op4_length_histogram": op4_length_histogram,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_repair_tokens": op6_repair_tokens,
+    "op7_qgram_decontamination": op7_qgram_decontamination,
+    "op8_multi_index": op8_multi_index,
+    "op9_toxicity_mil": op9_toxicity_mil,
+    "op10_line_windows": op10_line_windows,
+}
 ORACLE_SQL = {"op8_multi_index": OP8_SQL, "op10_line_windows": OP10_SQL}
