@@ -110,7 +110,7 @@ def zonal(raster: DataFrame, grid: Grid, zones: Grid, aggregates: dict[str, Colu
 ZONAL = {
     "max": lambda: F.max("value"),
     "mean": lambda: F.avg("value"),
-    "sd": lambda: F.sqrt(F.greatest(F.avg(F.col("value") * F.col("value")) - F.avg("value") * F.avg("value"), F.lit(0.0))),
+    "sd": lambda: F.stddev_pop("value"),
     "sum": lambda: F.nullif(F.sum("value"), F.lit(0.0)),
     "count": lambda: F.count("value"),
 }
