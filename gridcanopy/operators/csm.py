@@ -36,7 +36,7 @@ def smooth(csm: DataFrame, grid: Grid, window: int = 3) -> DataFrame:
     """Mean of the values in the window, for cells that have one; windows under 3 change nothing."""
     if window < 3:
         return values(csm)
-    return focal(csm, grid, window, F.avg("value")).join(values(csm).select(*CELL), CELL, "left_semi")
+    return focal(csm, grid, window, F.avg("value"), own_only=True)
 
 
 DIRECTIONS = ((0, 1), (0, -1), (1, 0), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1))
@@ -50,27 +50,26 @@ def fill(csm: DataFrame, grid: Grid, needed: int = 6, distance: float = 5.0) ->
     that sees edges only stays empty.  Values are sent along the rays; no self join.
     """
     straight, diagonal = int(distance), int(distance / math.sqrt(2))
-    rays = [(k, d, dr * d, dc * d, d * (math.sqrt(2) if k >= 4 else 1.0)) for k, (dr, dc) in enumerate(DIRECTIONS) for d in range(1, (diagonal if k >= 4 else straight) + 1)]
-    at = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("d"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(w).alias("w")) for k, d, dr, dc, w in rays])
-    own = values(csm)
-    sent = own.select("row", "col", "value", F.explode(at).alias("o"))
-    sent = sent.select((F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), "o.k", "o.d", "o.w", "value")
+    rays = [(k, d, dr * d, dc * d) for k, (dr, dc) in enumerate(DIRECTIONS) for d in range(1, (diagonal if k >= 4 else straight) + 1)]
+    at = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("d"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, d, dr, dc in [(-1, 0, 0, 0), *rays]])
+    sent = values(csm).select("row", "col", "value", F.explode(at).alias("o"))
+    sent = sent.select((F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), "o.k", "o.d", "value")
     sent = sent.where(f"row between 0 and {grid.nrow - 1} and col between 0 and {grid.ncol - 1}")
-    itself = own.select("row", "col", F.lit(-1).alias("k"), F.lit(0).alias("d"), F.lit(0.0).alias("w"), "value")
-    first = [F.min(F.when(F.col("k") == k, F.struct("d", "w", "value"))).alias(f"f{k}") for k in range(8)]
-    seen = sent.unionByName(itself).groupBy(*CELL).agg(F.count(F.when(F.col("k") == -1, 1)).alias("own"), *first).where("own = 0")
+    on = lambda k, c: F.when(F.col("k") == k, F.col(c))
+    first = [a for k in range(8) for a in (F.min(on(k, "d")).alias(f"d{k}"), F.min_by(on(k, "value"), on(k, "d")).alias(f"v{k}"))]
+    seen = sent.groupBy(*CELL).agg(F.count(on(-1, "k")).alias("own"), *first).where("own = 0")
     hits, top, bottom = F.lit(0), F.lit(0.0), F.lit(0.0)
     for k, (dr, dc) in enumerate(DIRECTIONS):
-        f = F.col(f"f{k}")
+        v, w = F.col(f"v{k}"), F.col(f"d{k}") * (math.sqrt(2) if k >= 4 else 1.0)
         reach = diagonal if k >= 4 else straight
         edge = F.lit(False)
         if dr:
             edge = edge | ((F.lit(grid.nrow - 1) - F.col("row") if dr > 0 else F.col("row")) < reach)
         if dc:
             edge = edge | ((F.lit(grid.ncol - 1) - F.col("col") if dc > 0 else F.col("col")) < reach)
-        hits = hits + F.when(f.isNotNull() | edge, 1).otherwise(0)
-        top = top + F.coalesce(f["value"] / f["w"], F.lit(0.0))
-        bottom = bottom + F.coalesce(1 / f["w"], F.lit(0.0))
+        hits = hits + F.when(v.isNotNull() | edge, 1).otherwise(0)
+        top = top + F.coalesce(v / w, F.lit(0.0))
+        bottom = bottom + F.coalesce(1 / w, F.lit(0.0))
     return seen.where(hits >= needed).where(bottom > 0).select("row", "col", (top / bottom).alias("value"))
 
 

@@ -74,7 +74,7 @@ def overlay(rasters: list[tuple[DataFrame, Grid]], onto: Grid, how: str = "first
         "first": F.min_by("value", "ord"),
         "max": F.max("value"),
         "sum": F.sum("value"),
-        "inside": F.max_by("value", F.struct("edge", "ord")),
+        "inside": F.max_by("value", F.col("edge").cast("long") * len(rasters) + F.col("ord")),
     }
     return parts.where(f"row between 0 and {onto.nrow - 1} and col between 0 and {onto.ncol - 1}").groupBy(*CELL).agg(aggregates[how].alias("value"))
 
@@ -129,10 +129,10 @@ def neighbours(raster: DataFrame, grid: Grid, offsets: list[tuple[int, int]]) ->
     return sent.groupBy(*CELL).agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"v{k}") for k in range(len(offsets))])
 
 
-def focal(raster: DataFrame, grid: Grid, size: int, aggregate: Column) -> DataFrame:
+def focal(raster: DataFrame, grid: Grid, size: int, aggregate: Column, own_only: bool = False) -> DataFrame:
     """``aggregate`` of the values in the odd ``size`` square around every cell, truncated at edges.
 
-    A row for each cell with any value in its window.
+    A row for each cell with any value in its window; ``own_only``: with a value of its own.
     """
     if size < 1 or size % 2 == 0:
         raise ValueError("a focal window has an odd size")
@@ -140,6 +140,7 @@ def focal(raster: DataFrame, grid: Grid, size: int, aggregate: Column) -> DataFr
     span = F.sequence(F.lit(-k), F.lit(k))
     sent = values(raster).select("row", "col", "value", F.explode(span).alias("dr"))
     sent = sent.select("row", "col", "value", "dr", F.explode(span).alias("dc"))
-    sent = sent.select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "value")
+    sent = sent.select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "value", ((F.col("dr") == 0) & (F.col("dc") == 0)).alias("own"))
     sent = sent.where(f"row between 0 and {grid.nrow - 1} and col between 0 and {grid.ncol - 1}")
-    return sent.groupBy(*CELL).agg(aggregate.alias("value"))
+    out = sent.groupBy(*CELL).agg(aggregate.alias("value"), F.max("own").alias("own"))
+    return (out.where("own") if own_only else out).drop("own")
