@@ -23,7 +23,7 @@ BITS = 64
 TAU = 4
 SHINGLE = 4
 #: Fingerprints that cost estimates look at; results do not depend on them.
-SAMPLE = 2048
+SAMPLE = 1024
 #: Relative cost of moving one probe and of comparing one candidate pair.
 PROBE_COST, PAIR_COST = 1.0, 0.02
 CHUNK = 1 << 16

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +22,10 @@ CACHE_WORDS = 300_000
 THRESHOLD = 0.3
 
 
-def features(word: str) -> list[str]:
-    """A word and its beginnings; ``^`` marks a beginning."""
-    return [word] + ["^" + word[:k] for k in PREFIXES if len(word) >= k]
+def features(word: str) -> list[int]:
+    """32-bit hashes of a word and of its beginnings, which ``^`` marks."""
+    names = [word] + ["^" + word[:k] for k in PREFIXES if len(word) >= k]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names]
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
@@ -34,13 +37,42 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
 
 
 class NoisyOr:
-    """Document score ``1 - prod(1 - sigmoid(bias + sum of word weights))`` over its sentences."""
+    """Document score ``1 - prod(1 - sigmoid(bias + sum of word weights))`` over its sentences.
 
-    def __init__(self, bias: float, weights: dict[str, float]):
-        self.bias, self.weights = bias, weights
+    ``slope`` and ``shift``, if given, calibrate it: the sigmoid of ``slope log(-log(1 - p)) + shift``.
+    """
+
+    def __init__(self, bias: float, weights: dict[int, float], slope: float | None = None, shift: float = 0.0):
+        self.bias, self.weights, self.slope, self.shift = bias, weights, slope, shift
+
+    @property
+    def parts(self) -> tuple:
+        return self.bias, self.weights, self.slope, self.shift
+
+    @classmethod
+    def calibrated(cls, rows: list[tuple[str, int]], every: int = 5, clean: float = 3.0, **options) -> NoisyOr:
+        """Fit on four fifths of the rows and calibrate on the others, where both labels occur.
+
+        ``clean`` is the weight of label 0 there: a clean text called toxic costs more than the reverse.
+        """
+        held = [r for k, r in enumerate(rows) if k % every == every - 1]
+        model = cls.fit([r for k, r in enumerate(rows) if k % every != every - 1], **options)
+        cache: dict[int, float] = {}
+        x = np.array([math.log(max(model.evidence(t, cache)[0], 1e-9)) for t, _ in held])
+        y = np.array([v for _, v in held], float)
+        if not model.weights or not 0 < y.sum() < len(y):
+            return model
+        a, b, n = 1.0, 0.0, np.where(y > 0, 1.0, clean)
+        for _ in range(50):  # Newton steps, drawn slightly to slope 1 and shift 0
+            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+            g = np.array([(n * (p - y) * x).sum() + (a - 1), (n * (p - y)).sum() + 0.1 * b])
+            h = n * p * (1 - p) + 1e-9
+            step = np.linalg.solve(np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 0.1]]), g)
+            a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -2, 2))
+        return cls(model.bias, model.weights, max(a, 0.1), b)
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, int]], steps: int = 120, rate: float = 0.05, l2: float = 0.3, min_docs: int = 4, positive: float = 2.0) -> NoisyOr:
+    def fit(cls, rows: list[tuple[str, int]], steps: int = 150, rate: float = 0.1, l2: float = 0.5, min_docs: int = 5, positive: float = 2.0) -> NoisyOr:
         """Gradient descent (Adam) on the cross entropy of document labels; ``rows``: (text, 0/1).
 
         ``positive`` is the weight of label 1, ``l2`` the penalty in documents, ``min_docs`` the
@@ -52,27 +84,28 @@ class NoisyOr:
         if not 0 < share < 1:
             return cls(math.log((share + 1e-3) / (1 - share + 1e-3)), {})
         vocab: dict[str, int] = {}
-        cell_word, cell_sent, sent_doc = [], [], []
+        cells = [array("i") for _ in range(3)]  # compact: the driver's memory is small
+        cell_word, cell_sent, sent_doc = cells
         for d, (text, _) in enumerate(rows):
             for _, _, words in sentences(text):
-                cell_word += [vocab.setdefault(w, len(vocab)) for w in words]
-                cell_sent += [len(sent_doc)] * len(words)
+                cell_word.extend([vocab.setdefault(w, len(vocab)) for w in words])
+                cell_sent.extend([len(sent_doc)] * len(words))
                 sent_doc.append(d)
-        cell_word, cell_sent, sent_doc = (np.array(x, np.int64) for x in (cell_word, cell_sent, sent_doc))
-        names: dict[str, int] = {}
-        fw, ff = [], []
+        cell_word, cell_sent, sent_doc = (np.array(x, np.int32) for x in cells)
+        fw, code = array("i"), array("I")
         for w, k in vocab.items():
-            for f in features(w):
-                fw.append(k)
-                ff.append(names.setdefault(f, len(names)))
-        fw, ff = np.array(fw, np.int64), np.array(ff, np.int64)
+            own = features(w)
+            fw.extend([k] * len(own))
+            code.extend(own)
+        fw, (names, ff) = np.array(fw, np.int32), np.unique(np.array(code, np.uint32), return_inverse=True)
+        del code, cells
         # features seen in a few documents only are noise
-        seen_in = np.zeros(len(names), np.int64)
-        order = np.unique(cell_word * len(rows) + sent_doc[cell_sent])
-        docs_of_word = np.bincount(order // len(rows), minlength=len(vocab))
-        np.add.at(seen_in, ff, docs_of_word[fw])
+        pairs = np.unique(cell_word.astype(np.int64) * len(rows) + sent_doc[cell_sent])
+        docs_of_word = np.bincount(pairs // len(rows), minlength=len(vocab))
+        del pairs
+        seen_in = np.bincount(ff, docs_of_word[fw], len(names))
         keep = seen_in[ff] >= min_docs
-        fw, ff = fw[keep], ff[keep]
+        fw, ff = fw[keep], ff[keep].astype(np.int32)
         n_docs, n_sent, n_word, n_feat = len(rows), len(sent_doc), len(vocab), len(names)
         w, b = np.zeros(n_feat), -5.0
         m, v, mb, vb = np.zeros(n_feat), np.zeros(n_feat), 0.0, 0.0
@@ -91,14 +124,14 @@ class NoisyOr:
             c1, c2 = 1 - 0.9**t, 1 - 0.999**t
             w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-6)
             b -= rate * (mb / c1) / (math.sqrt(vb / c2) + 1e-9)
-        return cls(float(b), {f: float(w[k]) for f, k in names.items() if abs(w[k]) > 1e-4 and seen_in[k] >= min_docs})
+        return cls(float(b), {int(names[k]): float(w[k]) for k in np.flatnonzero((np.abs(w) > 1e-4) & (seen_in >= min_docs))})
 
     def word_weight(self, word: str) -> float:
         get = self.weights.get
         return sum(get(f, 0.0) for f in features(word))
 
-    def score(self, text: str, cache: dict[str, float]) -> tuple[float, int, int, float]:
-        """``(score, start, end, sentence score)``; the last three are of the worst sentence."""
+    def evidence(self, text: str, cache: dict[str, float]) -> tuple[float, float, int, int]:
+        """``-log(1 - p)`` of the text, and the log odds and span of its worst sentence."""
         total, worst, span = 0.0, -math.inf, (0, 0)
         for start, end, words in sentences(text):
             z = self.bias
@@ -112,9 +145,18 @@ class NoisyOr:
             total += max(z, 0.0) + math.log1p(math.exp(-abs(z)))
             if z > worst:
                 worst, span = z, (start, end)
+        return total, worst, *span
+
+    def score(self, text: str, cache: dict[str, float]) -> tuple[float, int, int, float]:
+        """``(score, start, end, sentence score)``; the last three are of the worst sentence."""
+        total, worst, start, end = self.evidence(text, cache)
         if worst == -math.inf:
             return 0.0, 0, 0, 0.0
-        return -math.expm1(-total), *span, 1 / (1 + math.exp(-max(worst, -700)))
+        sentence = 1 / (1 + math.exp(-max(worst, -700)))
+        if self.slope is None:
+            return -math.expm1(-total), start, end, sentence
+        z = self.slope * math.log(max(total, 1e-300)) + self.shift
+        return 1 / (1 + math.exp(-max(z, -700))), start, end, sentence
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn=None, max_rows: int = MAX_FIT_ROWS, max_chars: int = MAX_FIT_CHARS) -> NoisyOr:
@@ -134,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, max_rows: int = MAX_FIT_
         .select("doc_id", "text", "toxic")
         .collect()
     )
-    rows = sorted({(r["doc_id"], r["text"], int(r["toxic"] > 0)) for r in rows})
-    return NoisyOr.fit([(t, y) for _, t, y in rows])
+    rows = [t[1:] for t in sorted({(r["doc_id"], r["text"], int(r["toxic"] > 0)) for r in rows})]
+    return NoisyOr.calibrated(rows)
 
 
 def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +185,7 @@ def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str
 
     A null, empty or wordless text scores 0 with the span (0, 0).  One row per input row.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # bounded by the fit's sample
+    held = docs.sparkSession.sparkContext.broadcast(model.parts)  # bounded by the fit's sample
     idt = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +228,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The decision is made row by row in the scan, so no join moves the texts.
     """
     model = fit(docs, labels, learn=~held_out(2, 4))
-    held = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+    held = docs.sparkSession.sparkContext.broadcast(model.parts)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
