@@ -22,6 +22,8 @@ COSINE = 0.98
 SAMPLE, MAX_WORDS = 8192, 256
 #: Vectors of a label that a cell should hold, members of a cell in one block, share of links to meet.
 PER_CELL, BLOCK, TARGET_RECALL = 24, 1024, 0.9995
+#: Crowded cells, of which there is one for BLOCK vectors at most, that are sent to all tasks.
+BROADCAST_CELLS = 200_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -243,6 +245,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: f
     # cells of more than BLOCK members are cut into blocks; members also visit their later blocks
     crowded = spread.where("role = 0").groupBy("label", "cell").count().where(F.col("count") > BLOCK)
     crowded = crowded.select("label", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    crowded = materialize(crowded)
+    if crowded.count() <= BROADCAST_CELLS:  # else an ordinary join
+        crowded = F.broadcast(crowded)
     cut = spread.join(crowded, ["label", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     cut = cut.withColumn("own", F.when(F.col("role") == 0, own).otherwise(F.lit(0)))
