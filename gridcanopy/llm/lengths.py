@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .tokens import word_encoder
 
 #: Lengths whose sums are taken together first, so that no task orders all lengths.
@@ -37,8 +38,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """``(length, n_docs, docs_from, tokens_from, docs_all, tokens_all)`` for each length that occurs.
 
     ``docs_from`` and ``tokens_from`` count documents of that length or more.  Sums over spans of
-    lengths are formed first; lengths are then ordered within their span only.
+    lengths are formed first; lengths are then ordered within their span only.  The histogram, a row a
+    length, is written first: it is read twice, and texts should be encoded once.
     """
+    histogram = materialize(histogram)
     spans = (
         histogram.groupBy(F.expr(f"length div {SPAN}").alias("span"))
         .agg(F.sum("n_docs").alias("d"), F.sum(F.col("length") * F.col("n_docs")).alias("t"))
