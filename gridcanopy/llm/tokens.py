@@ -68,7 +68,7 @@ class WordEncoder:
         self.cache = Known()
 
     def _each(self, pieces: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -76,7 +76,8 @@ class WordEncoder:
         out: list[bytes] = []
         for k in range(0, len(words), JOINED):
             part = words[k : k + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            joined = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(joined[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(part):
                 out += self._each(part)
@@ -87,26 +88,33 @@ class WordEncoder:
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """The encodings of words that are not in the cache."""
-        split, new = {}, set()
-        known = self.cache
+        whole, split, new = {}, {}, set()
         for w in missing:
             core = w.lower() if w.isascii() else w
-            bare = core.rstrip(_TAIL)
-            tail = core[len(bare) :]
-            if not (bare and bare[-1].lower().isalnum()):
-                bare, tail = core, ""
-            split[w] = (bare, tail)
-            new.add(bare)
-            new.add(tail)
-        new.discard("")
-        fresh = {"": b""}
-        todo = [w for w in new if w not in known]
-        plain = [w for w in todo if w.isalpha()]
+            bare = core.rstrip(_TAIL) if core[-1] in _TAIL else ""
+            if bare and bare[-1].lower().isalnum():
+                tail = core[len(bare) :]
+                split[w] = (bare, tail)
+                new.add(bare)
+                new.add(tail)
+            else:
+                whole[w] = core
+                new.add(core)
+        fresh, plain, other = {}, [], []
+        old, young = self.cache.get, self.cache.young.get
+        for w in new:
+            got = old(w) or young(w)
+            if got:
+                fresh[w] = got
+            elif w.isalpha():
+                plain.append(w)
+            else:
+                other.append(w)
         fresh.update(zip(plain, self._words(plain)))
-        other = [w for w in todo if not w.isalpha()]
         fresh.update(zip(other, self._each(other)))
-        fresh.update((w, known[w]) for w in new if w in known)
-        return {w: fresh[a] + fresh[b] for w, (a, b) in split.items()} | fresh
+        found = {w: fresh[core] for w, core in whole.items()}
+        found.update((w, fresh[a] + fresh[b]) for w, (a, b) in split.items())
+        return found | fresh
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -132,14 +140,17 @@ class WordEncoder:
         get, out, again = cache.__getitem__, [], []
         for words in texts:
             before = len(missing)
-            out.append(b"".join(map(get, words)))
+            ids = list(map(get, words))
             if len(missing) > before:
-                again.append(len(out) - 1)
+                again.append((len(out), words, ids))
+                ids = []
+            out.append(b"".join(ids))
         if missing:
             new = self._learn(set(missing))
+            for k, words, ids in again:
+                ids = [i or new.get(w, b"") for w, i in zip(words, ids)]
+                out[k] = b"".join(ids)
             (cache if len(cache) + len(new) <= CACHE_WORDS else cache.young).update(new)
-            for k in again:
-                out[k] = b"".join(map(get, texts[k]))
             if len(cache.young) > YOUNG_WORDS:
                 cache.young.clear()
         return out
