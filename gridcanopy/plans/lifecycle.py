@@ -60,6 +60,7 @@ class Run:
     dems: list[tuple[DataFrame, Grid]]
     grid: Grid
     files: DataFrame | None = None
+    crs: Crs = Crs()
     _kept: dict = field(default_factory=dict)
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -158,7 +159,8 @@ def topo_products(run: Run) -> dict[str, DataFrame]:
         return {}
     dem, grid = run.ground
     elevation = run._once("elevation", lambda: terrain.mean_elevation(dem, grid, run.grid))
-    out = {"elevation": elevation, "topo_metrics": terrain.topo_metrics(elevation, run.grid, c.radians)}
+    where = {"latitude": run.crs} if run.crs.zone or run.crs.geographic else {}
+    out = {"elevation": elevation, "topo_metrics": terrain.topo_metrics(elevation, run.grid, c.radians, **where)}
     for radius in c.topo_scale:
         wide = run.grid.extend(Extent(*(v for v in run.grid.extent.buffer(radius).__dict__.values() if v is not None)))
         dr, dc = run.grid.offset_to(wide)
@@ -202,7 +204,7 @@ def open_run(spark: SparkSession, config: RunConfig) -> Run:
         factor = LinearUnit.named(config.dem_units or unit.name).factor_to(to.z_unit)
         dems.append((dem.withColumn("value", F.col("value") * factor), grid))
     grid = Grid.from_resolution(extent, config.cellsize, None, config.xorigin, config.yorigin)
-    return Run(spark, config, points, dems, grid, files)
+    return Run(spark, config, points, dems, grid, files, to)
 
 
 def products(run: Run) -> dict[str, DataFrame]:
