@@ -17,7 +17,7 @@ from ..operators import metrics, terrain, trees
 from ..operators.points import already_normalized, normalize, reproject
 from ..sources.files import find_files
 from ..sources.las import las_catalogue, read_points
-from ..sources.rasters import SIDE_FILES, raster_grid, read_raster, write_table
+from ..sources.rasters import SIDE_FILES, raster_epsg, raster_grid, read_raster, write_table
 from .config import RunConfig
 
 #: Products by name, each ``Run -> {table name: DataFrame}``; more can be registered.
@@ -172,6 +172,17 @@ def topo_products(run: Run) -> dict[str, DataFrame]:
     return out
 
 
+def moved_extent(spark: SparkSession, extent: Extent, source: Crs, to: Crs, steps: int = 20) -> Extent:
+    """The box around a box's edges in another system."""
+    if not source.epsg or not to.epsg or source.epsg == to.epsg:
+        return extent
+    c = extent.corners()
+    edge = [(p[0] + (q[0] - p[0]) * k / steps, p[1] + (q[1] - p[1]) * k / steps) for p, q in zip(c, [*c[1:], c[0]]) for k in range(steps)]
+    x, y = source.transform(to, F.col("x"), F.col("y"))
+    moved = spark.createDataFrame(edge, "x double, y double").select(x.alias("x"), y.alias("y"))
+    return Extent(*moved.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
+
+
 def open_run(spark: SparkSession, config: RunConfig) -> Run:
     """Read the catalogues and lay out the grid; points stay lazy."""
     files = las_catalogue(spark, list(config.las))
@@ -188,21 +199,24 @@ def open_run(spark: SparkSession, config: RunConfig) -> Run:
         part = read_points(spark, path)
         points = part if points is None else points.unionByName(part)
     points = reproject(points, source, to)
-    extent = Extent(b[0], b[1], b[2], b[3])
-    if to.epsg != source.epsg:
-        corner = spark.createDataFrame(extent.corners(), "x double, y double")
-        x, y = source.transform(to, F.col("x"), F.col("y"))
-        e = corner.select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-        extent = Extent(*e)
+    extent = moved_extent(spark, Extent(b[0], b[1], b[2], b[3]), source, to)
     reach = max(config.topo_scale, default=0.0) + 2 * config.cellsize
     dems = []
     for path in find_files(list(config.dem), (".asc", ".tif", ".tiff"), SIDE_FILES):
-        box = raster_grid(path).extent
+        own, system = raster_grid(path), Crs.parse(config.dem_crs or raster_epsg(path))
+        box = moved_extent(spark, own.extent, system, to)
         if not box.overlaps(extent.buffer(reach)):  # files apart from the points are not read
             continue
         dem, grid = read_raster(spark, path)
+        if system.epsg and to.epsg and system.epsg != to.epsg:
+            near = extent.buffer(reach)
+            part = Extent(max(box.xmin, near.xmin), min(box.xmax, near.xmax), max(box.ymin, near.ymin), min(box.ymax, near.ymax))
+            here = Grid.from_resolution(part, (box.xmax - box.xmin) / own.ncol, (box.ymax - box.ymin) / own.nrow)
+            dem, grid = materialize(terrain.resample(dem, grid, here, (to, system))), here
         factor = LinearUnit.named(config.dem_units or unit.name).factor_to(to.z_unit)
         dems.append((dem.withColumn("value", F.col("value") * factor), grid))
+    if config.dem and not dems:
+        raise ValueError("ground was given, but none of it overlaps the points")
     grid = Grid.from_resolution(extent, config.cellsize, None, config.xorigin, config.yorigin)
     return Run(spark, config, points, dems, grid, files, to)
 

@@ -31,6 +31,15 @@ def raster_grid(path: str) -> Grid:
     return _ascii_head(path)[0] if path.lower().endswith(".asc") else _tiff_head(path)[0]
 
 
+def raster_epsg(path: str) -> int:
+    """The EPSG code of a GeoTIFF's keys, projected before geographic; 0 where none is stated."""
+    if path.lower().endswith(".asc"):
+        return 0
+    keys = _tiff_head(path)[2].get(34735) or ()
+    found = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
+    return next((found[k] for k in (3072, 2048) if found.get(k, 32767) not in (0, 32767)), 0)
+
+
 def file_extent(path: str) -> Extent:
     """The extent of a point or raster file, from its header."""
     if path.lower().endswith((".las", ".laz")):
