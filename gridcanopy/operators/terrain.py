@@ -82,13 +82,12 @@ def _slope(grid: Grid) -> tuple[Column, Column]:
 
 def _curvature(grid: Grid) -> dict[str, Column]:
     nw, n, ne, w, c, e, sw, s, se = (F.col(f"v{k}") for k in range(9))
-    r2 = grid.xres**2
     return {
-        "D": ((w + e) / 2 - c) / r2,
-        "E": ((n + s) / 2 - c) / r2,
-        "F": (ne + sw - nw - se) / (4 * r2),
+        "D": ((w + e) / 2 - c) / grid.xres**2,
+        "E": ((n + s) / 2 - c) / grid.yres**2,
+        "F": (ne + sw - nw - se) / (4 * grid.xres * grid.yres),
         "G": (e - w) / (2 * grid.xres),
-        "H": (n - s) / (2 * grid.xres),
+        "H": (n - s) / (2 * grid.yres),
     }
 
 

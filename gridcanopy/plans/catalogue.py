@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import Extent, Grid, QuadExtent
-from ..functions.lineage import shared_root
+from ..functions.lineage import materialize, shared_root
 from ..functions.units import LinearUnit
 from ..operators import csm as surface
 from ..operators import metrics, raster, terrain, trees
 from ..operators.points import PointFilter, bilinear, nearest, normalize
 from ..sources.las import read_points, write_las_files
-from ..sources.rasters import read_raster, write_tiles
+from ..sources.rasters import read_tiles, write_tiles
 from . import adapter
 from .adapter import SQL
 
@@ -527,7 +527,7 @@ _NINE = """, nine AS (SELECT e.row, e.col, nw.value AS nw, n.value AS n, ne.valu
   JOIN dem w ON w.row = e.row AND w.col = e.col - 1 JOIN dem ea ON ea.row = e.row AND ea.col = e.col + 1 JOIN dem sw ON sw.row = e.row + 1 AND sw.col = e.col - 1
   JOIN dem so ON so.row = e.row + 1 AND so.col = e.col JOIN dem se ON se.row = e.row + 1 AND se.col = e.col + 1, dg),
  sl AS (SELECT *, ((sw + 2 * s + se) - (nw + 2 * n + ne)) / (8 * yr) AS ns, ((nw + 2 * w + sw) - (ne + 2 * e + se)) / (8 * xr) AS ew,
-  ((w + e) / 2 - c) / (xr * xr) AS dd, ((n + s) / 2 - c) / (xr * xr) AS ee, (ne + sw - nw - se) / (4 * xr * xr) AS ff, (e - w) / (2 * xr) AS gg, (n - s) / (2 * xr) AS hh FROM nine),
+  ((w + e) / 2 - c) / (xr * xr) AS dd, ((n + s) / 2 - c) / (yr * yr) AS ee, (ne + sw - nw - se) / (4 * xr * yr) AS ff, (e - w) / (2 * xr) AS gg, (n - s) / (2 * yr) AS hh FROM nine),
  asp AS (SELECT *, atan(sqrt(ns * ns + ew * ew)) AS slope, CASE WHEN ns > 0 AND ew >= 0 THEN atan(ew / ns) WHEN ns > 0 THEN 2 * pi() + atan(ew / ns) WHEN ns < 0 THEN pi() + atan(ew / ns)
   WHEN ew > 0 THEN pi() / 2 WHEN ew < 0 THEN 3 * pi() / 2 END AS aspect FROM sl)
 """
@@ -629,9 +629,8 @@ def _las_scan(s, d):
 
 @query("raster_scan", "SELECT row, col, round(value, 6) AS value FROM dem")
 def _raster_scan(s, d):
-    """The ground written as one GeoTIFF tile and read back."""
+    """The ground written as GeoTIFF tiles and all of them read back."""
     g = adapter.dem_grid(s, d)
     folder = f"{shared_root(s)}/tif-{uuid.uuid4().hex}"
-    tiles = write_tiles(adapter.dem(s, d), g, folder, tile=max(g.nrow, g.ncol))
-    path = tiles.select("path").first()["path"]
-    return read_raster(s, path)[0].withColumn("value", F.round("value", 6))
+    tiles = materialize(write_tiles(adapter.dem(s, d), g, folder, tile=16))
+    return read_tiles(tiles, g).withColumn("value", F.round("value", 6))

@@ -1,8 +1,9 @@
-"""Raster files: ESRI ASCII grids and plain GeoTIFF as tidy rasters; sinks for both and for tables."""
+"""Raster files: ESRI ASCII grids and one-band GeoTIFF as tidy rasters; sinks for both and for tables."""
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,28 +64,40 @@ def _ascii_head(path: str) -> tuple[Grid, float, int]:
     return Grid(Extent(x, x + ncol * size, y, y + nrow * size), nrow, ncol), head.get("nodata_value", NO_DATA), at
 
 
-# Fixed values of the format: bytes of a tag's type; sample format and bits to numpy.
-TIFF_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 12: 8}
+# Fixed values of the format: bytes and struct code of a tag's type; sample format and bits to numpy.
+TIFF_TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
 SAMPLES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
+PLAIN, DEFLATE = 1, (8, 32946)
+HORIZONTAL = 2
+#: Bytes of a strip that :func:`tiff_bytes` writes.
+STRIP_BYTES = 1 << 20
 
 
 def _tiff_head(path: str) -> tuple[Grid, float | None, dict]:
-    start = read_range(path, 0, 8)
+    """Grid, no-data value and tags of a classic or big TIFF file in strips or tiles, plain or deflated."""
+    start = read_range(path, 0, 16)
     order = {b"II": "<", b"MM": ">"}.get(start[:2])
-    if order is None or struct.unpack(order + "H", start[2:4])[0] != 42:
+    kind = struct.unpack(order + "H", start[2:4])[0] if order else 0
+    if kind not in (42, 43):
         raise ValueError(f"{path} is no TIFF file")
-    at = struct.unpack(order + "I", start[4:8])[0]
-    count = struct.unpack(order + "H", read_range(path, at, 2))[0]
+    big = kind == 43
+    at = struct.unpack(order + "Q", start[8:16])[0] if big else struct.unpack(order + "I", start[4:8])[0]
+    wide, entry, place = (8, 20, "Q") if big else (2, 12, "I")
+    count = struct.unpack(order + ("Q" if big else "H"), read_range(path, at, wide))[0]
+    block = read_range(path, at + wide, entry * count)
+    room = 8 if big else 4
     tags = {}
-    block = read_range(path, at + 2, 12 * count)
     for k in range(count):
-        tag, kind, n, value = struct.unpack_from(order + "HHI4s", block, 12 * k)
-        size = n * TIFF_BYTES.get(kind, 0)
-        data = value[:size] if size <= 4 else read_range(path, struct.unpack(order + "I", value)[0], size)
-        code = {1: "B", 2: "c", 3: "H", 4: "I", 12: "d"}.get(kind)
-        tags[tag] = data.rstrip(b"\0").decode("ascii", "replace") if kind == 2 else struct.unpack(f"{order}{n}{code}", data) if code else None
-    if tags.get(259, (1,))[0] != 1 or 322 in tags:
-        raise ValueError(f"{path}: only uncompressed TIFF in strips is supported")
+        tag, code, n = struct.unpack_from(order + "HH" + place, block, entry * k)
+        if code not in TIFF_TYPES:
+            continue
+        value = block[entry * (k + 1) - room : entry * (k + 1)]
+        size = n * TIFF_TYPES[code][0]
+        data = value[:size] if size <= room else read_range(path, struct.unpack(order + place, value)[0], size)
+        text = code == 2
+        tags[tag] = data.rstrip(b"\0").decode("ascii", "replace") if text else struct.unpack(f"{order}{n}{TIFF_TYPES[code][1]}", data)
+    if tags.get(259, (1,))[0] not in (PLAIN, *DEFLATE) or tags.get(317, (1,))[0] not in (1, HORIZONTAL) or tags.get(277, (1,))[0] != 1:
+        raise ValueError(f"{path}: one band, plain or deflated, is what is supported")
     ncol, nrow = tags[256][0], tags[257][0]
     sx, sy, _ = tags[33550]
     i, j, _, x, y, _ = tags[33922][:6]
@@ -94,18 +107,36 @@ def _tiff_head(path: str) -> tuple[Grid, float | None, dict]:
     return Grid(Extent(x, x + ncol * sx, y - nrow * sy, y), nrow, ncol), missing, tags
 
 
+def _tiff_block(path: str, tags: dict, at: int, size: int, width: int) -> np.ndarray:
+    """One strip or tile as rows of ``width`` samples."""
+    raw = read_range(path, at, size)
+    if tags.get(259, (1,))[0] in DEFLATE:
+        raw = zlib.decompress(raw)
+    kind = np.dtype(tags["dtype"])
+    v = np.frombuffer(raw[: len(raw) // (kind.itemsize * width) * kind.itemsize * width], kind).reshape(-1, width)
+    if tags.get(317, (1,))[0] == HORIZONTAL:
+        whole = np.dtype(f"u{kind.itemsize}")
+        v = np.cumsum(v.astype(kind.newbyteorder("=")).view(whole), 1, dtype=whole).view(kind.newbyteorder("="))
+    return v.astype(float)
+
+
 def read_rows(path: str, first: int, last: int) -> tuple[Grid, np.ndarray]:
-    """Rows ``first`` to ``last`` as doubles, no data as NaN; TIFF reads only the strips they lie in."""
+    """Rows ``first`` to ``last`` as doubles, no data as NaN; TIFF reads only the strips or tiles they lie in."""
     if path.lower().endswith(".asc"):
         grid, missing, at = _ascii_head(path)
         body = read_range(path, at, file_size(path) - at)
         v = np.array(body.split(), float).reshape(grid.nrow, grid.ncol)[first : last + 1]
     else:
         grid, missing, tags = _tiff_head(path)
-        per = tags.get(278, (grid.nrow,))[0]
-        strips = [read_range(path, tags[273][k], tags[279][k]) for k in range(first // per, last // per + 1)]
-        v = np.frombuffer(b"".join(strips), tags["dtype"]).astype(float).reshape(-1, grid.ncol)
-        v = v[first - first // per * per :][: last - first + 1]
+        tiled = 322 in tags
+        width, per = (tags[322][0], tags[323][0]) if tiled else (grid.ncol, tags.get(278, (grid.nrow,))[0])
+        starts, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+        across = -(-grid.ncol // width)
+        bands = []
+        for k in range(first // per, last // per + 1):
+            row = [_tiff_block(path, tags, starts[n], sizes[n], width) for n in range(k * across, (k + 1) * across)]
+            bands.append(np.hstack(row)[:, : grid.ncol])
+        v = np.concatenate(bands)[first - first // per * per :][: last - first + 1]
     return grid, np.where(no_data(v, missing), np.nan, v)
 
 
@@ -131,26 +162,37 @@ def read_raster(spark: SparkSession, path: str, window: Extent | None = None, ro
     return tasks.mapInArrow(run, "row int, col int, value double"), grid.crop(window) if window else grid
 
 
-def tiff_bytes(values: np.ndarray, grid: Grid, epsg: int | None = None) -> bytes:
-    """An uncompressed GeoTIFF of doubles with one strip; NaN becomes the no-data value."""
-    data = np.where(np.isnan(values), NO_DATA, values).astype("<f8").tobytes()
+def tiff_bytes(values: np.ndarray, grid: Grid, epsg: int | None = None, compress: bool = False) -> bytes:
+    """A GeoTIFF of doubles in strips of about STRIP_BYTES; NaN becomes the no-data value."""
+    data = np.where(np.isnan(values), NO_DATA, values).astype("<f8")
+    per = max(1, min(grid.nrow, STRIP_BYTES // (8 * grid.ncol)))
+    strips = [data[k : k + per].tobytes() for k in range(0, grid.nrow, per)]
+    strips = [zlib.compress(x) for x in strips] if compress else strips
     missing = str(NO_DATA).encode() + b"\0"
     keys = struct.pack("<16H", 1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg or 32767)
     scale = struct.pack("<3d", grid.xres, grid.yres, 0)
     tie = struct.pack("<6d", 0, 0, 0, grid.extent.xmin, grid.extent.ymax, 0)
+    sizes = [len(x) for x in strips]
     blobs = {33550: (12, 3, scale), 33922: (12, 6, tie), 34735: (3, 16, keys), 42113: (2, len(missing), missing)}
-    short = {256: grid.ncol, 257: grid.nrow, 258: 64, 259: 1, 262: 1, 277: 1, 278: grid.nrow, 279: len(data), 339: 3}
-    n = len(short) + len(blobs) + 1
+    short = {256: grid.ncol, 257: grid.nrow, 258: 64, 259: DEFLATE[0] if compress else PLAIN, 262: 1, 277: 1, 278: per, 339: 3}
+    n = len(short) + len(blobs) + 2
+    body = 8 + 2 + 12 * n + 4 + sum(len(b) + -len(b) % 8 for _, _, b in blobs.values())
+    if len(strips) > 1:  # their places and sizes do not fit into the entries
+        body += 2 * (4 * len(strips) + 4 * len(strips) % 8)
+    starts = np.cumsum([body, *sizes[:-1]]).tolist()
+    if len(strips) > 1:
+        blobs |= {t: (4, len(strips), struct.pack(f"<{len(strips)}I", *v)) for t, v in ((273, starts), (279, sizes))}
+    else:
+        short |= {273: starts[0], 279: sizes[0]}
     at = 8 + 2 + 12 * n + 4
     place, tail = {}, b""
     for tag, (_, _, blob) in blobs.items():
         place[tag] = at + len(tail)
         tail += blob + b"\0" * (-len(blob) % 8)
-    short[273] = at + len(tail)
     out = b"II" + struct.pack("<HIH", 42, 8, n)
     for tag in sorted([*short, *blobs]):
         out += struct.pack("<HHII", tag, 4, 1, short[tag]) if tag in short else struct.pack("<HHII", tag, blobs[tag][0], blobs[tag][1], place[tag])
-    return out + b"\0" * 4 + tail + data
+    return out + b"\0" * 4 + tail + b"".join(strips)
 
 
 def write_tiles(raster: DataFrame, grid: Grid, folder: str, tile: int = 2048, name: str = "raster", epsg: int | None = None) -> DataFrame:
@@ -179,6 +221,23 @@ def write_tiles(raster: DataFrame, grid: Grid, folder: str, tile: int = 2048, na
     return at.select("row", "col", "value", "tr", "tc").groupBy("tr", "tc").applyInPandas(run, "name string, path string")
 
 
+def read_tiles(tiles: DataFrame, grid: Grid, rows_per_step: int = 512) -> DataFrame:
+    """The cells of all tile files (column ``path``) by their place in ``grid``; one task reads whole tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                own = raster_grid(path)
+                r0, c0 = round((grid.extent.ymax - own.extent.ymax) / grid.yres), round((own.extent.xmin - grid.extent.xmin) / grid.xres)
+                for first in range(0, own.nrow, rows_per_step):
+                    v = read_rows(path, first, min(own.nrow, first + rows_per_step) - 1)[1]
+                    r, c = np.nonzero(~np.isnan(v))
+                    cols = [pa.array((r + r0 + first).astype(np.int32)), pa.array((c + c0).astype(np.int32)), pa.array(v[r, c])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["row", "col", "value"])
+
+    return tiles.select("path").mapInArrow(run, "row int, col int, value double")
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """The default sink: Parquet, replaced as a whole, partitioned where readers prune."""
     writer = df.write.mode("overwrite")

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import cells, tidy
+from raster_rows import cells, tidy
 from pyspark.sql import functions as F
 
 from gridcanopy.functions.grid import Extent, Grid
@@ -184,6 +184,18 @@ def test_topography(spark):
     assert math.isclose(bowl["Curvature"], -400)
 
 
+def test_curvature_of_cells_that_are_not_square(spark):
+    """z = y^2 bends by 2 along y alone, whatever the cells' sides: curvature -200, none across the slope."""
+    oblong = Grid(Extent(0, 3, 0, 6), 3, 3)
+    at = lambda r: 5.0 - 2 * r
+    rows = tidy(spark, [[at(r) ** 2] * 3 for r in range(3)])
+    got = terrain.topo_metrics(rows, oblong).first()
+    assert math.isclose(got["Curvature"], -200) and math.isclose(got["ProfileCurvature"], -200) and math.isclose(got["PlanCurvature"], 0, abs_tol=1e-9)
+    saddle = tidy(spark, [[(c + 0.5) * at(r) for c in range(3)] for r in range(3)])
+    got = terrain.topo_metrics(saddle, oblong).first()  # x y: D = E = 0, F = 1, G = y = 3, H = x = 1.5
+    assert math.isclose(got["ProfileCurvature"], -200 * 4.5 / 11.25) and math.isclose(got["PlanCurvature"], -200 * 4.5 / 11.25)
+
+
 def test_position_index(spark):
     n = 25
     cone = [[math.hypot(r - 12, c - 12) for c in range(n)] for r in range(n)]
@@ -215,6 +227,12 @@ def test_thinning_is_greedy(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_thinning_of_a_long_ridge(spark):
+    tops = spark.createDataFrame([(0, c, float(c)) for c in range(12)], "row int, col int, value double")
+    got = trees.thin(tops, grid(1, 12), 1.5).collect()
+    assert sorted(r["col"] for r in got) == list(range(1, 12, 2))
+
+
 def test_watershed_case():
     h = np.array([[7, 6, 5], [3, 4, 3], [9, 1, 2]], float)
     got = trees.watershed(h, [(2, 0), (0, 0)], 1.1, 10, 0.1)

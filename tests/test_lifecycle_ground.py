@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import tidy
+from raster_rows import tidy
 
 from gridcanopy.functions.grid import Extent, Grid
 from gridcanopy.functions.units import Crs

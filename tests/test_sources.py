@@ -5,7 +5,7 @@ import struct
 
 import numpy as np
 import pytest
-from conftest import cells, tidy
+from raster_rows import cells, tidy
 
 from gridcanopy.functions.grid import Extent, Grid
 from gridcanopy.operators import metrics
@@ -150,3 +150,54 @@ def test_incremental_equals_batch(spark, tmp_path):
     batch = metrics.point_metrics(spark.createDataFrame(rows, schema), g, 2.0, ("ALL",))
     want = cells(batch, "TotalReturnCount", "Mean_CanopyHeight")
     assert set(got) == set(want) and all(got[k][0] == want[k][0] and (want[k][1] is None or abs(got[k][1] - want[k][1]) < 1e-9) for k in want)
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_geotiff_in_strips(tmp_path, compress, monkeypatch):
+    from gridcanopy.sources import rasters
+
+    monkeypatch.setattr(rasters, "STRIP_BYTES", 64)
+    g = Grid(Extent(10, 15, 0, 7), 7, 5)
+    v = np.arange(35, dtype=float).reshape(7, 5)
+    v[2, 3] = np.nan
+    path = str(tmp_path / "a.tif")
+    (tmp_path / "a.tif").write_bytes(rasters.tiff_bytes(v, g, 32610, compress))
+    assert rasters.raster_grid(path) == g and rasters.raster_epsg(path) == 32610
+    np.testing.assert_array_equal(rasters.read_rows(path, 0, 6)[1], v)
+    np.testing.assert_array_equal(rasters.read_rows(path, 2, 4)[1], v[2:5])
+
+
+def test_tiled_deflated_geotiff_with_differences(tmp_path):
+    """Tiles of 4 x 4 unsigned shorts, differenced along rows, in a big TIFF file."""
+    import zlib
+
+    from gridcanopy.sources import rasters
+
+    v = (np.arange(30).reshape(5, 6) * 7 % 50).astype("<u2")
+    tiles = []
+    for r in (0, 4):
+        for c in (0, 4):
+            t = np.zeros((4, 4), "<u2")
+            part = v[r : r + 4, c : c + 4]
+            t[: part.shape[0], : part.shape[1]] = part
+            t[:, 1:] -= t[:, :-1].copy()
+            tiles.append(zlib.compress(t.tobytes()))
+    numbers = {256: (3, [6]), 257: (3, [5]), 258: (3, [16]), 259: (3, [8]), 277: (3, [1]), 317: (3, [2]), 322: (3, [4]), 323: (3, [4]), 339: (3, [1])}
+    n = len(numbers) + 4
+    at = 16 + 8 + 20 * n + 8
+    blobs = {33550: (12, struct.pack("<3d", 2, 2, 0), 3), 33922: (12, struct.pack("<6d", 0, 0, 0, 100, 50, 0), 6)}
+    body = at + 24 + 48 + 2 * 32
+    starts = np.cumsum([body, *map(len, tiles[:-1])]).tolist()
+    blobs |= {324: (16, struct.pack("<4Q", *starts), 4), 325: (16, struct.pack("<4Q", *map(len, tiles)), 4)}
+    out, tail = b"II" + struct.pack("<HHHQQ", 43, 8, 0, 16, n), b""
+    for tag in sorted([*numbers, *blobs]):
+        if tag in numbers:
+            out += struct.pack("<HHQHxxxxxx", tag, 3, 1, numbers[tag][1][0])
+        else:
+            kind, blob, count = blobs[tag]
+            out += struct.pack("<HHQQ", tag, kind, count, at + len(tail))
+            tail += blob
+    path = tmp_path / "b.tif"
+    path.write_bytes(out + b"\0" * 8 + tail + b"".join(tiles))
+    assert rasters.raster_grid(str(path)).extent == Extent(100, 112, 40, 50)
+    np.testing.assert_array_equal(rasters.read_rows(str(path), 1, 4)[1], v[1:])
