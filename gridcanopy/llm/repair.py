@@ -19,62 +19,64 @@ from .tokens import word_encoder
 END_ID = 1
 #: Ids after which a block is closed (a longer document makes a longer block).
 BLOCK_IDS = 1 << 20
-ROUNDS, MIN_COUNT, MAX_SYMBOLS = 6, 24, 1 << 16
+#: Places from which a pair gets a rule (12 bytes, two saved a place); nonterminals over a vocabulary of 2^16 ids or more.
+MIN_COUNT, EXTRA_SYMBOLS = 16, 1 << 14
 _SLOTS = 1 << 20
 MAGIC = b"RPG1"
 SCHEMA = "part int, block int, n_ids long, doc_ids array<{id}>, lengths array<int>, grammar binary"
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT, max_symbols: int = MAX_SYMBOLS) -> bytes:
+def compress(ids: np.ndarray, min_count: int = MIN_COUNT, max_symbols: int | None = None) -> bytes:
     """A block: ``RPG1``, first nonterminal, counts, rules (pairs), expansion lengths, sequence.
 
     Each round replaces the pairs that occur at least ``min_count`` times by nonterminals, most
-    frequent first while fewer than ``max_symbols`` symbols are in use, without overlaps from left
-    to right; a pair left with fewer than two places gets no rule.
+    frequent first while symbols are left, without overlaps from left to right; a pair left with fewer
+    than two places gets no rule.  Rounds go on until no pair is that frequent or ``max_symbols``
+    symbols are in use (default: as many as two bytes hold, or EXTRA_SYMBOLS over a larger vocabulary).
+    After the first round only pairs with one of the last round's symbols can have become frequent.
     """
     x = ids.astype(np.uint32)
     base = max(int(x.max()) + 1 if len(x) else 1, 1)
+    limit = max_symbols or (1 << 16 if base < 1 << 16 else base + EXTRA_SYMBOLS)
     rules: list[np.ndarray] = []
-    size = [np.ones(base, np.uint32)]
-    symbols = base
-    for _ in range(rounds):
-        if len(x) < 2 * min_count or symbols >= max_symbols:
-            break
-        slot = (x[:-1] * np.uint32(2654435761) + x[1:] * np.uint32(2246822519)) >> np.uint32(12)
-        at = np.flatnonzero(np.bincount(slot, minlength=_SLOTS)[slot] >= min_count)
-        if not len(at):
+    size = np.ones(base, np.uint32)
+    symbols, last = base, 0
+    while len(x) >= 2 * min_count and symbols < limit:
+        if last:
+            young = x >= last
+            at = np.flatnonzero(young[:-1] | young[1:])
+        else:  # places whose pair may be frequent, by counts of hashed pairs
+            slot = (x[:-1] * np.uint32(2654435761) + x[1:] * np.uint32(2246822519)) >> np.uint32(12)
+            at = np.flatnonzero(np.bincount(slot, minlength=_SLOTS)[slot] >= min_count)
+        if len(at) < min_count:
             break
         key = x[at].astype(np.uint64) << np.uint64(32) | x[at + 1]
         pairs, which, count = np.unique(key, return_inverse=True, return_counts=True)
         best = np.flatnonzero(count >= min_count)
-        best = best[np.argsort(-count[best], kind="stable")][: max_symbols - symbols]
-        if not len(best):
-            break
+        best = best[np.argsort(-count[best], kind="stable")][: limit - symbols]
         chosen = np.zeros(len(pairs), bool)
         chosen[best] = True
         at, which = _apart(at, which, chosen[which])
         kept = np.bincount(which, minlength=len(pairs)) >= 2
-        ok = kept[which]
-        at, which = at[ok], which[ok]
         new = np.flatnonzero(kept)
         if not len(new):
             break
+        ok = kept[which]
+        at, which = at[ok], which[ok]
         number = np.zeros(len(pairs), np.uint32)
         number[new] = symbols + np.arange(len(new), dtype=np.uint32)
         left, right = (pairs[new] >> np.uint64(32)).astype(np.uint32), pairs[new].astype(np.uint32)
-        known = np.concatenate(size)
         rules.append(np.stack([left, right], 1))
-        size.append(known[left] + known[right])
-        symbols += len(new)
+        size = np.concatenate((size, size[left] + size[right]))
+        last, symbols = symbols, symbols + len(new)
         x[at] = number[which]
         stay = np.ones(len(x), bool)
         stay[at + 1] = False
         x = x[stay]
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    lengths = np.concatenate(size[1:]) if len(size) > 1 else np.zeros(0, np.uint32)
     width = 2 if symbols <= 1 << 16 else 4
     head = struct.pack("<4sIIIB", MAGIC, base, len(rule), len(x), width)
-    return head + rule.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + x.astype(f"<u{width}").tobytes()
+    return head + rule.astype("<u4").tobytes() + size[base:].astype("<u4").tobytes() + x.astype(f"<u{width}").tobytes()
 
 
 def _apart(at: np.ndarray, which: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,3 +220,25 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     starts = block_starts(spark, path)
     tail = ["n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
     return docs.join(starts, ["part", "block"]).select("doc_id", (F.col("first") + F.col("inner")).alias("start"), *tail)
+
+
+def fetch(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
+    """``(doc_id, ids)`` of the wanted documents: only the symbols that cover them are expanded.
+
+    ``doc_ids`` is a list of the caller's; rows that repeat an id are all returned, unknown ids give none.
+    """
+    blocks = spark.read.parquet(path)
+    idt = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    wanted = set(doc_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for names, sizes, grammar in zip(*(b.column(k) for k in range(3))):
+                ends = np.cumsum(np.array(sizes.as_py(), np.int64))
+                at = [k for k, n in enumerate(names.as_py()) if n in wanted]
+                raw = grammar.as_py()
+                got = [read_ids(raw, int(ends[k - 1]) if k else 0, int(ends[k])).astype("<u4").tobytes() for k in at]
+                yield pa.RecordBatch.from_arrays([names.values.take(pa.array(at, pa.int64())), pa.array(got, pa.binary())], names=["doc_id", "ids"])
+
+    some = blocks.where(F.arrays_overlap("doc_ids", F.lit(list(doc_ids)).cast(f"array<{idt}>"))) if doc_ids else blocks.limit(0)
+    return some.select("doc_ids", "lengths", "grammar").mapInArrow(run, f"doc_id {idt}, ids binary")

@@ -3,34 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words that a worker keeps for good, further ones that it keeps for a while, and words of texts that
-#: are looked up together.
-CACHE_WORDS, YOUNG_WORDS, GROUP_WORDS, JOINED = 600_000, 150_000, 1 << 17, 2_000
-#: Characters that Python's split drops and the tokenizer does not take for white space.
+#: Words that a worker keeps for good, further ones that it keeps for a while, and characters of texts
+#: whose words are looked up together.
+CACHE_WORDS, YOUNG_WORDS, GROUP_CHARS = 700_000, 200_000, 1 << 23
+#: Characters that Python's and Arrow's splits drop and the tokenizer does not take for white space.
 _ODD = "\x1c\x1d\x1e\x1f"
-#: Marks that, after a letter or digit, start a token run of their own.
-_TAIL = ".,!%&*$#|;:?"
-
-class Known(dict):
-    """Encodings of words; a word without one is noted and stands for nothing.
-
-    The words seen first, most of them frequent, stay; ``young`` holds those met after it was full.
-    """
-
-    def __init__(self):
-        self.missing: list[str] = []
-        self.young: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.young.get(word)
-        if found is None:
-            self.missing.append(word)
-            return b""
-        return found
-
+# Fixed: the vocabulary's token runs, over lower-cased ASCII.
+RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Below this code point letters are lower-cased one for one by every Unicode version.
+_LATIN = "ɐ"
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -46,15 +35,37 @@ def word_encoder(path: str | None = None) -> WordEncoder:
     return _encoders[path]
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte: itself if it is printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = [""] * 256
+    for b in own:
+        out[b] = chr(b)
+    for k, b in enumerate(b for b in range(256) if not out[b]):
+        out[b] = chr(256 + k)
+    return out
+
+
+class Runs(dict):
+    """The ids of token runs, given in letters that stand for bytes; each run is merged once."""
+
+    def __init__(self, merge):
+        self.merge = merge
+
+    def __missing__(self, run: str) -> list[int]:
+        self[run] = ids = [t.id for t in self.merge(run)]
+        return ids
+
+
 class WordEncoder:
     """Encode texts as bytes of little-endian unsigned 32-bit ids.
 
     ``word_bpe_49k.json`` never joins characters across white space, so a text's ids are the ids of
-    its white-space-separated words in order.  A word that is not in the cache is lower-cased if
-    ASCII, as the vocabulary does, and marks after its last letter are looked up apart; what is left goes
-    through the tokenizers library, words of letters many at a time (each is one token run, which
-    ends in a word-end id).  Texts with characters on whose class Python and the library disagree are
-    encoded whole.
+    its white-space-separated words in order.  Arrow splits a group of texts and numbers its distinct
+    words, each is looked up once, and the ids of all words are gathered by number.  A word that is not
+    in the cache goes through the library: one of printable ASCII or of Latin letters is lower-cased and
+    cut into token runs here and only merged there; others, and whole texts with characters on whose
+    class Arrow and the library disagree, pass all its steps.
     """
 
     def __init__(self, path: str):
@@ -62,95 +73,112 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache = Known()
-
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Words of letters, joined by blanks and parted at word-end ids."""
-        out: list[bytes] = []
-        for k in range(0, len(words), JOINED):
-            part = words[k : k + JOINED]
-            joined = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(joined[0].ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) != len(part):
-                out += self._each(part)
-                continue
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.number: dict[str, int] = {}
+        self.young: dict[str, int] = {}
+        # ids of all kept words one after another; where each word's begin and how many they are
+        self.pool, self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n_words = self.n_ids = 0
+
+    def _each(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _ids(self, word: str, runs: Runs) -> list[int] | None:
+        """The ids of a word by its runs, None if the library has to find them."""
+        if word.isascii():
+            if not word.isprintable() or "<|" in word:
+                return None
+            low = word.lower()
+            return runs[low] if low.isalpha() else [i for r in RUNS.findall(low) for i in runs[r]]
+        if word.isalpha() and max(word) < _LATIN and unicodedata.is_normalized("NFC", word):
+            low = word.lower()
+            if len(low) == len(word):
+                return runs["".join(map(self.letters.__getitem__, low.encode()))]
+        return None
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Put words that are not cached into the pool: their numbers."""
+        young = bool(self.young) or len(self.number) + len(words) > CACHE_WORDS
+        if young and len(self.young) + len(words) > YOUNG_WORDS:
+            self.young.clear()
+            self.n_words = len(self.number)
+            self.n_ids = int(self.at[self.n_words - 1] + self.size[self.n_words - 1]) if self.n_words else 0
+        runs = Runs(self.merge)
+        found = [self._ids(w, runs) for w in words]
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(rest, self._each([words[k] for k in rest])):
+            found[k] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))
+        lo, hi = self.n_words, self.n_words + len(words)
+        self.at, self.size = _room(self.at, hi), _room(self.size, hi)
+        self.pool = _room(self.pool, self.n_ids + len(ids))
+        self.size[lo:hi] = sizes
+        self.at[lo:hi] = self.n_ids + np.cumsum(sizes) - sizes
+        self.pool[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_words, self.n_ids = hi, self.n_ids + len(ids)
+        (self.young if young else self.number).update(zip(words, range(lo, hi)))
+        return np.arange(lo, hi)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        miss = np.flatnonzero(out < 0)
+        if len(miss) and self.young:
+            out[miss] = np.fromiter((self.young.get(words[k], -1) for k in miss.tolist()), np.int64, len(miss))
+            miss = miss[out[miss] < 0]
+        if len(miss):
+            old = out[out >= len(self.number)]
+            if len(old) and len(self.young) + len(miss) > YOUNG_WORDS:  # the young ones found here are about to go
+                miss = np.flatnonzero((out < 0) | (out >= len(self.number)))
+            out[miss] = self._learn([words[k] for k in miss.tolist()])
         return out
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """The encodings of words that are not in the cache."""
-        whole, split, new = {}, {}, set()
-        for w in missing:
-            core = w.lower() if w.isascii() else w
-            bare = core.rstrip(_TAIL) if core[-1] in _TAIL else ""
-            if bare and bare[-1].lower().isalnum():
-                tail = core[len(bare) :]
-                split[w] = (bare, tail)
-                new.add(bare)
-                new.add(tail)
-            else:
-                whole[w] = core
-                new.add(core)
-        fresh, plain, other = {}, [], []
-        old, young = self.cache.get, self.cache.young.get
-        for w in new:
-            got = old(w) or young(w)
-            if got:
-                fresh[w] = got
-            elif w.isalpha():
-                plain.append(w)
-            else:
-                other.append(w)
-        fresh.update(zip(plain, self._words(plain)))
-        fresh.update(zip(other, self._each(other)))
-        found = {w: fresh[core] for w, core in whole.items()}
-        found.update((w, fresh[a] + fresh[b]) for w, (a, b) in split.items())
-        return found | fresh
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        held: list[list[str]] = []
+        held: list[str] = []
         size = 0
         for text in texts:
             text = text or ""
             if any(c in text for c in _ODD):
                 out += self._group(held)
                 held, size = [], 0
-                out += self._each([text])
+                out.append(np.array(self._each([text])[0], "<u4").tobytes())
                 continue
-            held.append(text.split())
-            size += len(held[-1])
-            if size >= GROUP_WORDS:
+            held.append(text)
+            size += len(text)
+            if size >= GROUP_CHARS:
                 out += self._group(held)
                 held, size = [], 0
         return out + self._group(held)
 
-    def _group(self, texts: list[list[str]]) -> list[bytes]:
-        cache = self.cache
-        cache.missing = missing = []
-        get, out, again = cache.__getitem__, [], []
-        for words in texts:
-            before = len(missing)
-            ids = list(map(get, words))
-            if len(missing) > before:
-                again.append((len(out), words, ids))
-                ids = []
-            out.append(b"".join(ids))
-        if missing:
-            new = self._learn(set(missing))
-            for k, words, ids in again:
-                ids = [i or new.get(w, b"") for w, i in zip(words, ids)]
-                out[k] = b"".join(ids)
-            (cache if len(cache) + len(new) <= CACHE_WORDS else cache.young).update(new)
-            if len(cache.young) > YOUNG_WORDS:
-                cache.young.clear()
-        return out
+    def _group(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct = pc.binary_join(_one_list(words.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        if not len(words):
+            return [b""] * len(texts)
+        number = self._numbers(distinct)
+        which = words.indices.to_numpy()
+        size = self.size[number][which]
+        ends = np.cumsum(size)
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.at[number][which] - ends + size, size)].astype("<u4")
+        cuts = (4 * np.append(0, ends)[split.offsets.to_numpy()]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _one_list(values: pa.Array) -> pa.Array:
+    """One list that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, made longer by doubling if it is too short for ``n``."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out

@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridcanopy.llm import packing, repair
+from gridcanopy.llm import packing, repair, tokens
 from gridcanopy.llm.queries import QUERIES
 from gridcanopy.llm.tokens import word_encoder
 
@@ -26,6 +27,18 @@ def test_encoder_is_exact(text_rows):
         assert np.frombuffer(raw, "<u4").tolist() == plain(t)
 
 
+def test_encoder_with_small_caches(monkeypatch):
+    """Words come and go; the ids do not change."""
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 60)
+    monkeypatch.setattr(tokens, "YOUNG_WORDS", 90)
+    rng = random.Random(4)
+    encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(60):
+        texts = ["".join(rng.choice([*ODD, "the", "cat", "Dog,", " "]) for _ in range(rng.randrange(20))) for _ in range(20)]
+        for t, raw in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == plain(t)
+
+
 @given(st.lists(st.integers(0, 6), max_size=300), st.integers(2, 4))
 @settings(max_examples=80, deadline=None)
 def test_grammar_round_trip(ids, least):
@@ -41,6 +54,22 @@ def test_grammar_shrinks():
     assert len(block) < len(ids) / 4 and (repair.decompress(block) == ids).all()
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    ids = np.random.default_rng(1).zipf(1.5, 60_000).clip(1, 300).astype(np.uint32)
+    base, rule, _, x = repair._parts(repair.compress(ids, min_count=40, max_symbols=1 << 20))
+    _, count = np.unique(x[:-1].astype(np.uint64) << np.uint64(32) | x[1:], return_counts=True)
+    assert len(rule) and (count >= 40).sum() <= 2  # a pair cut by overlaps may stay
+    assert len(repair._parts(repair.compress(ids, max_symbols=base + 5))[1]) == 5
+
+
+def test_documents_by_id(spark, odd):
+    path = repair.write_tokens(odd, block_ids=50)
+    want = {r["doc_id"]: r["ids"] for r in repair.read_tokens(spark, path).collect()}
+    got = repair.fetch(spark, path, [6, 7, 99]).collect()
+    assert sorted(r["doc_id"] for r in got) == [6, 7, 7] and all(r["ids"] == want[r["doc_id"]] for r in got)
+    assert repair.fetch(spark, path, []).count() == 0
+
+
 def test_token_files(spark, sf_dir, text_rows):
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op6_repair_tokens"](spark, sf_dir).collect()}
     at = 0
