@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 
 import corpus_pipeline
-from gridcanopy.llm import decontaminate, embedding_dedup, pii, simhash, suffix_tree_lm, toxicity
+from gridcanopy.llm import decontaminate, embedding_dedup, pii, simhash, toxicity
 from gridcanopy.llm.queries import ORACLE_SQL, QUERIES
 
 # Toxicity ----------------------------------------------------------------------------------------
@@ -260,56 +260,6 @@ def test_base_scores_are_exact(spark, sf_dir, text_rows):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_tree_against_direct_probabilities(spark):
-    """Scores of the tables equal those of the tree walked directly, whose next words sum to one."""
-    rng = random.Random(4)
-    texts = [" ".join(rng.choice(["the cat sat", "a dog ran", "the dog sat down", "x y z", "q"]) for _ in range(rng.randrange(1, 9))) for _ in range(120)]
-    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    model = suffix_tree_lm.learn(frame.select("text"), min_gain=3.0)
-    got = {r["id"]: r["score"] for r in suffix_tree_lm.score(frame, model).collect()}
-    seqs = [[*t.split(), "$"] for t in texts]
-    uni = Counter(w for s in seqs for w in s)
-    n, v = sum(uni.values()), len(uni)
-    root = {w: (c + 0.5) / (n + 0.5 * (v + 1)) for w, c in uni.items()}
-    two, three = Counter(), Counter()
-    for s in seqs:
-        two.update(zip(s, s[1:]))
-        three.update(zip(s, s[1:], s[2:]))
-    kept2 = {p: c for p, c in two.items() if c >= 2 and c * math.log(c * n / (uni[p[0]] * uni[p[1]])) >= 3.0}
-    rest1 = {a: 1 - sum(c - 0.5 for (x, _), c in kept2.items() if x == a) / uni[a] for a in uni}
-
-    def p1(a, w):
-        return max(kept2.get((a, w), 0.5) - 0.5, 0) / uni[a] + rest1[a] * root[w]
-
-    kept3 = {t: c for t, c in three.items() if c >= 2 and t[:2] in kept2 and c * math.log(c / two[t[:2]] / p1(t[1], t[2])) >= 3.0}
-    rest2 = Counter()
-    for t, c in kept3.items():
-        rest2[t[:2]] += (c - 0.5) / two[t[:2]]
-
-    def p(history, w):
-        if not history:
-            return root[w]
-        low = p1(history[-1], w)
-        s = tuple(history[-2:])
-        if s in rest2:
-            return max(kept3.get((*s, w), 0.5) - 0.5, 0) / two[s] + (1 - rest2[s]) * low
-        return low
-
-    assert kept3
-    for s in list(rest2)[:5]:
-        assert math.isclose(sum(p(s, w) for w in uni), 1, abs_tol=0.02)
-    for k, s in enumerate(seqs):
-        assert math.isclose(got[k], sum(math.log10(p(s[:j], w)) for j, w in enumerate(s)), rel_tol=1e-6), texts[k]
-
-
-def test_language_model_odd_rows(odd, empty):
-    model = suffix_tree_lm.learn(odd.select("text"))
-    rows = suffix_tree_lm.score(odd, model).collect()
-    assert len(rows) == odd.count() and {r["n_tokens"] for r in rows if r["id"] in (3, 4, 5)} == {1}
-    assert suffix_tree_lm.score(empty, model).count() == 0
-    assert suffix_tree_lm.score(odd, suffix_tree_lm.learn(empty.select("text"))).count() == odd.count()
-
-
 # Pipeline ----------------------------------------------------------------------------------------
 
 
