@@ -1,48 +1,40 @@
-"""Shared pieces: tables cut from their lineage, connected components, keys that survive nulls."""
+"""Shared pieces: tables, connected components, disjoint spans, columns by name."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_root: dict[str, str] = {}
+from ..functions.lineage import materialize, release, shared_root  # noqa: F401 - for the operators here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
-    return _own_root[app]
-
-
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = path or f"{shared_root(spark)}/table-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm, hconf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(hconf).delete(p, True)
+def column_at(docs: DataFrame, name: str) -> int:
+    """The place of a column: spelt so, else the one that differs in case alone, as Spark resolves names."""
+    if name in docs.columns:
+        return docs.columns.index(name)
+    return [c.lower() for c in docs.columns].index(name.lower())
+
+
+class Spans:
+    """Disjoint spans in order; one that overlaps another is not taken."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, start)
+        if k < len(self.starts) and self.starts[k] < end or k and self.ends[k - 1] > start:
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -8,6 +8,7 @@ span; bands with enough shared q-grams are kept and verified by a banded alignme
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Spans, column_at
+
 #: Edits allowed as a share of an item's characters.
 EDIT_SHARE = 0.1
-#: Items from LONG_ITEM characters on use q-grams of 8, others of 4; below MIN_ITEM they match nothing.
+#: Items from LONG_ITEM characters on use q-grams of 8, others of 4; below MIN_ITEM they are found by exact search.
 LONG_ITEM, MIN_ITEM = 60, 8
 #: Characters of items that one pass over the documents looks for, of text in one step, pairs in one count.
 BLOCK_CHARS, STEP_CHARS, STEP_PAIRS = 4_000_000, 1 << 19, 1 << 21
@@ -26,12 +29,30 @@ _FILTER_BITS = 22
 _GAP = 0x110000  # no character: stands between texts
 
 
+def _folded() -> np.ndarray:
+    """Each code point's lower case where that is one code point, a blank for ASCII white space."""
+    out = np.arange(0x20000, dtype=np.uint32)  # no letter beyond has case
+    for k in range(len(out)):
+        low = chr(k).lower()
+        if len(low) == 1:
+            out[k] = ord(low)
+    out[9:14] = 32
+    return out
+
+
+FOLD = _folded()
+
+
 def characters(text: str) -> np.ndarray:
-    """Code points, lower-cased where that keeps the length, with every ASCII white space as a blank."""
-    low = text.lower()
-    c = np.frombuffer((low if len(low) == len(text) else text).encode("utf-32-le", "surrogatepass"), "<u4").copy()
-    c[(c >= 9) & (c <= 13)] = 32
-    return c
+    """Code points, each lower-cased by itself, so that every place stays what it was."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    low = FOLD.take(c, mode="clip")
+    high = c >= len(FOLD)
+    return np.where(high, c, low) if high.any() else low
+
+
+def _text(c: np.ndarray) -> str:
+    return c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def qgrams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +94,18 @@ class ItemIndex:
     """The q-grams of a bounded block of items."""
 
     def __init__(self, items: list[tuple[object, str]], share: float = EDIT_SHARE):
-        self.ids, self.chars = [], []
+        self.ids, self.chars, self.short = [], [], []
+        short = []
         for i, t in items:
             c = characters(t or "")
             if len(c) >= MIN_ITEM:
                 self.ids.append(i)
                 self.chars.append(c)
+            elif (word := _text(c)).strip():
+                short.append((i, re.compile(rf"(?<!\w){re.escape(word)}(?!\w)")))
+        for i, pattern in short:  # numbered after the others
+            self.short.append((len(self.ids), pattern))
+            self.ids.append(i)
         n = np.array([len(c) for c in self.chars], np.int64)
         q = np.where(n >= LONG_ITEM, 8, 4)
         self.k = np.minimum((n * share).astype(np.int64), (n // q) - 1)
@@ -144,6 +171,13 @@ class ItemIndex:
             return [[] for _ in texts]
         gap = np.array([_GAP], np.uint32)
         chars = [characters(t or "") for t in texts]
+        for found, c in zip(out, chars) if self.short else ():
+            text = _text(c)
+            for it, pattern in self.short:
+                if places := {(0, m.start(), m.end()) for m in pattern.finditer(text)}:
+                    found[it] = places
+        if not self.chars:
+            return [_apart(found, self.ids) for found in out]
         held: list[tuple[int, int, int]] = []  # text, offset in it, place in the step
         parts: list[np.ndarray] = []
         total = 0
@@ -187,10 +221,9 @@ def _apart(found: dict[int, set], ids: list) -> list[tuple[object, int, int, int
     """Of overlapping places of one item keep the one with fewest edits, then the leftmost."""
     kept = []
     for it, places in found.items():
-        taken: list[tuple[int, int]] = []
+        taken = Spans()
         for edits, a, z in sorted(places):
-            if all(z <= x or a >= y for x, y in taken):
-                taken.append((a, z))
+            if taken.add(a, z):
                 kept.append((a, z, it, edits))
     return [(ids[it], a, z, edits) for a, z, it, edits in sorted(kept)]
 
@@ -218,8 +251,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHAR
     """``(doc_id, item_id, start, end, edits)``: every place of an item in a whole text, in code points.
 
     One pass over the documents for each bounded block of items, no shuffle.  Null and empty texts
-    hold nothing; null items and items of under MIN_ITEM characters are not looked for; equal items
-    with different ids are reported each, as are repeated rows.
+    hold nothing; null and blank items are not looked for; an item of under MIN_ITEM characters has no
+    edits and has to stand apart from other letters and digits; equal items with different ids are reported
+    each, as are repeated rows.
     """
     dt, it = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {dt}, item_id {it}, start long, end long, edits int"
@@ -248,8 +282,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHAR
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """The documents that hold no place of any item, with their own columns, filtered in the scan."""
-    at = docs.columns.index("text")
+    """The documents that hold no place of any item, with their own columns, filtered in the scan.
+
+    Each row is judged by its own text: repeated rows and ids stay or go alike, null and empty texts stay.
+    """
+    at = column_at(docs, "text")
     for block in item_blocks(benchmark):
         held = docs.sparkSession.sparkContext.broadcast(block)
 

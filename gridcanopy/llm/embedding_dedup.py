@@ -216,7 +216,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: f
 
     Equal vectors of a label are compared once and counted as often as they occur.  Vectors that are
     null, zero, or hold null or non-finite parts, and rows of null label, link with nothing.  A row
-    with a null id counts as a link of others but names no component.  All vectors have one width.
+    with a null id counts as a link of others but names no component.  Vectors of different widths do not link.
     """
     rows = vectors.select("vec_id", "embedding", "label")
     e = F.col("embedding")
@@ -234,7 +234,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: f
         .agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    size = classes.agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).first()
+    width = F.size("embedding")
+    size = classes.agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.min(width).alias("least"), F.max(width).alias("most")).first()
+    if size["n"] and size["least"] < size["most"]:  # zeros change no cosine, and widths meet only their own
+        kind = classes.schema["embedding"].dataType.simpleString()
+        zeros = F.array_repeat(F.lit(0), F.lit(size["most"]) - width).cast(kind)
+        filled = valid.select("vec_id", F.concat("embedding", zeros).alias("embedding"), F.struct("label", width.alias("width")).alias("label"))
+        alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        alone = alone.withColumn("kept", F.col("vec_id").isNotNull())
+        return near_duplicates(filled, cosine, target_recall).unionByName(alone)
     if not size["n"]:
         alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return alone.withColumn("kept", F.col("vec_id").isNotNull())

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Spans, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns that define base spans.  Possessive and anchored forms of the same
@@ -107,13 +107,12 @@ def further_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
             if len(_digits(m.group())) > 15 and (inner := INNER_PHONE.match(text, m.start())):
                 out.append(("phone", inner.start(), inner.end()))
         out += [("phone", m.start(), m.end()) for m in LOCAL_PHONE.finditer(text)]
-    taken: dict[str, list] = {k: [] for k in KINDS}
+    taken = {k: Spans() for k in KINDS}
     for kind, a, z in base:
-        taken[kind].append((a, z))
+        taken[kind].add(a, z)
     kept = []
     for kind, a, z in sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2])):
-        if all(z <= x or a >= y for x, y in taken[kind]):
-            taken[kind].append((a, z))
+        if taken[kind].add(a, z):
             kept.append((kind, a, z))
     return kept
 

@@ -249,10 +249,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp").select(
         "id", "fp", "component_id"
     )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep the smallest id of each group; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

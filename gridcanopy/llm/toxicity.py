@@ -10,13 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import column_at
+
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
-#: Labelled rows that a fit reads at most, and the longest text among them (longer ones are still scored).
-MAX_FIT_ROWS, MAX_FIT_CHARS = 6_000, 100_000
+#: Labelled rows and characters that a fit reads at most; no text is over a tenth of the latter.
+MAX_FIT_ROWS, MAX_FIT_CHARS = 6_000, 40_000_000
 PREFIXES = (4, 5, 6, 7, 8)
 CACHE_WORDS = 300_000
 THRESHOLD = 0.3
@@ -163,20 +165,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, max_rows: int = MAX_FIT_
     """Fit on at most ``max_rows`` labelled documents, those with the smallest hash of their id.
 
     ``learn``: a condition on ``doc_id`` that labels must meet to be read.  Null labels and null
-    ids are no labels; of several labels of one id the largest counts; a null text is empty.
+    ids are no labels, nor are labels without a document; of several labels of one id the largest
+    counts; a null text is empty.  Rows that repeat an id and a text are one; several texts of an id
+    are as many rows.  The rows are cut to ``max_rows`` and ``max_chars`` before they leave the executors.
     """
     ids = labels.where("doc_id is not null and toxic is not null")
     ids = ids.where(learn) if learn is not None else ids
-    ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id"), "doc_id", "left_semi")
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so many rows at most, hence fit to broadcast
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .where(F.length("text") <= max_chars)
         .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "text", "toxic")
-        .collect()
+        .where(F.length("text") <= max_chars // 10)
+        .select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+        .dropDuplicates(["doc_id", "text"])
+        .orderBy(F.xxhash64("doc_id", "text"))
+        .limit(max_rows)
     )
-    rows = [t[1:] for t in sorted({(r["doc_id"], r["text"], int(r["toxic"] > 0)) for r in rows})]
+    before = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id", "text"), "doc_id"))  # over so many rows at most
+    rows = [tuple(r) for r in rows.withColumn("before", before).where(F.col("before") <= max_chars).drop("before").collect()]
+    rows = [t[1:] for t in sorted(rows)]
     return NoisyOr.calibrated(rows)
 
 
@@ -225,11 +233,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is under the threshold, with their own columns.
 
-    The decision is made row by row in the scan, so no join moves the texts.
+    The decision is made row by row in the scan, so no join moves the texts; repeated rows go alike.
     """
     model = fit(docs, labels, learn=~held_out(2, 4))
     held = docs.sparkSession.sparkContext.broadcast(model.parts)
-    at = docs.columns.index("text")
+    at = column_at(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = NoisyOr(*held.value), {}

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import duckdb
 import numpy as np
 
 import corpus_pipeline
-from gridcanopy.llm import decontaminate, embedding_dedup, pii, simhash, toxicity
+from gridcanopy.llm import decontaminate, embedding_dedup, pii, toxicity
 from gridcanopy.llm.queries import ORACLE_SQL, QUERIES
 
 # Toxicity ----------------------------------------------------------------------------------------
@@ -38,6 +39,20 @@ def test_toxic_sentence_is_located():
     assert score > 0.5 and text[a:z] == " you vile person" and 0 < worst <= score
 
 
+def test_fit_is_bounded_whatever_repeats(spark, monkeypatch):
+    """Repeated rows count once, labels without a document take no place, and characters are bounded in all."""
+    read = []
+    monkeypatch.setattr(toxicity.NoisyOr, "calibrated", classmethod(lambda cls, rows, **k: read.append(rows)))
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(1, "b"), (2, "c" * 30), (3, None), (4, "d" * 300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 200)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, max_rows=10, max_chars=1000)
+    assert sorted(read[-1]) == [("", 1), ("a", 1), ("b", 1), ("c" * 30, 0)]
+    toxicity.fit(docs, labels, max_rows=2, max_chars=1000)
+    assert len(read[-1]) <= 3
+    toxicity.fit(docs, labels, max_rows=10, max_chars=320)
+    assert sum(len(t) for t, _ in read[-1]) <= 320
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (9, None), (1, 0), (77, 1)], "doc_id long, toxic int")
     rows = toxicity.score_documents(odd, labels).collect()
@@ -162,6 +177,34 @@ def test_exact_passages_and_clean_rows(spark, sf_dir, text_rows):
         assert edits(items[r["item_id"]].lower(), (text_rows[r["doc_id"]][r["start"] : r["end"]]).lower()) <= len(items[r["item_id"]]) * 0.1
 
 
+def test_capitals_are_folded_one_by_one():
+    """A character whose lower case is two does not switch folding off; places stay code points."""
+    item = "The quick brown fox jumps over the lazy dog near the river bank"
+    index = decontaminate.ItemIndex([(1, item)])
+    text = "\u0130 " + item.upper() + " \u0130\u03a3"
+    assert index.scan([text])[0] == [(1, 2, 2 + len(item), 0)]
+
+
+def test_short_items_are_found_exactly():
+    index = decontaminate.ItemIndex([(1, "x"), (2, "C3P0 up"), (3, " "), (4, None), (5, "four")])
+    got = index.scan(["x, c3p0\tUP xx four4", "", None, "four fours FOUR"])
+    assert got == [[(1, 0, 1, 0), (2, 3, 10, 0)], [], [], [(5, 0, 4, 0), (5, 11, 15, 0)]]
+
+
+def test_places_take_linear_time():
+    found = {0: {(0, 10 * k, 10 * k + 9) for k in range(60_000)}}
+    begin = time.process_time()
+    assert len(decontaminate._apart(found, [7])) == 60_000
+    assert time.process_time() - begin < 5
+
+
+def test_columns_whose_names_differ_by_case(spark):
+    docs = spark.createDataFrame([(1, "some words of a text"), (1, "the quick brown fox jumps over it"), (1, "the quick brown fox jumps over it")], "Doc_id long, Text string")
+    bench = spark.createDataFrame([(9, "quick brown fox jumps")], "item_id long, text string")
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and [r["Text"] for r in left.collect()] == ["some words of a text"]
+
+
 def test_long_text_in_steps():
     item = "the quick brown fox jumps over the lazy dog while seven wizards brew potions quietly"
     index = decontaminate.ItemIndex([(1, item)])
@@ -240,6 +283,12 @@ def test_embeddings_odd_rows(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_of_several_widths(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [3.0, 0.0], 1), (3, [1.0, 0.0, 0.0], 1), (4, [2.0, 0.0, 0.0], 1), (5, [1.0], 1), (6, None, 1), (7, [1.0], None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), *((k, 0, k, True) for k in (5, 6, 7))]
+
+
 # Language model ----------------------------------------------------------------------------------
 
 
@@ -270,11 +319,10 @@ def test_pipeline_against_its_parts(spark, sf_dir):
     model = toxicity.fit(docs, labels, learn=~toxicity.held_out(2, 4))
     left = {r["doc_id"]: r["text"] for r in docs.collect() if model.score(r["text"] or "", {})[0] < 0.3}
     from test_line_dedup import brute
-    from test_simhash import components
+    from test_near_copies import kept
 
     lines = brute(list(left.items()))
-    root = components({i: simhash.fingerprint(t) for i, t in lines.items()})
-    one = {i: t for i, t in lines.items() if root[i] == i}
+    one = {i: lines[i] for i in kept(lines)}
     index = decontaminate.ItemIndex(bench)
     clean = {i: t for i, t in one.items() if not index.scan([t])[0]}
     rows = corpus_pipeline.run(spark, sf_dir).collect()
