@@ -264,10 +264,16 @@ class Grid:
         """Add ``row`` and ``col``; points outside go."""
         return points.where(self.extent.inside(x, y)).withColumns({"row": self.row(y), "col": self.col(x)})
 
-    def dense(self, spark) -> DataFrame:
-        """Every cell ``(row, col)``, made on the executors."""
-        ids = spark.range(self.ncell)
-        return ids.select(F.expr(f"cast(id div {self.ncol} as int)").alias("row"), (F.col("id") % self.ncol).cast("int").alias("col"))
+    def dense(self, spark, window: Extent | None = None) -> DataFrame:
+        """Every cell ``(row, col)``, or those of a window, made on the executors."""
+        r0, r1, c0, c1 = (0, self.nrow - 1, 0, self.ncol - 1)
+        if window is not None:
+            if not window.overlaps(self.extent):
+                return spark.createDataFrame([], "row int, col int")
+            r0, r1, c0, c1 = self.rows_cols(window, "out")
+        wide = c1 - c0 + 1
+        ids = spark.range((r1 - r0 + 1) * wide)
+        return ids.select(F.expr(f"cast(id div {wide} + {r0} as int)").alias("row"), (F.col("id") % wide + c0).cast("int").alias("col"))
 
     def covered(self, extents: DataFrame, how: str = "near") -> DataFrame:
         """Explode ``(xmin, xmax, ymin, ymax, ...)`` rows to the cells they cover, snapped as asked.

@@ -36,8 +36,8 @@ def by_return_type(points: DataFrame, types: tuple[str, ...] = ("ALL", "FIRST"))
     return points.withColumn("return_type", F.explode(F.array_compact(F.array(*options))))
 
 
-def point_metrics(points: DataFrame, grid: Grid, canopy: float = 2.0, types: tuple[str, ...] = ("ALL", "FIRST"), advanced: bool = False, binned: bool = False) -> DataFrame:
-    """``(return_type, row, col, <metrics>)`` over heights ``z``.
+def point_metrics(points: DataFrame, grid: Grid, canopy: float = 2.0, types: tuple[str, ...] = ("ALL", "FIRST"), advanced: bool = False, binned: bool = False, more: dict[str, Column] | None = None) -> DataFrame:
+    """``(return_type, row, col, <metrics>)`` over heights ``z``; ``more``: further aggregates of a cell's points by name.
 
     ``binned`` takes moments about the exact mean from the middles of 1 cm bins; otherwise from the
     heights.  Metrics of too few canopy returns (moments: 2, percentiles: 4) are null; skewness and
@@ -56,6 +56,7 @@ def point_metrics(points: DataFrame, grid: Grid, canopy: float = 2.0, types: tup
         F.max(high).alias("top"),
         *[F.avg(_power(m - canopy, k)).alias(f"m{k}") for k in (1, 2, 3, 4)],
         F.percentile(high, F.array(*[F.lit(p / 100) for p in percents])).alias("p"),
+        *[c.alias(name) for name, c in (more or {}).items()],
     )
     c = F.col("mean") - canopy  # moments about the exact mean, from raw moments above the canopy line
     m1, m2, m3, m4 = (F.col(f"m{k}") for k in (1, 2, 3, 4))
@@ -77,7 +78,7 @@ def point_metrics(points: DataFrame, grid: Grid, canopy: float = 2.0, types: tup
             F.when(two & spread, F.col("nc") * third / ((F.col("nc") - 1) * sd * sd * sd)).alias("CanopySkewness"),
             F.when(two & spread, fourth / (var * var)).alias("CanopyKurtosis"),
         ]
-    return sums.select("return_type", "row", "col", *out)
+    return sums.select("return_type", "row", "col", *out, *[f"`{name}`" for name in more or {}])
 
 
 def _power(v: Column, k: int) -> Column:

@@ -21,11 +21,15 @@ def priority(dems: DataFrame) -> DataFrame:
 
 
 def resample(dem: DataFrame, grid: Grid, target: Grid, move: tuple[Crs, Crs] | None = None) -> DataFrame:
-    """Bilinear values at the centres of the target's cells; ``move``: target system, source system."""
+    """Bilinear values at the centres of the target's cells; ``move``: target system, source system.
+
+    Only the target's cells within the source's extent are made; across systems all of them are, so
+    callers pass a target that is cropped to the source's box in the target system.
+    """
     if move is None and grid == target:
         return values(dem)
     spark = dem.sparkSession
-    cells = target.dense(spark).withColumns({"x": target.x(), "y": target.y()})
+    cells = target.dense(spark, None if move else grid.extent).withColumns({"x": target.x(), "y": target.y()})
     if move:
         x, y = move[0].transform(move[1], F.col("x"), F.col("y"))
         cells = cells.withColumns({"x": x, "y": y})

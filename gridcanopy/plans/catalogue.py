@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Extent, Grid, QuadExtent
 from ..functions.lineage import materialize, shared_root
-from ..functions.units import LinearUnit
+from ..functions.units import Crs, LinearUnit
 from ..operators import csm as surface
 from ..operators import metrics, raster, terrain, trees
-from ..operators.points import PointFilter, bilinear, nearest, normalize
-from ..sources.las import read_points, write_las_files
+from ..operators.points import PointFilter, already_normalized, append, bilinear, nearest, normalize, reproject
+from ..sources.las import las_catalogue, read_points, write_las_files
 from ..sources.rasters import read_tiles, write_tiles
+from ..streaming.ingest import complete_cells, ingest
 from . import adapter
 from .adapter import SQL
 
@@ -289,6 +290,64 @@ def _dem_priority(s, d):
     return terrain.priority(cat).select("path", "priority")
 
 
+def _sql_cover(low: str, high: str) -> str:
+    return f""", e AS (SELECT f.*, greatest({low.format('(xmin - x0) / 10')}, 0) AS c0, least({high.format('(xmax - x0) / 10')}, (x1 - x0) / 10) - 1 AS c1,
+        greatest({low.format('(y1 - ymax) / 10')}, 0) AS r0, least({high.format('(y1 - ymin) / 10')}, (y1 - y0) / 10) - 1 AS r1, x0, x1, y0, y1 FROM files f, lim)
+    SELECT file_id, CAST(a.r AS INTEGER) AS row, CAST(b.c AS INTEGER) AS col FROM e, generate_series(0, CAST((y1 - y0) / 10 AS BIGINT) - 1) AS a(r),
+      generate_series(0, CAST((x1 - x0) / 10 AS BIGINT) - 1) AS b(c) WHERE a.r BETWEEN r0 AND r1 AND b.c BETWEEN c0 AND c1"""
+
+
+@query("cells_snapped_near", _sql_cover("floor({} + 0.5)", "floor({} + 0.5)"))
+def _near(s, d):
+    """The cells of each file's box, its sides moved to the nearest cell borders."""
+    return adapter.grid(s, d, 10).covered(adapter.files(s, d), "near").select("file_id", "row", "col")
+
+
+@query("cells_snapped_in", _sql_cover("ceil({} - 1e-9)", "floor({} + 1e-9)"))
+def _inner(s, d):
+    """The cells that lie within each file's box."""
+    return adapter.grid(s, d, 10).covered(adapter.files(s, d), "in").select("file_id", "row", "col")
+
+
+# Points from elsewhere ---------------------------------------------------------------------------
+@query("already_normalized", "SELECT pid, lno, z FROM pts WHERE z BETWEEN 5 AND 30")
+def _already(s, d):
+    return already_normalized(adapter.points(s, d), 5.0, 30.0).select("pid", "lno", "z")
+
+
+@query("append_units", "SELECT pid, lno, z FROM pts WHERE file_id < 5 UNION ALL SELECT pid, lno, round(z * 0.3048, 6) AS z FROM pts WHERE file_id >= 5")
+def _append(s, d):
+    """Points in metres, and points in feet after them."""
+    p = adapter.points(s, d).select("pid", "lno", "file_id", "x", "y", "z")
+    metres, feet = Crs(0, LinearUnit.named("m")), Crs(0, LinearUnit.named("feet"))
+    return append(p.where("file_id < 5"), metres, p.where("file_id >= 5"), feet).select("pid", "lno", "z")
+
+
+@query("reproject_there_and_back", "SELECT pid, lno, round(500000 + x * 10, 3) AS x, round(4200000 + y * 10, 3) AS y FROM pts")
+def _there_and_back(s, d):
+    """UTM zone 10 to degrees, to zone 11, and back to zone 10."""
+    p = adapter.points(s, d).select("pid", "lno", (500000 + F.col("x") * 10).alias("x"), (4200000 + F.col("y") * 10).alias("y"), "z")
+    ten, degrees, eleven = Crs(32610), Crs(4326), Crs(32611)
+    back = reproject(reproject(reproject(p, ten, degrees), degrees, eleven), eleven, ten)
+    return back.select("pid", "lno", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query(
+    "ingest_complete_cells",
+    _COVER.format(r=10) + """, done AS (SELECT DISTINCT row, col FROM cov)
+    SELECT m.row, m.col, count(*) AS n, round(100.0 * count(*) FILTER (z >= 2) / count(*), 6) AS cover, round(avg(z) FILTER (z >= 2), 6) AS mean, max(z) FILTER (z >= 2) AS top
+    FROM m SEMI JOIN done ON m.row = done.row AND m.col = done.col GROUP BY m.row, m.col""",
+)
+def _ingest(s, d):
+    """Files read by a stream, sums kept per batch, and the cells all of whose files were read."""
+    g, at = adapter.grid(s, d, 10), f"{shared_root(s)}/ingest-{uuid.uuid4().hex}"
+    points = adapter.heights(s, d).select("file_id", "x", "y", "z")
+    points.write.parquet(f"{at}/points")
+    arriving = s.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/points")
+    ingest(arriving, g, at, f"{at}/checkpoint").awaitTermination()
+    return complete_cells(s, at, adapter.files(s, d), g)
+
+
 # Canopy surface --------------------------------------------------------------------------------
 def _csm(s, d) -> tuple[DataFrame, Grid]:
     g = adapter.grid(s, d, 1)
@@ -300,6 +359,11 @@ def _csm_max(s, d):
     return _csm(s, d)[0]
 
 
+@query("csm_unchanged", "SELECT row, col, value FROM csm")
+def _unchanged(s, d):
+    return surface.unchanged(*_csm(s, d))
+
+
 _FP = ", ".join(f"(CAST({x!r} AS DOUBLE), CAST({y!r} AS DOUBLE), CAST({z!r} AS DOUBLE))" for x, y, z in surface.footprint(0.4))
 
 
@@ -627,6 +691,17 @@ def _las_scan(s, d):
     return out.withColumns({c: F.col(c).cast("int") for c in ("return_number", "classification")})
 
 
+@query("las_headers", "SELECT count(*) AS n_points, round(min(x), 2) AS xmin, round(max(x), 2) AS xmax, round(min(y), 2) AS ymin, round(max(y), 2) AS ymax, min(z) AS zmin, max(z) AS zmax FROM pts")
+def _las_headers(s, d):
+    """Points written as LAS files; what their headers say together."""
+    folder = f"{shared_root(s)}/las-{uuid.uuid4().hex}"
+    pts = adapter.points(s, d).withColumn("number_of_returns", F.least("number_of_returns", F.lit(15)))
+    write_las_files(pts, folder).write.format("noop").mode("overwrite").save()
+    box = [f(c).alias(c) for c, f in (("xmin", F.min), ("xmax", F.max), ("ymin", F.min), ("ymax", F.max))]
+    found = las_catalogue(s, folder).agg(F.sum("n_points").alias("n_points"), *box, F.min("zmin").alias("zmin"), F.max("zmax").alias("zmax"))
+    return found.withColumns({c: F.round(c, 2) for c in ("xmin", "xmax", "ymin", "ymax")})
+
+
 @query("raster_scan", "SELECT row, col, round(value, 6) AS value FROM dem")
 def _raster_scan(s, d):
     """The ground written as GeoTIFF tiles and all of them read back."""

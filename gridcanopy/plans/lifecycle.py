@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import Extent, Grid
@@ -17,13 +17,17 @@ from ..operators import metrics, terrain, trees
 from ..operators.points import already_normalized, normalize, reproject
 from ..sources.files import find_files
 from ..sources.las import las_catalogue, read_points
-from ..sources.rasters import SIDE_FILES, raster_epsg, raster_grid, read_raster, write_table
+from ..sources.rasters import SIDE_FILES, raster_epsg, raster_grid, read_raster, write_table, write_tiles
 from .config import RunConfig
 
 #: Products by name, each ``Run -> {table name: DataFrame}``; more can be registered.
 PRODUCTS: dict[str, Callable[[Run], dict[str, DataFrame]]] = {}
 #: Exchangeable steps by kind and name.
 ALGORITHMS: dict[str, dict[str, Callable]] = {
+    "ground": {
+        "raster": lambda points, run: normalize(points, *run.ground, run.config.min_ht, run.config.max_ht),
+        "none": lambda points, run: already_normalized(points, run.config.min_ht, run.config.max_ht),
+    },
     "csm": {"max": surface.max_points},
     "post": {
         "none": lambda csm, grid, c: surface.unchanged(csm, grid),
@@ -36,6 +40,20 @@ ALGORITHMS: dict[str, dict[str, Callable]] = {
 }
 
 
+#: Conditions that points have to meet besides the options', and metrics besides the usual ones, by name.
+FILTERS: dict[str, Callable[[RunConfig], Column]] = {}
+METRICS: dict[str, Callable[[RunConfig], Column]] = {}
+
+
+def register_filter(name: str, condition: Callable[[RunConfig], Column]) -> None:
+    FILTERS[name] = condition
+
+
+def register_metric(name: str, aggregate: Callable[[RunConfig], Column]) -> None:
+    """Add a metric: an aggregate over a cell's points (``x, y, z, intensity, return_number``)."""
+    METRICS[name] = aggregate
+
+
 def register(name: str):
     """Add or replace a product."""
 
@@ -84,20 +102,18 @@ class Run:
         c = self.config
 
         def make():
-            points = c.point_filter().apply(self.points)
-            if c.dem_algo == "none" or not self.dems:
-                return already_normalized(points, c.min_ht, c.max_ht)
-            dem, grid = self.ground
-            return normalize(points, dem, grid, c.min_ht, c.max_ht)
+            points = c.point_filter().apply(self.points, *[f(c) for f in FILTERS.values()])
+            algo = "none" if c.dem_algo == "raster" and not self.dems else c.dem_algo
+            return ALGORITHMS["ground"][algo](points, self)
 
         return self._once("heights", lambda: make().select("x", "y", "z", "intensity", "return_number"))
 
     def surface(self) -> DataFrame:
         c = self.config
-        post = ("smooth" if c.smooth >= 3 else "") + ("_fill" if c.csm_fill and c.smooth >= 3 else "fill" if c.csm_fill else "")
+        post = c.post_algo or ("smooth" if c.smooth >= 3 else "") + ("_fill" if c.csm_fill and c.smooth >= 3 else "fill" if c.csm_fill else "")
 
         def make():
-            raw = self._once("raw_csm", lambda: ALGORITHMS["csm"]["max"](self.heights(), self.csm_grid, c.footprint))
+            raw = self._once("raw_csm", lambda: ALGORITHMS["csm"][c.csm_algo](self.heights(), self.csm_grid, c.footprint))
             return ALGORITHMS["post"][post or "none"](raw, self.csm_grid, c)
 
         return self._once("csm", make)
@@ -109,7 +125,7 @@ def point_products(run: Run) -> dict[str, DataFrame]:
     if not c.do_points:
         return {}
     h = run.heights()
-    out = {"point_metrics": metrics.point_metrics(h, run.grid, c.canopy, c.return_types, c.advanced)}
+    out = {"point_metrics": metrics.point_metrics(h, run.grid, c.canopy, c.return_types, c.advanced, more={n: f(c) for n, f in METRICS.items()})}
     if c.advanced:
         out["cover_above_mean"] = metrics.cover_above_mean(h, run.grid, c.canopy, c.return_types)
     if c.do_strata:
@@ -228,15 +244,43 @@ def products(run: Run) -> dict[str, DataFrame]:
     return out
 
 
+def write_rasters(run: Run, name: str, df: DataFrame) -> list[str]:
+    """GeoTIFF tiles of each numeric column of a product that is a raster, one folder a column: the folders."""
+    if not {"row", "col"} <= set(df.columns) or name == "taos":
+        return []
+    g = {"csm": run.csm_grid, "segments": run.csm_grid}.get(name, run.grid)
+    if name == "fine_intensity":
+        g = Grid.from_resolution(run.grid.extent, run.config.fine_int_cellsize or run.config.csm_cellsize)
+    parts = [(c, t) for c, t in (("return_type", run.config.return_types), ("stratum_idx", range(len(run.config.strata) + 1))) if c in df.columns]
+    chosen = [()]
+    for column, options in parts:
+        chosen = [(*c, (column, o)) for c in chosen for o in options]
+    numbers = [c for c, t in df.dtypes if c not in ("row", "col", "stratum_idx") and t in ("double", "float", "int", "bigint", "smallint")]
+    folders = []
+    for pick in chosen:
+        own = df
+        for column, option in pick:
+            own = own.where(F.col(column) == option)
+        for c in numbers:
+            folder = "/".join([run.config.output, "rasters", name, *(str(o) for _, o in pick), c])
+            cells = own.select("row", "col", F.col(f"`{c}`").cast("double").alias("value"))
+            write_tiles(cells, g, folder, name=run.config.file_name(c, extension="tif")[:-4], epsg=run.crs.epsg or None).write.format("noop").mode("overwrite").save()
+            folders.append(folder)
+    return folders
+
+
 def execute(run: Run) -> dict[str, str]:
-    """Write every product as Parquet, the options and a report: the paths by name."""
-    paths = {}
+    """Write every product as Parquet (with ``rasters`` also as GeoTIFF tiles), the options and a report: the paths by name."""
+    paths, rasters = {}, []
     for name, df in products(run).items():
         paths[name] = f"{run.config.output}/{run.config.file_name(name, extension='parquet')}"
         write_table(df, paths[name], ("return_type",) if "return_type" in df.columns else ())
+        if run.config.rasters:
+            rasters += write_rasters(run, name, run.spark.read.parquet(paths[name]))
     report = {
         "grid": {"extent": [run.grid.extent.xmin, run.grid.extent.xmax, run.grid.extent.ymin, run.grid.extent.ymax], "nrow": run.grid.nrow, "ncol": run.grid.ncol},
         "products": paths,
+        "rasters": rasters,
         "options": run.config.to_ini(),
     }
     line = run.spark.createDataFrame([(json.dumps(report, indent=1),)], "value string")

@@ -201,3 +201,46 @@ def test_tiled_deflated_geotiff_with_differences(tmp_path):
     path.write_bytes(out + b"\0" * 8 + tail + b"".join(tiles))
     assert rasters.raster_grid(str(path)).extent == Extent(100, 112, 40, 50)
     np.testing.assert_array_equal(rasters.read_rows(str(path), 1, 4)[1], v[1:])
+
+
+def test_rasters_and_added_steps_of_a_run(spark, tmp_path, monkeypatch):
+    """Products as GeoTIFF tiles; a filter, a metric and a ground of the caller's own."""
+    from pyspark.sql import functions as F
+
+    from gridcanopy.sources.rasters import raster_epsg, read_tiles
+
+    for table in ("FILTERS", "METRICS"):
+        monkeypatch.setattr(lifecycle, table, {})
+    monkeypatch.setitem(lifecycle.ALGORITHMS, "ground", dict(lifecycle.ALGORITHMS["ground"]))
+    lifecycle.register_filter("bright", lambda c: F.col("intensity") >= 100)
+    lifecycle.register_metric("Brightest", lambda c: F.max("intensity"))
+    lifecycle.register_algorithm("ground", "one", lambda points, run: points.withColumn("z", F.col("z") - 1.0))
+    (tmp_path / "las").mkdir()
+    c = cloud(3000)
+    write_las(f"{tmp_path}/las/a.las", c, wkt=WKT)
+    config = RunConfig(las=(str(tmp_path / "las"),), output=str(tmp_path / "out"), cellsize=5.0, do_tao=False, do_topo=False, do_strata=False, first_returns=False, dem_algo="one", rasters=True, las_units="metre", classes="", use_withheld=True, smooth=1, csm_fill=False)
+    run = lifecycle.open_run(spark, config)
+    paths = lifecycle.execute(run)
+    metrics_ = spark.read.parquet(paths["point_metrics"])
+    ok = c["intensity"] >= 100
+    assert metrics_.agg(F.sum("TotalReturnCount")).first()[0] == ok.sum() and metrics_.agg(F.max("Brightest")).first()[0] == c["intensity"].max()
+    assert np.isclose(spark.read.parquet(paths["csm"]).agg(F.max("value")).first()[0], c["z"][ok].max() - 1)
+    folder = tmp_path / "out" / "rasters" / "point_metrics" / "ALL" / "Mean_CanopyHeight"
+    tiles = [str(p) for p in folder.glob("*.tif")]
+    assert tiles and raster_epsg(tiles[0]) == 32610
+    got = cells(read_tiles(spark.createDataFrame([(t,) for t in tiles], "path string"), run.grid))
+    want = {k: v for k, v in cells(metrics_, "Mean_CanopyHeight").items() if v is not None}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+    assert (tmp_path / "out" / "rasters" / "csm" / "value").exists()
+
+
+def test_resampling_reads_its_own_window(spark):
+    """A small ground on a large target makes only the cells within its box."""
+    from gridcanopy.operators import terrain
+
+    small, large = Grid(Extent(100, 110, 100, 110), 10, 10), Grid(Extent(0, 1000, 0, 1000), 1000, 1000)
+    dem = tidy(spark, [[float(r + c) for c in range(10)] for r in range(10)])
+    assert large.dense(spark, small.extent).count() == 100
+    got = cells(terrain.resample(dem, small, large))
+    assert got == {(890 + r, 100 + c): float(r + c) for r in range(10) for c in range(10)}
+    assert terrain.resample(dem, small, Grid(Extent(200, 210, 200, 210), 10, 10)).count() == 0
