@@ -626,12 +626,17 @@ def _tpi(s, d):
 
 
 # Trees -----------------------------------------------------------------------------------------
-@query(
-    "tao_candidates",
-    """SELECT a.row, a.col, a.value FROM csm a WHERE a.value >= 40 AND NOT EXISTS (
+_TOPS = """SELECT a.row, a.col, a.value FROM csm a WHERE a.value >= 40 AND NOT EXISTS (
          SELECT 1 FROM csm b WHERE b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (b.row <> a.row OR b.col <> a.col)
-         AND (b.value > a.value OR (b.value = a.value AND ((b.row = a.row - 1 AND b.col <= a.col) OR (b.row = a.row AND b.col = a.col - 1) OR (b.row = a.row + 1 AND b.col = a.col - 1)))))""",
-)
+         AND (b.value > a.value OR (b.value = a.value AND ((b.row = a.row - 1 AND b.col <= a.col) OR (b.row = a.row AND b.col = a.col - 1) OR (b.row = a.row + 1 AND b.col = a.col - 1)))))"""
+# the highest top left is taken and strikes those within reach, until none is left
+_THINNED = f""", tops AS ({_TOPS}), step(kept, rest) AS (
+    SELECT list(t)[1:0], list(t ORDER BY value DESC, row, col) FROM (SELECT struct_pack(row := row, col := col, value := value) AS t, * FROM tops)
+    UNION ALL SELECT list_append(kept, rest[1]), list_filter(rest[2:], lambda t: pow(t.row - rest[1].row, 2) + pow(t.col - rest[1].col, 2) >= 6.25) FROM step WHERE len(rest) > 0),
+  thinned AS (SELECT t.row AS row, t.col AS col, t.value AS value FROM (SELECT unnest(kept) AS t FROM step WHERE len(rest) = 0))"""
+
+
+@query("tao_candidates", _TOPS)
 def _candidates(s, d):
     return trees.candidates(*_csm(s, d), 40.0)
 
@@ -642,7 +647,7 @@ def _forest(s, d):
     return c, g, tops, trees.segments(c, tops, g, tile=64, halo=20, cutoff=2.0, max_height=60.0)
 
 
-@query("tao_thinned")
+@query("tao_thinned", f"{_THINNED} SELECT row, col, value FROM thinned")
 def _thinned(s, d):
     """Greedy min-distance thinning."""
     return _forest(s, d)[2]
@@ -661,7 +666,12 @@ def _taos(s, d):
     return trees.tree_table(tops, crowns, g, tile=64)
 
 
-@query("tao_unified_ids")
+@query(
+    "tao_unified_ids",
+    f"""{_THINNED}, tiled AS (SELECT t.*, CAST(ceil((x1 - x0) / 64) AS BIGINT) AS across, CAST(ceil((x1 - x0) / 64) * ceil((y1 - y0) / 64) AS BIGINT) AS many FROM thinned t, lim),
+    placed AS (SELECT row, col, value, many, CAST(row // 64 AS BIGINT) * across + col // 64 AS tile_id FROM tiled)
+    SELECT row, col, value, tile_id, tile_id + 1 + many * (row_number() OVER (PARTITION BY tile_id ORDER BY value DESC, row, col) - 1) AS id FROM placed""",
+)
 def _unified(s, d):
     """Ids that no two tiles share."""
     _, g, tops, _ = _forest(s, d)
