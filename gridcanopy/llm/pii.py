@@ -263,7 +263,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)`` for each row.
 
     Counts and digest are of the base spans, which always stay; ``spans`` also holds the candidates
-    that the classifier scores at ``least`` or more.  A null text is empty and has no spans.
+    that the classifier scores at ``least`` or more.  A null text is empty and has no spans.  Each row, one
+    that repeats another too, is judged by its own text, and no other column is read; of overlapping spans of
+    a kind a base one stays, then the leftmost, then the shortest.
     """
     found = materialize(candidates(docs, id_col, text_col))
     held = docs.sparkSession.sparkContext.broadcast(learn(found))
