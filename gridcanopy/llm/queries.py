@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import decontaminate, embedding_dedup, lengths, packing, pii, repair, simhash, suffix_tree_lm, toxicity
+from . import decontaminate, embedding_dedup, filter_audit, hard_negatives, lengths, packing, pii, repair, simhash, spans, suffix_tree_lm, toxicity
 from .line_dedup import dedup_lines
 
 
@@ -105,6 +105,91 @@ def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, repeat and cost in each source, for all 120 orders and every step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+first AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+f AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 2 * length(d.t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN d.doc_id > first.first_id THEN 'E' ELSE '' END AS fails
+  FROM d JOIN first ON d.t = first.t LEFT JOIN l ON d.doc_id = l.doc_id),
+n AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (
+  SELECT n.*, o.filter_order,
+         least(CASE WHEN contains(fails, 'A') THEN strpos(filter_order, 'A') ELSE 9 END,
+               CASE WHEN contains(fails, 'B') THEN strpos(filter_order, 'B') ELSE 9 END,
+               CASE WHEN contains(fails, 'C') THEN strpos(filter_order, 'C') ELSE 9 END,
+               CASE WHEN contains(fails, 'D') THEN strpos(filter_order, 'D') ELSE 9 END,
+               CASE WHEN contains(fails, 'E') THEN strpos(filter_order, 'E') ELSE 9 END) AS fell
+  FROM n, o),
+k(step) AS (VALUES (1), (2), (3), (4), (5)),
+r AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter,
+         CAST(sum(CASE WHEN fell > step THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN fell = step THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN fell < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN fell = step THEN n * good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN fell = step THEN n * toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM s, k GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; every seventh id counts under the next label."""
+
+    def label(vec_id, own):
+        return F.when(vec_id % 7 == 0, (own + 1) % 10).otherwise(own)
+
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel=label)
+
+
+OP12_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS s
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT a, b, s FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT pos.a AS anchor_id, pos.b AS positive_id,
+       CAST(row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY p.s DESC, p.b) AS INTEGER) AS rank,
+       p.b AS negative_id, pos.s AS positive_score, p.s AS negative_score
+FROM pos JOIN p ON p.a = pos.a AND NOT p.same AND 80 * pos.s <= 100 * p.s AND p.s <= pos.s
+QUALIFY row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY p.s DESC, p.b) <= 5
+"""
+
+
+def op13_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's pieces, of what they decode to and of their source spans."""
+    return spans.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op2_weak_pii": op2_weak_pii,
@@ -116,5 +201,13 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_toxicity_mil": op9_toxicity_mil,
     "op10_line_windows": op10_line_windows,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_sentencepiece_spans": op13_sentencepiece_spans,
+}
+ORACLE_SQL = {
+    "op8_multi_index": OP8_SQL,
+    "op10_line_windows": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
-ORACLE_SQL = {"op8_multi_index": OP8_SQL, "op10_line_windows": OP10_SQL}
