@@ -1,8 +1,7 @@
-"""Linear units, coordinate systems and closed-form projections as columns."""
+"""Linear units."""
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -55,119 +54,3 @@ class LinearUnit:
         if re.search("foot", self.name):
             return "Feet"
         return "Meters" if self.name == "metre" else ""
-
-
-# WGS 84 and GRS 80.
-ELLIPSOIDS = {"WGS84": (6378137.0, 298.257223563), "GRS80": (6378137.0, 298.257222101)}
-
-
-@dataclass(frozen=True)
-class Crs:
-    """A system named by EPSG code: geographic 4326 and 4269, and the UTM zones on both.  0: none."""
-
-    epsg: int = 0
-    z_unit: LinearUnit = LinearUnit()
-
-    @classmethod
-    def parse(cls, text: str | int | None, z_unit: LinearUnit | None = None) -> Crs:
-        """A code, ``EPSG:code``, ``EPSG:code+vertical``, ``+proj=utm +zone=`` or WKT with an authority."""
-        z = z_unit or LinearUnit()
-        if text in (None, ""):
-            return cls(0, z)
-        text = str(text).strip()
-        if m := re.fullmatch(r"(?:EPSG:)?(\d+)(?:\+(\d+))?", text, re.I):
-            return cls(int(m[1]), z if z.metres else LinearUnit.named("metre") if m[2] == "5703" else z)
-        if re.search(r"\+proj=utm", text):
-            zone = int(re.search(r"\+zone=(\d+)", text)[1])
-            nad = re.search(r"datum=NAD83", text)
-            return cls((26900 if nad else 32700 if "+south" in text else 32600) + zone, z)
-        if re.search(r"\+proj=longlat", text):
-            return cls(4326, z)
-        codes = re.findall(r'(?:AUTHORITY\["EPSG",\s*"?|ID\["EPSG",\s*)(\d+)', text)
-        if codes:
-            return cls(int(codes[-1]), z)
-        raise ValueError(f"no coordinate system in {text[:60]!r}")
-
-    @property
-    def zone(self) -> tuple[int, bool] | None:
-        """UTM zone and whether it is north."""
-        for base, north in ((32600, True), (32700, False), (26900, True)):
-            if base < self.epsg <= base + 60:
-                return self.epsg - base, north
-        return None
-
-    @property
-    def geographic(self) -> bool:
-        return self.epsg in (4326, 4269)
-
-    @property
-    def xy_unit(self) -> LinearUnit:
-        return LinearUnit.named("metre") if self.zone else LinearUnit()
-
-    @property
-    def ellipsoid(self) -> tuple[float, float]:
-        return ELLIPSOIDS["GRS80" if self.epsg == 4269 or 26900 < self.epsg <= 26960 else "WGS84"]
-
-    def consistent(self, other: Crs) -> bool:
-        return (not self.epsg or not other.epsg or self.epsg == other.epsg) and self.z_unit.consistent(other.z_unit)
-
-    def transform(self, to: Crs, x: Column, y: Column) -> tuple[Column, Column]:
-        """Columns of the coordinates in ``to``; the same columns if nothing changes."""
-        if not self.epsg or not to.epsg or self.epsg == to.epsg:
-            return x, y
-        if not self.geographic:
-            x, y = _utm_inverse(self, x, y)
-        return (x, y) if to.geographic else _utm_forward(to, x, y)
-
-
-def _series(crs: Crs):
-    a, inverse = crs.ellipsoid
-    f = 1 / inverse
-    n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    return n, radius, alpha, beta, delta
-
-
-def _zone(crs: Crs) -> tuple[float, float]:
-    if crs.zone is None:
-        raise ValueError(f"EPSG {crs.epsg} is neither geographic nor a UTM zone")
-    zone, north = crs.zone
-    return math.radians(6 * zone - 183), 0.0 if north else 1e7
-
-
-def _atanh(v: Column) -> Column:
-    return F.lit(0.5) * F.log((1 + v) / (1 - v))
-
-
-def _utm_forward(crs: Crs, lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Transverse Mercator by the third-order series in n (millimetres within a zone)."""
-    lam0, false_north = _zone(crs)
-    n, radius, alpha, _, _ = _series(crs)
-    c = 2 * math.sqrt(n) / (1 + n)
-    s = F.sin(F.radians(lat))
-    t = F.sinh(_atanh(s) - c * _atanh(c * s))
-    lam = F.radians(lon) - lam0
-    xi, eta = F.atan2(t, F.cos(lam)), _atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    e, m = eta, xi
-    for j, k in enumerate(alpha, 1):
-        e = e + k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        m = m + k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000 + 0.9996 * radius * e, false_north + 0.9996 * radius * m
-
-
-def _utm_inverse(crs: Crs, x: Column, y: Column) -> tuple[Column, Column]:
-    lam0, false_north = _zone(crs)
-    _, radius, _, beta, delta = _series(crs)
-    xi, eta = (y - false_north) / (0.9996 * radius), (x - 500000) / (0.9996 * radius)
-    m, e = xi, eta
-    for j, k in enumerate(beta, 1):
-        m = m - k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        e = e - k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(m) / F.cosh(e))
-    lat = chi
-    for j, k in enumerate(delta, 1):
-        lat = lat + k * F.sin(2 * j * chi)
-    return F.degrees(lam0 + F.atan2(F.sinh(e), F.cos(m))), F.degrees(lat)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import Extent, Grid
-from ..functions.units import Crs
+from ..functions.crs import Crs
 
 
 def parse_classes(text: str | None) -> tuple[frozenset[int], bool]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
-from ..functions.units import Crs
+from ..functions.crs import Crs
 from .points import bilinear
 from .raster import CELL, neighbours, values, zonal
 

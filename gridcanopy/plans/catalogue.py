@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Extent, Grid, QuadExtent
 from ..functions.lineage import materialize, shared_root
-from ..functions.units import Crs, LinearUnit
+from ..functions.crs import Crs
+from ..functions.units import LinearUnit
 from ..operators import csm as surface
 from ..operators import metrics, raster, terrain, trees
 from ..operators.points import PointFilter, already_normalized, append, bilinear, nearest, normalize, reproject
@@ -644,7 +645,7 @@ def _candidates(s, d):
 def _forest(s, d):
     c, g = _csm(s, d)
     tops = trees.identify(c, g, 40.0, 2.5)
-    return c, g, tops, trees.segments(c, tops, g, tile=64, halo=20, cutoff=2.0, max_height=60.0)
+    return c, g, tops, trees.segments(c, tops, g, tile=64, cutoff=2.0, max_height=60.0)
 
 
 @query("tao_thinned", f"{_THINNED} SELECT row, col, value FROM thinned")
@@ -719,3 +720,6 @@ def _raster_scan(s, d):
     folder = f"{shared_root(s)}/tif-{uuid.uuid4().hex}"
     tiles = materialize(write_tiles(adapter.dem(s, d), g, folder, tile=16))
     return read_tiles(tiles, g).withColumn("value", F.round("value", 6))
+
+
+from . import catalogue_systems  # noqa: E402, F401 - registers its queries here

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Extent, Grid
 from ..functions.lineage import materialize
-from ..functions.units import Crs, LinearUnit
+from ..functions.crs import Crs
+from ..functions.units import LinearUnit
 from ..operators import csm as surface
 from ..operators import metrics, terrain, trees
 from ..operators.points import already_normalized, normalize, reproject
@@ -152,8 +153,7 @@ def tree_products(run: Run) -> dict[str, DataFrame]:
         return {}
     g = run.csm_grid
     tops = run._once("tops", lambda: ALGORITHMS["id"][c.id_algo](run.surface(), g, c.tao_height, c.min_tao_dist))
-    halo = max(1, round(1.5 * max(run.grid.xres, run.grid.yres) / min(g.xres, g.yres)))
-    crowns = run._once("crowns", lambda: ALGORITHMS["seg"][c.seg_algo](run.surface(), tops, g, halo=halo, cutoff=c.canopy, max_height=c.max_ht))
+    crowns = run._once("crowns", lambda: ALGORITHMS["seg"][c.seg_algo](run.surface(), tops, g, cutoff=c.canopy, max_height=c.max_ht))
     taos = trees.tree_table(tops, crowns, g)
     return {"taos": taos, "segments": trees.segment_rasters(crowns, taos)}
 

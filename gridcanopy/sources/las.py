@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.units import Crs, LinearUnit
+from ..functions.crs import Crs, from_geo_keys, geo_keys
+from ..functions.units import LinearUnit
 from .files import file_size, find_files, read_range, write_file
 
 SCHEMA = (
@@ -30,9 +31,6 @@ RECORDS_PER_BATCH = 100_000
 RECORD_BYTES = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63, 6: 30, 7: 36, 8: 38, 9: 59, 10: 67}
 POINT10 = [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("bits", "u1"), ("class", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2")]
 POINT14 = [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("class", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("time", "<f8")]
-# GeoTIFF keys of interest: geographic and projected system, linear and vertical unit.
-GEO_KEYS = {2048: "geographic", 3072: "projected", 3076: "unit", 4099: "z_unit"}
-UNIT_CODES = {9001: "metre", 9002: "foot", 9003: "us survey foot"}
 
 
 @dataclass(frozen=True)
@@ -48,15 +46,18 @@ class LasHeader:
     low: tuple[float, float, float]
     high: tuple[float, float, float]
     wkt: str = ""
-    geo_keys: dict[str, int] = field(default_factory=dict)
+    keys: dict[int, int | float | str] = field(default_factory=dict)
     compressed: bool = False
 
     @property
     def crs(self) -> Crs:
-        z = LinearUnit.named(UNIT_CODES.get(self.geo_keys.get("z_unit", self.geo_keys.get("unit", 0)), ""))
+        """The system by WKT, else by GeoTIFF keys; a text that cannot be read leaves it unknown."""
         if self.wkt:
-            return Crs.parse(self.wkt, z)
-        return Crs(self.geo_keys.get("projected") or self.geo_keys.get("geographic") or 0, z)
+            try:
+                return Crs.parse(self.wkt)
+            except ValueError:
+                return Crs()
+        return from_geo_keys(self.keys) if self.keys else Crs()
 
 
 def read_header(path: str) -> LasHeader:
@@ -75,21 +76,24 @@ def read_header(path: str) -> LasHeader:
         evlr_at, n_evlr, big = struct.unpack_from("<QIQ", head, 235)
         n_points = big or n_points
     compressed = kind & 0x80 != 0 or kind & 0x40 != 0
-    wkt, keys = "", {}
+    wkt, found = "", {}
     records = _variable(read_range(path, header_bytes, max(0, point_offset - header_bytes)), n_vlr, 54, "<H16sHH32s")
     if n_evlr:
         records += _variable(read_range(path, evlr_at, max(0, file_size(path) - evlr_at)), n_evlr, 60, "<H16sHQ32s")
     for user, number, data in records:
         if user == "LASF_Projection" and number in (2111, 2112):
             wkt = data.rstrip(b"\0").decode("utf-8", "replace") or wkt
-        elif user == "LASF_Projection" and number == 34735:
-            entries = np.frombuffer(data[: len(data) // 8 * 8], "<u2").reshape(-1, 4)[1:]
-            keys = {GEO_KEYS[k]: int(v) for k, where, _, v in entries.tolist() if k in GEO_KEYS and where == 0}
+        elif user == "LASF_Projection" and number in (34735, 34736, 34737):
+            found[number] = data
         elif number == 22204:
             compressed = True
     kind &= 0x3F
     if kind not in RECORD_BYTES:
         raise ValueError(f"{path}: point format {kind} is not supported")
+    keys = {}
+    if 34735 in found:
+        directory, doubles = (np.frombuffer(d[: len(d) // k * k], t).tolist() for d, k, t in ((found[34735], 2, "<u2"), (found.get(34736, b""), 8, "<f8")))
+        keys = geo_keys(tuple(directory), tuple(doubles), found.get(34737, b"").decode("latin-1"))
     return LasHeader(path, minor, kind, record_bytes, point_offset, n_points, scale, offset, bounds[1::2], bounds[0::2], wkt, keys, compressed)
 
 

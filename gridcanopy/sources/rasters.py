@@ -5,14 +5,17 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.crs import Crs, from_geo_keys, geo_keys
 from ..functions.grid import Extent, Grid
-from .files import file_size, read_range, write_file
+from ..functions.units import LinearUnit
+from .files import exists, file_size, read_range, write_file
 from .las import read_header
 
 NO_DATA = -9999.0
@@ -32,13 +35,41 @@ def raster_grid(path: str) -> Grid:
     return _ascii_head(path)[0] if path.lower().endswith(".asc") else _tiff_head(path)[0]
 
 
+def raster_crs(path: str) -> Crs:
+    """The system of a raster file: by a GeoTIFF's keys, else by the ``.prj`` file beside it; else unknown."""
+    if not path.lower().endswith(".asc"):
+        tags = _tiff_head(path)[2]
+        crs = from_geo_keys(geo_keys(tags.get(34735, ()), tags.get(34736, ()), tags.get(34737, "")))
+        if crs.known:
+            return crs
+    return prj_crs(path)
+
+
+def prj_crs(path: str) -> Crs:
+    """The system of the ``.prj`` file of the same name, unknown where there is none."""
+    beside = path.rpartition(".")[0] + ".prj"
+    if not exists(beside):
+        return Crs()
+    return Crs.parse(read_range(beside, 0, 1 << 20).decode("utf-8", "replace"))
+
+
 def raster_epsg(path: str) -> int:
-    """The EPSG code of a GeoTIFF's keys, projected before geographic; 0 where none is stated."""
-    if path.lower().endswith(".asc"):
-        return 0
-    keys = _tiff_head(path)[2].get(34735) or ()
-    found = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
-    return next((found[k] for k in (3072, 2048) if found.get(k, 32767) not in (0, 32767)), 0)
+    """The EPSG code of a raster file's system; 0 where none is stated."""
+    return raster_crs(path).epsg
+
+
+def crs_of(text: str, z_unit: LinearUnit | None = None) -> Crs:
+    """The system that a text states, or that of the point, raster or ``.prj`` file it names."""
+    ending = text.lower().rpartition(".")[2] if "." in text and not text.rstrip().endswith("]") else ""
+    if ending in ("las", "laz"):
+        crs = read_header(text).crs
+    elif ending in ("tif", "tiff", "asc"):
+        crs = raster_crs(text)
+    elif ending == "prj":
+        crs = prj_crs(text)
+    else:
+        return Crs.parse(text, z_unit)
+    return replace(crs, z_unit=z_unit) if z_unit is not None and z_unit.metres else crs
 
 
 def file_extent(path: str) -> Extent:

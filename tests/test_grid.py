@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridcanopy.functions.grid import Extent, Grid, QuadExtent
-from gridcanopy.functions.units import Crs, LinearUnit
+from gridcanopy.functions.crs import Crs
+from gridcanopy.functions.units import LinearUnit
 
 G = Grid(Extent(0, 4, 0, 4), 4, 4)
 

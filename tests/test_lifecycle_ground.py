@@ -7,7 +7,7 @@ import pytest
 from raster_rows import tidy
 
 from gridcanopy.functions.grid import Extent, Grid
-from gridcanopy.functions.units import Crs
+from gridcanopy.functions.crs import Crs
 from gridcanopy.plans.config import RunConfig
 from gridcanopy.plans.lifecycle import Run, open_run, topo_products
 from gridcanopy.sources.las import write_las
