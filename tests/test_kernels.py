@@ -248,8 +248,8 @@ def test_tiles_do_not_matter(spark):
     h = np.max([20 - 3.0 * np.hypot(rr - a, cc - b) + rng.uniform(0, 2) for a, b in peaks], axis=0)
     df, g = tidy(spark, h.tolist()), grid(n)
     tops = trees.identify(df, g, 2.0, 2.0)
-    one = trees.segments(df, tops, g, tile=64, halo=1)
-    many = trees.segments(df, tops, g, tile=10, halo=16)
+    one = trees.segments(df, tops, g, tile=64)
+    many = trees.segments(df, tops, g, tile=10)
     assert cells(one, "tao_row", "tao_col") == cells(many, "tao_row", "tao_col")
     table = trees.tree_table(tops, one, g, tile=10)
     ids = [r["id"] for r in table.collect()]
