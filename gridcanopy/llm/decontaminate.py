@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, column_at
+from .common import Spans, column_at, give_back
 
 #: Edits allowed as a share of an item's characters.
 EDIT_SHARE = 0.1
@@ -295,6 +295,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT
             for b in batches:
                 clean = [not places for places in index.scan(b.column(at).to_pylist())]
                 yield b.filter(pa.array(clean, pa.bool_()))
+            del index
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import give_back, materialize, release
 from .tokens import word_encoder
 
 LENGTH = 2048
@@ -43,6 +43,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenize
             kinds = [b.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names[: len(cols)])
+        give_back()
 
     schema = PIECE.format(id=idt) + (", ids binary" if with_ids else "")
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

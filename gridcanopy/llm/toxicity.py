@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_at
+from .common import column_at, give_back
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -244,5 +244,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             ok = [m.score(t or "", cache)[0] < THRESHOLD for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(ok, pa.bool_()))
+        cache.clear()
+        del m
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
