@@ -108,10 +108,11 @@ def rumple(csm: DataFrame, grid: Grid, zones: Grid, compat: bool = False) -> Dat
     return each.groupBy("zr", "zc").agg(F.avg("t").alias("RumpleCSM")).withColumnsRenamed({"zr": "row", "zc": "col"})
 
 
-def csm_metrics(csm: DataFrame, grid: Grid, zones: Grid) -> DataFrame:
-    """``(row, col, MaxCSM, MeanCSM, StdDevCSM, RumpleCSM)`` per metric cell."""
+def csm_metrics(csm: DataFrame, grid: Grid, zones: Grid, rise: float = 1.0) -> DataFrame:
+    """``(row, col, MaxCSM, MeanCSM, StdDevCSM, RumpleCSM)`` per metric cell; ``rise``: units of the plane in one of heights."""
     basic = zonal(csm, grid, zones, {"MaxCSM": ZONAL["max"](), "MeanCSM": ZONAL["mean"](), "StdDevCSM": ZONAL["sd"]()})
-    return basic.join(rumple(csm, grid, zones), CELL, "left")
+    level = csm if rise == 1.0 else csm.withColumn("value", F.col("value") * rise)
+    return basic.join(rumple(level, grid, zones), CELL, "left")
 
 
 def mean_intensity(points: DataFrame, grid: Grid, cutoff: float | None = 2.0) -> DataFrame:

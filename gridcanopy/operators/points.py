@@ -65,16 +65,30 @@ def nearest(points: DataFrame, raster: DataFrame, grid: Grid, name: str = "groun
 
 
 def stencil(raster: DataFrame, grid: Grid) -> DataFrame:
-    """``(_r, _c, _ul, _ur, _ll, _lr)``: the four cells around every crossing of cell borders.
+    """``(_r, _c, _ul, _ur, _ll, _lr)``: the four cells around every crossing of cell borders."""
+    return crossings(raster)
+
+
+def crossings(raster: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, _r, _c, _ul, _ur, _ll, _lr)``: the four cells around every crossing of cell borders.
 
     The raster's values meet once at their crossings, so that points need a single join instead of
     four.  Crossing (r, c) has cell (r, c) up left; those along the edges lack two or three cells.
     """
     spots = [(0, 0, "_ul"), (0, -1, "_ur"), (-1, 0, "_ll"), (-1, -1, "_lr")]
     at = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(n).alias("n")) for dr, dc, n in spots])
-    sent = raster.where("value is not null").select("row", "col", "value", F.explode(at).alias("o"))
-    sent = sent.select((F.col("row") + F.col("o.dr")).alias("_r"), (F.col("col") + F.col("o.dc")).alias("_c"), "o.n", "value")
-    return sent.groupBy("_r", "_c").agg(*[F.max(F.when(F.col("n") == n, F.col("value"))).alias(n) for _, _, n in spots])
+    sent = raster.where("value is not null").select(*by, "row", "col", "value", F.explode(at).alias("o"))
+    sent = sent.select(*by, (F.col("row") + F.col("o.dr")).alias("_r"), (F.col("col") + F.col("o.dc")).alias("_c"), "o.n", "value")
+    return sent.groupBy(*by, "_r", "_c").agg(*[F.max(F.when(F.col("n") == n, F.col("value"))).alias(n) for _, _, n in spots])
+
+
+def four_cells(tx: Column, ty: Column) -> Column:
+    """The bilinear mix of a crossing's cells; of two values one may be missing, then the other counts alone."""
+
+    def mix(low: Column, high: Column, share: Column) -> Column:
+        return F.coalesce((1 - share) * low + share * high, low, high)
+
+    return mix(mix(F.col("_ul"), F.col("_ur"), tx), mix(F.col("_ll"), F.col("_lr"), tx), ty)
 
 
 def bilinear(points: DataFrame, raster: DataFrame, grid: Grid, name: str = "ground") -> DataFrame:
@@ -91,13 +105,8 @@ def bilinear(points: DataFrame, raster: DataFrame, grid: Grid, name: str = "grou
     s = stencil(raster, grid)
     joined = at.join(s, (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c")), "left")
 
-    def mix(low: Column, high: Column, share: Column) -> Column:
-        return F.coalesce((1 - share) * low + share * high, low, high)
-
-    tx, ty = F.col("_fx") - F.col("_col"), F.col("_fy") - F.col("_row")
-    above, below = mix(F.col("_ul"), F.col("_ur"), tx), mix(F.col("_ll"), F.col("_lr"), tx)
-    keep = [c for c in points.columns]
-    return joined.select(*keep, mix(above, below, ty).alias(name))
+    value = four_cells(F.col("_fx") - F.col("_col"), F.col("_fy") - F.col("_row"))
+    return joined.select(*points.columns, value.alias(name))
 
 
 def normalize(points: DataFrame, dem: DataFrame, grid: Grid, min_ht: float = -8.0, max_ht: float = 100.0, xy_to: tuple[Crs, Crs] | None = None, z_factor: float = 1.0) -> DataFrame:

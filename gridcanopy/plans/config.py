@@ -12,7 +12,9 @@ from ..functions.units import LinearUnit
 from ..operators.metrics import STRATA
 from ..operators.points import PointFilter
 
-LENGTHS = ("cellsize", "csm_cellsize", "footprint", "min_ht", "max_ht", "canopy", "min_tao_ht", "min_tao_dist", "fine_int_cellsize", "fine_int_cutoff")
+#: Lengths in the plane, which a run needs in the unit of its coordinates, and heights, which stay in the user's.
+PLANE = ("cellsize", "xres", "yres", "xorigin", "yorigin", "csm_cellsize", "footprint", "min_tao_dist", "fine_int_cellsize")
+HEIGHTS = ("min_ht", "max_ht", "canopy", "min_tao_ht", "fine_int_cutoff")
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,8 @@ class RunConfig:
     user_units: str = "metre"
     alignment: str = ""
     cellsize: float = 30.0
+    xres: float | None = None
+    yres: float | None = None
     xorigin: float = 0.0
     yorigin: float = 0.0
     csm_cellsize: float = 1.0
@@ -98,12 +102,29 @@ class RunConfig:
     def in_units(self, name: str) -> RunConfig:
         """The same lengths in another unit."""
         k = LinearUnit.named(self.user_units).factor_to(LinearUnit.named(name))
-        new = {f: v * k for f in LENGTHS if (v := getattr(self, f)) is not None}
+        new = {f: v * k for f in PLANE + HEIGHTS if (v := getattr(self, f)) is not None}
         return replace(self, user_units=name, strata=tuple(s * k for s in self.strata), topo_scale=tuple(s * k for s in self.topo_scale), **new)
 
-    def file_name(self, base: str, unit: LinearUnit | None = None, extension: str = "tif") -> str:
+    def on_plane(self, unit: LinearUnit) -> RunConfig:
+        """The lengths in the plane in the unit of its coordinates; heights and ``user_units`` stay."""
+        k = LinearUnit.named(self.user_units).factor_to(unit)
+        if k == 1.0:
+            return self
+        new = {f: v * k for f in PLANE if (v := getattr(self, f)) is not None}
+        return replace(self, topo_scale=tuple(s * k for s in self.topo_scale), **new)
+
+    def unit_label(self, column: str) -> str:
+        """What a layer's name says of its unit: the user's unit for heights, Percent, Degrees or Radians, else nothing."""
+        if re.search(r"CanopyHeight$|^(Max|Mean|StdDev)CSM$|^(value|height|max_height|top|mean)$", column):
+            return LinearUnit.named(self.user_units).suffix
+        if column in ("CanopyCover", "CoverAboveMean", "cover", "pct"):
+            return "Percent"
+        return ("Radians" if self.radians else "Degrees") if column in ("Slope", "Aspect") else ""
+
+    def file_name(self, base: str, unit: LinearUnit | str | None = None, extension: str = "tif") -> str:
         """``{name_}{base}{_Units}.{extension}``"""
-        parts = [p for p in (self.name, base, unit.suffix if unit else "") if p]
+        label = unit.suffix if isinstance(unit, LinearUnit) else unit or ""
+        parts = [p for p in (self.name, base, label) if p]
         return "_".join(parts) + f".{extension}"
 
     def to_ini(self) -> str:

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.crs import Crs
 from ..functions.grid import Extent, Grid
 from ..functions.lineage import materialize
-from ..functions.crs import Crs
 from ..functions.units import LinearUnit
 from ..operators import csm as surface
 from ..operators import metrics, terrain, trees
+from ..operators.ground import MAX_SYSTEMS, Ground, moved_boxes
 from ..operators.points import already_normalized, normalize, reproject
-from ..sources.files import find_files
 from ..sources.las import las_catalogue, read_points
-from ..sources.rasters import SIDE_FILES, raster_epsg, raster_grid, read_raster, write_table, write_tiles
+from ..sources.rasters import crs_of, raster_grid, write_table, write_tiles
 from .config import RunConfig
 
 #: Products by name, each ``Run -> {table name: DataFrame}``; more can be registered.
@@ -71,17 +71,29 @@ def register_algorithm(kind: str, name: str, f: Callable) -> None:
 
 @dataclass
 class Run:
-    """What products draw on; tables that several products read are written once, on first use."""
+    """What products draw on; tables that several products read are written once, on first use.
+
+    Lengths in the plane of ``config`` are in the unit of the system's coordinates, heights in the user's.
+    """
 
     spark: SparkSession
     config: RunConfig
     points: DataFrame
-    dems: list[tuple[DataFrame, Grid]]
+    dems: Ground | list[tuple[DataFrame, Grid]] | None
     grid: Grid
     files: DataFrame | None = None
     crs: Crs = Crs()
     _kept: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        if isinstance(self.dems, list):
+            self.dems = Ground.of_rasters(self.spark, self.dems, self.crs) if self.dems else None
+
+    @property
+    def rise(self) -> float:
+        """Units of the plane in one of heights: slopes and surfaces compare the two."""
+        return LinearUnit.named(self.config.user_units).factor_to(self.crs.xy_unit)
+
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._kept:
             self._kept[name] = materialize(make())
@@ -94,10 +106,8 @@ class Run:
     @property
     def ground(self) -> tuple[DataFrame, Grid]:
         """The finest ground at each cell of the finest raster's grid size."""
-        finest = min(self.dems, key=lambda d: d[1].xres * d[1].yres)[1]
-        target = Grid.from_resolution(self.grid.extent, finest.xres, finest.yres, *finest.origin)
-        ordered = sorted(self.dems, key=lambda d: d[1].xres * d[1].yres)
-        return self._once("ground", lambda: terrain.mosaic(ordered, target)), target
+        target = self.dems.grid(self.grid.extent)
+        return self._once("ground", lambda: self.dems.on(target)), target
 
     def heights(self) -> DataFrame:
         c = self.config
@@ -142,7 +152,7 @@ def surface_products(run: Run) -> dict[str, DataFrame]:
         return {}
     out = {"csm": run.surface()}
     if run.config.csm_metrics:
-        out["csm_metrics"] = surface.csm_metrics(run.surface(), run.csm_grid, run.grid)
+        out["csm_metrics"] = surface.csm_metrics(run.surface(), run.csm_grid, run.grid, run.rise)
     return out
 
 
@@ -154,7 +164,7 @@ def tree_products(run: Run) -> dict[str, DataFrame]:
     g = run.csm_grid
     tops = run._once("tops", lambda: ALGORITHMS["id"][c.id_algo](run.surface(), g, c.tao_height, c.min_tao_dist))
     crowns = run._once("crowns", lambda: ALGORITHMS["seg"][c.seg_algo](run.surface(), tops, g, cutoff=c.canopy, max_height=c.max_ht))
-    taos = trees.tree_table(tops, crowns, g)
+    taos = trees.tree_table(tops, crowns, g, area_factor=run.rise**-2)
     return {"taos": taos, "segments": trees.segment_rasters(crowns, taos)}
 
 
@@ -175,66 +185,75 @@ def topo_products(run: Run) -> dict[str, DataFrame]:
         return {}
     dem, grid = run.ground
     elevation = run._once("elevation", lambda: terrain.mean_elevation(dem, grid, run.grid))
-    where = {"latitude": run.crs} if run.crs.zone or run.crs.geographic else {}
-    out = {"elevation": elevation, "topo_metrics": terrain.topo_metrics(elevation, run.grid, c.radians, **where)}
+    where = {"latitude": run.crs} if run.crs.projection else {}
+    level = elevation if run.rise == 1.0 else elevation.withColumn("value", F.col("value") * run.rise)
+    slopes = terrain.topo_metrics(level, run.grid, c.radians, **where)
+    if run.rise != 1.0:
+        slopes = slopes.withColumn("TerrainRuggedness", F.col("TerrainRuggedness") / run.rise)
+    out = {"elevation": elevation, "topo_metrics": slopes}
     for radius in c.topo_scale:
         wide = run.grid.extend(Extent(*(v for v in run.grid.extent.buffer(radius).__dict__.values() if v is not None)))
         dr, dc = run.grid.offset_to(wide)
         moved = elevation.withColumns({"row": F.col("row") + dr, "col": F.col("col") + dc})
-        full = terrain.buffer_elevation(moved, wide, sorted(run.dems, key=lambda d: d[1].xres * d[1].yres))
+        full = moved.select("row", "col", "value").unionByName(run.dems.on(wide).join(moved, ["row", "col"], "left_anti"))
         index = terrain.position_index(full, wide, radius).withColumns({"row": F.col("row") - dr, "col": F.col("col") - dc})
         inside = index.where(f"row between 0 and {run.grid.nrow - 1} and col between 0 and {run.grid.ncol - 1}")
         out[f"topo_position_{radius:g}"] = inside.join(elevation.select("row", "col"), ["row", "col"], "left_semi")
     return out
 
 
-def moved_extent(spark: SparkSession, extent: Extent, source: Crs, to: Crs, steps: int = 20) -> Extent:
-    """The box around a box's edges in another system."""
-    if not source.epsg or not to.epsg or source.epsg == to.epsg:
-        return extent
-    c = extent.corners()
-    edge = [(p[0] + (q[0] - p[0]) * k / steps, p[1] + (q[1] - p[1]) * k / steps) for p, q in zip(c, [*c[1:], c[0]]) for k in range(steps)]
-    x, y = source.transform(to, F.col("x"), F.col("y"))
-    moved = spark.createDataFrame(edge, "x double, y double").select(x.alias("x"), y.alias("y"))
-    return Extent(*moved.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
-
-
 def open_run(spark: SparkSession, config: RunConfig) -> Run:
-    """Read the catalogues and lay out the grid; points stay lazy."""
-    files = las_catalogue(spark, list(config.las))
-    if files.isEmpty():
+    """Read the catalogues and lay out the grid; points stay lazy.
+
+    Files may be in several systems and units: each is moved from what its own header says, unless the options
+    state one for all.  The output is in ``out_crs``, else the system of ``alignment``, else that of the points if
+    they share one.  ``alignment`` is a raster file whose cells the output's are to follow.
+    """
+    found = las_catalogue(spark, list(config.las))
+    if found.isEmpty():
         raise ValueError("no point files were found")
-    b = files.agg(F.min("xmin"), F.max("xmax"), F.min("ymin"), F.max("ymax"), F.max("epsg"), F.count_distinct("epsg"), F.max("z_unit")).first()
-    if b[5] > 1:
-        raise ValueError("point files are in several coordinate systems; state one with las-crs and read them apart")
-    unit = LinearUnit.named(config.las_units or b[6])
-    source = Crs.parse(config.las_crs or b[4], unit)
-    to = Crs(Crs.parse(config.out_crs).epsg or source.epsg, LinearUnit.named(config.user_units))
+    stated, unit = crs_of(config.las_crs), LinearUnit.named(config.las_units)
+    said = found.groupBy("crs_key").agg(*[F.first(c).alias(c) for c in ("crs_text", "z_unit", "z_metres")]).limit(MAX_SYSTEMS + 1).collect()
+    if len(said) > MAX_SYSTEMS:
+        raise ValueError(f"point files are in over {MAX_SYSTEMS} coordinate systems")
+    by_key = {r["crs_key"]: replace(Crs.parse(r["crs_text"]), z_unit=LinearUnit(r["z_unit"], r["z_metres"])) for r in said}
+    keys = sorted(by_key)
+    systems = [by_key[k] for k in keys]
+    if stated.known:
+        systems = [replace(stated, z_unit=stated.z_unit if stated.z_unit.metres else s.z_unit) for s in systems]
+    if unit.metres:
+        systems = [replace(s, z_unit=unit) for s in systems]
+    pattern = raster_grid(config.alignment) if config.alignment else None
+    to = next((c for c in (crs_of(config.out_crs), crs_of(config.alignment) if config.alignment else Crs()) if c.known), None)
+    if to is None:
+        to = systems[0]
+        if not all(s.same_place(to) for s in systems):
+            raise ValueError("point files are in several coordinate systems; state the output's with out-crs")
+    to = replace(to, z_unit=LinearUnit.named(config.user_units), vertical=0)
+    c = config.on_plane(to.xy_unit)
+    number = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("crs_key")).cast("int") - 1
+    files = moved_boxes(found.withColumn("system", number), systems, to)
+    files = materialize(files.drop("xmin", "xmax", "ymin", "ymax").withColumnsRenamed({f"b{k}": k for k in ("xmin", "xmax", "ymin", "ymax")}))
     points = None
-    for path in config.las:
-        part = read_points(spark, path)
-        points = part if points is None else points.unionByName(part)
-    points = reproject(points, source, to)
-    extent = moved_extent(spark, Extent(b[0], b[1], b[2], b[3]), source, to)
-    reach = max(config.topo_scale, default=0.0) + 2 * config.cellsize
-    dems = []
-    for path in find_files(list(config.dem), (".asc", ".tif", ".tiff"), SIDE_FILES):
-        own, system = raster_grid(path), Crs.parse(config.dem_crs or raster_epsg(path))
-        box = moved_extent(spark, own.extent, system, to)
-        if not box.overlaps(extent.buffer(reach)):  # files apart from the points are not read
-            continue
-        dem, grid = read_raster(spark, path)
-        if system.epsg and to.epsg and system.epsg != to.epsg:
-            near = extent.buffer(reach)
-            part = Extent(max(box.xmin, near.xmin), min(box.xmax, near.xmax), max(box.ymin, near.ymin), min(box.ymax, near.ymax))
-            here = Grid.from_resolution(part, (box.xmax - box.xmin) / own.ncol, (box.ymax - box.ymin) / own.nrow)
-            dem, grid = materialize(terrain.resample(dem, grid, here, (to, system))), here
-        factor = LinearUnit.named(config.dem_units or unit.name).factor_to(to.z_unit)
-        dems.append((dem.withColumn("value", F.col("value") * factor), grid))
-    if config.dem and not dems:
-        raise ValueError("ground was given, but none of it overlaps the points")
-    grid = Grid.from_resolution(extent, config.cellsize, None, config.xorigin, config.yorigin)
-    return Run(spark, config, points, dems, grid, files, to)
+    for k, (key, system) in enumerate(zip(keys, systems)):
+        for path in config.las:
+            part = reproject(read_points(spark, path, **({"system": key} if len(keys) > 1 else {})), system, to)
+            points = part if points is None else points.unionByName(part)
+    extent = Extent(*files.agg(F.min("xmin"), F.max("xmax"), F.min("ymin"), F.max("ymax")).first())
+    reach = max(c.topo_scale, default=0.0) + 2 * c.cellsize
+    ground = None
+    if config.dem:
+        heights = systems[0].z_unit
+        grown = files.select(F.col("path").alias("file"), *[(F.col(k) + s * reach).alias(k) for k, s in (("xmin", -1), ("xmax", 1), ("ymin", -1), ("ymax", 1))])
+        ground = Ground.open(spark, list(config.dem), to, extent.buffer(reach), crs_of(config.dem_crs), LinearUnit.named(config.dem_units), heights, grown)
+        if ground is None:
+            raise ValueError("ground was given, but none of it overlaps the points")
+    xres, yres = c.xres or c.cellsize, c.yres or c.xres or c.cellsize
+    origin = (c.xorigin, c.yorigin)
+    if pattern is not None:
+        xres, yres, origin = pattern.xres, pattern.yres, pattern.origin
+    grid = Grid.from_resolution(extent, xres, yres, *origin)
+    return Run(spark, replace(c, cellsize=xres), points, ground, grid, files, to)
 
 
 def products(run: Run) -> dict[str, DataFrame]:
@@ -264,7 +283,7 @@ def write_rasters(run: Run, name: str, df: DataFrame) -> list[str]:
         for c in numbers:
             folder = "/".join([run.config.output, "rasters", name, *(str(o) for _, o in pick), c])
             cells = own.select("row", "col", F.col(f"`{c}`").cast("double").alias("value"))
-            write_tiles(cells, g, folder, name=run.config.file_name(c, extension="tif")[:-4], epsg=run.crs.epsg or None).write.format("noop").mode("overwrite").save()
+            write_tiles(cells, g, folder, name=run.config.file_name(c, run.config.unit_label(c), "tif")[:-4], epsg=run.crs.epsg or None).write.format("noop").mode("overwrite").save()
             folders.append(folder)
     return folders
 

@@ -8,14 +8,29 @@ A file is read in ranges of records, each a partition; compressed (LAZ) files ra
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from ..functions.crs import Crs, from_geo_keys, geo_keys
 from ..functions.units import LinearUnit
@@ -107,24 +122,23 @@ def _variable(data: bytes, count: int, head: int, layout: str) -> list[tuple[str
     return out
 
 
-def decode(raw: bytes, h: LasHeader) -> dict[str, np.ndarray]:
-    """Columns of packed records; bits are taken apart for all records at once."""
+def decode(raw: bytes, h: LasHeader, wanted: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
+    """Columns of packed records, all or those wanted; bits are taken apart for all records at once."""
     new = h.point_format >= 6
     kind = np.dtype(POINT14 if new else POINT10)
     fields = {n: kind.fields[n] for n in kind.names}
     packed = np.dtype({"names": list(fields), "formats": [f[0] for f in fields.values()], "offsets": [f[1] for f in fields.values()], "itemsize": h.record_bytes})
     p = np.frombuffer(raw, packed)
-    out = {a: p[a] * s + o for a, s, o in zip("xyz", h.scale, h.offset)}
-    out["intensity"] = p["intensity"].astype(np.int32)
+    made = {a: (lambda a=a, s=s, o=o: p[a] * s + o) for a, s, o in zip("xyz", h.scale, h.offset)}
+    made["intensity"] = lambda: p["intensity"].astype(np.int32)
+    bit = lambda name, k: lambda: p[name] >> k & 1 > 0
     if new:
-        flags = p["flags"]
-        out |= {"return_number": p["returns"] & 15, "number_of_returns": p["returns"] >> 4, "classification": p["class"], "scan_angle": p["angle"] * 0.006}
-        out |= {"synthetic": flags & 1 > 0, "keypoint": flags & 2 > 0, "withheld": flags & 4 > 0, "overlap": flags & 8 > 0}
+        made |= {"return_number": lambda: p["returns"] & 15, "number_of_returns": lambda: p["returns"] >> 4, "classification": lambda: p["class"], "scan_angle": lambda: p["angle"] * 0.006}
+        made |= {"synthetic": bit("flags", 0), "keypoint": bit("flags", 1), "withheld": bit("flags", 2), "overlap": bit("flags", 3)}
     else:
-        bits, cls = p["bits"], p["class"]
-        out |= {"return_number": bits & 7, "number_of_returns": bits >> 3 & 7, "classification": cls & 31, "scan_angle": p["angle"].astype(float)}
-        out |= {"synthetic": cls & 32 > 0, "keypoint": cls & 64 > 0, "withheld": cls & 128 > 0, "overlap": np.zeros(len(p), bool)}
-    return out
+        made |= {"return_number": lambda: p["bits"] & 7, "number_of_returns": lambda: p["bits"] >> 3 & 7, "classification": lambda: p["class"] & 31, "scan_angle": lambda: p["angle"].astype(float)}
+        made |= {"synthetic": bit("class", 5), "keypoint": bit("class", 6), "withheld": bit("class", 7), "overlap": lambda: np.zeros(len(p), bool)}
+    return {n: f() for n, f in made.items() if not wanted or n in wanted}
 
 
 @dataclass
@@ -135,57 +149,174 @@ class Records(InputPartition):
 
 
 class LasDataSource(DataSource):
-    """Format ``las``; options ``path`` (file, folder or pattern) and ``recordsPerPartition``."""
+    """Format ``las``.
+
+    Options: ``path`` (file, folder or pattern), ``recordsPerPartition``, ``columns`` (names, by comma: no others are
+    decoded), ``system`` (only files whose system has this key) and ``pushdown`` (true: comparisons with constants
+    are checked against headers, so that files apart from a box are not read, and then against records).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "las"
 
     def schema(self) -> str:
-        return SCHEMA
+        wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
+        fields = {part.split()[0]: part for part in SCHEMA.split(", ")}
+        if unknown := [c for c in wanted if c not in fields]:
+            raise ValueError(f"points have no column {unknown[0]}")
+        return ", ".join(fields[c] for c in wanted) if wanted else SCHEMA
 
     def reader(self, schema) -> LasReader:
-        return LasReader(self.options)
+        names = [f.name for f in schema.fields]
+        return (PushingReader if self.options.get("pushdown", "").lower() == "true" else LasReader)(self.options, names)
+
+    def streamReader(self, schema) -> LasStreamReader:
+        return LasStreamReader(self.options, [f.name for f in schema.fields])
+
+
+SMALL = ("return_number", "number_of_returns", "classification")
+NUMBERS = ("x", "y", "z", "intensity", *SMALL, "scan_angle")
+
+
+def _box(path: str) -> LasHeader:
+    h = read_header(path)
+    if h.compressed:
+        raise ValueError(f"{path} is compressed (LAZ); decompress it first")
+    return h
+
+
+def headers(paths: list[str]) -> list[LasHeader]:
+    """Headers of many files, read at the same time."""
+    with ThreadPoolExecutor(min(32, len(paths) or 1)) as pool:
+        return list(pool.map(_box, paths))
 
 
 class LasReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, names: list[str]):
+        self.path, self.system, self.names = options["path"], options.get("system"), names
         self.size = int(options.get("recordsPerPartition", RECORDS_PER_PARTITION))
+        self.tests: list[tuple[str, str, object]] = []
+
+    def _reads(self, h: LasHeader) -> bool:
+        """Whether a file can hold points that pass."""
+        if self.system is not None and h.crs.key != self.system:
+            return False
+        low, high = dict(zip("xyz", h.low)), dict(zip("xyz", h.high))
+        for name, sign, value in self.tests:
+            if name in low and sign != "in":
+                a, b = low[name], high[name]
+                if not {"=": a <= value <= b, ">": b > value, ">=": b >= value, "<": a < value, "<=": a <= value}[sign]:
+                    return False
+            elif name == "file" and h.path not in (value if sign == "in" else [value]):
+                return False
+        return h.n_points > 0
 
     def partitions(self) -> list[Records]:
         out = []
-        for path in find_files(self.path, (".las", ".laz")):
-            h = read_header(path)
-            if h.compressed:
-                raise ValueError(f"{path} is compressed (LAZ); decompress it first")
-            out += [Records(h, k, min(self.size, h.n_points - k)) for k in range(0, h.n_points, self.size)]
+        for h in headers(find_files(self.path, (".las", ".laz"))):
+            if self._reads(h):
+                out += [Records(h, k, min(self.size, h.n_points - k)) for k in range(0, h.n_points, self.size)]
         return out or [Records(None, 0, 0)]
 
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
         h = partition.header
         if h is None:
             return
+        wanted = (*self.names, "x", "y", *(n for n, _, _ in self.tests))
         for k in range(0, partition.count, RECORDS_PER_BATCH):
             n = min(RECORDS_PER_BATCH, partition.count - k)
             raw = read_range(h.path, h.point_offset + (partition.start + k) * h.record_bytes, n * h.record_bytes)
-            c = decode(raw[: len(raw) // h.record_bytes * h.record_bytes], h)
+            c = decode(raw[: len(raw) // h.record_bytes * h.record_bytes], h, wanted)
             # points outside the header's box are damage
             ok = (c["x"] >= h.low[0]) & (c["x"] <= h.high[0]) & (c["y"] >= h.low[1]) & (c["y"] <= h.high[1])
-            small = {n: pa.int16() for n in ("return_number", "number_of_returns", "classification")}
-            names = ["x", "y", "z", "intensity", "return_number", "number_of_returns", "classification", "withheld", "synthetic", "keypoint", "overlap", "scan_angle"]
-            arrays = [pa.array([h.path] * int(ok.sum()), pa.string())] + [pa.array(c[n][ok].astype(np.int16) if n in small else c[n][ok]) for n in names]
-            yield pa.RecordBatch.from_arrays(arrays, names=["file", *names])
+            for name, sign, value in self.tests:
+                if name != "file":
+                    ok &= COMPARE[sign](c[name], value)
+            arrays = []
+            for name in self.names:
+                if name == "file":
+                    arrays.append(pa.DictionaryArray.from_arrays(pa.array(np.zeros(int(ok.sum()), np.int32)), pa.array([h.path])).cast(pa.string()))
+                else:
+                    arrays.append(pa.array(c[name][ok].astype(np.int16) if name in SMALL else c[name][ok]))
+            yield pa.RecordBatch.from_arrays(arrays, names=self.names)
+
+
+COMPARE = {"=": np.equal, ">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal, "in": lambda a, v: np.isin(a, list(v))}
+_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}
+
+
+class PushingReader(LasReader):
+    """Takes comparisons of numbers and file names with constants; points have no nulls."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name, sign = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None, _SIGNS.get(type(f))
+            if name in NUMBERS and sign and f.value is not None:
+                self.tests.append((name, sign, f.value))
+            elif name == "file" and sign in ("=", "in"):
+                self.tests.append((name, sign, f.value))
+            elif not (isinstance(f, IsNotNull) and name):
+                yield f
+
+
+class LasStreamReader(DataSourceStreamReader):
+    """New files of a folder as a stream: each file once, as many a batch as ``filesPerBatch`` says (default: all).
+
+    An offset is the sorted list of the names that were seen, so files may arrive in any order; a file has to be
+    whole when it appears (written elsewhere, then moved).  A run that ends with what is there (``availableNow``)
+    takes one batch.
+    """
+
+    def __init__(self, options, names: list[str]):
+        self.scan = LasReader(options, names)
+        self.most = int(options.get("filesPerBatch", 1 << 30))
+        self.seen: list[str] = []
+
+    def initialOffset(self) -> dict:
+        return {"files": "[]"}
+
+    def latestOffset(self) -> dict:
+        new = [f for f in find_files(self.scan.path, (".las", ".laz")) if f not in set(self.seen)]
+        self.seen = sorted([*self.seen, *new[: self.most]])
+        return {"files": json.dumps(self.seen)}
+
+    def partitions(self, start: dict, end: dict) -> list[Records]:
+        before = set(json.loads(start["files"]))
+        self.seen = sorted({*self.seen, *json.loads(end["files"])})
+        out = []
+        for h in headers([f for f in json.loads(end["files"]) if f not in before]):
+            out += [Records(h, k, min(self.scan.size, h.n_points - k)) for k in range(0, h.n_points, self.scan.size)]
+        return out or [Records(None, 0, 0)]
+
+    def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
+        return self.scan.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def stop(self) -> None:
+        pass
+
+
+def read_points(spark: SparkSession, path: str, columns: tuple[str, ...] = (), **options) -> DataFrame:
+    """Points of files; filters on numbers reach the reader, and with ``columns`` no others are decoded."""
+    spark.dataSource.register(LasDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    wanted = {"columns": ",".join(columns)} if columns else {}
+    return spark.read.format("las").options(pushdown="true", **wanted, **options).load(path)
 
 
-def read_points(spark: SparkSession, path: str, **options) -> DataFrame:
+def stream_points(spark: SparkSession, path: str, columns: tuple[str, ...] = (), **options) -> DataFrame:
+    """Points of files as they arrive in a folder."""
     spark.dataSource.register(LasDataSource)
-    return spark.read.format("las").options(**options).load(path)
+    wanted = {"columns": ",".join(columns)} if columns else {}
+    return spark.readStream.format("las").options(**wanted, **options).load(path)
 
 
 def las_catalogue(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """One row per readable file, from headers alone; headers are read on the executors."""
-    schema = "path string, minor int, point_format int, n_points long, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double, epsg int, z_unit string, compressed boolean"
+    schema = "path string, minor int, point_format int, n_points long, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double, epsg int, z_unit string, z_metres double, crs_key string, crs_text string, compressed boolean"
     found = find_files(paths, (".las", ".laz"))
     if not found:
         return spark.createDataFrame([], schema)
@@ -200,10 +331,11 @@ def las_catalogue(spark: SparkSession, paths: list[str] | str) -> DataFrame:
                 except (ValueError, OSError):  # not a point file: left out, as in a folder of mixed files
                     continue
                 box = [v for pair in zip(h.low, h.high) for v in pair]
-                rows.append((path, h.minor, h.point_format, h.n_points, *box, h.crs.epsg, h.crs.z_unit.name, h.compressed))
+                crs = h.crs
+                rows.append((path, h.minor, h.point_format, h.n_points, *box, crs.epsg, crs.z_unit.name, crs.z_unit.metres, crs.key, crs.to_wkt() or (str(crs.epsg) if crs.epsg else ""), h.compressed))
             if rows:
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 6, pa.int32(), pa.string(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f"c{k}" for k in range(13)])
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 6, pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[p.split()[0] for p in schema.split(", ")])
 
     return names.mapInArrow(run, schema)
 
