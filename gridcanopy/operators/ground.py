@@ -58,16 +58,16 @@ def overlapping(a: DataFrame, b: DataFrame, buckets: Grid, a_id: str, b_id: str)
     """``(a_id, b_id)`` of boxes ``(xmin, xmax, ymin, ymax)`` that share area.
 
     Each box goes to the buckets it covers, boxes meet within a bucket, and a pair is reported in the one bucket
-    that holds the lower left corner of what it shares.  Boxes that reach over the buckets' extent are cut to it.
+    that holds the upper left corner of what it shares.  Boxes that reach over the buckets' extent are cut to it.
     """
     box = ["xmin", "xmax", "ymin", "ymax"]
     e = buckets.extent
     left = buckets.covered(a.select(a_id, *box), "out").withColumnsRenamed({c: f"a_{c}" for c in box})
     right = buckets.covered(b.select(b_id, *box), "out").withColumnsRenamed({c: f"b_{c}" for c in box})
-    x = F.greatest("a_xmin", "b_xmin", F.lit(float(e.xmin)))
-    y = F.greatest("a_ymin", "b_ymin", F.lit(float(e.ymin)))
-    share = (x < F.least("a_xmax", "b_xmax", F.lit(float(e.xmax)))) & (y < F.least("a_ymax", "b_ymax", F.lit(float(e.ymax))))
-    here = (buckets.col(x) == F.col("col")) & (buckets.row(y) == F.col("row"))
+    x, top = F.greatest("a_xmin", "b_xmin", F.lit(float(e.xmin))), F.least("a_ymax", "b_ymax", F.lit(float(e.ymax)))
+    share = (x < F.least("a_xmax", "b_xmax", F.lit(float(e.xmax)))) & (top > F.greatest("a_ymin", "b_ymin", F.lit(float(e.ymin))))
+    col, row = F.floor((x - F.lit(float(e.xmin))) / buckets.xres + 1e-9), F.floor((F.lit(float(e.ymax)) - top) / buckets.yres + 1e-9)
+    here = (col == F.col("col")) & (row == F.col("row"))
     return left.join(right, ["row", "col"]).where(share & here).select(a_id, b_id)
 
 

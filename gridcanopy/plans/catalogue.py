@@ -654,19 +654,6 @@ def _thinned(s, d):
     return _forest(s, d)[2]
 
 
-@query("tao_segments")
-def _segments(s, d):
-    """Watershed crowns, by the cell of their top."""
-    return _forest(s, d)[3]
-
-
-@query("tao_table")
-def _taos(s, d):
-    """One row per tree."""
-    _, g, tops, crowns = _forest(s, d)
-    return trees.tree_table(tops, crowns, g, tile=64)
-
-
 @query(
     "tao_unified_ids",
     f"""{_THINNED}, tiled AS (SELECT t.*, CAST(ceil((x1 - x0) / 64) AS BIGINT) AS across, CAST(ceil((x1 - x0) / 64) * ceil((y1 - y0) / 64) AS BIGINT) AS many FROM thinned t, lim),
@@ -679,13 +666,6 @@ def _unified(s, d):
     return trees.tree_ids(tops, g, tile=64)
 
 
-@query("tao_max_height")
-def _max_height(s, d):
-    """Id and height of the tree of each cell."""
-    _, g, tops, crowns = _forest(s, d)
-    return trees.segment_rasters(crowns, trees.tree_table(tops, crowns, g, tile=64))
-
-
 # Files -----------------------------------------------------------------------------------------
 @query(
     "las_scan",
@@ -722,4 +702,4 @@ def _raster_scan(s, d):
     return read_tiles(tiles, g).withColumn("value", F.round("value", 6))
 
 
-from . import catalogue_systems  # noqa: E402, F401 - registers its queries here
+from . import catalogue_files, catalogue_systems  # noqa: E402, F401 - registers its queries here

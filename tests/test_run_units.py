@@ -125,7 +125,7 @@ def test_prj_beside_a_grid(tmp_path):
 def test_overlapping_boxes(spark):
     rng = np.random.default_rng(4)
     boxes = lambda n: [(k, float(x), float(x + w), float(y), float(y + h)) for k, (x, y, w, h) in enumerate(zip(*rng.uniform(0, 90, (2, n)), *rng.uniform(0.1, 40, (2, n))))]
-    a, b = boxes(40), boxes(30)
+    a, b = boxes(40) + [(40, 20.0, 40.0, 20.0, 60.0), (41, 0.0, 20.0, 60.0, 80.0)], boxes(30) + [(30, 40.0, 60.0, 20.0, 60.0), (31, 20.0, 60.0, 40.0, 60.0)]  # some along the buckets' borders
     da, db = (spark.createDataFrame(v, f"{n} int, xmin double, xmax double, ymin double, ymax double") for v, n in ((a, "a"), (b, "b")))
     got = [tuple(r) for r in overlapping(da, db, Grid(Extent(0, 140, 0, 140), 7, 9), "a", "b").collect()]
     want = {(i, j) for i, ax0, ax1, ay0, ay1 in a for j, bx0, bx1, by0, by1 in b if max(ax0, bx0) < min(ax1, bx1) and max(ay0, by0) < min(ay1, by1)}
