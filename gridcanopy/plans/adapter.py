@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import Extent, Grid
@@ -37,6 +37,12 @@ def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FILTER.apply(points(spark, sf_dir), F.col("z").between(-8.0, 100.0))
 
 
+def kept() -> Column:
+    """Whether a point is one of :func:`heights`."""
+    classes = ~F.col("classification").isin(7, 9, 18)
+    return ~F.col("withheld") & classes & (F.abs("scan_angle") <= 30.0) & F.col("z").between(-8.0, 100.0)
+
+
 def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground of 40 columns; a part in eleven has no data."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")

@@ -342,10 +342,10 @@ def _there_and_back(s, d):
 def _ingest(s, d):
     """Files read by a stream, sums kept per batch, and the cells all of whose files were read."""
     g, at = adapter.grid(s, d, 10), f"{shared_root(s)}/ingest-{uuid.uuid4().hex}"
-    points = adapter.heights(s, d).select("file_id", "x", "y", "z")
+    points = adapter.points(s, d).select("file_id", "x", "y", "z", adapter.kept().alias("kept"))
     points.write.parquet(f"{at}/points")
     arriving = s.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/points")
-    ingest(arriving, g, at, f"{at}/checkpoint").awaitTermination()
+    ingest(arriving, g, at, f"{at}/checkpoint", keep=F.col("kept")).awaitTermination()
     return complete_cells(s, at, adapter.files(s, d), g)
 
 
@@ -702,4 +702,4 @@ def _raster_scan(s, d):
     return read_tiles(tiles, g).withColumn("value", F.round("value", 6))
 
 
-from . import catalogue_files, catalogue_systems  # noqa: E402, F401 - registers its queries here
+from . import catalogue_files, catalogue_streams, catalogue_systems  # noqa: E402, F401 - registers its queries here

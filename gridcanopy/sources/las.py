@@ -143,9 +143,12 @@ def decode(raw: bytes, h: LasHeader, wanted: tuple[str, ...] = ()) -> dict[str,
 
 @dataclass
 class Records(InputPartition):
+    """A range of a file's records; ``last``: nothing of the file comes after it."""
+
     header: LasHeader
     start: int
     count: int
+    last: bool = False
 
 
 class LasDataSource(DataSource):
@@ -162,7 +165,7 @@ class LasDataSource(DataSource):
 
     def schema(self) -> str:
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
-        fields = {part.split()[0]: part for part in SCHEMA.split(", ")}
+        fields = {part.split()[0]: part for part in SCHEMA.split(", ")} | {"last": "last boolean"}
         if unknown := [c for c in wanted if c not in fields]:
             raise ValueError(f"points have no column {unknown[0]}")
         return ", ".join(fields[c] for c in wanted) if wanted else SCHEMA
@@ -198,6 +201,11 @@ class LasReader(DataSourceReader):
         self.size = int(options.get("recordsPerPartition", RECORDS_PER_PARTITION))
         self.tests: list[tuple[str, str, object]] = []
 
+    @property
+    def arrow(self) -> pa.Schema:
+        kinds = {"file": pa.string(), "intensity": pa.int32()} | dict.fromkeys(SMALL, pa.int16()) | dict.fromkeys(("withheld", "synthetic", "keypoint", "overlap", "last"), pa.bool_())
+        return pa.schema([(n, kinds.get(n, pa.float64())) for n in self.names])
+
     def _reads(self, h: LasHeader) -> bool:
         """Whether a file can hold points that pass."""
         if self.system is not None and h.crs.key != self.system:
@@ -235,11 +243,15 @@ class LasReader(DataSourceReader):
                     ok &= COMPARE[sign](c[name], value)
             arrays = []
             for name in self.names:
-                if name == "file":
+                if name == "last":
+                    arrays.append(pa.array(np.zeros(int(ok.sum()), bool)))
+                elif name == "file":
                     arrays.append(pa.DictionaryArray.from_arrays(pa.array(np.zeros(int(ok.sum()), np.int32)), pa.array([h.path])).cast(pa.string()))
                 else:
                     arrays.append(pa.array(c[name][ok].astype(np.int16) if name in SMALL else c[name][ok]))
             yield pa.RecordBatch.from_arrays(arrays, names=self.names)
+        if partition.last and "last" in self.names:
+            yield pa.RecordBatch.from_pylist([{"file": h.path, "last": True}], schema=self.arrow)
 
 
 COMPARE = {"=": np.equal, ">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal, "in": lambda a, v: np.isin(a, list(v))}
@@ -261,32 +273,53 @@ class PushingReader(LasReader):
 
 
 class LasStreamReader(DataSourceStreamReader):
-    """New files of a folder as a stream: each file once, as many a batch as ``filesPerBatch`` says (default: all).
+    """Files of a folder as a stream, each once, in order of names among those that are new.
 
-    An offset is the sorted list of the names that were seen, so files may arrive in any order; a file has to be
-    whole when it appears (written elsewhere, then moved).  A run that ends with what is there (``availableNow``)
-    takes one batch.
+    A batch takes ``filesPerBatch`` files or ``recordsPerBatch`` records at most (default: all there is), so a file
+    may come in several.  With the column ``last`` among ``columns``, each file ends with a row that has its name and
+    ``last`` true and nothing else; a file without points has this row alone.  An offset is the list of the files that
+    were read, and how far the next one was.  A file has to be whole when it appears (written elsewhere, then moved).
+    A run that ends with what is there (``availableNow``) takes one batch.
     """
 
     def __init__(self, options, names: list[str]):
         self.scan = LasReader(options, names)
-        self.most = int(options.get("filesPerBatch", 1 << 30))
-        self.seen: list[str] = []
+        self.files, self.records = int(options.get("filesPerBatch", 1 << 30)), int(options.get("recordsPerBatch", 1 << 62))
+        self.now: dict | None = None
 
     def initialOffset(self) -> dict:
-        return {"files": "[]"}
+        return {"files": "[]", "part": "", "at": "0"}
 
     def latestOffset(self) -> dict:
-        new = [f for f in find_files(self.scan.path, (".las", ".laz")) if f not in set(self.seen)]
-        self.seen = sorted([*self.seen, *new[: self.most]])
-        return {"files": json.dumps(self.seen)}
+        now = self.now or self.initialOffset()
+        done, part, at = json.loads(now["files"]), now["part"], int(now["at"])
+        seen = set(done)
+        files, room = self.files, self.records
+        for path in ([part] if part else []) + [f for f in find_files(self.scan.path, (".las", ".laz")) if f not in seen and f != part]:
+            if not files or room <= 0:
+                break
+            rest = _box(path).n_points - (at if path == part else 0)
+            if rest > room:
+                part, at, room = path, (at if path == part else 0) + room, 0
+                break
+            done.append(path)
+            files, room = files - 1, room - rest
+            if path == part:
+                part, at = "", 0
+        self.now = {"files": json.dumps(done), "part": part, "at": str(at)}
+        return self.now
 
     def partitions(self, start: dict, end: dict) -> list[Records]:
         before = set(json.loads(start["files"]))
-        self.seen = sorted({*self.seen, *json.loads(end["files"])})
+        self.now = end
         out = []
-        for h in headers([f for f in json.loads(end["files"]) if f not in before]):
-            out += [Records(h, k, min(self.scan.size, h.n_points - k)) for k in range(0, h.n_points, self.scan.size)]
+        new = [f for f in json.loads(end["files"]) if f not in before]
+        for h in headers(new + ([end["part"]] if end["part"] else [])):
+            first = int(start["at"]) if start["part"] == h.path else 0
+            whole = h.path in new
+            stop = h.n_points if whole else int(end["at"])
+            cuts = list(range(first, stop, self.scan.size)) or ([first] if whole else [])
+            out += [Records(h, k, min(self.scan.size, stop - k), whole and k == cuts[-1]) for k in cuts]
         return out or [Records(None, 0, 0)]
 
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:

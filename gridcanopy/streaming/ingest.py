@@ -1,19 +1,85 @@
 """Incremental ingest: points arrive as files, cells keep mergeable sums, complete cells come out.
 
-Points have no event time.  A cell is complete when every file that covers it has been read, which a
-running count of files per cell tells, as a watermark does elsewhere.
+Points have no event time.  A cell is complete when every file that covers it has been read to its end, which
+counting does for, as a watermark does elsewhere.  :func:`completed` keeps the sums and the count as state by cell,
+which is dropped when the cell comes out; :func:`ingest` keeps sums of batches as files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.grid import Grid
 
 SUMS = ("n", "nc", "zsum", "top")
+METRICS = "row int, col int, n long, cover double, mean double, top double"
+
+
+# State by cell -------------------------------------------------------------------------------------
+def _partial(rows: DataFrame) -> DataFrame:
+    """Sums of each task's rows by cell, batch by batch, so that fewer rows are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b]).group_by(["row", "col", "total"])
+            s = t.aggregate([("n", "sum"), ("nc", "sum"), ("zsum", "sum"), ("top", "max"), ("ended", "sum")])
+            names = ["row", "col", "total", "n", "nc", "zsum", "top", "ended"]
+            got = {n: pc.cast(s[c], k) for n, c, k in zip(names, ["row", "col", "total", "n_sum", "nc_sum", "zsum_sum", "top_max", "ended_sum"], _KINDS)}
+            yield from pa.table(got).to_batches()
+
+    return rows.mapInArrow(run, "row int, col int, total int, n long, nc long, zsum double, top double, ended long")
+
+
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+
 
+def completed(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2.0, name: str = "file", keep: Column | None = None) -> DataFrame:
+    """Stream of ``(row, col, n, cover, mean, top)``: each cell once, when the files that cover it have ended.
 
+    ``points``: a stream of ``name, x, y, z`` and ``last``; a row with ``last`` true ends its file.  ``files``: a table of boxes
+    by ``name``, all the files that will come.  ``keep``: points that count.  A file counts as read at its end row, however
+    many batches it came in; a file without points has the end row alone.  Cells that no file covers never come out;
+    covered cells without points come out with ``n`` 0.
+    """
+    cover = grid.covered(files.select(name, "xmin", "xmax", "ymin", "ymax"), "out").select(name, "row", "col")
+    totals = cover.groupBy("row", "col").agg(F.count("*").cast("int").alias("total"))
+    high = (F.col("z") >= canopy).cast("long")
+    own = points.where(~F.col("last"))
+    own = grid.with_cells(own.where(keep) if keep is not None else own)
+    own = own.select("row", "col", F.lit(0).alias("total"), F.lit(1).cast("long").alias("n"), high.alias("nc"), F.when(F.col("z") >= canopy, F.col("z")).otherwise(0.0).alias("zsum"), F.when(F.col("z") >= canopy, F.col("z")).alias("top"), F.lit(0).cast("long").alias("ended"))
+    ends = points.where("last").select(name).join(cover, name).join(totals, ["row", "col"])
+    none = F.lit(0).cast("long")
+    ends = ends.select("row", "col", "total", none.alias("n"), none.alias("nc"), F.lit(0.0).alias("zsum"), F.lit(None).cast("double").alias("top"), F.lit(1).cast("long").alias("ended"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, ended, n, nc, zsum, top = state.get if state.exists else (0, 0, 0, 0, 0.0, None)
+        for f in frames:
+            total = max(total, int(f["total"].max()))
+            ended, n, nc, zsum = ended + int(f["ended"].sum()), n + int(f["n"].sum()), nc + int(f["nc"].sum()), zsum + float(f["zsum"].sum())
+            best = f["top"].max()
+            top = top if np.isnan(best) else float(best) if top is None else max(top, float(best))
+        if total and ended >= total:
+            if state.exists:
+                state.remove()
+            cover_, mean = (100.0 * nc / n if n else None), (zsum / nc if nc else None)
+            yield pd.DataFrame({"row": [key[0]], "col": [key[1]], "n": [n], "cover": [cover_], "mean": [mean], "top": [top]})
+        else:
+            state.update((total, ended, n, nc, zsum, top))
+
+    grouped = _partial(own.unionByName(ends)).groupBy("row", "col")
+    held = "total int, ended long, n long, nc long, zsum double, top double"
+    return grouped.applyInPandasWithState(step, METRICS, held, "append", GroupStateTimeout.NoTimeout)
+
+
+# Sums of batches as files --------------------------------------------------------------------------
 def partial_metrics(points: DataFrame, grid: Grid, canopy: float = 2.0) -> DataFrame:
     """``(row, col, n, nc, zsum, top)`` of one batch; partials of batches add up."""
     high = F.when(F.col("z") >= canopy, F.col("z"))
@@ -28,26 +94,72 @@ def merge_partials(partials: DataFrame) -> DataFrame:
     return s.select("row", "col", "n", (100.0 * F.col("nc") / F.col("n")).alias("cover"), F.try_divide("zsum", F.col("nc")).alias("mean"), "top")
 
 
-def ingest(points: DataFrame, grid: Grid, folder: str, checkpoint: str, canopy: float = 2.0):
+def ingest(points: DataFrame, grid: Grid, folder: str, checkpoint: str, canopy: float = 2.0, keep: Column | None = None):
     """Start a query that appends each batch's partials under ``folder``; returns the stream writer's query.
 
     A batch writes its own partition, replaced as a whole if the batch is tried again: exactly once.
-    ``points`` has ``file_id, x, y, z``; the files read are kept beside the sums.
+    ``points`` has ``file_id, x, y, z``; rows of each file are counted beside the sums, ``keep`` or not.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        partial_metrics(batch, grid, canopy).write.mode("overwrite").parquet(f"{folder}/partials/batch={number}")
-        batch.select("file_id").distinct().write.mode("overwrite").parquet(f"{folder}/files/batch={number}")
+        partial_metrics(batch.where(keep) if keep is not None else batch, grid, canopy).write.mode("overwrite").parquet(f"{folder}/partials/batch={number}")
+        batch.groupBy("file_id").count().write.mode("overwrite").parquet(f"{folder}/files/batch={number}")
         batch.unpersist()
 
     return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def complete_cells(spark: SparkSession, folder: str, files: DataFrame, grid: Grid) -> DataFrame:
-    """Metrics of the cells all of whose files have been read; ``files`` has boxes by ``file_id``."""
-    seen = spark.read.parquet(f"{folder}/files").select("file_id").distinct()
+    """Metrics of the cells all of whose files have been read; ``files`` has boxes and rows (``n``) by ``file_id``.
+
+    A file is read when as many of its rows have come as its header promises; one of no rows is read from the start.
+    """
+    seen = spark.read.parquet(f"{folder}/files").groupBy("file_id").agg(F.sum("count").alias("seen"))
+    read = files.join(seen, "file_id", "left").where(F.coalesce("seen", F.lit(0)) >= F.col("n")).select("file_id")
     cover = grid.covered(files, "out").select("row", "col", "file_id")
-    waiting = cover.join(seen, "file_id", "left_anti").select("row", "col").distinct()
+    waiting = cover.join(read, "file_id", "left_anti").select("row", "col").distinct()
     done = cover.select("row", "col").distinct().join(waiting, ["row", "col"], "left_anti")
     return merge_partials(spark.read.parquet(f"{folder}/partials")).join(done, ["row", "col"], "left_semi")
+
+
+# Ground that is covered bit by bit -----------------------------------------------------------------
+def completed_ground(ground: DataFrame, grid: Grid, zones: Grid, order: str = "ord") -> DataFrame:
+    """Stream of ``(row, col, value, n)``: the mean ground of each zone, once, when all its fine cells have a value.
+
+    ``ground``: a stream of ``row, col, value`` in ``grid`` and ``order``, the priority of the file of each; of files that
+    overlap the first of a fine cell that comes stays, within a batch that of the smaller order.  The state of a zone
+    is a bitmap of the fine cells that are still open, and the sum so far; it goes when the bitmap is empty.
+    A zone that is never covered wholly never comes out.
+    """
+    at = {"zr": zones.row(grid.y()), "zc": zones.col(grid.x())}
+    rows = ground.where("value is not null").withColumns(at).select("zr", "zc", grid.cell().alias("place"), F.col(order).cast("long").alias("ord"), F.col("value").cast("double").alias("value"))
+    inner_x, inner_y = grid.extent.xmin + (np.arange(grid.ncol) + 0.5) * grid.xres, grid.extent.ymax - (np.arange(grid.nrow) + 0.5) * grid.yres
+    of_col = np.minimum(np.floor((inner_x - zones.extent.xmin) / zones.xres), zones.ncol - 1).astype(np.int64)
+    of_row = np.minimum(np.floor((zones.extent.ymax - inner_y) / zones.yres), zones.nrow - 1).astype(np.int64)
+
+    def span(of: np.ndarray, k: int) -> tuple[int, int]:
+        return int(np.searchsorted(of, k)), int(np.searchsorted(of, k, "right"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (r0, r1), (c0, c1) = span(of_row, key[0]), span(of_col, key[1])
+        size = (r1 - r0) * (c1 - c0)
+        if state.exists:
+            bits, total = state.get
+            open_ = np.unpackbits(np.frombuffer(bits, np.uint8), count=size).astype(bool)
+        else:
+            open_, total = np.ones(size, bool), 0.0
+        f = pd.concat(list(frames)).sort_values(["place", "ord"], kind="stable").drop_duplicates("place")
+        place = (f["place"].to_numpy() // grid.ncol - r0) * (c1 - c0) + f["place"].to_numpy() % grid.ncol - c0
+        new = open_[place]
+        total += float(f["value"].to_numpy()[new].sum())
+        open_[place] = False
+        if not open_.any():
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"row": [key[0]], "col": [key[1]], "value": [total / size], "n": [size]})
+        else:
+            state.update((np.packbits(open_).tobytes(), total))
+
+    grouped = rows.groupBy("zr", "zc")
+    return grouped.applyInPandasWithState(step, "row int, col int, value double, n long", "bits binary, total double", "append", GroupStateTimeout.NoTimeout)

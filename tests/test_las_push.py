@@ -69,7 +69,7 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     assert len(got) == 5 and {r["n"] for r in got} == {50} and len(more) == 250
 
 
-def test_offsets_are_lists_of_files(tmp_path):
+def test_offsets_name_files_and_the_place_in_one(tmp_path):
     _tiles(tmp_path, 3)
     r = LasStreamReader({"path": str(tmp_path), "filesPerBatch": "2"}, ["x"])
     start = r.initialOffset()
@@ -78,3 +78,10 @@ def test_offsets_are_lists_of_files(tmp_path):
     assert [len(json.loads(o["files"])) for o in (start, first, second)] == [0, 2, 3]
     again = LasStreamReader({"path": str(tmp_path)}, ["x"])  # after a restart
     assert len(again.partitions(first, second)) == 1 and len(json.loads(again.latestOffset()["files"])) == 3
+    r = LasStreamReader({"path": str(tmp_path), "recordsPerBatch": "70"}, ["file", "x", "last"])
+    offsets = [r.initialOffset()]
+    for _ in range(4):
+        offsets.append(r.latestOffset())
+    assert [(len(json.loads(o["files"])), int(o["at"])) for o in offsets] == [(0, 0), (1, 20), (2, 40), (3, 0), (3, 0)]
+    rows = [[x for p in r.partitions(a, b) for batch in r.read(p) for x in batch.to_pylist()] for a, b in zip(offsets, offsets[1:])]
+    assert [sum(not x["last"] for x in b) for b in rows] == [70, 70, 10, 0] and [sum(x["last"] for x in b) for b in rows] == [1, 1, 1, 0]

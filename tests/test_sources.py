@@ -132,7 +132,7 @@ def test_incremental_equals_batch(spark, tmp_path):
     boxes = [(0, 0.0, 2.0, 0.0, 4.0), (1, 2.0, 4.0, 0.0, 4.0), (2, 1.0, 3.0, 0.0, 4.0)]
     schema = "file_id int, x double, y double, z double, return_number int"
     rows = [(f, float(rng.uniform(a, b)), float(rng.uniform(0, 4)), float(rng.uniform(0, 9)), 1) for f, a, b, _, _ in boxes for _ in range(60)]
-    files = spark.createDataFrame(boxes, "file_id int, xmin double, xmax double, ymin double, ymax double")
+    files = spark.createDataFrame([(*b, 60) for b in boxes], "file_id int, xmin double, xmax double, ymin double, ymax double, n int")
     source = str(tmp_path / "in")
     for f in (0, 1):
         spark.createDataFrame([r for r in rows if r[0] == f], schema).coalesce(1).write.mode("append").parquet(source)
