@@ -462,6 +462,40 @@ def from_geo_keys(keys: dict[int, int | float | str], z_unit: LinearUnit | None
     return replace(out, z_unit=own, vertical=vertical)
 
 
+def to_geo_keys(crs: Crs) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    """Directory and doubles of the GeoTIFF keys of a system: by code, or by parameters where it has none."""
+    codes = {v: k for k, v in UNIT_CODES.items()}
+    keys: list[tuple[int, int | float]] = [(1024, 2 if crs.geographic else 1), (1025, 1)]
+    p = crs.projection
+    base = next((c for c, (n, _) in GEOGRAPHIC.items() if p is not None and _bare(n) == crs.datum), 0)
+    if crs.geographic:
+        keys.append((2048, crs.epsg or base or 32767))
+    elif crs.epsg or p is None:
+        keys.append((3072, crs.epsg or 32767))
+    else:
+        conic = p.method != "tmerc"
+        keys += [(2048, base or 32767), (3072, 32767), (3074, 32767), (3075, {"tmerc": 1, "lcc": 8, "aea": 11}[p.method])]
+        if not base:
+            keys += [(2057, p.ellipsoid[0]), (2059, p.ellipsoid[1])]
+        unit = crs.unit.metres or 1.0
+        keys += [(3076, codes[crs.unit.name])] if crs.unit.name in codes else [(3076, 32767), (3077, unit)]
+        keys += [(3078, p.lat1), (3079, p.lat2)] if conic else [(3092, p.k)]
+        keys += [(3084, p.lon0), (3085, p.lat0), (3086, p.x0 / unit), (3087, p.y0 / unit)] if p.method == "lcc" else [(3080, p.lon0), (3081, p.lat0), (3082, p.x0 / unit), (3083, p.y0 / unit)]
+    if crs.vertical:
+        keys.append((4096, crs.vertical))
+    if crs.z_unit.name in codes:
+        keys.append((4099, codes[crs.z_unit.name]))
+    doubles: list[float] = []
+    entries: list[int] = []
+    for key, value in sorted(keys):
+        if isinstance(value, float):
+            entries += [key, 34736, 1, len(doubles)]
+            doubles.append(value)
+        else:
+            entries += [key, 0, 1, int(value)]
+    return (1, 1, 0, len(entries) // 4, *entries), tuple(doubles)
+
+
 _HORIZONTAL = ("PROJCS", "PROJCRS", "PROJECTEDCRS", "GEOGCS", "GEOGCRS", "GEODCRS", "GEODETICCRS", "GEOGRAPHICCRS", "BOUNDCRS")
 _UPRIGHT = ("VERT_CS", "VERTCRS", "VERTICALCRS", "VERTCS")
 

@@ -18,7 +18,8 @@ from ..operators import metrics, terrain, trees
 from ..operators.ground import MAX_SYSTEMS, Ground, moved_boxes
 from ..operators.points import already_normalized, normalize, reproject
 from ..sources.las import las_catalogue, read_points
-from ..sources.rasters import crs_of, raster_grid, write_table, write_tiles
+from ..sources.raster_sink import write_layers
+from ..sources.rasters import crs_of, raster_grid, write_table
 from .config import RunConfig
 
 #: Products by name, each ``Run -> {table name: DataFrame}``; more can be registered.
@@ -264,28 +265,22 @@ def products(run: Run) -> dict[str, DataFrame]:
 
 
 def write_rasters(run: Run, name: str, df: DataFrame) -> list[str]:
-    """GeoTIFF tiles of each numeric column of a product that is a raster, one folder a column: the folders."""
+    """GeoTIFF tiles of each numeric column of a product that is a raster, in one job: the folders, one a column and part."""
     if not {"row", "col"} <= set(df.columns) or name == "taos":
         return []
     g = {"csm": run.csm_grid, "segments": run.csm_grid}.get(name, run.grid)
     if name == "fine_intensity":
         g = Grid.from_resolution(run.grid.extent, run.config.fine_int_cellsize or run.config.csm_cellsize)
-    parts = [(c, t) for c, t in (("return_type", run.config.return_types), ("stratum_idx", range(len(run.config.strata) + 1))) if c in df.columns]
-    chosen = [()]
-    for column, options in parts:
-        chosen = [(*c, (column, o)) for c in chosen for o in options]
-    numbers = [c for c, t in df.dtypes if c not in ("row", "col", "stratum_idx") and t in ("double", "float", "int", "bigint", "smallint")]
-    folders = []
-    for pick in chosen:
-        own = df
-        for column, option in pick:
-            own = own.where(F.col(column) == option)
-        for c in numbers:
-            folder = "/".join([run.config.output, "rasters", name, *(str(o) for _, o in pick), c])
-            cells = own.select("row", "col", F.col(f"`{c}`").cast("double").alias("value"))
-            write_tiles(cells, g, folder, name=run.config.file_name(c, run.config.unit_label(c), "tif")[:-4], epsg=run.crs.epsg or None).write.format("noop").mode("overwrite").save()
-            folders.append(folder)
-    return folders
+    options = {"return_type": run.config.return_types, "stratum_idx": range(len(run.config.strata) + 1)}
+    parts = [c for c in options if c in df.columns]
+    layers = [c for c, t in df.dtypes if c not in ("row", "col", "stratum_idx") and t in ("double", "float", "int", "bigint", "smallint")]
+    names = {c: run.config.file_name(c, "" if name == "fine_intensity" else run.config.unit_label(c), "tif")[:-4] for c in layers}
+    folder = f"{run.config.output}/rasters/{name}"
+    write_layers(df, g, folder, layers, parts, names, run.crs)
+    chosen = [""]
+    for c in parts:
+        chosen = [f"{p}{o}/" for p in chosen for o in options[c]]
+    return [f"{folder}/{p}{c}" for p in chosen for c in layers]
 
 
 def execute(run: Run) -> dict[str, str]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.crs import Crs, from_geo_keys, geo_keys
+from ..functions.crs import Crs, from_geo_keys, geo_keys, to_geo_keys
 from ..functions.grid import Extent, Grid
 from ..functions.units import LinearUnit
 from .files import exists, file_size, read_range, write_file
@@ -98,8 +98,8 @@ def _ascii_head(path: str) -> tuple[Grid, float, int]:
 # Fixed values of the format: bytes and struct code of a tag's type; sample format and bits to numpy.
 TIFF_TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
 SAMPLES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
-PLAIN, DEFLATE = 1, (8, 32946)
-HORIZONTAL = 2
+PLAIN, LZW, DEFLATE = 1, 5, (8, 32946)
+HORIZONTAL, FLOATING = 2, 3
 #: Bytes of a strip that :func:`tiff_bytes` writes.
 STRIP_BYTES = 1 << 20
 
@@ -127,12 +127,20 @@ def _tiff_head(path: str) -> tuple[Grid, float | None, dict]:
         data = value[:size] if size <= room else read_range(path, struct.unpack(order + place, value)[0], size)
         text = code == 2
         tags[tag] = data.rstrip(b"\0").decode("ascii", "replace") if text else struct.unpack(f"{order}{n}{TIFF_TYPES[code][1]}", data)
-    if tags.get(259, (1,))[0] not in (PLAIN, *DEFLATE) or tags.get(317, (1,))[0] not in (1, HORIZONTAL) or tags.get(277, (1,))[0] != 1:
-        raise ValueError(f"{path}: one band, plain or deflated, is what is supported")
+    if tags.get(259, (1,))[0] not in (PLAIN, LZW, *DEFLATE) or tags.get(317, (1,))[0] not in (1, HORIZONTAL, FLOATING) or tags.get(277, (1,))[0] != 1:
+        raise ValueError(f"{path}: one band, plain, deflated or LZW, is what is supported")
     ncol, nrow = tags[256][0], tags[257][0]
-    sx, sy, _ = tags[33550]
-    i, j, _, x, y, _ = tags[33922][:6]
-    x, y = x - i * sx, y + j * sy
+    if 34264 in tags:  # a matrix from cells to coordinates
+        m = tags[34264]
+        if m[1] or m[4]:
+            raise ValueError(f"{path}: turned rasters are not supported")
+        sx, sy, x, y = m[0], -m[5], m[3], m[7]
+    else:
+        sx, sy, _ = tags[33550]
+        i, j, _, x, y, _ = tags[33922][:6]
+        x, y = x - i * sx, y + j * sy
+    if geo_keys(tags.get(34735, ())).get(1025) == 2:  # the place is that of a cell's centre
+        x, y = x - sx / 2, y + sy / 2
     tags["dtype"] = order + SAMPLES[(tags.get(339, (1,))[0], tags[258][0])]
     missing = float(tags[42113]) if tags.get(42113) else None
     return Grid(Extent(x, x + ncol * sx, y - nrow * sy, y), nrow, ncol), missing, tags
@@ -141,16 +149,51 @@ def _tiff_head(path: str) -> tuple[Grid, float | None, dict]:
 def _tiff_block(path: str, tags: dict, at: int, size: int, width: int) -> np.ndarray:
     """One strip or tile as rows of ``width`` samples."""
     raw = read_range(path, at, size)
-    if tags.get(259, (1,))[0] in DEFLATE:
-        raw = zlib.decompress(raw)
+    packing = tags.get(259, (1,))[0]
+    raw = zlib.decompress(raw) if packing in DEFLATE else unpack_lzw(raw) if packing == LZW else raw
     kind = np.dtype(tags["dtype"])
-    v = np.frombuffer(raw[: len(raw) // (kind.itemsize * width) * kind.itemsize * width], kind).reshape(-1, width)
-    if tags.get(317, (1,))[0] == HORIZONTAL:
+    raw = raw[: len(raw) // (kind.itemsize * width) * kind.itemsize * width]
+    predictor = tags.get(317, (1,))[0]
+    if predictor == FLOATING:  # bytes of a row by significance, each the difference to the one before
+        rows = np.cumsum(np.frombuffer(raw, "u1").reshape(-1, width * kind.itemsize), 1, dtype=np.uint8)
+        bytes_of = rows.reshape(-1, kind.itemsize, width).transpose(0, 2, 1)
+        return np.ascontiguousarray(bytes_of).view(kind.newbyteorder(">")).reshape(-1, width).astype(float)
+    v = np.frombuffer(raw, kind).reshape(-1, width)
+    if predictor == HORIZONTAL:
         whole = np.dtype(f"u{kind.itemsize}")
         v = np.cumsum(v.astype(kind.newbyteorder("=")).view(whole), 1, dtype=whole).view(kind.newbyteorder("="))
     return v.astype(float)
 
 
+def unpack_lzw(raw: bytes) -> bytes:
+    """The bytes of an LZW strip: codes of 9 to 12 bits, high bits first; 256 starts anew, 257 ends."""
+    singles = [bytes([k]) for k in range(256)] + [b"", b""]
+    table, out = list(singles), []
+    bits = held = 0
+    width, last = 9, b""
+    for byte in raw:
+        held = held << 8 | byte
+        bits += 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = list(singles), 9, b""
+            continue
+        if not last:
+            word = table[code]
+        else:
+            word = table[code] if code < len(table) else last + last[:1]
+            table.append(last + word[:1])
+            width = min(12, (len(table) + 1).bit_length())
+        out.append(word)
+        last = word
+    return b"".join(out)
+
+
 def read_rows(path: str, first: int, last: int) -> tuple[Grid, np.ndarray]:
     """Rows ``first`` to ``last`` as doubles, no data as NaN; TIFF reads only the strips or tiles they lie in."""
     if path.lower().endswith(".asc"):
@@ -193,18 +236,24 @@ def read_raster(spark: SparkSession, path: str, window: Extent | None = None, ro
     return tasks.mapInArrow(run, "row int, col int, value double"), grid.crop(window) if window else grid
 
 
-def tiff_bytes(values: np.ndarray, grid: Grid, epsg: int | None = None, compress: bool = False) -> bytes:
-    """A GeoTIFF of doubles in strips of about STRIP_BYTES; NaN becomes the no-data value."""
+def tiff_bytes(values: np.ndarray, grid: Grid, epsg: int | Crs | None = None, compress: bool = False) -> bytes:
+    """A GeoTIFF of doubles in strips of about STRIP_BYTES; NaN becomes the no-data value.
+
+    ``epsg``: a code or a system, written as keys of its kind.
+    """
     data = np.where(np.isnan(values), NO_DATA, values).astype("<f8")
     per = max(1, min(grid.nrow, STRIP_BYTES // (8 * grid.ncol)))
     strips = [data[k : k + per].tobytes() for k in range(0, grid.nrow, per)]
     strips = [zlib.compress(x) for x in strips] if compress else strips
     missing = str(NO_DATA).encode() + b"\0"
-    keys = struct.pack("<16H", 1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg or 32767)
+    directory, doubles = to_geo_keys(epsg if isinstance(epsg, Crs) else Crs(epsg or 0))
+    keys = struct.pack(f"<{len(directory)}H", *directory)
     scale = struct.pack("<3d", grid.xres, grid.yres, 0)
     tie = struct.pack("<6d", 0, 0, 0, grid.extent.xmin, grid.extent.ymax, 0)
     sizes = [len(x) for x in strips]
-    blobs = {33550: (12, 3, scale), 33922: (12, 6, tie), 34735: (3, 16, keys), 42113: (2, len(missing), missing)}
+    blobs = {33550: (12, 3, scale), 33922: (12, 6, tie), 34735: (3, len(directory), keys), 42113: (2, len(missing), missing)}
+    if doubles:
+        blobs[34736] = (12, len(doubles), struct.pack(f"<{len(doubles)}d", *doubles))
     short = {256: grid.ncol, 257: grid.nrow, 258: 64, 259: DEFLATE[0] if compress else PLAIN, 262: 1, 277: 1, 278: per, 339: 3}
     n = len(short) + len(blobs) + 2
     body = 8 + 2 + 12 * n + 4 + sum(len(b) + -len(b) % 8 for _, _, b in blobs.values())
@@ -226,7 +275,7 @@ def tiff_bytes(values: np.ndarray, grid: Grid, epsg: int | None = None, compress
     return out + b"\0" * 4 + tail + b"".join(strips)
 
 
-def write_tiles(raster: DataFrame, grid: Grid, folder: str, tile: int = 2048, name: str = "raster", epsg: int | None = None) -> DataFrame:
+def write_tiles(raster: DataFrame, grid: Grid, folder: str, tile: int = 2048, name: str = "raster", epsg: int | Crs | None = None) -> DataFrame:
     """Write GeoTIFF tiles from the executors, one task a tile: the written ``(name, path)`` rows.
 
     Nothing is collected; a tile holds ``tile`` squared cells at most.  A retried task overwrites.
