@@ -642,16 +642,23 @@ def _candidates(s, d):
     return trees.candidates(*_csm(s, d), 40.0)
 
 
-def _forest(s, d):
+def _tops(s, d):
+    """Surface, grid and thinned tops, the surface written once."""
     c, g = _csm(s, d)
-    tops = trees.identify(c, g, 40.0, 2.5)
-    return c, g, tops, trees.segments(c, tops, g, tile=64, cutoff=2.0, max_height=60.0)
+    c = materialize(c)
+    return c, g, trees.identify(c, g, 40.0, 2.5)
+
+
+def _forest(s, d):
+    c, g, tops = _tops(s, d)
+    tops = materialize(tops)
+    return g, tops, trees.segments(c, tops, g, tile=64, cutoff=2.0, max_height=60.0)
 
 
 @query("tao_thinned", f"{_THINNED} SELECT row, col, value FROM thinned")
 def _thinned(s, d):
     """Greedy min-distance thinning."""
-    return _forest(s, d)[2]
+    return _tops(s, d)[2]
 
 
 @query(
@@ -662,7 +669,7 @@ def _thinned(s, d):
 )
 def _unified(s, d):
     """Ids that no two tiles share."""
-    _, g, tops, _ = _forest(s, d)
+    _, g, tops = _tops(s, d)
     return trees.tree_ids(tops, g, tile=64)
 
 

@@ -68,6 +68,8 @@ class RunConfig:
     csm_algo: str = "max"
     post_algo: str = ""
     rasters: bool = False
+    vectors: bool = False
+    bench: bool = False
     topo_scale: tuple[float, ...] = (500.0, 1000.0, 2000.0)
     radians: bool = False
     fine_int_cellsize: float | None = None
@@ -144,7 +146,7 @@ _FLAGS = {
     "use-withheld": ("use_withheld", True), "adv-point": ("advanced", True), "skip-all-returns": ("all_returns", False),
     "skip-first-returns": ("first_returns", False), "skip-strata": ("do_strata", False), "skip-point-metrics": ("do_points", False),
     "skip-csm": ("do_csm", False), "skip-tao": ("do_tao", False), "skip-topo": ("do_topo", False), "fine-int": ("do_fine_int", True),
-    "no-csm-fill": ("csm_fill", False), "skip-csm-metrics": ("csm_metrics", False), "fine-int-no-cutoff": ("fine_int_no_cutoff", True), "radians": ("radians", True), "rasters": ("rasters", True),
+    "no-csm-fill": ("csm_fill", False), "skip-csm-metrics": ("csm_metrics", False), "fine-int-no-cutoff": ("fine_int_no_cutoff", True), "radians": ("radians", True), "rasters": ("rasters", True), "vectors": ("vectors", True), "bench": ("bench", True),
 }
 _NAMES = {"minht": "min_ht", "maxht": "max_ht", "class": "classes"}
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crs import Crs
@@ -20,6 +21,7 @@ from ..operators.points import already_normalized, normalize, reproject
 from ..sources.las import las_catalogue, read_points
 from ..sources.raster_sink import write_layers
 from ..sources.rasters import crs_of, raster_grid, write_table
+from ..sources.vectors import write_vectors
 from .config import RunConfig
 
 #: Products by name, each ``Run -> {table name: DataFrame}``; more can be registered.
@@ -84,6 +86,7 @@ class Run:
     grid: Grid
     files: DataFrame | None = None
     crs: Crs = Crs()
+    counts: dict[str, Observation] = field(default_factory=dict)
     _kept: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -100,6 +103,11 @@ class Run:
             self._kept[name] = materialize(make())
         return self._kept[name]
 
+    def _counted(self, name: str, df: DataFrame, *sums: Column) -> DataFrame:
+        """The same rows, which leave sums behind when they are first computed."""
+        self.counts[name] = Observation(name)
+        return df.observe(self.counts[name], *sums)
+
     @property
     def csm_grid(self) -> Grid:
         return Grid.from_resolution(self.grid.extent, self.config.csm_cellsize)
@@ -114,9 +122,20 @@ class Run:
         c = self.config
 
         def make():
-            points = c.point_filter().apply(self.points, *[f(c) for f in FILTERS.values()])
+            conditions = c.point_filter().conditions() | {name: f(c) for name, f in FILTERS.items()}
+            points = self.points
+            if c.bench:  # counts what is read, so filters do not reach the reader
+                first = F.lit(True)
+                dropped = []
+                for name, condition in conditions.items():
+                    dropped.append(F.count_if(first & ~condition).alias(f"dropped_{name}"))
+                    first = first & condition
+                points = self._counted("points", points, F.count("*").alias("read"), *dropped)
+            for condition in conditions.values():
+                points = points.where(condition)
             algo = "none" if c.dem_algo == "raster" and not self.dems else c.dem_algo
-            return ALGORITHMS["ground"][algo](points, self)
+            out = ALGORITHMS["ground"][algo](points, self)
+            return self._counted("heights", out, F.count("*").alias("kept")) if c.bench else out
 
         return self._once("heights", lambda: make().select("x", "y", "z", "intensity", "return_number"))
 
@@ -283,18 +302,51 @@ def write_rasters(run: Run, name: str, df: DataFrame) -> list[str]:
     return [f"{folder}/{p}{c}" for p in chosen for c in layers]
 
 
+#: Fine cells along the side of a tile of trees.
+TREE_TILE = 512
+
+
+def write_trees(run: Run, taos: DataFrame) -> None:
+    """The trees as vector files of points, one set a tile of the surface."""
+    name = F.concat(F.lit(run.config.file_name("TAOs", extension="")[:-1] + "_Tile"), (F.col("tile_id") + 1).cast("string"))
+    write_vectors(taos.select(name.alias("name"), "x", "y", "id", "height", "area", "radius"), f"{run.config.output}/vectors/taos", run.crs)
+
+
+def write_layout(run: Run) -> None:
+    """The outlines of the tiles that points cover, as one vector file."""
+    g, size = run.csm_grid, TREE_TILE
+    layout = Grid.from_resolution(g.extent, size * g.xres, size * g.yres, g.extent.xmin, g.extent.ymax)
+    tiles = trees.tiles_of(run.files, layout)
+    x0, y1 = layout.x() - layout.xres / 2, layout.y() + layout.yres / 2
+    boxes = {"xmin": x0, "xmax": x0 + layout.xres, "ymin": y1 - layout.yres, "ymax": y1}
+    name = F.lit(run.config.file_name("TileLayout", extension="")[:-1]).alias("name")
+    shapes = tiles.withColumns(boxes).select(name, *boxes, F.col("name").alias("Tile"), (F.col("tile_id") + 1).alias("ID"), (F.col("col") + 1).alias("Column"), (F.col("row") + 1).alias("Row"))
+    write_vectors(shapes, f"{run.config.output}/vectors/layout", run.crs)
+
+
 def execute(run: Run) -> dict[str, str]:
     """Write every product as Parquet (with ``rasters`` also as GeoTIFF tiles), the options and a report: the paths by name."""
-    paths, rasters = {}, []
-    for name, df in products(run).items():
+    paths, rasters, seconds = {}, [], {}
+    began = time.perf_counter()
+    made = products(run)
+    seconds["shared tables"] = round(time.perf_counter() - began, 3)
+    for name, df in made.items():
+        began = time.perf_counter()
         paths[name] = f"{run.config.output}/{run.config.file_name(name, extension='parquet')}"
         write_table(df, paths[name], ("return_type",) if "return_type" in df.columns else ())
         if run.config.rasters:
             rasters += write_rasters(run, name, run.spark.read.parquet(paths[name]))
+        if run.config.vectors and name == "taos":
+            write_trees(run, run.spark.read.parquet(paths[name]))
+        seconds[name] = round(time.perf_counter() - began, 3)
+    if run.config.vectors and run.files is not None:
+        write_layout(run)
+    bench = {"seconds": seconds, **{name: o.get for name, o in run.counts.items()}} if run.config.bench else {}
     report = {
         "grid": {"extent": [run.grid.extent.xmin, run.grid.extent.xmax, run.grid.extent.ymin, run.grid.extent.ymax], "nrow": run.grid.nrow, "ncol": run.grid.ncol},
         "products": paths,
         "rasters": rasters,
+        "bench": bench,
         "options": run.config.to_ini(),
     }
     line = run.spark.createDataFrame([(json.dumps(report, indent=1),)], "value string")

@@ -65,7 +65,7 @@ def crs_of(text: str, z_unit: LinearUnit | None = None) -> Crs:
         crs = read_header(text).crs
     elif ending in ("tif", "tiff", "asc"):
         crs = raster_crs(text)
-    elif ending == "prj":
+    elif ending in ("prj", "shp"):
         crs = prj_crs(text)
     else:
         return Crs.parse(text, z_unit)
@@ -73,7 +73,11 @@ def crs_of(text: str, z_unit: LinearUnit | None = None) -> Crs:
 
 
 def file_extent(path: str) -> Extent:
-    """The extent of a point or raster file, from its header."""
+    """The extent of a point, vector or raster file, from its header."""
+    if path.lower().endswith(".shp"):
+        from .vectors import shape_extent
+
+        return Extent(*shape_extent(path)[1:], prj_crs(path).epsg or None)
     if path.lower().endswith((".las", ".laz")):
         h = read_header(path)
         return Extent(h.low[0], h.high[0], h.low[1], h.high[1], h.crs.epsg or None)
