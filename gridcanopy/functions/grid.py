@@ -260,6 +260,11 @@ class Grid:
         row = F.col(row) if isinstance(row, str) else row
         return F.lit(float(self.extent.ymax)) - (row + F.lit(0.5)) * F.lit(float(self.yres))
 
+    def box(self, row: Column | str = "row", col: Column | str = "col") -> dict[str, Column]:
+        """The sides of a cell: ``xmin``, ``xmax``, ``ymin``, ``ymax``."""
+        x, y = self.x(col), self.y(row)
+        return {"xmin": x - self.xres / 2, "xmax": x + self.xres / 2, "ymin": y - self.yres / 2, "ymax": y + self.yres / 2}
+
     def with_cells(self, points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         """Add ``row`` and ``col``; points outside go."""
         return points.where(self.extent.inside(x, y)).withColumns({"row": self.row(y), "col": self.col(x)})

@@ -709,4 +709,4 @@ def _raster_scan(s, d):
     return read_tiles(tiles, g).withColumn("value", F.round("value", 6))
 
 
-from . import catalogue_files, catalogue_streams, catalogue_systems  # noqa: E402, F401 - registers its queries here
+from . import catalogue_files, catalogue_more, catalogue_streams, catalogue_systems  # noqa: E402, F401 - registers its queries here
