@@ -21,7 +21,10 @@ def shared_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if house.startswith("file:") and not spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("the warehouse is a folder of one machine; name a shared one in spark.checkpoint.dir")
+        return f"{house}/scratch"
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = "file://" + tempfile.mkdtemp(prefix="shared-")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,35 +49,93 @@ def fill(csm: DataFrame, grid: Grid, needed: int = 6, distance: float = 5.0) ->
 
     Sight ends after ``distance`` cells (diagonally that over the root of two, rounded down); the
     value is the mean of the first value in each direction, weighted by inverse distance.  A cell
-    that sees edges only stays empty.  Values are sent along the rays; no self join.
+    that sees edges only stays empty.
     """
-    straight, diagonal = int(distance), int(distance / math.sqrt(2))
-    rays = [(k, d, dr * d, dc * d) for k, (dr, dc) in enumerate(DIRECTIONS) for d in range(1, (diagonal if k >= 4 else straight) + 1)]
-    at = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("d"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, d, dr, dc in [(-1, 0, 0, 0), *rays]])
-    sent = values(csm).select("row", "col", "value", F.explode(at).alias("o"))
-    sent = sent.select((F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), "o.k", "o.d", "value")
-    sent = sent.where(f"row between 0 and {grid.nrow - 1} and col between 0 and {grid.ncol - 1}")
-    on = lambda k, c: F.when(F.col("k") == k, F.col(c))
-    first = [a for k in range(8) for a in (F.min(on(k, "d")).alias(f"d{k}"), F.min_by(on(k, "value"), on(k, "d")).alias(f"v{k}"))]
-    seen = sent.groupBy(*CELL).agg(F.count(on(-1, "k")).alias("own"), *first).where("own = 0")
-    hits, top, bottom = F.lit(0), F.lit(0.0), F.lit(0.0)
+    straight = int(distance)
+    return _in_blocks(csm, grid, max(1, straight), lambda h, row, col, pad: _filled(h, row, col, pad, grid, needed, straight, int(distance / math.sqrt(2))))
+
+
+def smooth_and_fill(csm: DataFrame, grid: Grid, window: int = 3, needed: int = 6, distance: float = 5.0) -> DataFrame:
+    """Smoothed where there was data, filled elsewhere, both from the original values, in one pass over blocks."""
+    if window > 1 and window % 2 == 0:
+        raise ValueError("a window is an odd number of cells")
+    straight, half = int(distance), window // 2 if window >= 3 else 0
+
+    def both(h: np.ndarray, row: np.ndarray, col: np.ndarray, pad: int) -> np.ndarray:
+        filled = _filled(h, row, col, pad, grid, needed, straight, int(distance / math.sqrt(2)))
+        own = h[pad:-pad, pad:-pad]
+        return np.where(np.isnan(own), filled, _window_mean(h, pad, half))
+
+    return _in_blocks(csm, grid, max(1, straight, half), both)
+
+
+#: Cells along the side of a block.
+BLOCK = 256
+
+
+def _in_blocks(csm: DataFrame, grid: Grid, pad: int, kernel) -> DataFrame:
+    """``(row, col, value)`` of a kernel over blocks with ``pad`` cells around them; a cell goes to its own block and to those it borders.
+
+    The kernel gets a block's values (no data is NaN), the rows and columns of the block itself, and the padding.
+    """
+    last_r, last_c = (grid.nrow - 1) // BLOCK, (grid.ncol - 1) // BLOCK
+    reach = lambda c, last: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - pad) / BLOCK)).cast("int"), F.least(F.lit(last), F.floor((F.col(c) + pad) / BLOCK)).cast("int"))
+    dealt = values(csm).select("row", "col", F.col("value").cast("double").alias("value"), F.explode(reach("row", last_r)).alias("tr"))
+    dealt = dealt.select("*", F.explode(reach("col", last_c)).alias("tc"))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        tr, tc = key[0].as_py(), key[1].as_py()
+        row, col = np.arange(tr * BLOCK, min((tr + 1) * BLOCK, grid.nrow)), np.arange(tc * BLOCK, min((tc + 1) * BLOCK, grid.ncol))
+        h = np.full((len(row) + 2 * pad, len(col) + 2 * pad), np.nan)
+        r, c = t["row"].to_numpy() - row[0] + pad, t["col"].to_numpy() - col[0] + pad
+        inside = (r < h.shape[0]) & (c < h.shape[1])
+        h[r[inside], c[inside]] = t["value"].to_numpy()[inside]
+        out = kernel(h, row, col, pad)
+        r, c = np.nonzero(~np.isnan(out))
+        return pa.table({"row": pa.array(row[r].astype(np.int32)), "col": pa.array(col[c].astype(np.int32)), "value": pa.array(out[r, c])})
+
+    return dealt.groupBy("tr", "tc").applyInArrow(run, "row int, col int, value double")
+
+
+def _shifted(h: np.ndarray, pad: int, dr: int, dc: int) -> np.ndarray:
+    return h[pad + dr : h.shape[0] - pad + dr, pad + dc : h.shape[1] - pad + dc]
+
+
+def _window_mean(h: np.ndarray, pad: int, half: int) -> np.ndarray:
+    total = np.zeros((h.shape[0] - 2 * pad, h.shape[1] - 2 * pad))
+    n = np.zeros(total.shape)
+    for dr in range(-half, half + 1):
+        for dc in range(-half, half + 1):
+            v = _shifted(h, pad, dr, dc)
+            there = ~np.isnan(v)
+            total += np.where(there, v, 0.0)
+            n += there
+    return np.divide(total, n, out=np.full(total.shape, np.nan), where=n > 0)
+
+
+def _filled(h: np.ndarray, row: np.ndarray, col: np.ndarray, pad: int, grid: Grid, needed: int, straight: int, diagonal: int) -> np.ndarray:
+    """What :func:`fill` gives the empty cells of a block, NaN elsewhere."""
+    empty = np.isnan(h[pad:-pad, pad:-pad])
+    hits, top, bottom = np.zeros(empty.shape, int), np.zeros(empty.shape), np.zeros(empty.shape)
     for k, (dr, dc) in enumerate(DIRECTIONS):
-        v, w = F.col(f"v{k}"), F.col(f"d{k}") * (math.sqrt(2) if k >= 4 else 1.0)
         reach = diagonal if k >= 4 else straight
-        edge = F.lit(False)
+        first, far = np.full(empty.shape, np.nan), np.ones(empty.shape)
+        for d in range(reach, 0, -1):  # the nearest is written last
+            v = _shifted(h, pad, dr * d, dc * d)
+            there = ~np.isnan(v)
+            first[there], far[there] = v[there], d
+        edge = np.zeros(empty.shape, bool)
         if dr:
-            edge = edge | ((F.lit(grid.nrow - 1) - F.col("row") if dr > 0 else F.col("row")) < reach)
+            edge |= ((grid.nrow - 1 - row if dr > 0 else row) < reach)[:, None]
         if dc:
-            edge = edge | ((F.lit(grid.ncol - 1) - F.col("col") if dc > 0 else F.col("col")) < reach)
-        hits = hits + F.when(v.isNotNull() | edge, 1).otherwise(0)
-        top = top + F.coalesce(v / w, F.lit(0.0))
-        bottom = bottom + F.coalesce(1 / w, F.lit(0.0))
-    return seen.where(hits >= needed).where(bottom > 0).select("row", "col", (top / bottom).alias("value"))
-
-
-def smooth_and_fill(csm: DataFrame, grid: Grid, window: int = 3, needed: int = 6, distance: float = 5.0) -> DataFrame:
-    """Smoothed where there was data, filled elsewhere, both from the original values."""
-    return smooth(csm, grid, window).unionByName(fill(csm, grid, needed, distance))
+            edge |= ((grid.ncol - 1 - col if dc > 0 else col) < reach)[None, :]
+        seen = ~np.isnan(first)
+        weight = far * (math.sqrt(2) if k >= 4 else 1.0)
+        hits += seen | edge
+        top += np.where(seen, first / weight, 0.0)
+        bottom += np.where(seen, 1 / weight, 0.0)
+    good = empty & (hits >= needed) & (bottom > 0)
+    return np.divide(top, bottom, out=np.full(empty.shape, np.nan), where=good)
 
 
 def unchanged(csm: DataFrame, grid: Grid) -> DataFrame:
