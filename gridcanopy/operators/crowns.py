@@ -201,40 +201,30 @@ def segments(csm: DataFrame, tops: DataFrame, grid: Grid, tile: int = 512, cutof
     while a report changes, over the tiles that it concerns.  Tops are named by their own cell.  Canopy that no
     top reaches has no row.
     """
-    key = ["tr", "tc"]
+    key, link = ["tr", "tc"], ["tr", "tc", "from_tr", "from_tc"]
     packed = materialize(_packed(csm, tops, tile))
     done = [materialize(_flooded(packed.withColumn("around", F.lit(None).cast("array<binary>")), tile, cutoff, max_height, bin_size))]
-    told = None
+    last_r, last_c = (grid.nrow - 1) // tile, (grid.ncol - 1) // tile
 
-    def reports(of: DataFrame) -> DataFrame:
-        last_r, last_c = (grid.nrow - 1) // tile, (grid.ncol - 1) // tile
-        each = of.select(F.col("tr").alias("from_tr"), F.col("tc").alias("from_tc"), F.explode("reports").alias("r"))
-        inside = each.select(F.col("r.to_tr").alias("tr"), F.col("r.to_tc").alias("tc"), "from_tr", "from_tc", "r.report")
+    def reports(k: int) -> DataFrame:
+        each = done[k].select(F.col("tr").alias("from_tr"), F.col("tc").alias("from_tc"), F.explode("reports").alias("r"))
+        inside = each.select(F.col("r.to_tr").alias("tr"), F.col("r.to_tc").alias("tc"), "from_tr", "from_tc", F.struct(F.lit(k).alias("k"), "r.report").alias("told"))
         return inside.where(f"tr between 0 and {last_r} and tc between 0 and {last_c}")
 
+    told = reports(0)
     while True:
-        new = reports(done[-1])
-        if told is None:
-            changed = new.where(F.length("report") > 0).select(*key).distinct()
-            latest = new
-        else:
-            between = [*key, "from_tr", "from_tc"]
-            old = told.withColumnRenamed("report", "before")
-            met = new.join(old, between, "left")
-            changed = met.where(F.col("before").isNull() | (F.col("before") != F.col("report"))).select(*key).distinct()
-            latest = told.join(new, between, "left_anti").unionByName(new)
-        latest = materialize(latest)
-        changed = materialize(changed)
-        if told is not None:
-            release(told)
-        told = latest
-        if changed.isEmpty():
-            release(changed)
+        # a neighbour's last two reports: is the last of this round, and other than the one before
+        k = len(done) - 1
+        pair = told.groupBy(*link).agg(F.max("told").alias("last"), F.max(F.when(F.col("told.k") < k, F.col("told"))).alias("before"))
+        news = (F.col("last.k") == k) & (F.length("last.report") > 0) & ~F.col("last.report").eqNullSafe(F.col("before.report"))
+        around = pair.groupBy(*key).agg(F.collect_list("last.report").alias("around"), F.bool_or(news).alias("news"))  # of eight tiles at most
+        around = materialize(around.where("news").drop("news"))
+        if around.isEmpty():
+            release(around)
             break
-        around = told.join(changed, key, "left_semi").groupBy(*key).agg(F.collect_list("report").alias("around"))  # of eight tiles at most
         done.append(materialize(_flooded(packed.join(around, key), tile, cutoff, max_height, bin_size)))
-        release(changed)
-    release(told)
+        release(around)
+        told = told.unionByName(reports(k + 1))
     release(packed)
     every = None
     for k, d in enumerate(done):

@@ -652,7 +652,7 @@ def _tops(s, d):
 def _forest(s, d):
     c, g, tops = _tops(s, d)
     tops = materialize(tops)
-    return g, tops, trees.segments(c, tops, g, tile=64, cutoff=2.0, max_height=60.0)
+    return g, tops, trees.segments(c, tops, g, tile=256, cutoff=2.0, max_height=60.0)
 
 
 @query("tao_thinned", f"{_THINNED} SELECT row, col, value FROM thinned")
