@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own_root: dict[str, str] = {}
 
@@ -48,3 +49,16 @@ def release(df: DataFrame) -> None:
         jvm, hconf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(hconf).delete(p, True)
+
+
+def ranked(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Add the place of each row, from 1, in an order of the whole table, which no task sees as a whole.
+
+    Rows are sorted by ranges; a row's place is that in its range after the sizes of the ranges before, of which
+    there is one a partition.  Rows that tie in the order have some order.
+    """
+    placed = materialize(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return placed.withColumn("_own", own).join(F.broadcast(sizes), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_at", "_own", "_before")

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid
 from ..functions.crs import Crs
+from ..functions.grid import Grid
+from ..functions.lineage import ranked
 from .points import bilinear
 from .raster import CELL, neighbours, values, zonal
 
@@ -17,7 +18,12 @@ RING = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1
 
 def priority(dems: DataFrame) -> DataFrame:
     """Add ``priority``: 1 for the finest cells, ties by path.  ``dems`` is a catalogue, not pixels."""
-    return dems.withColumn("priority", F.row_number().over(Window.orderBy(F.col("xres") * F.col("yres"), "path")))
+    return ranked(dems, [F.col("xres") * F.col("yres"), F.col("path")], "priority")
+
+
+def reading_order(files: DataFrame, *ties: str) -> DataFrame:
+    """Add ``pos``: point files from north to south, then west to east, then by ``ties``."""
+    return ranked(files, [F.desc("ymax"), F.desc("ymin"), F.col("xmin"), F.col("xmax"), *map(F.col, ties)], "pos")
 
 
 def resample(dem: DataFrame, grid: Grid, target: Grid, move: tuple[Crs, Crs] | None = None) -> DataFrame:

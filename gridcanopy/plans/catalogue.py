@@ -278,10 +278,7 @@ def _agree(s, d):
 
 @query("file_order", "SELECT file_id, CAST(row_number() OVER (ORDER BY ymax DESC, ymin DESC, xmin, xmax, file_id) AS INTEGER) AS pos FROM files")
 def _order(s, d):
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.desc("ymax"), F.desc("ymin"), "xmin", "xmax", "file_id")  # a catalogue of files
-    return adapter.files(s, d).select("file_id", F.row_number().over(w).alias("pos"))
+    return terrain.reading_order(adapter.files(s, d), "file_id").select("file_id", "pos")
 
 
 @query("dem_priority", "SELECT CAST(s_suppkey AS VARCHAR) AS path, CAST(row_number() OVER (ORDER BY (1 + s_nationkey % 5) * (1.0 + s_nationkey % 3), CAST(s_suppkey AS VARCHAR)) AS INTEGER) AS priority FROM supplier")

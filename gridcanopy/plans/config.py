@@ -6,6 +6,7 @@ import argparse
 import configparser
 import io
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from ..functions.units import LinearUnit
@@ -17,6 +18,17 @@ PLANE = ("cellsize", "xres", "yres", "xorigin", "yorigin", "csm_cellsize", "foot
 HEIGHTS = ("min_ht", "max_ht", "canopy", "min_tao_ht", "fine_int_cutoff")
 
 
+#: Options added from outside: the default and how a text is read, by name.
+OPTIONS: dict[str, tuple[object, Callable[[str], object]]] = {}
+
+
+def register_option(name: str, default: object, read: Callable[[str], object] = str) -> None:
+    """Add an option ``--name`` (and a key of ini files), which steps read by ``config.option(name)``."""
+    if name in {*_NAMES, *_FLAGS, "ini-file"} or name.replace("-", "_") in {f.name for f in fields(RunConfig)}:
+        raise ValueError(f"there is an option {name} already")
+    OPTIONS[name] = (default, read)
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """Lengths are in ``user_units``; the defaults are the usual ones in metres."""
@@ -75,6 +87,7 @@ class RunConfig:
     fine_int_cellsize: float | None = None
     fine_int_cutoff: float | None = None
     fine_int_no_cutoff: bool = False
+    added: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self):
         if self.smooth > 1 and self.smooth % 2 == 0:
@@ -85,6 +98,12 @@ class RunConfig:
         object.__setattr__(self, "strata", tuple(sorted(set(self.strata))))
         object.__setattr__(self, "topo_scale", tuple(sorted(set(self.topo_scale))))
 
+    def option(self, name: str) -> object:
+        """The value of an option added from outside, or its default."""
+        default, read = OPTIONS[name]
+        said = dict(self.added)
+        return read(said[name]) if name in said else default
+
     @property
     def with_taos(self) -> bool:
         """Trees need the surface."""
@@ -131,7 +150,7 @@ class RunConfig:
 
     def to_ini(self) -> str:
         ini = configparser.ConfigParser()
-        ini["run"] = {f.name: _text(getattr(self, f.name)) for f in fields(self) if getattr(self, f.name) is not None}
+        ini["run"] = {f.name: _text(getattr(self, f.name)) for f in fields(self) if getattr(self, f.name) is not None and f.name != "added"} | dict(self.added)
         out = io.StringIO()
         ini.write(out)
         return out.getvalue()
@@ -173,8 +192,11 @@ def parse_ini(text: str) -> dict:
             if key in _FLAGS and value is None:
                 out.setdefault(*_FLAGS[key])
                 continue
+            if key in OPTIONS:
+                out.setdefault("added", {}).setdefault(key, value or "")
+                continue
             field = _NAMES.get(key, key.replace("-", "_"))
-            if field in {f.name for f in fields(RunConfig)}:
+            if field in {f.name for f in fields(RunConfig)} - {"added"}:
                 out.setdefault(field, _convert(field, value or ""))
     return out
 
@@ -190,18 +212,25 @@ def parse_args(args: list[str]) -> RunConfig:
         parser.add_argument(f"--{flag}", dest=field, action="store_const", const=value, default=None)
     seen = {field for field, _ in _FLAGS.values()}
     for f in fields(RunConfig):
-        if f.name not in seen:
+        if f.name not in seen | {"added"}:
             option = next((k for k, v in _NAMES.items() if v == f.name), f.name.replace("_", "-"))
             many = {"action": "append"} if f.name in ("las", "dem") else {}
             parser.add_argument(f"--{option}", dest=f.name, default=None, **many)
+    for name in OPTIONS:
+        parser.add_argument(f"--{name}", dest=f"added {name}", default=None)
     got = vars(parser.parse_args(args))
     said = {}
+    added = {name: value for name in OPTIONS if (value := got.pop(f"added {name}")) is not None}
     for name, value in got.items():
         if name != "ini_file" and value is not None:
             said[name] = value if isinstance(value, bool) else tuple(value) if isinstance(value, list) else _convert(name, value)
     for path in got["ini_file"]:
         with open(path) as f:
             for k, v in parse_ini(f.read()).items():
-                said.setdefault(k, v)
+                if k == "added":
+                    added = v | added
+                else:
+                    said.setdefault(k, v)
+    said["added"] = tuple(sorted(added.items()))
     base = RunConfig().in_units(said.get("user_units", "metre"))
     return replace(base, **said)

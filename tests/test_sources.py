@@ -103,6 +103,23 @@ def test_options(tmp_path):
         RunConfig(smooth=4)
 
 
+def test_options_from_outside(tmp_path, monkeypatch):
+    from gridcanopy.plans import config
+
+    monkeypatch.setattr(config, "OPTIONS", {})
+    config.register_option("crown-shape", "round")
+    config.register_option("limit", 3, int)
+    (tmp_path / "a.ini").write_text("limit=5\ncrown-shape=flat\ncanopy=3\n")
+    assert parse_args([]).option("limit") == 3 and parse_args(["--limit", "7"]).option("limit") == 7
+    c = parse_args(["--limit", "7", "--ini-file", f"{tmp_path}/a.ini"])
+    assert (c.option("limit"), c.option("crown-shape"), c.canopy) == (7, "flat", 3.0)
+    (tmp_path / "b.ini").write_text(c.to_ini())
+    assert parse_args(["--ini-file", f"{tmp_path}/b.ini"]) == c
+    for taken in ("canopy", "minht", "adv-point"):
+        with pytest.raises(ValueError):
+            config.register_option(taken, 1)
+
+
 def test_whole_run(spark, tmp_path):
     (tmp_path / "las").mkdir()
     for k in range(2):
