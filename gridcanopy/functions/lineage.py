@@ -46,9 +46,36 @@ def release(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm, hconf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(hconf).delete(p, True)
+        delete_path(df.sparkSession, path)
+
+
+def _store(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there, in any store that Spark opens."""
+    p, store = _store(spark, path)
+    store.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file in any store that Spark opens, over one that is there."""
+    p, store = _store(spark, path)
+    out = store.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file or of a folder of text files; None if there is none."""
+    p, store = _store(spark, path)
+    if not store.exists(p):
+        return None
+    return "\n".join(r["value"] for r in spark.read.text(path).collect())
 
 
 def ranked(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:

@@ -148,14 +148,28 @@ class RunConfig:
         parts = [p for p in (self.name, base, label) if p]
         return "_".join(parts) + f".{extension}"
 
-    def to_ini(self) -> str:
+    def to_ini(self, *categories: str) -> str:
+        """The options as an ini file, a section for each category: all of ``data``, ``process`` and ``computer``, or those named."""
         ini = configparser.ConfigParser()
-        ini["run"] = {f.name: _text(getattr(self, f.name)) for f in fields(self) if getattr(self, f.name) is not None and f.name != "added"} | dict(self.added)
+        for category in categories or CATEGORIES:
+            ini[category] = {f.name: _text(v) for f in fields(self) if f.name != "added" and category_of(f.name) == category and (v := getattr(self, f.name)) is not None}
+            if category == "process":
+                ini[category].update(dict(self.added))
         out = io.StringIO()
         ini.write(out)
         return out.getvalue()
 
 
+CATEGORIES = ("data", "process", "computer")
+
+
+def category_of(name: str) -> str:
+    """What an option is about: the files of a run, the machine, or what is done."""
+    if name in ("las", "dem", "output", "name", "las_crs", "dem_crs", "las_units", "dem_units"):
+        return "data"
+    return "computer" if name == "bench" else "process"
+
+
 def _text(v) -> str:
     return ",".join(map(str, v)) if isinstance(v, tuple) else str(v)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crs import Crs
 from ..functions.grid import Extent, Grid
-from ..functions.lineage import materialize
+from ..functions.lineage import delete_path, materialize, read_text, write_text
 from ..functions.units import LinearUnit
 from ..operators import csm as surface
 from ..operators import metrics, terrain, trees
@@ -86,6 +87,8 @@ class Run:
     grid: Grid
     files: DataFrame | None = None
     crs: Crs = Crs()
+    #: The options as they were stated, before lengths were converted.
+    stated: RunConfig | None = None
     counts: dict[str, Observation] = field(default_factory=dict)
     _kept: dict = field(default_factory=dict)
 
@@ -273,7 +276,7 @@ def open_run(spark: SparkSession, config: RunConfig) -> Run:
     if pattern is not None:
         xres, yres, origin = pattern.xres, pattern.yres, pattern.origin
     grid = Grid.from_resolution(extent, xres, yres, *origin)
-    return Run(spark, replace(c, cellsize=xres), points, ground, grid, files, to)
+    return Run(spark, replace(c, cellsize=xres), points, ground, grid, files, to, config)
 
 
 def products(run: Run) -> dict[str, DataFrame]:
@@ -324,31 +327,63 @@ def write_layout(run: Run) -> None:
     write_vectors(shapes, f"{run.config.output}/vectors/layout", run.crs)
 
 
+#: Files of options that a run leaves behind, and the categories in each.
+INI_FILES = {"full": (), "process_and_computer": ("process", "computer"), "data": ("data",), "process": ("process",), "computer": ("computer",)}
+
+
+def clear_output(run: Run, made: list[str]) -> None:
+    """Remove what an earlier run left in the output folder and this one does not make: its layers, vector files, and tables by its report."""
+    spark, c = run.spark, run.config
+    before = read_text(spark, f"{c.output}/{c.file_name('report', extension='json')}")
+    for name, path in (json.loads(before)["products"] if before else {}).items():
+        if name not in made and path.startswith(f"{c.output}/"):
+            delete_path(spark, path)
+    for folder in ("rasters", "vectors"):
+        delete_path(spark, f"{c.output}/{folder}")
+
+
 def execute(run: Run) -> dict[str, str]:
-    """Write every product as Parquet (with ``rasters`` also as GeoTIFF tiles), the options and a report: the paths by name."""
-    paths, rasters, seconds = {}, [], {}
+    """Write every product as Parquet, with ``rasters`` and ``vectors`` also as files, the options and a report: the paths by name.
+
+    Layers and vector files that cannot be written are named in the report and in the log; a table that cannot be ends the run.
+    """
+    paths, rasters, seconds, failed = {}, [], {}, {}
+
+    def attempt(name: str, write: Callable[[], list[str] | None]) -> list[str]:
+        try:
+            return write() or []
+        except Exception as e:  # whatever a store or a task gave up with
+            failed[name] = str(e)[:500]
+            logging.getLogger(__name__).warning("%s could not be written: %s", name, e)
+            return []
+
+    c = run.config
     began = time.perf_counter()
     made = products(run)
+    clear_output(run, list(made))
     seconds["shared tables"] = round(time.perf_counter() - began, 3)
     for name, df in made.items():
         began = time.perf_counter()
-        paths[name] = f"{run.config.output}/{run.config.file_name(name, extension='parquet')}"
+        paths[name] = f"{c.output}/{c.file_name(name, extension='parquet')}"
         write_table(df, paths[name], ("return_type",) if "return_type" in df.columns else ())
-        if run.config.rasters:
-            rasters += write_rasters(run, name, run.spark.read.parquet(paths[name]))
-        if run.config.vectors and name == "taos":
-            write_trees(run, run.spark.read.parquet(paths[name]))
+        if c.rasters:
+            rasters += attempt(f"layers of {name}", lambda name=name, df=df: write_rasters(run, name, run.spark.read.schema(df.schema).parquet(paths[name])))
+        if c.vectors and name == "taos":
+            attempt("vector files of trees", lambda df=df: write_trees(run, run.spark.read.schema(df.schema).parquet(paths["taos"])))
         seconds[name] = round(time.perf_counter() - began, 3)
-    if run.config.vectors and run.files is not None:
-        write_layout(run)
-    bench = {"seconds": seconds, **{name: o.get for name, o in run.counts.items()}} if run.config.bench else {}
+    if c.vectors and run.files is not None:
+        attempt("vector file of tiles", lambda: write_layout(run))
+    e = run.grid.extent
     report = {
-        "grid": {"extent": [run.grid.extent.xmin, run.grid.extent.xmax, run.grid.extent.ymin, run.grid.extent.ymax], "nrow": run.grid.nrow, "ncol": run.grid.ncol},
+        "grid": {"extent": [e.xmin, e.xmax, e.ymin, e.ymax], "nrow": run.grid.nrow, "ncol": run.grid.ncol},
         "products": paths,
         "rasters": rasters,
-        "bench": bench,
-        "options": run.config.to_ini(),
+        "failed": failed,
+        "bench": {"seconds": seconds, **{name: o.get for name, o in run.counts.items()}} if c.bench else {},
+        "options": (run.stated or c).to_ini(),
     }
-    line = run.spark.createDataFrame([(json.dumps(report, indent=1),)], "value string")
-    line.coalesce(1).write.mode("overwrite").text(f"{run.config.output}/{run.config.file_name('report', extension='json')}")
+    delete_path(run.spark, f"{c.output}/{c.file_name('report', extension='json')}")
+    write_text(run.spark, f"{c.output}/{c.file_name('report', extension='json')}", json.dumps(report, indent=1))
+    for name, categories in INI_FILES.items():
+        write_text(run.spark, f"{c.output}/parameters/{c.file_name(name, extension='ini')}", (run.stated or c).to_ini(*categories))
     return paths

@@ -1,5 +1,6 @@
 """Runs in other units, over files of several systems, and on a given alignment."""
 
+import json
 from dataclasses import replace
 
 import numpy as np
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from gridcanopy.functions.crs import Crs
 from gridcanopy.functions.grid import Extent, Grid
 from gridcanopy.operators.ground import overlapping
-from gridcanopy.plans.config import RunConfig
+from gridcanopy.plans import lifecycle
+from gridcanopy.plans.config import RunConfig, parse_args
 from gridcanopy.plans.lifecycle import execute, open_run
 from gridcanopy.sources.las import las_catalogue, write_las
 from gridcanopy.sources.rasters import crs_of, raster_crs, tiff_bytes
@@ -130,3 +132,24 @@ def test_overlapping_boxes(spark):
     got = [tuple(r) for r in overlapping(da, db, Grid(Extent(0, 140, 0, 140), 7, 9), "a", "b").collect()]
     want = {(i, j) for i, ax0, ax1, ay0, ay1 in a for j, bx0, bx1, by0, by1 in b if max(ax0, bx0) < min(ax1, bx1) and max(ay0, by0) < min(ay1, by1)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_second_run_clears_what_it_does_not_make(spark, tmp_path, monkeypatch):
+    """Options by category, tables and layers of an earlier run, and a layer that cannot be written."""
+    write_las(f"{tmp_path}/a.las", _points(150), wkt=WKT)
+    options = dict(las=(f"{tmp_path}/a.las",), output=f"{tmp_path}/o", cellsize=20.0, do_tao=False, do_topo=False, do_strata=False, user_units="foot", max_ht=1000.0)
+    config = RunConfig(rasters=True, **options)
+    execute(open_run(spark, config))
+    assert (tmp_path / "o" / "csm.parquet").exists() and (tmp_path / "o" / "rasters" / "csm").exists()
+    names = {p.name for p in (tmp_path / "o" / "parameters").glob("*.ini")}
+    assert names == {"full.ini", "process_and_computer.ini", "data.ini", "process.ini", "computer.ini"}
+    assert parse_args(["--ini-file", f"{tmp_path}/o/parameters/full.ini"]) == config
+    only = (tmp_path / "o" / "parameters" / "data.ini").read_text()
+    assert "[data]" in only and "cellsize" not in only and "output" in only
+    (tmp_path / "o" / "own.txt").write_text("the user's")
+    monkeypatch.setattr(lifecycle, "write_layers", lambda *a: 1 / 0)
+    execute(open_run(spark, RunConfig(rasters=True, do_csm=False, **options)))
+    assert not (tmp_path / "o" / "csm.parquet").exists() and not (tmp_path / "o" / "rasters").exists()
+    assert (tmp_path / "o" / "own.txt").exists() and (tmp_path / "o" / "point_metrics.parquet").exists()
+    report = json.loads((tmp_path / "o" / "report.json").read_text())
+    assert report["failed"]["layers of point_metrics"] == "division by zero" and "csm" not in report["products"]
