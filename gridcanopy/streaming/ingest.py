@@ -29,16 +29,20 @@ def _partial(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b]).group_by(["row", "col", "total"])
+            t = pa.Table.from_batches([b]).group_by(["row", "col", "total", "covered"])
             s = t.aggregate([("n", "sum"), ("nc", "sum"), ("zsum", "sum"), ("top", "max"), ("ended", "sum")])
-            names = ["row", "col", "total", "n", "nc", "zsum", "top", "ended"]
-            got = {n: pc.cast(s[c], k) for n, c, k in zip(names, ["row", "col", "total", "n_sum", "nc_sum", "zsum_sum", "top_max", "ended_sum"], _KINDS)}
+            names = ["row", "col", "total", "covered", "n", "nc", "zsum", "top", "ended"]
+            got = {n: pc.cast(s[c], k) for n, c, k in zip(names, [*names[:4], "n_sum", "nc_sum", "zsum_sum", "top_max", "ended_sum"], _KINDS)}
             yield from pa.table(got).to_batches()
 
-    return rows.mapInArrow(run, "row int, col int, total int, n long, nc long, zsum double, top double, ended long")
+    return rows.mapInArrow(run, "row int, col int, total int, covered int, n long, nc long, zsum double, top double, ended long")
 
 
-_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+_KINDS = [*[pa.int32()] * 4, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+#: Cells along the side of a block, whose cells share a state.
+BLOCK = 64
+#: What a state holds of each cell.
+HELD = np.dtype([("total", "<i4"), ("ended", "<i4"), ("n", "<i8"), ("nc", "<i8"), ("zsum", "<f8"), ("top", "<f8"), ("out", "?")])
 
 
 def completed(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2.0, name: str = "file", keep: Column | None = None) -> DataFrame:
@@ -47,36 +51,52 @@ def completed(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2
     ``points``: a stream of ``name, x, y, z`` and ``last``; a row with ``last`` true ends its file.  ``files``: a table of boxes
     by ``name``, all the files that will come.  ``keep``: points that count.  A file counts as read at its end row, however
     many batches it came in; a file without points has the end row alone.  Cells that no file covers never come out;
-    covered cells without points come out with ``n`` 0.
+    covered cells without points come out with ``n`` 0.  State is kept by block of ``BLOCK`` squared cells, as one array, and
+    dropped when all covered cells of the block have come out.
     """
     cover = grid.covered(files.select(name, "xmin", "xmax", "ymin", "ymax"), "out").select(name, "row", "col")
     totals = cover.groupBy("row", "col").agg(F.count("*").cast("int").alias("total"))
+    block = {"br": F.expr(f"cast(row div {BLOCK} as int)"), "bc": F.expr(f"cast(col div {BLOCK} as int)")}
+    sizes = totals.withColumns(block).groupBy("br", "bc").agg(F.count("*").cast("int").alias("covered"))
     high = (F.col("z") >= canopy).cast("long")
     own = points.where(~F.col("last"))
     own = grid.with_cells(own.where(keep) if keep is not None else own)
-    own = own.select("row", "col", F.lit(0).alias("total"), F.lit(1).cast("long").alias("n"), high.alias("nc"), F.when(F.col("z") >= canopy, F.col("z")).otherwise(0.0).alias("zsum"), F.when(F.col("z") >= canopy, F.col("z")).alias("top"), F.lit(0).cast("long").alias("ended"))
-    ends = points.where("last").select(name).join(cover, name).join(totals, ["row", "col"])
+    own = own.select("row", "col", F.lit(0).alias("total"), F.lit(0).alias("covered"), F.lit(1).cast("long").alias("n"), high.alias("nc"), F.when(F.col("z") >= canopy, F.col("z")).otherwise(0.0).alias("zsum"), F.when(F.col("z") >= canopy, F.col("z")).alias("top"), F.lit(0).cast("long").alias("ended"))
+    ends = points.where("last").select(name).join(cover, name).join(totals, ["row", "col"]).withColumns(block).join(sizes, ["br", "bc"])
     none = F.lit(0).cast("long")
-    ends = ends.select("row", "col", "total", none.alias("n"), none.alias("nc"), F.lit(0.0).alias("zsum"), F.lit(None).cast("double").alias("top"), F.lit(1).cast("long").alias("ended"))
+    ends = ends.select("row", "col", "total", "covered", none.alias("n"), none.alias("nc"), F.lit(0.0).alias("zsum"), F.lit(None).cast("double").alias("top"), F.lit(1).cast("long").alias("ended"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, ended, n, nc, zsum, top = state.get if state.exists else (0, 0, 0, 0, 0.0, None)
+        if state.exists:
+            raw, covered = state.get
+            held = np.frombuffer(raw, HELD).copy()
+        else:
+            held, covered = np.zeros(BLOCK * BLOCK, HELD), 0
+            held["top"] = np.nan
         for f in frames:
-            total = max(total, int(f["total"].max()))
-            ended, n, nc, zsum = ended + int(f["ended"].sum()), n + int(f["n"].sum()), nc + int(f["nc"].sum()), zsum + float(f["zsum"].sum())
-            best = f["top"].max()
-            top = top if np.isnan(best) else float(best) if top is None else max(top, float(best))
-        if total and ended >= total:
+            at = (f["row"].to_numpy() - key[0] * BLOCK) * BLOCK + f["col"].to_numpy() - key[1] * BLOCK
+            covered = max(covered, int(f["covered"].max()))
+            np.maximum.at(held["total"], at, f["total"].to_numpy())
+            np.fmax.at(held["top"], at, f["top"].to_numpy(float))
+            for name in ("ended", "n", "nc", "zsum"):
+                np.add.at(held[name], at, f[name].to_numpy())
+        ready = np.flatnonzero(~held["out"] & (held["total"] > 0) & (held["ended"] >= held["total"]))
+        held["out"][ready] = True
+        if covered and held["out"].sum() >= covered:
             if state.exists:
                 state.remove()
-            cover_, mean = (100.0 * nc / n if n else None), (zsum / nc if nc else None)
-            yield pd.DataFrame({"row": [key[0]], "col": [key[1]], "n": [n], "cover": [cover_], "mean": [mean], "top": [top]})
         else:
-            state.update((total, ended, n, nc, zsum, top))
-
-    grouped = _partial(own.unionByName(ends)).groupBy("row", "col")
-    held = "total int, ended long, n long, nc long, zsum double, top double"
-    return grouped.applyInPandasWithState(step, METRICS, held, "append", GroupStateTimeout.NoTimeout)
+            state.update((held.tobytes(), covered))
+        done = held[ready]
+        n, nc = done["n"].astype(float), done["nc"].astype(float)
+        share = lambda a, b: np.divide(a, b, out=np.full(len(a), np.nan), where=b > 0)
+        yield pd.DataFrame({
+            "row": (ready // BLOCK + key[0] * BLOCK).astype("int32"), "col": (ready % BLOCK + key[1] * BLOCK).astype("int32"),
+            "n": done["n"], "cover": share(100.0 * nc, n), "mean": share(done["zsum"], nc), "top": done["top"],
+        })
+
+    grouped = _partial(own.unionByName(ends)).withColumns(block).groupBy("br", "bc")
+    return grouped.applyInPandasWithState(step, METRICS, "cells binary, covered int", "append", GroupStateTimeout.NoTimeout)
 
 
 # Sums of batches as files --------------------------------------------------------------------------
