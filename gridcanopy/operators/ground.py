@@ -7,6 +7,7 @@ equi-join on file and crossing; of several files the first in order of priority
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -26,6 +27,8 @@ from .points import crossings, four_cells
 CATALOGUE = "path string, nrow int, ncol int, xmin double, xmax double, ymin double, ymax double, crs_key string, crs_text string"
 #: Rows of a file that one task reads, and systems that files may be in at most: each is a branch of an expression.
 ROWS_PER_TASK, MAX_SYSTEMS = 512, 256
+#: Buckets along a side of a box at most, where boxes meet.
+BUCKETS_A_SIDE = 16
 #: Points along an edge of a box that is moved to another system.
 EDGE_STEPS = 20
 
@@ -57,18 +60,42 @@ def raster_catalogue(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 def overlapping(a: DataFrame, b: DataFrame, buckets: Grid, a_id: str, b_id: str) -> DataFrame:
     """``(a_id, b_id)`` of boxes ``(xmin, xmax, ymin, ymax)`` that share area.
 
-    Each box goes to the buckets it covers, boxes meet within a bucket, and a pair is reported in the one bucket
-    that holds the upper left corner of what it shares.  Boxes that reach over the buckets' extent are cut to it.
+    Buckets come in levels, each of twice the side of the one before.  A box has the level at which it spans
+    ``BUCKETS_A_SIDE`` buckets at most, and goes to the buckets it covers at that level and at all coarser ones that
+    boxes have; a pair meets at the higher level of its two, and is reported in the one bucket that holds the upper left
+    corner of what it shares.  So a box makes some hundred rows at most, whatever its size.  Boxes that reach
+    over the buckets' extent are cut to it.
     """
-    box = ["xmin", "xmax", "ymin", "ymax"]
     e = buckets.extent
-    left = buckets.covered(a.select(a_id, *box), "out").withColumnsRenamed({c: f"a_{c}" for c in box})
-    right = buckets.covered(b.select(b_id, *box), "out").withColumnsRenamed({c: f"b_{c}" for c in box})
-    x, top = F.greatest("a_xmin", "b_xmin", F.lit(float(e.xmin))), F.least("a_ymax", "b_ymax", F.lit(float(e.ymax)))
-    share = (x < F.least("a_xmax", "b_xmax", F.lit(float(e.xmax)))) & (top > F.greatest("a_ymin", "b_ymin", F.lit(float(e.ymin))))
-    col, row = F.floor((x - F.lit(float(e.xmin))) / buckets.xres + 1e-9), F.floor((F.lit(float(e.ymax)) - top) / buckets.yres + 1e-9)
-    here = (col == F.col("col")) & (row == F.col("row"))
-    return left.join(right, ["row", "col"]).where(share & here).select(a_id, b_id)
+    top_level = max(0, math.ceil(math.log2(max(buckets.nrow, buckets.ncol))))
+    size = lambda level: (F.lit(buckets.xres) * F.pow(F.lit(2.0), level), F.lit(buckets.yres) * F.pow(F.lit(2.0), level))
+    x0, x1, y0, y1 = (F.lit(float(v)) for v in (e.xmin, e.xmax, e.ymin, e.ymax))
+
+    def cut(boxes: DataFrame, name: str, p: str) -> DataFrame:
+        """Boxes within the extent, with their level."""
+        sides = boxes.select(name, F.greatest("xmin", x0).alias(f"{p}x0"), F.least("xmax", x1).alias(f"{p}x1"), F.greatest("ymin", y0).alias(f"{p}y0"), F.least("ymax", y1).alias(f"{p}y1"))
+        sides = sides.where(f"{p}x0 < {p}x1 and {p}y0 < {p}y1")
+        spans = F.greatest((F.col(f"{p}x1") - F.col(f"{p}x0")) / buckets.xres, (F.col(f"{p}y1") - F.col(f"{p}y0")) / buckets.yres)
+        level = F.least(F.lit(top_level), F.greatest(F.lit(0), F.ceil(F.log2(spans / BUCKETS_A_SIDE)))).cast("int")
+        return sides.withColumn(f"{p}level", level)
+
+    left, right = cut(a, a_id, "a_"), cut(b, b_id, "b_")
+    used = left.select("a_level").union(right.select("b_level")).agg(F.sort_array(F.collect_set("a_level")).alias("used"))  # of some 30 levels
+
+    def dealt(boxes: DataFrame, p: str) -> DataFrame:
+        """A row for each bucket that a box covers at its own and coarser levels."""
+        at = boxes.join(F.broadcast(used)).withColumn("level", F.explode(F.filter("used", lambda k: k >= F.col(f"{p}level"))))
+        w, h = size(F.col("level"))
+        first = lambda v, d: F.floor(v / d).cast("int")
+        at = at.withColumn("col", F.explode(F.sequence(first(F.col(f"{p}x0") - x0, w), first(F.col(f"{p}x1") - x0, w))))
+        return at.withColumn("row", F.explode(F.sequence(first(y1 - F.col(f"{p}y1"), h), first(y1 - F.col(f"{p}y0"), h)))).drop("used")
+
+    x, top = F.greatest("a_x0", "b_x0"), F.least("a_y1", "b_y1")
+    share = (x < F.least("a_x1", "b_x1")) & (top > F.greatest("a_y0", "b_y0"))
+    w, h = size(F.col("level"))
+    here = (F.floor((x - x0) / w).cast("int") == F.col("col")) & (F.floor((y1 - top) / h).cast("int") == F.col("row"))
+    highest = F.col("level") == F.greatest("a_level", "b_level")
+    return dealt(left, "a_").join(dealt(right, "b_"), ["level", "row", "col"]).where(highest & share & here).select(a_id, b_id)
 
 
 def moved_boxes(files: DataFrame, systems: list[Crs], to: Crs) -> DataFrame:
