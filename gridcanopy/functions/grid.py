@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-4
+#: Cells of a grid for each task that lists them, and tasks at most.
+CELLS_PER_TASK, MAX_TASKS = 1 << 20, 2000
 
 
 @dataclass(frozen=True)
@@ -280,24 +282,55 @@ class Grid:
         ids = spark.range((r1 - r0 + 1) * wide)
         return ids.select(F.expr(f"cast(id div {wide} + {r0} as int)").alias("row"), (F.col("id") % wide + c0).cast("int").alias("col"))
 
-    def covered(self, extents: DataFrame, how: str = "near") -> DataFrame:
-        """Explode ``(xmin, xmax, ymin, ymax, ...)`` rows to the cells they cover, snapped as asked.
-
-        A range join as a range of cells: every extent yields its own cells, none compares with all.
-        """
+    def spans(self, extents: DataFrame, how: str = "near") -> DataFrame:
+        """Add the first and last row and column, ``_r0, _r1, _c0, _c1``, of the cells that each ``(xmin, xmax, ymin, ymax, ...)`` covers, snapped as asked."""
         snap = {"near": (lambda v: F.floor(v + 0.5),) * 2, "out": (lambda v: F.floor(v + 1e-9), lambda v: F.ceil(v - 1e-9)), "in": (lambda v: F.ceil(v - 1e-9), lambda v: F.floor(v + 1e-9))}
         low, high = snap[how]
         e = self.extent
         px = lambda c: (F.col(c) - F.lit(float(e.xmin))) / F.lit(float(self.xres))
         py = lambda c: (F.lit(float(e.ymax)) - F.col(c)) / F.lit(float(self.yres))
-        out = extents.withColumns(
+        return extents.withColumns(
             {
-                "_c0": F.greatest(low(px("xmin")), F.lit(0)),
-                "_c1": F.least(high(px("xmax")), F.lit(self.ncol)) - 1,
-                "_r0": F.greatest(low(py("ymax")), F.lit(0)),
-                "_r1": F.least(high(py("ymin")), F.lit(self.nrow)) - 1,
+                "_c0": F.greatest(low(px("xmin")), F.lit(0)).cast("int"),
+                "_c1": (F.least(high(px("xmax")), F.lit(self.ncol)) - 1).cast("int"),
+                "_r0": F.greatest(low(py("ymax")), F.lit(0)).cast("int"),
+                "_r1": (F.least(high(py("ymin")), F.lit(self.nrow)) - 1).cast("int"),
             }
         ).where("_c0 <= _c1 and _r0 <= _r1")
-        out = out.withColumn("row", F.explode(F.sequence(F.col("_r0").cast("int"), F.col("_r1").cast("int"))))
-        out = out.withColumn("col", F.explode(F.sequence(F.col("_c0").cast("int"), F.col("_c1").cast("int"))))
-        return out.drop("_c0", "_c1", "_r0", "_r1")
+
+    def runs(self, extents: DataFrame, how: str = "near") -> DataFrame:
+        """Explode ``(xmin, xmax, ymin, ymax, ...)`` rows to the rows of cells they cover: ``row`` and the first and last column, ``_c0`` and ``_c1``.
+
+        The runs are dealt over tasks by the size of the grid, as few boxes may cover many cells.
+        """
+        out = self.spans(extents, how).withColumn("row", F.explode(F.sequence("_r0", "_r1"))).drop("_r0", "_r1")
+        tasks = min(self.nrow, MAX_TASKS, self.ncell // CELLS_PER_TASK)
+        return out.repartition(tasks, "row") if tasks > 1 else out
+
+    def covered(self, extents: DataFrame, how: str = "near") -> DataFrame:
+        """Explode ``(xmin, xmax, ymin, ymax, ...)`` rows to the cells they cover, snapped as asked.
+
+        A range join as a range of cells: every extent yields its own cells, none compares with all.
+        """
+        return self.runs(extents, how).withColumn("col", F.explode(F.sequence("_c0", "_c1"))).drop("_c0", "_c1")
+
+    def tallies(self, extents: DataFrame, sums: dict[str, Column] | None = None, how: str = "out") -> DataFrame:
+        """``(row, a, z, n, *sums)``: runs of cells, columns ``a`` to ``z``, that ``n`` extents cover, and their sums of whole-number columns.
+
+        Each run is a step up at its first column and a step down after its last one; what is shuffled grows with
+        the rows of the boxes, not with their cells.
+        """
+        sums = {"n": F.lit(1), **(sums or {})}
+        runs = self.runs(extents, how).select("row", "_c0", "_c1", *[v.cast("long").alias(c) for c, v in sums.items()])
+        ends = F.array(*[F.struct(F.col(c).alias("a"), *[(F.col(n) * s).alias(n) for n in sums]) for c, s in (("_c0", 1), ("_c1", -1))])
+        steps = runs.withColumn("_c1", F.col("_c1") + 1).select("row", F.explode(ends).alias("s")).groupBy("row", "s.a").agg(*[F.sum(f"s.{n}").alias(n) for n in sums])
+        along = Window.partitionBy("row").orderBy("a")
+        up_to = along.rowsBetween(Window.unboundedPreceding, 0)
+        out = steps.select("row", "a", (F.lead("a").over(along) - 1).alias("z"), *[F.sum(n).over(up_to).alias(n) for n in sums])
+        return out.where("n > 0")
+
+    def along(self, runs: DataFrame) -> DataFrame:
+        """The cells of runs ``(row, a, z, ...)``: ``(row, col, ...)``."""
+        tasks = min(self.nrow, MAX_TASKS, self.ncell // CELLS_PER_TASK)
+        spread = runs.repartition(tasks, "row") if tasks > 1 else runs
+        return spread.withColumn("col", F.explode(F.sequence("a", "z"))).drop("a", "z")

@@ -150,4 +150,4 @@ def binned_percentiles(bins: DataFrame, percents: tuple[int, ...] = COMMON_PERCE
 
 def coverage(files: DataFrame, grid: Grid) -> DataFrame:
     """``(row, col, n)``: files whose extent covers each cell."""
-    return grid.covered(files, "out").groupBy("row", "col").agg(F.count("*").alias("n"))
+    return grid.along(grid.tallies(files)).select("row", "col", "n")
