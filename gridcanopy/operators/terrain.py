@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.crs import Crs
-from ..functions.grid import Grid
+from ..functions.grid import MAX_TASKS, Grid
 from ..functions.lineage import ranked
 from .points import bilinear
 from .raster import CELL, neighbours, values, zonal
@@ -34,22 +36,99 @@ def resample(dem: DataFrame, grid: Grid, target: Grid, move: tuple[Crs, Crs] | N
     """
     if move is None and grid == target:
         return values(dem)
+    if move is None:
+        return _onto([(dem, grid, False)], target)
     spark = dem.sparkSession
-    cells = target.dense(spark, None if move else grid.extent).withColumns({"x": target.x(), "y": target.y()})
-    if move:
-        x, y = move[0].transform(move[1], F.col("x"), F.col("y"))
-        cells = cells.withColumns({"x": x, "y": y})
+    cells = target.dense(spark).withColumns({"x": target.x(), "y": target.y()})
+    x, y = move[0].transform(move[1], F.col("x"), F.col("y"))
+    cells = cells.withColumns({"x": x, "y": y})
     cells = cells.where(grid.extent.inside())
     return bilinear(cells, dem, grid, "value").where("value is not null").select("row", "col", "value")
 
 
 def mosaic(dems: list[tuple[DataFrame, Grid]], target: Grid) -> DataFrame:
     """The first raster with a value at each target cell, in list order (finest first)."""
+    return _onto([(dem, grid, grid == target) for dem, grid in dems], target)
+
+
+#: Target cells of a block, and cells of a source along its sides, that a task holds, about.
+BLOCK_CELLS, BLOCK_SIDE = 1 << 18, 2048
+
+
+def _block_sides(grids: list[Grid], target: Grid) -> tuple[int, int]:
+    """Rows and columns of blocks that are wide where a source's cells are, so that a source's cell goes to a few blocks only."""
+    sides = []
+    for t, sizes in ((target.yres, [g.yres for g in grids]), (target.xres, [g.xres for g in grids])):
+        sides.append((max(64.0, 2 * max(sizes, default=t) / t), BLOCK_SIDE * min(sizes, default=t) / t))
+    grow = math.sqrt(BLOCK_CELLS / (sides[0][0] * sides[1][0]))
+    return tuple(max(1, int(min(side * grow, most))) for side, most in sides)
+
+
+def _onto(rasters: list[tuple[DataFrame, Grid, bool]], target: Grid) -> DataFrame:
+    """Bilinear values at the target's centres, of the first raster in the list that has one; a true flag says that a raster has the target's own cells.
+
+    Cells of the sources go to the blocks of the target that look at them; the target's cells are made there and are not
+    shuffled.  NaN is no data.
+    """
+    rows, cols = _block_sides([g for _, g, own in rasters if not own], target)
+    e = target.extent
+    grids = [(g, own) for _, g, own in rasters]
+
+    def reach(first: Column, last: Column, n: int, side: int) -> Column:
+        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(n - 1))
+        blocks = F.sequence(F.floor(first / side).cast("int"), F.floor(last / side).cast("int"))
+        return F.when(first <= last, blocks)  # explode drops what no cell looks at
+
     parts = None
-    for order, (dem, grid) in enumerate(dems):
-        part = resample(dem, grid, target).withColumn("ord", F.lit(order))
+    for order, (raster, g, own) in enumerate(rasters):
+        cells = values(raster).select(F.lit(order).alias("ord"), "row", "col", F.col("value").cast("double").alias("value"))
+        if own:
+            r, c = (F.col("row"), F.col("row")), (F.col("col"), F.col("col"))
+        else:
+            down = lambda y: (F.lit(float(e.ymax)) - y) / target.yres - 0.5
+            right = lambda x: (x - F.lit(float(e.xmin))) / target.xres - 0.5
+            r = F.ceil(down(g.y() + g.yres) - 1e-6), F.floor(down(g.y() - g.yres) + 1e-6)
+            c = F.ceil(right(g.x() - g.xres) - 1e-6), F.floor(right(g.x() + g.xres) + 1e-6)
+        part = cells.withColumn("tr", F.explode(reach(*r, target.nrow, rows))).withColumn("tc", F.explode(reach(*c, target.ncol, cols)))
         parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy(*CELL).agg(F.min_by("value", "ord").alias("value"))
+
+    def mix(low: np.ndarray, high: np.ndarray, share: np.ndarray) -> np.ndarray:
+        both = (1 - share) * low + share * high
+        return np.where(np.isnan(both), np.where(np.isnan(low), high, low), both)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        r0, c0 = key[0].as_py() * rows, key[1].as_py() * cols
+        row, col = np.arange(r0, min(r0 + rows, target.nrow)), np.arange(c0, min(c0 + cols, target.ncol))
+        x, y = e.xmin + (col + 0.5) * target.xres, e.ymax - (row + 0.5) * target.yres
+        order, r, c, v = (t[n].to_numpy() for n in ("ord", "row", "col", "value"))
+        out = np.full((len(row), len(col)), np.nan)
+        for k, (g, own) in enumerate(grids):
+            at = order == k
+            if not at.any():
+                continue
+            if own:
+                free = np.isnan(out[r[at] - r0, c[at] - c0])
+                out[r[at][free] - r0, c[at][free] - c0] = v[at][free]
+                continue
+            top, left = r[at].min(), c[at].min()
+            h = np.full((r[at].max() - top + 3, c[at].max() - left + 3), np.nan)  # with a frame of no data
+            h[r[at] - top + 1, c[at] - left + 1] = v[at]
+            fx, fy = (x - g.extent.xmin - g.xres / 2) / g.xres, (g.extent.ymax - y - g.yres / 2) / g.yres
+            rr, cc = np.floor(fy).astype(np.int64), np.floor(fx).astype(np.int64)
+            place = lambda i, n: np.clip(i, 0, n - 1)
+            up, below = place(rr - top + 1, h.shape[0]), place(rr - top + 2, h.shape[0])
+            west, east = place(cc - left + 1, h.shape[1]), place(cc - left + 2, h.shape[1])
+            tx, ty = (fx - cc)[None, :], (fy - rr)[:, None]
+            got = mix(mix(h[np.ix_(up, west)], h[np.ix_(up, east)], tx), mix(h[np.ix_(below, west)], h[np.ix_(below, east)], tx), ty)
+            got[(y < g.extent.ymin) | (y > g.extent.ymax), :] = np.nan
+            got[:, (x < g.extent.xmin) | (x > g.extent.xmax)] = np.nan
+            np.copyto(out, got, where=np.isnan(out))
+        r, c = np.nonzero(~np.isnan(out))
+        return pa.table({"row": pa.array(row[r].astype(np.int32)), "col": pa.array(col[c].astype(np.int32)), "value": pa.array(out[r, c])})
+
+    tasks = min(MAX_TASKS, target.ncell // (16 * BLOCK_CELLS))  # by what they make, which may be much more than they get
+    spread = parts.repartition(tasks, "tr", "tc") if tasks > 1 else parts
+    return spread.groupBy("tr", "tc").applyInArrow(run, "row int, col int, value double")
 
 
 def mean_elevation(dem: DataFrame, grid: Grid, zones: Grid) -> DataFrame:
@@ -67,14 +146,7 @@ def merge_elevation(dems: list[tuple[DataFrame, int]]) -> DataFrame:
 
 def buffer_elevation(elevation: DataFrame, grid: Grid, dems: list[tuple[DataFrame, Grid]]) -> DataFrame:
     """Fill the cells without elevation from the ground grids, finest first."""
-    empty = grid.dense(elevation.sparkSession).join(values(elevation), CELL, "left_anti")
-    at = empty.withColumns({"x": grid.x(), "y": grid.y()})
-    parts = None
-    for order, (dem, g) in enumerate(dems):
-        part = bilinear(at.where(g.extent.inside()), dem, g, "value").where("value is not null")
-        part = part.select("row", "col", "value", F.lit(order).alias("ord"))
-        parts = part if parts is None else parts.unionByName(part)
-    return values(elevation).unionByName(parts.groupBy(*CELL).agg(F.min_by("value", "ord").alias("value")))
+    return _onto([(elevation, grid, True), *((dem, g, False) for dem, g in dems)], grid)
 
 
 def _complete(elevation: DataFrame, grid: Grid) -> DataFrame:
