@@ -11,7 +11,6 @@ result of one raster.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -183,15 +182,15 @@ def _flooded(tiles: DataFrame, tile: int, cutoff: float, max_height: float, bin_
             reports.append({"to_tr": tr + dr, "to_tc": tc + dc, "report": out.tobytes()})
         return crowns.tobytes(), reports
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, t: pa.Table) -> pa.Table:
         kind = pa.list_(pa.struct([("to_tr", pa.int32()), ("to_tc", pa.int32()), ("report", pa.binary())]))
-        for b in batches:
-            for k in range(b.num_rows):
-                tr, tc, heights, tops, around = (b.column(n)[k].as_py() for n in range(5))
-                crowns, reports = one(tr, tc, heights, tops, around or [])
-                yield pa.RecordBatch.from_arrays([pa.array([tr], pa.int32()), pa.array([tc], pa.int32()), pa.array([crowns], pa.binary()), pa.array([reports], kind)], names=["tr", "tc", "crowns", "reports"])
+        tr, tc = key[0].as_py(), key[1].as_py()
+        heights, tops, around = (t[n][0].as_py() for n in ("heights", "tops", "around"))
+        crowns, reports = one(tr, tc, heights, tops, around or [])
+        return pa.table([pa.array([tr], pa.int32()), pa.array([tc], pa.int32()), pa.array([crowns], pa.binary()), pa.array([reports], kind)], names=["tr", "tc", "crowns", "reports"])
 
-    return tiles.select("tr", "tc", "heights", "tops", "around").mapInArrow(run, schema)
+    # by tile, as a batch of many tiles does not fit a task
+    return tiles.select("tr", "tc", "heights", "tops", "around").groupBy("tr", "tc").applyInArrow(run, schema)
 
 
 def segments(csm: DataFrame, tops: DataFrame, grid: Grid, tile: int = 512, cutoff: float = 2.0, max_height: float = 100.0, bin_size: float = 0.01) -> DataFrame:
@@ -236,14 +235,12 @@ def segments(csm: DataFrame, tops: DataFrame, grid: Grid, tile: int = 512, cutof
 
 
 def _unpacked(tiles: DataFrame, tile: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                tr, tc = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                row, col = np.frombuffer(b.column(2)[k].as_buffer(), "<i4").reshape(2, tile, tile)
-                r, c = np.nonzero(row != -1)
-                low = row[r, c] == -2
-                names = [pa.array(v[r, c], pa.int32(), mask=low) for v in (row, col)]
-                yield pa.RecordBatch.from_arrays([pa.array((r + tr * tile).astype(np.int32)), pa.array((c + tc * tile).astype(np.int32)), *names], names=["row", "col", "tao_row", "tao_col"])
-
-    return tiles.select("tr", "tc", "crowns").mapInArrow(run, "row int, col int, tao_row int, tao_col int")
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        tr, tc = key[0].as_py(), key[1].as_py()
+        row, col = np.frombuffer(t["crowns"][0].as_buffer(), "<i4").reshape(2, tile, tile)
+        r, c = np.nonzero(row != -1)
+        low = row[r, c] == -2
+        names = [pa.array(v[r, c], pa.int32(), mask=low) for v in (row, col)]
+        return pa.table([pa.array((r + tr * tile).astype(np.int32)), pa.array((c + tc * tile).astype(np.int32)), *names], names=["row", "col", "tao_row", "tao_col"])
+
+    return tiles.select("tr", "tc", "crowns").groupBy("tr", "tc").applyInArrow(run, "row int, col int, tao_row int, tao_col int")
