@@ -13,36 +13,34 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.grid import Grid
+from ..functions.grid import CELLS_PER_TASK, MAX_TASKS, Grid
 
 SUMS = ("n", "nc", "zsum", "top")
 METRICS = "row int, col int, n long, cover double, mean double, top double"
 
 
-# State by cell -------------------------------------------------------------------------------------
+# State by block of cells -----------------------------------------------------------------------------
 def _partial(rows: DataFrame) -> DataFrame:
     """Sums of each task's rows by cell, batch by batch, so that fewer rows are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b]).group_by(["row", "col", "total", "covered"])
-            s = t.aggregate([("n", "sum"), ("nc", "sum"), ("zsum", "sum"), ("top", "max"), ("ended", "sum")])
-            names = ["row", "col", "total", "covered", "n", "nc", "zsum", "top", "ended"]
-            got = {n: pc.cast(s[c], k) for n, c, k in zip(names, [*names[:4], "n_sum", "nc_sum", "zsum_sum", "top_max", "ended_sum"], _KINDS)}
+            s = pa.Table.from_batches([b]).group_by(["row", "col"]).aggregate([("n", "sum"), ("nc", "sum"), ("zsum", "sum"), ("top", "max")])
+            got = {n: pc.cast(s[c], k) for n, c, k in zip(["row", "col", *SUMS], ["row", "col", "n_sum", "nc_sum", "zsum_sum", "top_max"], _KINDS)}
             yield from pa.table(got).to_batches()
 
-    return rows.mapInArrow(run, "row int, col int, total int, covered int, n long, nc long, zsum double, top double, ended long")
+    return rows.mapInArrow(run, "row int, col int, n long, nc long, zsum double, top double")
 
 
-_KINDS = [*[pa.int32()] * 4, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 #: Cells along the side of a block, whose cells share a state.
-BLOCK = 64
-#: What a state holds of each cell.
-HELD = np.dtype([("total", "<i4"), ("ended", "<i4"), ("n", "<i8"), ("nc", "<i8"), ("zsum", "<f8"), ("top", "<f8"), ("out", "?")])
+BLOCK = 256
+#: What a state holds of each cell with points that has not come out.
+HELD = np.dtype([("place", "<i4"), ("n", "<i8"), ("nc", "<i8"), ("zsum", "<f8"), ("top", "<f8")])
 
 
 def completed(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2.0, name: str = "file", keep: Column | None = None) -> DataFrame:
@@ -51,43 +49,66 @@ def completed(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2
     ``points``: a stream of ``name, x, y, z`` and ``last``; a row with ``last`` true ends its file.  ``files``: a table of boxes
     by ``name``, all the files that will come.  ``keep``: points that count.  A file counts as read at its end row, however
     many batches it came in; a file without points has the end row alone.  Cells that no file covers never come out;
-    covered cells without points come out with ``n`` 0.  State is kept by block of ``BLOCK`` squared cells, as one array, and
-    dropped when all covered cells of the block have come out.
+    covered cells without points come out with ``n`` 0.  State is kept by block of ``BLOCK`` squared cells: the boxes that cover
+    it, those that have ended, and sums of cells that hold points; it is
+    dropped when all covered cells of the block have come out.  The end of a file sends each block its box, not its cells.
     """
-    cover = grid.covered(files.select(name, "xmin", "xmax", "ymin", "ymax"), "out").select(name, "row", "col")
-    totals = cover.groupBy("row", "col").agg(F.count("*").cast("int").alias("total"))
-    block = {"br": F.expr(f"cast(row div {BLOCK} as int)"), "bc": F.expr(f"cast(col div {BLOCK} as int)")}
-    sizes = totals.withColumns(block).groupBy("br", "bc").agg(F.count("*").cast("int").alias("covered"))
-    high = (F.col("z") >= canopy).cast("long")
+    side = lambda first, last: F.sequence(F.expr(f"{first} div {BLOCK}").cast("int"), F.expr(f"{last} div {BLOCK}").cast("int"))
+    parts = grid.spans(files.select(name, "xmin", "xmax", "ymin", "ymax"), "out").withColumn("br", F.explode(side("_r0", "_r1")))
+    tasks = min(MAX_TASKS, grid.ncell // (BLOCK * CELLS_PER_TASK))
+    parts = (parts.repartition(tasks, "br") if tasks > 1 else parts).withColumn("bc", F.explode(side("_c0", "_c1")))
+    sides = [F.greatest("_r0", F.col("br") * BLOCK), F.least("_r1", F.col("br") * BLOCK + BLOCK - 1), F.greatest("_c0", F.col("bc") * BLOCK), F.least("_c1", F.col("bc") * BLOCK + BLOCK - 1)]
+    parts = parts.select(name, "br", "bc", F.array(*sides).alias("box"))
+    boxes = parts.groupBy("br", "bc").agg(F.flatten(F.collect_list("box")).alias("boxes"))  # of the files that meet in a block
+    high = F.col("z") >= canopy
     own = points.where(~F.col("last"))
     own = grid.with_cells(own.where(keep) if keep is not None else own)
-    own = own.select("row", "col", F.lit(0).alias("total"), F.lit(0).alias("covered"), F.lit(1).cast("long").alias("n"), high.alias("nc"), F.when(F.col("z") >= canopy, F.col("z")).otherwise(0.0).alias("zsum"), F.when(F.col("z") >= canopy, F.col("z")).alias("top"), F.lit(0).cast("long").alias("ended"))
-    ends = points.where("last").select(name).join(cover, name).join(totals, ["row", "col"]).withColumns(block).join(sizes, ["br", "bc"])
+    own = own.select("row", "col", F.lit(1).cast("long").alias("n"), high.cast("long").alias("nc"), F.when(high, F.col("z")).otherwise(0.0).alias("zsum"), F.when(high, F.col("z")).alias("top"))
+    own = _partial(own).withColumns({"br": F.expr(f"cast(row div {BLOCK} as int)"), "bc": F.expr(f"cast(col div {BLOCK} as int)")})
+    nothing = F.array().cast("array<int>")
+    own = own.select("br", "bc", "row", "col", *SUMS, nothing.alias("box"), nothing.alias("boxes"))
+    ends = points.where("last").select(name).join(parts, name).join(boxes, ["br", "bc"])
     none = F.lit(0).cast("long")
-    ends = ends.select("row", "col", "total", "covered", none.alias("n"), none.alias("nc"), F.lit(0.0).alias("zsum"), F.lit(None).cast("double").alias("top"), F.lit(1).cast("long").alias("ended"))
+    ends = ends.select("br", "bc", F.lit(-1).alias("row"), F.lit(-1).alias("col"), none.alias("n"), none.alias("nc"), F.lit(0.0).alias("zsum"), F.lit(None).cast("double").alias("top"), "box", "boxes")
+
+    def counted(of: np.ndarray, key: tuple) -> np.ndarray:
+        """How many boxes cover each cell of a block."""
+        out = np.zeros((BLOCK, BLOCK), np.int32)
+        for r0, r1, c0, c1 in of.reshape(-1, 4) - np.array([key[0], key[0], key[1], key[1]]) * BLOCK:
+            out[r0 : r1 + 1, c0 : c1 + 1] += 1
+        return out.ravel()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, of, ended = np.zeros(0, HELD), np.zeros(0, np.int32), np.zeros(0, np.int32)
         if state.exists:
-            raw, covered = state.get
-            held = np.frombuffer(raw, HELD).copy()
-        else:
-            held, covered = np.zeros(BLOCK * BLOCK, HELD), 0
-            held["top"] = np.nan
+            held, of, ended = (np.frombuffer(raw, kind) for raw, kind in zip(state.get, (HELD, np.int32, np.int32)))
+        total = counted(of, key)
+        before = (total > 0) & (counted(ended, key) >= total)
+        sums = np.zeros(BLOCK * BLOCK, HELD)
+        sums["top"] = np.nan
+        sums[held["place"]] = held
         for f in frames:
+            at_end = (f["row"] < 0).to_numpy()
+            for box, boxes in zip(f["box"][at_end], f["boxes"][at_end]):
+                ended = np.append(ended, np.asarray(box, np.int32))
+                of = np.asarray(boxes, np.int32)
+            f = f[~at_end]
             at = (f["row"].to_numpy() - key[0] * BLOCK) * BLOCK + f["col"].to_numpy() - key[1] * BLOCK
-            covered = max(covered, int(f["covered"].max()))
-            np.maximum.at(held["total"], at, f["total"].to_numpy())
-            np.fmax.at(held["top"], at, f["top"].to_numpy(float))
-            for name in ("ended", "n", "nc", "zsum"):
-                np.add.at(held[name], at, f[name].to_numpy())
-        ready = np.flatnonzero(~held["out"] & (held["total"] > 0) & (held["ended"] >= held["total"]))
-        held["out"][ready] = True
-        if covered and held["out"].sum() >= covered:
+            np.fmax.at(sums["top"], at, f["top"].to_numpy(float))
+            for name in ("n", "nc", "zsum"):
+                np.add.at(sums[name], at, f[name].to_numpy())
+        total = counted(of, key)
+        out = (total > 0) & (counted(ended, key) >= total)
+        if len(of) and (out | (total == 0)).all():
             if state.exists:
                 state.remove()
         else:
-            state.update((held.tobytes(), covered))
-        done = held[ready]
+            rest = np.flatnonzero((sums["n"] > 0) & ~out)
+            held = sums[rest]
+            held["place"] = rest
+            state.update((held.tobytes(), of.tobytes(), ended.tobytes()))
+        ready = np.flatnonzero(out & ~before)
+        done = sums[ready]
         n, nc = done["n"].astype(float), done["nc"].astype(float)
         share = lambda a, b: np.divide(a, b, out=np.full(len(a), np.nan), where=b > 0)
         yield pd.DataFrame({
@@ -95,8 +116,7 @@ def completed(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2
             "n": done["n"], "cover": share(100.0 * nc, n), "mean": share(done["zsum"], nc), "top": done["top"],
         })
 
-    grouped = _partial(own.unionByName(ends)).withColumns(block).groupBy("br", "bc")
-    return grouped.applyInPandasWithState(step, METRICS, "cells binary, covered int", "append", GroupStateTimeout.NoTimeout)
+    return own.unionByName(ends).groupBy("br", "bc").applyInPandasWithState(step, METRICS, "cells binary, boxes binary, ended binary", "append", GroupStateTimeout.NoTimeout)
 
 
 # Sums of batches as files --------------------------------------------------------------------------
@@ -137,10 +157,14 @@ def complete_cells(spark: SparkSession, folder: str, files: DataFrame, grid: Gri
     """
     seen = spark.read.parquet(f"{folder}/files").groupBy("file_id").agg(F.sum("count").alias("seen"))
     read = files.join(seen, "file_id", "left").where(F.coalesce("seen", F.lit(0)) >= F.col("n")).select("file_id")
-    cover = grid.covered(files, "out").select("row", "col", "file_id")
-    waiting = cover.join(read, "file_id", "left_anti").select("row", "col").distinct()
-    done = cover.select("row", "col").distinct().join(waiting, ["row", "col"], "left_anti")
-    return merge_partials(spark.read.parquet(f"{folder}/partials")).join(done, ["row", "col"], "left_semi")
+    waiting = files.join(read.withColumn("_read", F.lit(1)), "file_id", "left").withColumn("_waiting", F.isnull("_read").cast("int"))
+    runs = grid.tallies(waiting, {"waiting": F.col("_waiting")}).withColumn("run", F.struct("z", "waiting")).select("row", F.col("a").alias("col"), F.lit(0).alias("kind"), "run")
+    cells = merge_partials(spark.read.parquet(f"{folder}/partials"))
+    both = cells.withColumn("kind", F.lit(1)).unionByName(runs, allowMissingColumns=True)
+    # each cell sees the run that begins last before it in its row
+    along = Window.partitionBy("row").orderBy("col", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("run", F.last("run", ignorenulls=True).over(along))
+    return found.where("kind = 1 and col <= run.z and run.waiting = 0").select(*cells.columns)
 
 
 # Ground that is covered bit by bit -----------------------------------------------------------------
@@ -148,38 +172,56 @@ def completed_ground(ground: DataFrame, grid: Grid, zones: Grid, order: str = "o
     """Stream of ``(row, col, value, n)``: the mean ground of each zone, once, when all its fine cells have a value.
 
     ``ground``: a stream of ``row, col, value`` in ``grid`` and ``order``, the priority of the file of each; of files that
-    overlap the first of a fine cell that comes stays, within a batch that of the smaller order.  The state of a zone
-    is a bitmap of the fine cells that are still open, and the sum so far; it goes when the bitmap is empty.
+    overlap the first of a fine cell that comes stays, within a batch that of the smaller order.  The state of a block of zones
+    is a bitmap of the fine cells that are still open, and the zones' sums so far; it goes when the bitmap is empty.
     A zone that is never covered wholly never comes out.
     """
     at = {"zr": zones.row(grid.y()), "zc": zones.col(grid.x())}
-    rows = ground.where("value is not null").withColumns(at).select("zr", "zc", grid.cell().alias("place"), F.col(order).cast("long").alias("ord"), F.col("value").cast("double").alias("value"))
     inner_x, inner_y = grid.extent.xmin + (np.arange(grid.ncol) + 0.5) * grid.xres, grid.extent.ymax - (np.arange(grid.nrow) + 0.5) * grid.yres
     of_col = np.minimum(np.floor((inner_x - zones.extent.xmin) / zones.xres), zones.ncol - 1).astype(np.int64)
     of_row = np.minimum(np.floor((zones.extent.ymax - inner_y) / zones.yres), zones.nrow - 1).astype(np.int64)
-
-    def span(of: np.ndarray, k: int) -> tuple[int, int]:
-        return int(np.searchsorted(of, k)), int(np.searchsorted(of, k, "right"))
+    # zones along the sides of a block, so that it has some BLOCK fine cells along each
+    high, wide = (max(1, int(BLOCK * fine / coarse)) for fine, coarse in ((grid.yres, zones.yres), (grid.xres, zones.xres)))
+    block = {"br": F.expr(f"cast(zr div {high} as int)"), "bc": F.expr(f"cast(zc div {wide} as int)")}
+    rows = ground.where("value is not null").withColumns(at).withColumns(block)
+    rows = rows.select("br", "bc", "row", "col", F.col(order).cast("long").alias("ord"), F.col("value").cast("double").alias("value"))
+
+    def edges(of: np.ndarray, first: int, n: int) -> np.ndarray:
+        """Where each of ``n`` zones begins among the fine rows or columns, and where the last ends."""
+        return np.searchsorted(of, np.arange(first, first + n + 1))
+
+    def by_zone(cells: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """How many cells of each zone are set."""
+        sums = np.zeros((cells.shape[0] + 1, cells.shape[1] + 1), np.int64)
+        sums[1:, 1:] = cells.cumsum(0, dtype=np.int64).cumsum(1)
+        r, c = r - r[0], c - c[0]
+        return np.diff(np.diff(sums[np.ix_(r, c)], axis=0), axis=1)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (r0, r1), (c0, c1) = span(of_row, key[0]), span(of_col, key[1])
-        size = (r1 - r0) * (c1 - c0)
+        zr, zc = key[0] * high, key[1] * wide
+        r, c = edges(of_row, zr, min(high, zones.nrow - zr)), edges(of_col, zc, min(wide, zones.ncol - zc))
+        shape, many = (r[-1] - r[0], c[-1] - c[0]), (len(r) - 1, len(c) - 1)
         if state.exists:
-            bits, total = state.get
-            open_ = np.unpackbits(np.frombuffer(bits, np.uint8), count=size).astype(bool)
+            bits, sums = state.get
+            open_ = np.unpackbits(np.frombuffer(bits, np.uint8), count=shape[0] * shape[1]).astype(bool).reshape(shape)
+            total = np.frombuffer(sums, float).reshape(many).copy()
         else:
-            open_, total = np.ones(size, bool), 0.0
-        f = pd.concat(list(frames)).sort_values(["place", "ord"], kind="stable").drop_duplicates("place")
-        place = (f["place"].to_numpy() // grid.ncol - r0) * (c1 - c0) + f["place"].to_numpy() % grid.ncol - c0
-        new = open_[place]
-        total += float(f["value"].to_numpy()[new].sum())
-        open_[place] = False
+            open_, total = np.ones(shape, bool), np.zeros(many)
+        before = by_zone(open_, r, c)
+        f = pd.concat(list(frames)).sort_values(["row", "col", "ord"], kind="stable").drop_duplicates(["row", "col"])
+        row, col, value = (f[n].to_numpy() for n in ("row", "col", "value"))
+        new = open_[row - r[0], col - c[0]]
+        np.add.at(total, (of_row[row[new]] - zr, of_col[col[new]] - zc), value[new])
+        open_[row - r[0], col - c[0]] = False
+        left = by_zone(open_, r, c)
         if not open_.any():
             if state.exists:
                 state.remove()
-            yield pd.DataFrame({"row": [key[0]], "col": [key[1]], "value": [total / size], "n": [size]})
         else:
-            state.update((np.packbits(open_).tobytes(), total))
+            state.update((np.packbits(open_).tobytes(), total.tobytes()))
+        a, b = np.nonzero((left == 0) & (before > 0))
+        size = np.diff(r)[a] * np.diff(c)[b]
+        yield pd.DataFrame({"row": (a + zr).astype("int32"), "col": (b + zc).astype("int32"), "value": total[a, b] / size, "n": size.astype("int64")})
 
-    grouped = rows.groupBy("zr", "zc")
-    return grouped.applyInPandasWithState(step, "row int, col int, value double, n long", "bits binary, total double", "append", GroupStateTimeout.NoTimeout)
+    grouped = rows.groupBy("br", "bc")
+    return grouped.applyInPandasWithState(step, "row int, col int, value double, n long", "bits binary, sums binary", "append", GroupStateTimeout.NoTimeout)
