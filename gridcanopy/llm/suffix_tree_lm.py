@@ -12,9 +12,10 @@ Every token is one row of four word codes and its text, dealt by the word before
 that end in a word meet in one bucket of some BUCKET_TOKENS rows, where they are counted, tested and
 applied.  A word that would fill a quarter of a bucket or more is dealt by the class of the words before it
 (a hash of the next, of two if that is frequent too, and so on), so many classes that each takes about
-that much; each class is a context of its own in its place.  Rows travel as packed arrays, so the shuffle moves a few
-large rows.  Only the counts of the CACHED most frequent words are broadcast; other words' counts
-come from a join, and until then count as seen once, which is the least they can be.
+that much.  Contexts of frequent words alone, whose rows so lie in several buckets, are counted and tested
+beforehand by joins and sums over all rows, and each bucket is told the probabilities that it needs: what is a state does
+not depend on buckets.  Rows travel as packed arrays, so the shuffle moves a few large rows.  Only the counts of the CACHED
+most frequent words are broadcast; a bucket is told those of the other words that it holds.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize, release
 from .toxicity import held_out
 
 DEPTH = 3
@@ -45,9 +46,13 @@ START = 0
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.int64(0xFFFFFFFF)
 _DEALT = ("bucket", "step", "row", "n", "known", "base", "id", "blob")
-#: Of packed rows: the words before, the word, the text in its step, whether it is learnt from; hashes of words that are not cached.
+#: Of packed rows: the words before, the word, how many texts of its step on, whether it is learnt from; hashes of words that are not cached.
 _PACKED = ["<i4"] * (DEPTH + 1) + ["<u4", "u1", "<u8"]
-TEXT, SUMS, WORD = 0, 1, 2
+#: Of packed sums: the text in its step; score, base and known ones of the words that are not cached.
+_SUMS = ["<u4", "<f8", "<f8", "<u4"]
+#: The frequent words before a token, the nearest first.
+_CONTEXT = [f"c{k}" for k in range(1, DEPTH + 1)]
+NONE = -1
 
 
 class Words(dict):
@@ -157,6 +162,8 @@ def count_words(texts: DataFrame) -> DataFrame:
                     parts = []
         if parts:
             yield out()
+        words.clear()
+        give_back()
 
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -183,11 +190,34 @@ def dealt(vocabulary: Vocabulary, left: list[np.ndarray], rid: np.ndarray, bucke
         for c in left[1:]:
             seed = np.where(going, _mix(c[at], seed), seed)
             going &= vocabulary.frequent(c[at]) > 1
-        seed = np.where(going, _mix(rid[at], seed), seed)  # frequent words throughout: part by text
+        seed = np.where(going, _mix(rid[at], seed), seed)  # frequent words throughout
         h[at] += seed % classes[at].astype(np.uint64)
     return (h % np.uint64(buckets)).astype(np.int64)
 
 
+def parts_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What parts the rows of frequent words throughout: the word and its place, the same however texts are read."""
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return _mix(tokens, place).view(np.int64)
+
+
+def spread(vocabulary: Vocabulary, left: list[np.ndarray]) -> np.ndarray:
+    """How many words before each token are frequent, from the nearest on: contexts up to that length lie in several buckets."""
+    out, going = np.zeros(len(left[0]), np.int8), np.ones(len(left[0]), bool)
+    for c in left:
+        going &= vocabulary.frequent(c) > 1
+        out += going
+    return out
+
+
+def entry_key(context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+    """A hash of each context (``NONE`` in unused places) and word."""
+    h = word.astype(np.uint64)
+    for c in context:
+        h = _mix(c, h)
+    return h
+
+
 def pack(columns: list[np.ndarray]) -> bytes:
     """Arrays one after another, each by bytes of equal weight, deflated."""
     raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
@@ -226,26 +256,33 @@ def _key(group: np.ndarray, code: np.ndarray) -> np.ndarray:
     return key
 
 
-def apply_tree(left: list[np.ndarray], word: np.ndarray, train: np.ndarray, p: np.ndarray, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray, int]:
+def apply_tree(left: list[np.ndarray], word: np.ndarray, train: np.ndarray, p: np.ndarray, min_gain: float = MIN_GAIN, deep: np.ndarray | None = None, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Count, test and apply the contexts of some rows: ``(probability, was seen in a state, states)``.
 
     ``p`` is the probability of each row's word by frequency alone, and is overwritten; rows with ``train``
-    are counted.
+    are counted.  Contexts up to a length of ``deep`` are applied already: ``p`` is that by the longest of
+    them, and ``total`` how often it was seen.
     """
     seen, states = np.zeros(len(word), bool), 0
     at, group = np.arange(len(word), dtype=np.int32), np.zeros(len(word), np.int32)
     above = None
-    for c in left:
+    for length, c in enumerate(left, 1):
         group, many = _dense(_key(group, c[at]))
         n = np.bincount(group, train[at], many)
-        live = n[group] >= 2
-        at, group = at[live], group[live]
+        own_n = n[group]
+        if deep is not None:
+            own_n = np.where(deep[at] >= length, total[at], own_n)
+        live = own_n >= 2
+        at, group, own_n = at[live], group[live], own_n[live]
         if above is not None:
             above = above[live]
         if not len(at):
             break
         # a context that always stands in the same longer one tells nothing new
-        new = slice(None) if above is None else np.flatnonzero(n[group] < above)
+        test = np.ones(len(at), bool) if above is None else own_n < above
+        if deep is not None:
+            test &= deep[at] < length
+        new = slice(None) if test.all() else np.flatnonzero(test)
         rows, own = at[new], group[new]
         if len(rows):
             entry, many_entries = _dense(_key(own, word[rows]))
@@ -264,10 +301,50 @@ def apply_tree(left: list[np.ndarray], word: np.ndarray, train: np.ndarray, p: n
             rows, own, entry = rows[ok], own[ok], entry[ok]
             p[rows] = (np.maximum(times[entry] - DISCOUNT, 0) + DISCOUNT * distinct[own] * p[rows]) / n[own]
             seen[rows] |= times[entry] > 0
-        above = n[group]
+        above = own_n
     return p, seen, states
 
 
+def _level(entries: DataFrame, context: list[str], min_gain: float) -> DataFrame:
+    """``(context, word, p, n)``: the contexts of one length counted, tested and applied.
+
+    ``entries`` are all distinct ``(context, word, c, old, up)``: how often the word was seen there, its probability by the next shorter
+    context and how often that was seen (null: there is none).
+    """
+    c, old, n = F.col("c"), F.col("old"), F.col("n")
+    sums = entries.groupBy(*context).agg(F.sum("c").alias("n"), F.count_if(c > 0).alias("distinct"))
+    left_out = (F.greatest(c - 1 - DISCOUNT, F.lit(0.0)) + DISCOUNT * (F.col("distinct") - (c == 1).cast("int")) * old) / F.greatest(n - 1, F.lit(1))
+    gain = F.sum(F.when((c > 0) & (n > 1), c * F.ln(left_out / old)))
+    tested = entries.join(sums, context).groupBy(*context).agg(F.first("n").alias("n"), F.first("distinct").alias("distinct"), gain.alias("gain"), F.first("up").alias("up"))
+    kept = (n >= 2) & (F.col("up").isNull() | (n < F.col("up"))) & (F.coalesce("gain", F.lit(0.0)) >= min_gain)
+    states = tested.select(*context, "n", "distinct", kept.alias("kept"))
+    p = F.when(F.col("kept"), (F.greatest(c - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("distinct") * old) / n).otherwise(old)
+    return entries.join(states, context).select(*context, "word", p.alias("p"), "n")
+
+
+def tell(asked: DataFrame, words: DataFrame, z: float, min_gain: float) -> DataFrame:
+    """``(bucket, c1.., word, p, n)`` for words after frequent ones, ``(bucket, c1.., word, c, total)``.
+
+    The probability of the word by its longest context of frequent words alone, and how often that was seen.
+    """
+    entries = materialize(asked.groupBy("c1", "word").agg(F.sum("c").alias("c"), F.max("total").alias("total")))
+    other = entries.where("total is null").drop("total").join(words.select(F.col("key").alias("word"), F.col("n").alias("total")), "word", "left")
+    entries = entries.where("total is not null").unionByName(other)
+    root = (F.coalesce("total", F.lit(0)) + 0.5) / F.lit(z)
+    known = materialize(_level(materialize(entries.select("c1", "word", "c", root.alias("old"), F.lit(None).cast("long").alias("up"))), _CONTEXT[:1], min_gain))
+    told = asked.where(F.col("c2") == NONE).join(known, ["c1", "word"])
+    for length in range(2, DEPTH + 1):
+        context = _CONTEXT[:length]
+        here = asked.where(F.col(context[-1]) != NONE)
+        longer = here.groupBy(*context, "word").agg(F.sum("c").alias("c"))
+        shorter = known.select(*context[:-1], "word", F.col("p").alias("old"), F.col("n").alias("up"))
+        known = materialize(_level(materialize(longer.join(shorter, [*context[:-1], "word"])), context, min_gain))
+        if length < DEPTH:
+            here = here.where(F.col(_CONTEXT[length]) == NONE)
+        told = told.unionByName(here.join(known, [*context, "word"]))
+    return told.select("bucket", *_CONTEXT, "word", "p", "n")
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET_TOKENS, cached: int = CACHED, min_gain: float = MIN_GAIN) -> tuple[DataFrame, int]:
     """Learn from the rows that meet ``train`` and score all rows; also the number of training tokens.
 
@@ -309,10 +386,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 n = sizes, np.bincount(own, cached_word, len(sizes))
                 ids = b.column(0).slice(first, len(sizes))
                 yield emit(_mix(row + step) % np.uint64(buckets), row, ids, n, np.bincount(own, root, len(sizes)), [None] * len(sizes))
-                where = dealt(v, left, own.astype(np.int64) + step, buckets)
+                where = dealt(v, left, parts_of(t, sizes), buckets)
                 order = np.argsort(where.astype(np.uint16), kind="stable")
                 edge = np.searchsorted(where[order], np.arange(buckets + 1))
-                cols = [c[order] for c in (*left, code, own)]
+                cols = [c[order] for c in (*left, np.maximum(code, -1), own)]  # the hash says which other word it is
                 rare = t[order]
                 counted = learn[first : first + len(sizes)][cols[-1]].astype(np.uint8)
                 at, blobs = [], []
@@ -320,24 +397,54 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     lo, hi = int(edge[k]), int(edge[k + 1])
                     wide = rare[lo:hi][cols[DEPTH][lo:hi] < 0]
                     head = np.array([hi - lo, len(wide)], np.int64).tobytes()
-                    blobs.append(head + pack([*(c[lo:hi] for c in cols), counted[lo:hi], wide]))
+                    steps = np.diff(cols[-1][lo:hi], prepend=np.uint32(0))
+                    blobs.append(head + pack([*(c[lo:hi] for c in cols[:-1]), steps, counted[lo:hi], wide]))
                     at.append(k)
                 none = np.zeros(len(at))
                 yield emit(at, none - 1, pa.nulls(len(at), b.column(0).type), (none, none), none, blobs)
                 step += len(sizes)
+        known.clear()
+        give_back()
 
-    def work(got: pa.Table) -> pa.Table:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each bucket has to be told: words that are not cached, and words after frequent ones, with their counts."""
+        v, known = held.value, Words()
+        for b in batches:
+            learn = b.column(1).to_numpy(zero_copy_only=False)
+            for first, t, sizes in chunks(b.column(0).to_pylist(), known):
+                code = v.codes(t)
+                left = before(code, sizes)
+                counted = np.repeat(learn[first : first + len(sizes)], sizes)
+                where, deep = dealt(v, left, parts_of(t, sizes), buckets), spread(v, left)
+                word = np.where(code > 0, code, t.view(np.int64))
+                for length in range(0 if asks else 1, DEPTH + 1):
+                    at = np.flatnonzero(deep == length if length else code < 0)
+                    if not len(at):
+                        continue
+                    context = [c[at] if k < length else np.full(len(at), NONE, np.int32) for k, c in enumerate(left)]
+                    _, one, of = np.unique(_mix(where[at], entry_key(context, word[at])), return_index=True, return_inverse=True)
+                    times = np.bincount(of, counted[at], len(one)).astype(np.int64)
+                    at = at[one]
+                    total = pa.array(v.counts[np.maximum(code[at], 1) - 1] if len(v.keys) else np.zeros(len(at), np.int64), pa.int64(), mask=code[at] < 0)
+                    cols = [where[at], *(c[one] for c in context), word[at], times]
+                    del context, one, of
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), total], names=["bucket", *_CONTEXT, "word", "c", "total"])
+        known.clear()
+        give_back()
+
+    def work(got: pa.Table, told: pa.Table) -> pa.Table:
         v = held.value
         is_text = got["blob"].is_null()
         texts, blobs = got.filter(is_text), got.filter(pc.invert(is_text)).select(["step", "blob"])
         id_type = texts["id"].type
-        out = [_rows(TEXT, texts["step"], texts["row"], texts["id"], (texts["n"], texts["known"]), texts["base"])]
+        out = [_rows(texts["step"], texts["row"], texts["id"], (texts["n"], texts["known"]), texts["base"])]
         steps = blobs["step"].to_numpy()
         parts, sizes = [], []
         for blob in blobs["blob"]:
             raw = blob.as_py()
             n, wide = np.frombuffer(raw, np.int64, 2).tolist()
             parts.append(unpack(raw[16:], _PACKED, [n] * (DEPTH + 3) + [wide]))
+            np.cumsum(parts[-1][DEPTH + 1], out=parts[-1][DEPTH + 1])
             sizes.append(n)
         del got, blobs
         if not parts:
@@ -350,27 +457,40 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         begin = np.append(True, own[1:] != own[:-1])
         begin[edge[:-1]] = True
         begin = np.flatnonzero(begin)
-        cached_word = word > 0
-        least = math.log10(1.5 / v.z)
-        p = 10 ** np.where(cached_word, v.log_root[np.maximum(word, 1) - 1] if len(v.keys) else 0.0, least)
-        p, seen, _ = apply_tree(left, word, counted.view(bool), p, min_gain)
-        del left, word, counted
-        # a word that is not cached and was seen in no state gets its frequency by the join
-        value = np.log10(p) - np.where(cached_word | seen, 0.0, least)
+        answers = _Answers(told)
+        del told
+        other = np.flatnonzero(word < 0)
+        p = 10 ** v.log_root[np.maximum(word, 1) - 1] if len(v.keys) else np.ones(len(word))
+        names, of = np.unique(rare, return_inverse=True)
+        times = np.zeros(len(names), np.int64)
+        if len(names) and asks:
+            times = answers.n[answers.find([np.full(len(names), NONE, np.int32)] * DEPTH, names.view(np.int64))]
+        p[other] = ((times + 0.5) / v.z)[of]
+        text = np.searchsorted(begin, other, "right") - 1
+        base = np.bincount(text, np.log10(p[other]), len(begin))
+        known = np.bincount(text, (times > 0)[of], len(begin)).astype(np.uint32)
+        word[other] = -1 - of
+        names, text, of = names.view(np.int64), None, None
+        deep = spread(v, left)
+        total = np.zeros(len(word), np.int64) if deep.any() else None
+        for k in range(0, len(word), CHUNK // 4):
+            at = k + np.flatnonzero(deep[k : k + CHUNK // 4])
+            if len(at):
+                word_at = word[at].astype(np.int64)
+                word_at[word_at < 0] = names[-1 - word_at[word_at < 0]]
+                place = answers.find([np.where(deep[at] > j, c[at], NONE) for j, c in enumerate(left)], word_at)
+                p[at], total[at] = answers.p[place], answers.n[place]
+        del answers, names, rare, other
+        p, _, _ = apply_tree(left, word, counted.view(bool), p, min_gain, deep if total is not None else None, total)
+        del left, word, counted, deep, total
+        sums, names = np.add.reduceat(np.log10(p), begin), own[begin]
         del p
-        sums, names = np.add.reduceat(value, begin), own[begin]
         cut = np.searchsorted(begin, edge - np.array(sizes)), np.searchsorted(begin, edge)
-        packed = [len(names[a:z]).to_bytes(8, "little") + pack([names[a:z], sums[a:z]]) for a, z in zip(*(c.tolist() for c in cut))]
+        packed = [len(names[a:z]).to_bytes(8, "little") + pack([x[a:z] for x in (names, sums, base, known)]) for a, z in zip(*(c.tolist() for c in cut))]
         none = np.zeros(len(steps))
-        out.append(_rows(SUMS, steps, none, pa.nulls(len(steps), id_type), (none, none), none, blobs=packed))
-        other = np.flatnonzero(~cached_word)
-        if len(other):
-            step = np.repeat(steps, sizes)[other]
-            order = np.lexsort((rare, own[other], step))
-            key, step, own, novel = rare[order], step[order], own[other][order], ~seen[other][order]
-            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (step[1:] != step[:-1])))
-            times, new = (np.add.reduceat(x, first) for x in (np.ones(len(key)), novel.astype(float)))
-            out.append(_rows(WORD, step[first], own[first], pa.nulls(len(first), id_type), (times, new), np.zeros(len(first)), key[first].view(np.int64)))
+        out.append(_rows(steps, none, pa.nulls(len(steps), id_type), (none, none), none, packed))
+        del sums, names, base, known, own, begin
+        give_back()
         return pa.concat_tables(out)
 
     def add_up(got: pa.Table) -> pa.Table:
@@ -378,39 +498,63 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         is_text = got["blob"].is_null()
         texts = got.filter(is_text)
         row = texts["row"].to_numpy()
-        total = np.zeros(int(row.max()) + 1 if len(row) else 0)
+        size = int(row.max()) + 1 if len(row) else 0
+        score, base, known = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
         for blob in got.filter(pc.invert(is_text))["blob"]:
             raw = blob.as_py()
             n = int.from_bytes(raw[:8], "little")
-            names, sums = unpack(raw[8:], ["<u4", "<f8"], [n, n])
-            total[names] += sums
-        return texts.select(["step", "row", "id", "n", "known", "base"]).append_column("score", pa.array(total[row]))
+            names, *more = unpack(raw[8:], _SUMS, [n] * len(_SUMS))
+            for whole, part in zip((score, base, known), more):
+                whole[names] += part
+        known, base = texts["known"].to_numpy() + known[row], texts["base"].to_numpy() + base[row]
+        return pa.table([texts["id"], texts["n"], pa.array(known), pa.array(base), pa.array(score[row])], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
     dealt_rows = picked.mapInArrow(deal, f"bucket long, step long, row long, n long, known long, base double, id {idt}, blob binary")
-    schema = f"kind int, step long, row long, id {idt}, n long, known long, base double, key long, blob binary"
-    parts = materialize(dealt_rows.groupBy("bucket").applyInArrow(work, schema))
-    texts = parts.where(f"kind <> {WORD}").groupBy("step").applyInArrow(add_up, f"step long, row long, id {idt}, n long, known long, base double, score double")
-    z = vocabulary.z
-    log_p = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.5) / F.lit(z))
-    rare = parts.where(f"kind = {WORD}").select("step", "row", "n", "known", "key")
-    found = rare.join(words.select("key", F.col("n").alias("c")), "key", "left").select(
-        "step", "row", F.lit(None).cast(idt).alias("id"), F.lit(0).cast("long").alias("n"), F.when(F.col("c").isNull(), F.lit(0)).otherwise(F.col("n")).alias("known"),
-        (F.col("n") * log_p).alias("base"), (F.col("known") * log_p).alias("score"),
-    )
-    sums = texts.unionByName(found).groupBy("step", "row").agg(
-        F.max("id").alias("id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")
-    )
-    return sums.drop("step", "row"), total["n"]
-
-
-def _rows(kind: int, step, row, ids, n, base, key=None, blobs=None) -> pa.Table:
+    fields = ", ".join(f"{c} int" for c in _CONTEXT)
+    # a bucket has nothing to ask if all words are cached and none is frequent
+    asks = total["v"] > len(vocabulary.keys)
+    told = spark.createDataFrame([], f"bucket long, {fields}, word long, p double, n long")
+    kept = []
+    if asks or vocabulary.classes.max() > 1:
+        kept.append(materialize(picked.select("text", "train").mapInArrow(ask, f"bucket long, {fields}, word long, c long, total long")))
+        other = kept[0].where(F.col("c1") == NONE).select("bucket", *_CONTEXT, "word")
+        count = words.select(F.col("key").alias("word"), F.col("n").alias("n"))
+        told = other.join(count, "word", "left").select("bucket", *_CONTEXT, "word", F.lit(None).cast("double").alias("p"), F.coalesce("n", F.lit(0)).alias("n"))
+    if vocabulary.classes.max() > 1:
+        spread_out = kept[0].where(F.col("c1") != NONE).groupBy("bucket", *_CONTEXT, "word")
+        kept.append(materialize(spread_out.agg(F.sum("c").alias("c"), F.max("total").alias("total"))))
+        told = told.unionByName(tell(kept[1], words, vocabulary.z, min_gain))
+    schema = f"step long, row long, id {idt}, n long, known long, base double, blob binary"
+    parts = materialize(dealt_rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(work, schema))
+    for table in kept:
+        release(table)
+    sums = parts.groupBy("step").applyInArrow(add_up, f"id {idt}, n_tokens long, n_known long, base_score double, score double")
+    return sums, total["n"]
+
+
+class _Answers:
+    """What a bucket is told, by context and word."""
+
+    def __init__(self, told: pa.Table):
+        key = entry_key([told[c].to_numpy() for c in _CONTEXT], told["word"].to_numpy())
+        order = np.argsort(key)
+        self.key, self.p, self.n = key[order], told["p"].to_numpy()[order], told["n"].to_numpy()[order]
+
+    def find(self, context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+        key = entry_key(context, word)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        if not len(self.key) or (self.key[at] != key).any():
+            raise RuntimeError("a bucket was not told all that it asked for")
+        return at
+
+
+def _rows(step, row, ids, n, base, blobs=None) -> pa.Table:
     size = len(step)
     whole = lambda x: x if isinstance(x, pa.ChunkedArray) else pa.array(np.asarray(x).astype(np.int64))
     base = base if isinstance(base, pa.ChunkedArray) else pa.array(base)
-    key = pa.nulls(size, pa.int64()) if key is None else pa.array(key)
     blobs = pa.nulls(size, pa.binary()) if blobs is None else pa.array(blobs, pa.binary())
-    cols = [pa.array(np.full(size, kind, np.int32)), whole(step), whole(row), ids, *map(whole, n), base, key, blobs]
-    return pa.table(cols, names=["kind", "step", "row", "id", "n", "known", "base", "key", "blob"])
+    cols = [whole(step), whole(row), ids, *map(whole, n), base, blobs]
+    return pa.table(cols, names=["step", "row", "id", "n", "known", "base", "blob"])
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -148,3 +148,19 @@ def test_odd_rows(odd, empty):
     assert lm.score(empty, F.lit(True))[0].count() == 0
     got, n = lm.score(odd, F.lit(None).cast("boolean"))
     assert n == 0 and got.count() == odd.count() and got.where("n_known > 0 or score is null").count() == 0
+
+
+@pytest.mark.parametrize("bucket, cached", [(64, lm.CACHED), (400, lm.CACHED), (lm.BUCKET_TOKENS, 4), (100, 30)])
+def test_scores_do_not_depend_on_buckets_or_cache(spark, bucket, cached):
+    """Frequent words in many classes, contexts of two and three of them, words outside the cache: the tree's scores all the same."""
+    texts = [*corpus(), "the the the the cat", "The the " * 40, "x y x y x y z never seen"]
+    learnt = F.col("doc_id") % 5 != 1
+    rows = lm.score(frame(spark, texts), learnt, bucket=bucket, cached=cached)[0].collect()
+    tree = Tree([split(t) for k, t in enumerate(texts) if k % 5 != 1], lm.MIN_GAIN)
+    often = {w for w, n in tree.uni.items() if n > bucket / 4}
+    assert bucket > 100 or {len(c) for c in tree.states if often.issuperset(c)} == {1, 2, 3}
+    got = {r["id"]: r for r in rows}
+    assert len(rows) == len(got) == len(texts)
+    for k, t in enumerate(texts):
+        assert math.isclose(got[k]["score"], tree.score(split(t)), rel_tol=1e-9, abs_tol=1e-9), t
+        assert got[k]["n_known"] == sum(tree.uni[w] > 0 for w in split(t))
