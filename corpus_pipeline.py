@@ -25,7 +25,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    """The smallest doc_id of each group of near copies: five-word shingles, SimHash and bands propose, Jaccard 0.8 or more decides."""
     return near_copies.keep_one(docs)
 
 

@@ -1,7 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, whole sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash propose pairs, whole sets decide.
 
-Two texts of similarity ``s`` share none of the bands with probability ``(1 - s**ROWS) ** BANDS``,
-1.3e-7 at 0.8 and less above.  What shares a band is compared by its whole shingle sets.
+Each set has a SimHash fingerprint, and :mod:`simhash` groups all fingerprints within four bits; what it groups is
+compared by whole sets.  Four bits of 64 reach only the nearest copies, so MinHash bands propose the others.  Two texts
+of similarity ``s`` share none of the bands with probability ``(1 - s**ROWS) ** BANDS``, 1.3e-7 at 0.8 and less above.
+What shares a band is compared by its whole shingle sets.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, give_back, materialize
+from .simhash import link_components, majority
 from .suffix_tree_lm import Words
 
 SHINGLE = 5
@@ -72,20 +75,21 @@ def _digest(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(id, set, n, bands)`` for each ``(id, text)``: a hash of the shingle set, its size and its bands."""
+    """``(id, set, n, fp, bands)`` for each ``(id, text)``: a hash of the shingle set, its size, fingerprint and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             name = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
             keys = [bands(s) for s in sets]
             n = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name), n, pa.array(keys, pa.list_(pa.int64()))], names=["id", "set", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name), n, pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=["id", "set", "n", "fp", "bands"])
         words.clear()
         give_back()
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, set long, n int, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, set long, n int, fp long, bands array<long>")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -192,27 +196,40 @@ def similar_across(own: np.ndarray, cluster: np.ndarray, members: pa.Array, two_
     return np.concatenate(left), np.concatenate(right)
 
 
+def _stars(grouped: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of the sets of a group and its two pivots."""
+    pairs = grouped.select("set", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("p")).where(F.col("set") != F.col("p"))
+    return pairs.select(F.least("set", "p").alias("a"), F.greatest("set", "p").alias("b"))
+
+
+def _pivots() -> list:
+    return [F.count("*").alias("size"), F.max(F.struct("copies", "set"))["set"].alias("p1"), F.min("set").alias("p2")]
+
+
+def _fingerprint_groups(distinct: DataFrame) -> DataFrame:
+    """``(set, p1, p2)`` for the sets whose fingerprints SimHash links to those of others: the pivots of the group."""
+    fps = materialize(distinct.groupBy("fp").agg(F.sum("copies").alias("n")))
+    of = materialize(distinct.select("set", "fp", "copies").join(link_components(fps), "fp").select("root", "set", "copies"))
+    pivots = of.groupBy("root").agg(*_pivots()).where("size > 1")
+    return of.join(pivots, "root").select("set", "p1", "p2")
+
+
 def _link(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(set, root)`` for every set that shares a band with another one.
+    """``(set, root)`` for every set that SimHash links to another one or that shares a band with one.
 
-    First each band key links its members to two pivots, which joins dense groups; then sets of
-    different clusters within a key are compared, all of them, block by block.
+    First each group of fingerprints and each band key links its members to two pivots, which joins dense groups;
+    then sets of different clusters within a key are compared, all of them, block by block.
     """
+    near = materialize(_stars(_fingerprint_groups(distinct)).distinct())
     keyed = distinct.select("set", "n", "copies", F.explode("bands").alias("key"))
-    pivots = keyed.groupBy("key").agg(
-        F.count("*").alias("size"), F.max(F.struct("copies", "set"))["set"].alias("p1"), F.min("set").alias("p2")
-    )
+    pivots = keyed.groupBy("key").agg(*_pivots())
     shared = materialize(keyed.join(pivots.where("size > 1"), "key").select("key", "set", "n", "p1", "p2"))
-    nodes = shared.select("set").distinct()
+    both = near.select(F.explode(F.array("a", "b")).alias("set"))
+    nodes = materialize(shared.select("set").unionByName(both).distinct())
     chosen = distinct.join(nodes, "set", "left_semi").select(F.col("least").alias("chosen")).distinct()
     read = whole_sets(texts.join(chosen, F.col("id").eqNullSafe(F.col("chosen")), "left_semi"))
     sets = materialize(read.join(nodes, "set", "left_semi").dropDuplicates(["set"]))
-    stars = materialize(
-        shared.select("set", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("p"))
-        .where(F.col("set") != F.col("p"))
-        .select(F.least("set", "p").alias("a"), F.greatest("set", "p").alias("b"))
-        .distinct()
-    )
+    stars = materialize(near.unionByName(_stars(shared)).distinct())
     first = connected_components(_similar(stars, sets))
     clusters = materialize(
         nodes.join(first, F.col("set") == F.col("node"), "left").select("set", F.coalesce("component", "set").alias("cluster"))
@@ -231,10 +248,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, text_hash, component_id)`` for every row."""
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hashed = texts.select(F.struct("id", F.xxhash64("text").alias("text_hash")).alias("id"), "text")
-    marks = materialize(signatures(hashed).select("id.id", "id.text_hash", "set", "n", "bands"))
+    marks = materialize(signatures(hashed).select("id.id", "id.text_hash", "set", "n", "fp", "bands"))
     distinct = materialize(
         marks.groupBy("set").agg(
-            F.count("*").alias("copies"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")
+            F.count("*").alias("copies"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
         )
     )
     roots = materialize(_link(distinct, texts))

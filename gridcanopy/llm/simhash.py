@@ -48,10 +48,22 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     ones = np.zeros(BITS, np.int64)
     for k in range(0, n, CHUNK):
         h = np.array([digest(joined[i:j], 42) for i, j in zip(a[k : k + CHUNK], z[k : k + CHUNK])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _bits(h).sum(0, dtype=np.int64)
+    return _majority(ones, n)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: the bits set in over half of them; 0 of none."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        ones += _bits(hashes[k : k + CHUNK]).sum(0, dtype=np.int64)
+    return _majority(ones, len(hashes))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """``(id, fp)`` with the fingerprint as a signed long; one row per input row."""
     idt = docs.schema[id_col].dataType.simpleString()
@@ -92,7 +104,7 @@ def bit_correlation(fps: DataFrame) -> np.ndarray:
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    return np.unpackbits(x.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.unpackbits(np.ascontiguousarray(x).astype(x.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
 def group_bits(corr: np.ndarray, parts: int) -> list[list[int]]:

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from gridcanopy.llm import near_copies
+from gridcanopy.llm.simhash import majority
 
 
 def sets(text):
@@ -73,3 +76,27 @@ def test_blocks_find_every_open_pair(spark):
     want = {(a, b) for a in members for b in members if a < b and cluster[a] != cluster[b] and 5 * len({*members[a]} & {*members[b]}) >= 4 * len({*members[a]} | {*members[b]})}
     for block in (7, 512):
         assert {tuple(r) for r in near_copies._open_pairs(left, sets_, block).collect()} == want and want
+
+
+def test_simhash_links_without_bands(spark):
+    """Where no band proposes anything, sets whose fingerprints are within four bits are linked, those that only lie there are not."""
+    rng, words = random.Random(6), near_copies.Words()
+    rows = {}
+    for _ in range(6):
+        base = [f"w{rng.randrange(9000)}" for _ in range(1500)]
+        for k in range(4):
+            copy = list(base)
+            if k:
+                copy[rng.randrange(1500)] = f"x{k}"
+            rows[len(rows)] = " ".join(copy)
+    members = {i: near_copies.shingles(t, words) for i, t in rows.items()}
+    fp = {i: majority(m) for i, m in members.items()}
+    name = {i: np.array([near_copies._digest(m)], np.uint64).view(np.int64)[0].item() for i, m in members.items()}
+    fp[20] = fp[0]  # a fingerprint that says copy where the sets say no
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    distinct = spark.createDataFrame([(name[i], 1, i, len(members[i]), signed(fp[i]), []) for i in rows], "set long, copies long, least long, n int, fp long, bands array<long>")
+    texts = spark.createDataFrame(list(rows.items()), "id long, text string")
+    root = {r["set"]: r["root"] for r in near_copies._link(distinct, texts).collect()}
+    linked = [(i, j) for i in rows for j in rows if i < j and i // 4 == j // 4 and 20 not in (i, j) and (fp[i] ^ fp[j]).bit_count() <= 4]
+    assert len(linked) > 12 and all(root[name[i]] == root[name[j]] for i, j in linked)
+    assert all(root.get(name[i]) != root.get(name[20], -1) for i in rows if i != 20)
