@@ -36,7 +36,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left and their places in training sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, forget=True)
 
 
 STAGES = [

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, column_at, give_back
+from .common import Spans, column_at, give_back, slices
 
 #: Edits allowed as a share of an item's characters.
 EDIT_SHARE = 0.1
@@ -165,10 +165,22 @@ class ItemIndex:
         return np.concatenate(items), np.concatenate(bands)
 
     def scan(self, texts: list[str | None]) -> list[list[tuple[object, int, int, int]]]:
-        """For each text the sorted ``(item id, start, end, edits)``; whole texts, in bounded steps."""
-        out: list[dict] = [{} for _ in texts]
+        """For each text the sorted ``(item id, start, end, edits)``; whole texts, in bounded steps.
+
+        The characters of so many texts as fill a step are held at a time (those of a longer text by itself).
+        """
         if not self.ids:
             return [[] for _ in texts]
+        out, lo, size = [], 0, 0
+        for hi, t in enumerate(texts, 1):
+            size += len(t or "")
+            if size >= STEP_CHARS or hi == len(texts):
+                out += self._scan(texts[lo:hi])
+                lo, size = hi, 0
+        return out
+
+    def _scan(self, texts: list[str | None]) -> list[list[tuple[object, int, int, int]]]:
+        out: list[dict] = [{} for _ in texts]
         gap = np.array([_GAP], np.uint32)
         chars = [characters(t or "") for t in texts]
         for found, c in zip(out, chars) if self.short else ():
@@ -264,7 +276,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHAR
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(held.value, share)
-            for b in batches:
+            for b in (s for whole in batches for s in slices(whole, 1)):
                 rows = [
                     (doc, *place)
                     for doc, places in zip(b.column(0).to_pylist(), index.scan(b.column(1).to_pylist()))
@@ -292,7 +304,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(held.value, share)
-            for b in batches:
+            for b in (s for whole in batches for s in slices(whole, at)):
                 clean = [not places for places in index.scan(b.column(at).to_pylist())]
                 yield b.filter(pa.array(clean, pa.bool_()))
             del index

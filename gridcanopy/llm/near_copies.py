@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, give_back, materialize
+from .common import connected_components, give_back, materialize, slices
 from .simhash import link_components, majority
 from .suffix_tree_lm import Words
 
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 1)):
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             name = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
             fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
@@ -97,7 +97,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 1)):
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             name = np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
             members = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))

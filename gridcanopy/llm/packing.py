@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, release
-from .tokens import word_encoder
+from .common import give_back, materialize, release, slices
+from .tokens import forget_words, word_encoder
 
 LENGTH = 2048
 END_ID = 0
@@ -21,18 +21,18 @@ GROUP_ITEMS, NEARLY_FULL = 60_000, 0.998
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = True, forget: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: whole texts encoded, ended, cut at ``length``.
 
     Only documents of more than ``length`` ids (the end id counts) are cut; the last piece may be
     shorter.  A null text is empty and gives one piece, the end id.  ``ids`` holds little-endian
-    unsigned 32-bit ids.
+    unsigned 32-bit ids.  ``forget``: a task drops the words that it has learnt, for workers that other work follows on.
     """
     idt = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 1)):
             rows = []
             for doc, raw in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
                 raw += end
@@ -43,6 +43,9 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenize
             kinds = [b.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names[: len(cols)])
+        if forget:
+            del encoder
+            forget_words(tokenizer)
         give_back()
 
     schema = PIECE.format(id=idt) + (", ids binary" if with_ids else "")
@@ -132,13 +135,13 @@ def pack(items: DataFrame, capacity: int = LENGTH, group_items: int = GROUP_ITEM
     return assigned.select("item", F.col("top").alias("sequence_id"), F.col("off").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, forget: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, one row per piece.
 
     The pieces, without their ids, are written once and numbered by position in that table; whole
     pieces of ``length`` are sequences of their own.  Rows that repeat a doc_id are packed each.
     """
-    made = materialize(pieces(docs, length, tokenizer=tokenizer, with_ids=False))
+    made = materialize(pieces(docs, length, tokenizer=tokenizer, with_ids=False, forget=forget))
     numbered = materialize(made.withColumn("item", F.monotonically_increasing_id()))
     release(made)
     rest = numbered.where(F.col("length") < length).select("item", F.col("length").alias("size"))

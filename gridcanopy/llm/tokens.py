@@ -24,17 +24,27 @@ _LATIN = "ɐ"
 _encoders: dict[str, WordEncoder] = {}
 
 
-def word_encoder(path: str | None = None) -> WordEncoder:
-    """The worker's encoder for a vocabulary file; its cache outlives the task."""
+def _path(path: str | None) -> str:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
+    return path
+
+
+def word_encoder(path: str | None = None) -> WordEncoder:
+    """The worker's encoder for a vocabulary file; its cache outlives the task."""
+    path = _path(path)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
+def forget_words(path: str | None = None) -> None:
+    """Drop the worker's encoder for a vocabulary file, with its cache."""
+    _encoders.pop(_path(path), None)
+
+
 def byte_letters() -> list[str]:
     """The character that stands for each byte: itself if it is printable, else one from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_at, give_back
+from .common import column_at, give_back, slices
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = NoisyOr(*held.value), {}
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 1)):
             out = [m.score(t or "", cache) for t in b.column(1).to_pylist()]
             cols = list(zip(*out)) or [(), (), (), ()]
             kinds = (pa.float64(), pa.int64(), pa.int64(), pa.float64())
@@ -241,7 +241,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cache = NoisyOr(*held.value), {}
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, at)):
             ok = [m.score(t or "", cache)[0] < THRESHOLD for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(ok, pa.bool_()))
         cache.clear()
