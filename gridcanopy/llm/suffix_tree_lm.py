@@ -11,9 +11,10 @@ state, smoothed towards its own longest suffix and so on down to the word freque
 Every token is one row of four word codes and its text, dealt by the word before it: all contexts
 that end in a word meet in one bucket of some BUCKET_TOKENS rows, where they are counted, tested and
 applied.  A word that would fill a quarter of a bucket or more is dealt by the class of the words before it
-(a hash of the next, of two if that is frequent too, and so on), so many classes that each takes about
-that much.  Contexts of frequent words alone, whose rows so lie in several buckets, are counted and tested
-beforehand by joins and sums over all rows, and each bucket is told the probabilities that it needs: what is a state does
+(a hash of the next, of two if those two together are as frequent, and so on), so many classes that each takes about
+that much.  Which sequences are so frequent is told from places spread over all texts; it decides where rows go and nothing else.
+Contexts whose rows so lie in several buckets are few, a few a bucket; they are counted and tested beforehand
+by sums over all rows, and each bucket is told the probabilities that it needs: what is a state does
 not depend on buckets.  Rows travel as packed arrays, so the shuffle moves a few large rows.  Only the counts of the CACHED
 most frequent words are broadcast; a bucket is told those of the other words that it holds.
 """
@@ -28,10 +29,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, release
+from .common import give_back, materialize, release, slices
 from .toxicity import held_out
 
 DEPTH = 3
@@ -41,6 +42,8 @@ BUCKET_TOKENS = 1 << 20
 #: Tokens that a task counts or deals at a time (a longer text is one step of its own).
 CHUNK = 1 << 20
 CACHE_WORDS = 400_000
+#: A sequence that is dealt in classes is seen so often, about, at the places looked at.
+SAMPLED = 512
 END = xxhash.xxh64_intdigest(b" ", 0)  # no word holds a blank
 START = 0
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -92,7 +95,8 @@ def _mix(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
 class Vocabulary:
     """The most frequent words by hash, their counts, and the classes that frequent ones are dealt in."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, bucket: int = BUCKET_TOKENS):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, bucket: int = BUCKET_TOKENS, heavy: list[np.ndarray] | None = None):
+        self.heavy = heavy  # sorted names of the frequent sequences of two words, of three; None: all those of frequent words
         order = np.argsort(-counts, kind="stable")  # small numbers for frequent words pack well
         self.keys, self.counts, self.n, self.v = keys[order], counts[order], n, v
         ends = counts[keys == np.uint64(END)]
@@ -115,10 +119,10 @@ class Vocabulary:
         self.log_root = np.log10((self.counts + 0.5) / self.z)
 
     def __getstate__(self):
-        return self.keys, self.counts, self.n, self.v, self.classes
+        return self.keys, self.counts, self.n, self.v, self.classes, self.heavy
 
     def __setstate__(self, state):
-        self.keys, self.counts, self.n, self.v, self.classes = state
+        self.keys, self.counts, self.n, self.v, self.classes, self.heavy = state
         self._index()
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
@@ -143,29 +147,62 @@ class Vocabulary:
         """The number of classes of each code's word."""
         return np.where(code >= 0, self.classes[np.maximum(code, 0)], 1)
 
+    def names(self, code: np.ndarray) -> np.ndarray:
+        """The hashes of words that are cached, START of START."""
+        out = np.zeros(len(code), np.uint64)
+        word = code > 0
+        out[word] = self.keys[code[word] - 1]
+        return out
+
+    def is_heavy(self, name: np.ndarray, length: int) -> np.ndarray:
+        known = self.heavy[length - 2]
+        if not len(known):
+            return np.zeros(len(name), bool)
+        return known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """``(key, n)`` for each distinct token of a one-column DataFrame, combined before the shuffle."""
+
+def count_words(texts: DataFrame, every: int) -> DataFrame:
+    """``(length, key, n)`` of ``(text, train)``, combined before the shuffle: the tokens learnt from, by hash, and
+    at one place of ``every`` in all texts the two, the three words before it, by :func:`longer`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts = Words(), []
+        words, parts, total, seed = Words(), [[] for _ in range(DEPTH)], 0, TaskContext.get().partitionId() << 40
 
         def out():
-            k, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
+            found = [np.unique(np.concatenate(p), return_counts=True) for p in parts]
+            kind = np.repeat(np.arange(1, DEPTH + 1, dtype=np.int32), [len(k) for k, _ in found])
+            k, n = (np.concatenate(x) for x in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(k.view(np.int64)), pa.array(n)], names=["length", "key", "n"])
 
-        for b in batches:
-            for _, t, _ in chunks(b.column(0).to_pylist(), words):
-                parts.append(t)
-                if sum(map(len, parts)) >= 4 * CHUNK:
+        for b in (s for whole in batches for s in slices(whole, 0)):
+            learn = b.column(1).to_numpy(zero_copy_only=False)
+            for first, t, sizes in chunks(b.column(0).to_pylist(), words):
+                own = learn[first : first + len(sizes)]
+                parts[0].append(t if own.all() else t[np.repeat(own, sizes)])
+                at = np.flatnonzero(_mix(np.arange(seed, seed + len(t))) % np.uint64(every) == 0)
+                begin = np.cumsum(sizes) - sizes
+                place = at - begin[np.searchsorted(begin, at, "right") - 1]
+                name = None
+                for k in range(1, DEPTH + 1):
+                    word = np.where(place >= k, t[np.maximum(at - k, 0)], np.uint64(START))
+                    name = word if name is None else longer(name, word)
+                    if k > 1:
+                        parts[k - 1].append(name)
+                total, seed = total + len(t), seed + len(t)
+                if total >= 4 * CHUNK:
                     yield out()
-                    parts = []
-        if parts:
+                    parts, total = [[] for _ in range(DEPTH)], 0
+        if total:
             yield out()
         words.clear()
         give_back()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "length int, key long, n long").groupBy("length", "key").agg(F.sum("n").alias("n"))
+
+
+def longer(name: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The name of a sequence with one more word before it."""
+    return _mix(word, name)
 
 
 def before(code: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -179,19 +216,17 @@ def before(code: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def dealt(vocabulary: Vocabulary, left: list[np.ndarray], rid: np.ndarray, buckets: int) -> np.ndarray:
+def dealt(vocabulary: Vocabulary, left: list[np.ndarray], rid: np.ndarray, buckets: int, deep: np.ndarray | None = None) -> np.ndarray:
     """The bucket of each row: by the nearest word, and the class of those before it if that is frequent."""
+    deep = spread(vocabulary, left) if deep is None else deep
     h = _mix(left[0])
-    classes = vocabulary.frequent(left[0])
-    at = np.flatnonzero(classes > 1)
+    at = np.flatnonzero(deep)
     if len(at):
-        seed = np.zeros(len(at), np.uint64)
-        going = np.ones(len(at), bool)
-        for c in left[1:]:
-            seed = np.where(going, _mix(c[at], seed), seed)
-            going &= vocabulary.frequent(c[at]) > 1
-        seed = np.where(going, _mix(rid[at], seed), seed)  # frequent words throughout
-        h[at] += seed % classes[at].astype(np.uint64)
+        seed, own = np.zeros(len(at), np.uint64), deep[at]
+        for length, c in enumerate(left[1:], 1):
+            seed = np.where(own >= length, _mix(c[at], seed), seed)
+        seed = np.where(own == DEPTH, _mix(rid[at], seed), seed)  # frequent throughout
+        h[at] += seed % vocabulary.frequent(left[0][at]).astype(np.uint64)
     return (h % np.uint64(buckets)).astype(np.int64)
 
 
@@ -202,11 +237,19 @@ def parts_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def spread(vocabulary: Vocabulary, left: list[np.ndarray]) -> np.ndarray:
-    """How many words before each token are frequent, from the nearest on: contexts up to that length lie in several buckets."""
-    out, going = np.zeros(len(left[0]), np.int8), np.ones(len(left[0]), bool)
-    for c in left:
-        going &= vocabulary.frequent(c) > 1
-        out += going
+    """How many words before each token are a frequent sequence: contexts up to that length lie in several buckets."""
+    out = np.zeros(len(left[0]), np.int8)
+    at = np.flatnonzero(vocabulary.frequent(left[0]) > 1)
+    out[at] = 1
+    name = vocabulary.names(left[0][at])
+    for length, c in enumerate(left[1:], 2):
+        hit = vocabulary.frequent(c[at]) > 1
+        at, name = at[hit], name[hit]
+        if vocabulary.heavy is not None:
+            name = longer(name, vocabulary.names(c[at]))
+            hit = vocabulary.is_heavy(name, length)
+            at, name = at[hit], name[hit]
+        out[at] = length
     return out
 
 
@@ -305,44 +348,37 @@ def apply_tree(left: list[np.ndarray], word: np.ndarray, train: np.ndarray, p: n
     return p, seen, states
 
 
-def _level(entries: DataFrame, context: list[str], min_gain: float) -> DataFrame:
-    """``(context, word, p, n)``: the contexts of one length counted, tested and applied.
-
-    ``entries`` are all distinct ``(context, word, c, old, up)``: how often the word was seen there, its probability by the next shorter
-    context and how often that was seen (null: there is none).
-    """
-    c, old, n = F.col("c"), F.col("old"), F.col("n")
-    sums = entries.groupBy(*context).agg(F.sum("c").alias("n"), F.count_if(c > 0).alias("distinct"))
-    left_out = (F.greatest(c - 1 - DISCOUNT, F.lit(0.0)) + DISCOUNT * (F.col("distinct") - (c == 1).cast("int")) * old) / F.greatest(n - 1, F.lit(1))
-    gain = F.sum(F.when((c > 0) & (n > 1), c * F.ln(left_out / old)))
-    tested = entries.join(sums, context).groupBy(*context).agg(F.first("n").alias("n"), F.first("distinct").alias("distinct"), gain.alias("gain"), F.first("up").alias("up"))
-    kept = (n >= 2) & (F.col("up").isNull() | (n < F.col("up"))) & (F.coalesce("gain", F.lit(0.0)) >= min_gain)
-    states = tested.select(*context, "n", "distinct", kept.alias("kept"))
-    p = F.when(F.col("kept"), (F.greatest(c - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("distinct") * old) / n).otherwise(old)
-    return entries.join(states, context).select(*context, "word", p.alias("p"), "n")
+def gather(asked: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """What is asked, each once a bucket, with ``n1``.. (how often the word was seen in each context of its row, of up to
+    ``depth`` words, over all buckets) and ``one1``.. (true in one row of each context and word)."""
+    near = asked.repartition("c1", "word").groupBy("bucket", *_CONTEXT, "word").agg(F.sum("c").alias("c"), F.max("total").alias("total"))
+    order = ["c1", "word", *_CONTEXT[1:], "bucket"]  # one shuffle and one sort serve all
+    for k in range(depth, 0, -1):
+        w = Window.partitionBy(*order[: k + 1])
+        near = near.withColumns({f"n{k}": F.sum("c").over(w), f"one{k}": F.row_number().over(w.orderBy(*order[k + 1 :])) == 1})
+    return near.drop("c")
 
 
-def tell(asked: DataFrame, words: DataFrame, z: float, min_gain: float) -> DataFrame:
-    """``(bucket, c1.., word, p, n)`` for words after frequent ones, ``(bucket, c1.., word, c, total)``.
+def tell(asked: DataFrame, z: float, min_gain: float, depth: int) -> DataFrame:
+    """``(bucket, c1.., word, p, n)`` for words after frequent sequences, which :func:`gather` has gathered.
 
-    The probability of the word by its longest context of frequent words alone, and how often that was seen.
+    The probability of the word by its longest context that lies in several buckets, and how often that was seen.
+    Such contexts, of up to ``depth`` words, are a few a bucket, hence fit to broadcast.
     """
-    entries = materialize(asked.groupBy("c1", "word").agg(F.sum("c").alias("c"), F.max("total").alias("total")))
-    other = entries.where("total is null").drop("total").join(words.select(F.col("key").alias("word"), F.col("n").alias("total")), "word", "left")
-    entries = entries.where("total is not null").unionByName(other)
-    root = (F.coalesce("total", F.lit(0)) + 0.5) / F.lit(z)
-    known = materialize(_level(materialize(entries.select("c1", "word", "c", root.alias("old"), F.lit(None).cast("long").alias("up"))), _CONTEXT[:1], min_gain))
-    told = asked.where(F.col("c2") == NONE).join(known, ["c1", "word"])
-    for length in range(2, DEPTH + 1):
-        context = _CONTEXT[:length]
-        here = asked.where(F.col(context[-1]) != NONE)
-        longer = here.groupBy(*context, "word").agg(F.sum("c").alias("c"))
-        shorter = known.select(*context[:-1], "word", F.col("p").alias("old"), F.col("n").alias("up"))
-        known = materialize(_level(materialize(longer.join(shorter, [*context[:-1], "word"])), context, min_gain))
-        if length < DEPTH:
-            here = here.where(F.col(_CONTEXT[length]) == NONE)
-        told = told.unionByName(here.join(known, [*context, "word"]))
-    return told.select("bucket", *_CONTEXT, "word", "p", "n")
+    rows = asked.where(F.col("c1") != NONE).withColumns({"p": (F.coalesce("total", F.lit(0)) + 0.5) / F.lit(z), "n": F.lit(None).cast("long")})
+    for k in range(1, depth + 1):
+        context, c, old, n = _CONTEXT[:k], F.col(f"n{k}"), F.col("p"), F.col("own_n")
+        entries = rows.where(F.col(context[-1]) != NONE).where(f"one{k}")
+        sums = materialize(entries.groupBy(*context).agg(F.sum(c).alias("own_n"), F.count_if(c > 0).alias("distinct")))
+        left_out = (F.greatest(c - 1 - DISCOUNT, F.lit(0.0)) + DISCOUNT * (F.col("distinct") - (c == 1).cast("int")) * old) / F.greatest(n - 1, F.lit(1))
+        gain = F.sum(F.when((c > 0) & (n > 1), c * F.ln(left_out / old)))
+        tested = entries.join(F.broadcast(sums), context).groupBy(*context).agg(*(F.first(x).alias(x) for x in ("own_n", "distinct")), F.first("n").alias("up"), gain.alias("gain"))
+        kept = (n >= 2) & (F.col("up").isNull() | (n < F.col("up"))) & (F.coalesce("gain", F.lit(0.0)) >= min_gain)
+        states = materialize(tested.select(*context, "own_n", "distinct", kept.alias("kept")))
+        p = F.when(F.col("kept"), (F.greatest(c - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("distinct") * old) / n).otherwise(old)
+        # rows of shorter contexts find no state and stay as they are
+        rows = rows.join(F.broadcast(states), context, "left").withColumns({"p": p, "n": F.coalesce("own_n", "n")}).drop("own_n", "distinct", "kept")
+    return rows.select("bucket", *_CONTEXT, "word", "p", "n")
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET_TOKENS, cached: int = CACHED, min_gain: float = MIN_GAIN) -> tuple[DataFrame, int]:
@@ -356,11 +392,17 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")
     )
     idt = picked.schema["id"].dataType.simpleString()
-    words = materialize(count_words(picked.where("train").select("text")))
+    most = max(1, bucket // 4)
+    every = max(1, most // SAMPLED)
+    seen = materialize(count_words(picked.select("text", "train"), every).where((F.col("length") == 1) | (F.col("n") * every >= most)))
+    words = seen.where("length = 1").select("key", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = picked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     top = words.orderBy(F.desc("n"), "key").limit(cached).toArrow()  # so many at most
     vocabulary = Vocabulary(top["key"].to_numpy().view(np.uint64), top["n"].to_numpy(), total["n"], total["v"], bucket)
+    often = seen.where("length > 1").select("length", "key").toArrow()  # a few a bucket
+    of = often["length"].to_numpy()
+    vocabulary.heavy = [np.sort(often["key"].to_numpy().view(np.uint64)[of == k]) for k in range(2, DEPTH + 1)]
     held = spark.sparkContext.broadcast(vocabulary)
     buckets = int(min(max(1, max(total["n"], size // 6) // bucket + 1), 1 << 16))
 
@@ -374,7 +416,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             whole = [pa.array(np.asarray(x).astype(np.int64)) for x in (at, np.full(size, step), row, *n)]
             return pa.RecordBatch.from_arrays([*whole, pa.array(base, pa.float64()), ids, pa.array(blobs, pa.binary())], names=_DEALT)
 
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 1)):
             learn = b.column(2).to_numpy(zero_copy_only=False)
             for first, t, sizes in chunks(b.column(1).to_pylist(), known):
                 code = v.codes(t)
@@ -386,11 +428,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 n = sizes, np.bincount(own, cached_word, len(sizes))
                 ids = b.column(0).slice(first, len(sizes))
                 yield emit(_mix(row + step) % np.uint64(buckets), row, ids, n, np.bincount(own, root, len(sizes)), [None] * len(sizes))
+                del root, cached_word
                 where = dealt(v, left, parts_of(t, sizes), buckets)
                 order = np.argsort(where.astype(np.uint16), kind="stable")
                 edge = np.searchsorted(where[order], np.arange(buckets + 1))
+                del where
                 cols = [c[order] for c in (*left, np.maximum(code, -1), own)]  # the hash says which other word it is
                 rare = t[order]
+                del t, code, left, own, order
                 counted = learn[first : first + len(sizes)][cols[-1]].astype(np.uint8)
                 at, blobs = [], []
                 for k in np.flatnonzero(np.diff(edge)).tolist():
@@ -409,13 +454,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What each bucket has to be told: words that are not cached, and words after frequent ones, with their counts."""
         v, known = held.value, Words()
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 0)):
             learn = b.column(1).to_numpy(zero_copy_only=False)
             for first, t, sizes in chunks(b.column(0).to_pylist(), known):
                 code = v.codes(t)
                 left = before(code, sizes)
                 counted = np.repeat(learn[first : first + len(sizes)], sizes)
-                where, deep = dealt(v, left, parts_of(t, sizes), buckets), spread(v, left)
+                deep = spread(v, left)
+                where = dealt(v, left, parts_of(t, sizes), buckets, deep)
                 word = np.where(code > 0, code, t.view(np.int64))
                 for length in range(0 if asks else 1, DEPTH + 1):
                     at = np.flatnonzero(deep == length if length else code < 0)
@@ -515,15 +561,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     asks = total["v"] > len(vocabulary.keys)
     told = spark.createDataFrame([], f"bucket long, {fields}, word long, p double, n long")
     kept = []
+    depth = 1 + sum(len(h) > 0 for h in vocabulary.heavy)
     if asks or vocabulary.classes.max() > 1:
-        kept.append(materialize(picked.select("text", "train").mapInArrow(ask, f"bucket long, {fields}, word long, c long, total long")))
-        other = kept[0].where(F.col("c1") == NONE).select("bucket", *_CONTEXT, "word")
-        count = words.select(F.col("key").alias("word"), F.col("n").alias("n"))
-        told = other.join(count, "word", "left").select("bucket", *_CONTEXT, "word", F.lit(None).cast("double").alias("p"), F.coalesce("n", F.lit(0)).alias("n"))
+        asked = picked.select("text", "train").mapInArrow(ask, f"bucket long, {fields}, word long, c long, total long")
+        kept.append(materialize(gather(asked, depth)))
+        asked, count = kept[0], words.select(F.col("key").alias("word"), F.col("n").alias("total"))
+        if asks:
+            kept.append(materialize(asked.where("total is null").drop("total").join(count, "word", "left").fillna(0, ["total"])))
+            asked = asked.where("total is not null").unionByName(kept[1])
+        other = asked.where(F.col("c1") == NONE)
+        told = other.select("bucket", *_CONTEXT, "word", F.lit(None).cast("double").alias("p"), F.col("total").alias("n"))
     if vocabulary.classes.max() > 1:
-        spread_out = kept[0].where(F.col("c1") != NONE).groupBy("bucket", *_CONTEXT, "word")
-        kept.append(materialize(spread_out.agg(F.sum("c").alias("c"), F.max("total").alias("total"))))
-        told = told.unionByName(tell(kept[1], words, vocabulary.z, min_gain))
+        told = told.unionByName(tell(asked, vocabulary.z, min_gain, depth))
     schema = f"step long, row long, id {idt}, n long, known long, base double, blob binary"
     parts = materialize(dealt_rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(work, schema))
     for table in kept:

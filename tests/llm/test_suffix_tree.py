@@ -164,3 +164,29 @@ def test_scores_do_not_depend_on_buckets_or_cache(spark, bucket, cached):
     for k, t in enumerate(texts):
         assert math.isclose(got[k]["score"], tree.score(split(t)), rel_tol=1e-9, abs_tol=1e-9), t
         assert got[k]["n_known"] == sum(tree.uni[w] > 0 for w in split(t))
+
+
+def test_contexts_part_only_if_they_are_frequent_themselves(spark):
+    """Frequent words that seldom follow one another keep the contexts of two in one bucket; frequent sequences part, and scores are the tree's."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(30)) + rng.choice(["", " p q r s" * 6]) for _ in range(120)]
+    tokens = np.concatenate([t for _, t, _ in lm.chunks(texts, lm.Words())])
+    keys, counts = np.unique(tokens, return_counts=True)
+    bucket = 400
+    found = lm.count_words(frame(spark, texts).select("text", F.lit(True).alias("train")), 1).collect()
+    assert {r["key"]: r["n"] for r in found if r["length"] == 1} == dict(zip(keys.view(np.int64).tolist(), counts.tolist()))
+    heavy = [np.sort(np.array([r["key"] for r in found if r["length"] == k and r["n"] >= bucket // 4], np.int64).view(np.uint64)) for k in (2, 3)]
+    v = lm.Vocabulary(keys, counts, len(tokens), len(keys), bucket, heavy)
+    sizes = np.array([len(split(t)) for t in texts])
+    left = lm.before(v.codes(tokens), sizes)
+    deep = lm.spread(v, left)
+    old = lm.spread(lm.Vocabulary(keys, counts, len(tokens), len(keys), bucket), left)
+    assert (old == 3).mean() > 0.9 > 2 * (deep == 3).mean() > 0
+    where = lm.dealt(v, left, np.arange(len(tokens)), len(tokens) // bucket)
+    for length in (2, 3):  # a context that is not spread lies in one bucket
+        at = np.flatnonzero(deep < length)
+        pairs = set(zip(*(c[at].tolist() for c in left[:length]), where[at].tolist()))
+        assert len(pairs) == len({x[:-1] for x in pairs})
+    tree = Tree([split(t) for t in texts], lm.MIN_GAIN)
+    for r in lm.score(frame(spark, texts), F.lit(True), bucket=bucket)[0].collect():
+        assert math.isclose(r["score"], tree.score(split(texts[r["id"]])), rel_tol=1e-9)
