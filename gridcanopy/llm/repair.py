@@ -21,7 +21,7 @@ END_ID = 1
 BLOCK_IDS = 1 << 20
 #: Places from which a pair gets a rule (12 bytes, two saved a place); nonterminals over a vocabulary of 2^16 ids or more.
 MIN_COUNT, EXTRA_SYMBOLS = 16, 1 << 14
-_SLOTS = 1 << 20
+_SLOT_BITS = 20
 MAGIC = b"RPG1"
 SCHEMA = "part int, block int, n_ids long, doc_ids array<{id}>, lengths array<int>, grammar binary"
 
@@ -42,16 +42,11 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, max_symbols: int | Non
     size = np.ones(base, np.uint32)
     symbols, last = base, 0
     while len(x) >= 2 * min_count and symbols < limit:
-        if last:
-            young = x >= last
-            at = np.flatnonzero(young[:-1] | young[1:])
-        else:  # places whose pair may be frequent, by counts of hashed pairs
-            slot = (x[:-1] * np.uint32(2654435761) + x[1:] * np.uint32(2246822519)) >> np.uint32(12)
-            at = np.flatnonzero(np.bincount(slot, minlength=_SLOTS)[slot] >= min_count)
+        young = x >= last
+        at = _often(x, np.flatnonzero(young[:-1] | young[1:]) if last else None, min_count)
         if len(at) < min_count:
             break
-        key = x[at].astype(np.uint64) << np.uint64(32) | x[at + 1]
-        pairs, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        pairs, which, count = _pairs(x, at, symbols)
         best = np.flatnonzero(count >= min_count)
         best = best[np.argsort(-count[best], kind="stable")][: limit - symbols]
         chosen = np.zeros(len(pairs), bool)
@@ -79,13 +74,38 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, max_symbols: int | Non
     return head + rule.astype("<u4").tobytes() + size[base:].astype("<u4").tobytes() + x.astype(f"<u{width}").tobytes()
 
 
+def _often(x: np.ndarray, at: np.ndarray | None, least: int) -> np.ndarray:
+    """Of the places (None: all) those whose pair may be as frequent, by counts of hashed pairs."""
+    left, right = (x[:-1], x[1:]) if at is None else (x[at], x[at + 1])
+    bits = min(_SLOT_BITS, max(10, int(len(left)).bit_length() + 1))
+    slot = (left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(32 - bits)
+    ok = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
+    return ok if at is None else at[ok]
+
+
+def _pairs(x: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in order (left one high), the number of each place's pair, and how often each occurs."""
+    if symbols > 1 << 16:
+        return np.unique(x[at].astype(np.uint64) << np.uint64(32) | x[at + 1], return_inverse=True, return_counts=True)
+    # two symbols and the place fill a word: plain sorting is quicker than sorting places
+    key = (x[at] << np.uint32(16) | x[at + 1]).astype(np.uint64) << np.uint64(32) | np.arange(len(at), dtype=np.uint64)
+    key.sort()
+    place, pair = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint32)
+    edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    count = np.diff(np.append(edge, len(pair)))
+    which = np.empty(len(at), np.int64)
+    which[place] = np.repeat(np.arange(len(edge)), count)
+    pair = pair[edge].astype(np.uint64)
+    return pair >> np.uint64(16) << np.uint64(32) | pair & np.uint64(0xFFFF), which, count
+
+
 def _apart(at: np.ndarray, which: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of places that overlap their left neighbour keep every other one, from the left of each run."""
     at, which = at[ok], which[ok]
     fresh = np.ones(len(at), bool)
     fresh[1:] = np.diff(at) != 1
-    run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-    even = (np.arange(len(at)) - run) % 2 == 0
+    place = np.arange(len(at), dtype=np.int32)
+    even = (place - np.maximum.accumulate(place * fresh)) & 1 == 0
     return at[even], which[even]
 
 
@@ -99,25 +119,37 @@ def _parts(block: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     return base, rule, lengths, np.frombuffer(block, f"<u{width}", n, at + 12 * n_rules).astype(np.uint32)
 
 
-def _expand(x: np.ndarray, base: int, rule: np.ndarray) -> np.ndarray:
-    """Replace nonterminals by their pairs until none is left: as many passes as rules are deep."""
-    while len(x) and len(rule):
-        inner = x >= base
-        if not inner.any():
-            break
-        to = np.cumsum(1 + inner.astype(np.int64)) - 1 - inner
-        out = np.empty(int(to[-1]) + 1 + int(inner[-1]), np.uint32)
-        out[to[~inner]] = x[~inner]
-        pair = rule[x[inner] - base]
-        out[to[inner]], out[to[inner] + 1] = pair[:, 0], pair[:, 1]
-        x = out
-    return x
+def _expand(x: np.ndarray, base: int, rule: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Replace nonterminals by what they stand for: rules are expanded once, as many passes as they are deep, then copied."""
+    if not len(x) or not len(rule):
+        return x
+    used = np.zeros(len(rule), bool)
+    inner = x >= base
+    used[x[inner] - base] = True
+    names = np.flatnonzero(used)
+    pool, size = (names + base).astype(np.uint32), lengths[names].astype(np.int64)
+    while len(pool) and (deep := pool >= base).any():
+        to = np.cumsum(1 + deep) - 1 - deep
+        out = np.empty(int(to[-1]) + 1 + int(deep[-1]), np.uint32)
+        out[to[~deep]] = pool[~deep]
+        pair = rule[pool[deep] - base]
+        out[to[deep]], out[to[deep] + 1] = pair[:, 0], pair[:, 1]
+        pool = out
+    # terminals stand for themselves before the pool of expansions
+    pool = np.concatenate((np.arange(base, dtype=np.uint32), pool))
+    n, at = np.ones(base + len(rule), np.int64), np.arange(base + len(rule))
+    n[base + names], at[base + names] = size, base + np.cumsum(size) - size
+    n = n[x]
+    ends = np.cumsum(n)
+    place = np.repeat(at[x] - ends + n, n)
+    place += np.arange(len(place))
+    return pool[place]
 
 
 def decompress(block: bytes) -> np.ndarray:
     """All ids of a block."""
-    base, rule, _, x = _parts(block)
-    return _expand(x, base, rule)
+    base, rule, lengths, x = _parts(block)
+    return _expand(x, base, rule, lengths)
 
 
 def read_ids(block: bytes, start: int, stop: int) -> np.ndarray:
@@ -127,7 +159,7 @@ def read_ids(block: bytes, start: int, stop: int) -> np.ndarray:
     first = int(np.searchsorted(ends, start, "right"))
     last = int(np.searchsorted(ends, stop, "left")) + 1
     before = int(ends[first - 1]) if first else 0
-    return _expand(x[first:last], base, rule)[start - before : stop - before]
+    return _expand(x[first:last], base, rule, lengths)[start - before : stop - before]
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID, tokenizer: str | None = None, block_ids: int = BLOCK_IDS) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +120,7 @@ class WordEncoder:
         for k, ids in zip(rest, self._each([words[k] for k in rest])):
             found[k] = ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         lo, hi = self.n_words, self.n_words + len(words)
         self.at, self.size = _room(self.at, hi), _room(self.size, hi)
         self.pool = _room(self.pool, self.n_ids + len(ids))
@@ -174,7 +174,10 @@ class WordEncoder:
         which = words.indices.to_numpy()
         size = self.size[number][which]
         ends = np.cumsum(size)
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.at[number][which] - ends + size, size)].astype("<u4")
+        narrow = np.int32 if max(len(self.pool), int(ends[-1])) < 1 << 31 else np.int64
+        place = np.repeat((self.at[number][which] - ends + size).astype(narrow), size)
+        place += np.arange(ends[-1], dtype=narrow)
+        ids = self.pool[place].astype("<u4", copy=False)
         cuts = (4 * np.append(0, ends)[split.offsets.to_numpy()]).tolist()
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -62,6 +63,49 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     assert len(repair._parts(repair.compress(ids, max_symbols=base + 5))[1]) == 5
 
 
+def plain_grammar(ids, least, limit):
+    """Rounds of Re-Pair by counting all pairs: the rules and what is left."""
+    x, rules, symbols = list(ids), [], max(ids, default=0) + 1
+    while len(x) >= 2 * least and symbols < limit:
+        count = Counter(zip(x, x[1:]))
+        best = sorted((p for p in count if count[p] >= least), key=lambda p: (-count[p], p))[: limit - symbols]
+        chosen, taken, k = set(best), [], 0
+        while k < len(x) - 1:  # from the left, without overlaps
+            hit = (x[k], x[k + 1]) in chosen
+            taken += [k] * hit
+            k += 1 + hit
+        placed = Counter((x[k], x[k + 1]) for k in taken)
+        new = {p: symbols + n for n, p in enumerate(sorted(p for p in best if placed[p] >= 2))}
+        if not new:
+            break
+        rules += sorted(new, key=new.get)
+        starts = {k: new[x[k], x[k + 1]] for k in taken if (x[k], x[k + 1]) in new}
+        x = [starts.get(k, v) for k, v in enumerate(x) if k - 1 not in starts]
+        symbols += len(new)
+    return rules, x
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 17])
+def test_grammar_is_that_of_all_pairs(shift):
+    """Only places whose pair may be frequent are sorted, by one plain sort where two symbols fit four bytes."""
+    rng = np.random.default_rng(3)
+    ids = (rng.zipf(1.3, 6000) % 300 + shift).astype(np.uint32)
+    limit = int(ids.max()) + 200
+    base, rule, lengths, left = repair._parts(repair.compress(ids, 4, limit))
+    rules, x = plain_grammar(ids.tolist(), 4, limit)
+    assert list(map(tuple, rule.tolist())) == rules and left.tolist() == x
+    assert (repair._expand(left, base, rule, lengths) == ids).all()
+
+
+def test_later_rounds_sort_few_places(monkeypatch):
+    """One pair is frequent, and its symbol then stands beside a new neighbour each time: nothing to sort."""
+    ids = np.array([v for k in range(3000) for v in (0, 1, 2 + k)], np.uint32)
+    sorted_places, plain = [], repair._pairs
+    monkeypatch.setattr(repair, "_pairs", lambda x, at, symbols: sorted_places.append(len(at)) or plain(x, at, symbols))
+    assert (repair.decompress(repair.compress(ids)) == ids).all()
+    assert sorted_places and sum(sorted_places) < 4000  # 9,000 pairs, and 6,000 beside the symbol after that
+
+
 def test_documents_by_id(spark, odd):
     path = repair.write_tokens(odd, block_ids=50)
     want = {r["doc_id"]: r["ids"] for r in repair.read_tokens(spark, path).collect()}
