@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, materialize, release, slices
@@ -51,8 +51,12 @@ _LOW = np.int64(0xFFFFFFFF)
 _DEALT = ("bucket", "step", "row", "n", "known", "base", "id", "blob")
 #: Of packed rows: the words before, the word, how many texts of its step on, whether it is learnt from; hashes of words that are not cached.
 _PACKED = ["<i4"] * (DEPTH + 1) + ["<u4", "u1", "<u8"]
-#: Of packed sums: the text in its step; score, base and known ones of the words that are not cached.
-_SUMS = ["<u4", "<f8", "<f8", "<u4"]
+#: Of packed sums: how many texts of its step on; score, base and known ones of the words that are not cached.
+_SUMS = ["<u4", "<u8", "<u8", "<u4"]
+#: Sums of logarithms travel as whole numbers of this unit, so that they pack and their order does not matter.
+_UNIT = 2.0**-36
+#: Of packed questions: bucket, words before, word (NONE if it is not cached), times seen; hashes of words that are not cached.
+_ASKED = ["<u2", *["<i4"] * DEPTH, "<i4", "<u4", "<u8"]
 #: The frequent words before a token, the nearest first.
 _CONTEXT = [f"c{k}" for k in range(1, DEPTH + 1)]
 NONE = -1
@@ -348,19 +352,66 @@ def apply_tree(left: list[np.ndarray], word: np.ndarray, train: np.ndarray, p: n
     return p, seen, states
 
 
-def gather(asked: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """What is asked, each once a bucket, with ``n1``.. (how often the word was seen in each context of its row, of up to
-    ``depth`` words, over all buckets) and ``one1``.. (true in one row of each context and word)."""
-    near = asked.repartition("c1", "word").groupBy("bucket", *_CONTEXT, "word").agg(F.sum("c").alias("c"), F.max("total").alias("total"))
-    order = ["c1", "word", *_CONTEXT[1:], "bucket"]  # one shuffle and one sort serve all
-    for k in range(depth, 0, -1):
-        w = Window.partitionBy(*order[: k + 1])
-        near = near.withColumns({f"n{k}": F.sum("c").over(w), f"one{k}": F.row_number().over(w.orderBy(*order[k + 1 :])) == 1})
-    return near.drop("c")
+def pack_questions(cols: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
+    """``(part, blob)`` of bucket, words before, word, whether it is cached, and times seen; each question once.
+
+    A word after a word before it goes to one part, sorted, as steps from one question to the next; a word that is
+    not cached goes where its count goes, by its hash alone.
+    """
+    key = _mix(cols[0], entry_key(cols[1 : DEPTH + 1], cols[DEPTH + 1]))
+    _, one, of = np.unique(key, return_index=True, return_inverse=True)
+    if len(one) < len(key):
+        times = np.bincount(of, cols[-1], len(one)).astype(np.int64)
+        cols = [*(c[one] for c in cols[:-1]), times]
+    del key, one, of
+    part = np.where(cols[DEPTH + 2], (_mix(cols[1], cols[DEPTH + 1]) % np.uint64(parts)).astype(np.int64), cols[DEPTH + 1] % parts).astype(np.uint16)
+    order = np.lexsort((cols[DEPTH + 1], cols[1], part))
+    edge = np.searchsorted(part[order], np.arange(parts + 1))
+    bucket, *context, word, is_cached, times = (c[order] for c in cols)
+    step = lambda x: np.diff(x, prepend=x.dtype.type(0))  # noqa: E731 - wraps, and so does the sum
+    for k in np.flatnonzero(np.diff(edge)).tolist():
+        at = slice(int(edge[k]), int(edge[k + 1]))
+        ok = is_cached[at]
+        code = np.where(ok, word[at], NONE).astype(np.int32)
+        rare = word[at][~ok].view(np.uint64)
+        blob = pack([bucket[at].astype(np.uint16), step(context[0][at]), *(c[at] for c in context[1:]), step(code), times[at].astype(np.uint32), step(rare)])
+        yield k, np.array([len(code), len(rare)], np.int64).tobytes() + blob
+
+
+def unpack_questions(blob: bytes) -> list[np.ndarray]:
+    """What was packed: bucket, words before, word, whether it is cached, times seen."""
+    n, rare = np.frombuffer(blob, np.int64, 2).tolist()
+    bucket, *context, code, times, hashes = unpack(blob[16:], _ASKED, [n] * (DEPTH + 3) + [rare])
+    context[0], code = np.cumsum(context[0], dtype=np.int32), np.cumsum(code, dtype=np.int32)
+    word = code.astype(np.int64)
+    word[code < 0] = np.cumsum(hashes, dtype=np.uint64).view(np.int64)
+    return [bucket.astype(np.int64), *context, word, code >= 0, times.astype(np.int64)]
+
+
+def gather(cols: list[np.ndarray], depth: int = DEPTH) -> list[np.ndarray]:
+    """What is asked, each once a bucket: bucket, words before, word, whether it is cached; then n1, one1 and so on: how
+    often the word was seen in each context of its row, of up to ``depth`` words, over all buckets, and whether the row
+    is the first of that context and word."""
+    bucket, *context, word, is_cached, times = cols
+    order = np.lexsort((bucket, *context[:0:-1], word, is_cached, context[0]))
+    bucket, word, is_cached, times = (x[order] for x in (bucket, word, is_cached, times))
+    context = [c[order] for c in context]
+    other = lambda x: np.append(True, x[1:] != x[:-1])
+    first, new = [], other(context[0]) | other(is_cached) | other(word)
+    for k in range(1, DEPTH + 1):
+        new = new | other(context[k - 1])
+        first.append(new)
+    own = np.flatnonzero(new | other(bucket))
+    out = [x[own] for x in (bucket, *context, word, is_cached)]
+    for new in first[:depth]:
+        begin = np.flatnonzero(new)
+        n = np.add.reduceat(times, begin)
+        out += [n[np.searchsorted(begin, own, "right") - 1], new[own]]
+    return out
 
 
 def tell(asked: DataFrame, z: float, min_gain: float, depth: int) -> DataFrame:
-    """``(bucket, c1.., word, p, n)`` for words after frequent sequences, which :func:`gather` has gathered.
+    """``(bucket, c1.., word, p, n)`` for words after frequent sequences, which :func:`gather` has counted.
 
     The probability of the word by its longest context that lies in several buckets, and how often that was seen.
     Such contexts, of up to ``depth`` words, are a few a bucket, hence fit to broadcast.
@@ -454,6 +505,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What each bucket has to be told: words that are not cached, and words after frequent ones, with their counts."""
         v, known = held.value, Words()
+        parts, size = [], 0
+
+        def out():
+            found = list(pack_questions([np.concatenate(c) for c in zip(*parts)], buckets))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["part", "blob"])
+
         for b in (s for whole in batches for s in slices(whole, 0)):
             learn = b.column(1).to_numpy(zero_copy_only=False)
             for first, t, sizes in chunks(b.column(0).to_pylist(), known):
@@ -471,13 +528,39 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     _, one, of = np.unique(_mix(where[at], entry_key(context, word[at])), return_index=True, return_inverse=True)
                     times = np.bincount(of, counted[at], len(one)).astype(np.int64)
                     at = at[one]
-                    total = pa.array(v.counts[np.maximum(code[at], 1) - 1] if len(v.keys) else np.zeros(len(at), np.int64), pa.int64(), mask=code[at] < 0)
-                    cols = [where[at], *(c[one] for c in context), word[at], times]
+                    parts.append([where[at], *(c[one] for c in context), word[at], code[at] > 0, times])
+                    size += len(one)
                     del context, one, of
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), total], names=["bucket", *_CONTEXT, "word", "c", "total"])
+                del code, left, counted, deep, where, word
+                if size >= CHUNK:
+                    yield out()
+                    parts, size = [], 0
+        if parts:
+            yield out()
+        parts = []
         known.clear()
         give_back()
 
+    def meet(got: pa.Table, count: pa.Table) -> pa.Table:
+        """What buckets ask of some words, with the counts over all of them."""
+        v = held.value
+        if not len(got):
+            return answer.empty_table()
+        cols = [np.concatenate(c) for c in zip(*(unpack_questions(x.as_py()) for x in got["blob"]))]
+        bucket, *context, word, is_cached = (found := gather(cols, depth))[: DEPTH + 3]
+        del cols
+        total = np.zeros(len(word), np.int64)
+        total[is_cached] = v.counts[word[is_cached] - 1]
+        if len(count):  # a word without a count is not learnt from
+            key, n = count["word"].to_numpy(), count["total"].to_numpy()
+            order = np.argsort(key)
+            at = order[np.minimum(np.searchsorted(key, word, sorter=order), len(key) - 1)]
+            total = np.where(~is_cached & (key[at] == word), n[at], total)
+        out = pa.Table.from_arrays([*map(pa.array, (bucket, *context, word, total, *found[DEPTH + 3 :]))], schema=answer)
+        del bucket, context, word, is_cached, total, found
+        give_back()
+        return out
+
     def work(got: pa.Table, told: pa.Table) -> pa.Table:
         v = held.value
         is_text = got["blob"].is_null()
@@ -529,10 +612,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         del answers, names, rare, other
         p, _, _ = apply_tree(left, word, counted.view(bool), p, min_gain, deep if total is not None else None, total)
         del left, word, counted, deep, total
-        sums, names = np.add.reduceat(np.log10(p), begin), own[begin]
+        sums, base = (np.rint(x / -_UNIT).astype(np.int64).view(np.uint64) for x in (np.add.reduceat(np.log10(p), begin), base))
+        names = own[begin]
         del p
         cut = np.searchsorted(begin, edge - np.array(sizes)), np.searchsorted(begin, edge)
-        packed = [len(names[a:z]).to_bytes(8, "little") + pack([x[a:z] for x in (names, sums, base, known)]) for a, z in zip(*(c.tolist() for c in cut))]
+        packed = [len(names[a:z]).to_bytes(8, "little") + pack([np.diff(names[a:z], prepend=np.uint32(0)), *(x[a:z] for x in (sums, base, known))]) for a, z in zip(*(c.tolist() for c in cut))]
         none = np.zeros(len(steps))
         out.append(_rows(steps, none, pa.nulls(len(steps), id_type), (none, none), none, packed))
         del sums, names, base, known, own, begin
@@ -550,8 +634,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             raw = blob.as_py()
             n = int.from_bytes(raw[:8], "little")
             names, *more = unpack(raw[8:], _SUMS, [n] * len(_SUMS))
+            names = np.cumsum(names)
             for whole, part in zip((score, base, known), more):
-                whole[names] += part
+                whole[names] += part.view(np.int64) if part.itemsize == 8 else part
+        score, base = (-_UNIT * x for x in (score, base))
         known, base = texts["known"].to_numpy() + known[row], texts["base"].to_numpy() + base[row]
         return pa.table([texts["id"], texts["n"], pa.array(known), pa.array(base), pa.array(score[row])], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
@@ -562,13 +648,16 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     told = spark.createDataFrame([], f"bucket long, {fields}, word long, p double, n long")
     kept = []
     depth = 1 + sum(len(h) > 0 for h in vocabulary.heavy)
+    answer = [("bucket", pa.int64()), *((c, pa.int32()) for c in _CONTEXT), ("word", pa.int64()), ("total", pa.int64())]
+    answer = pa.schema([*answer, *(x for k in range(1, depth + 1) for x in ((f"n{k}", pa.int64()), (f"one{k}", pa.bool_())))])
     if asks or vocabulary.classes.max() > 1:
-        asked = picked.select("text", "train").mapInArrow(ask, f"bucket long, {fields}, word long, c long, total long")
-        kept.append(materialize(gather(asked, depth)))
-        asked, count = kept[0], words.select(F.col("key").alias("word"), F.col("n").alias("total"))
-        if asks:
-            kept.append(materialize(asked.where("total is null").drop("total").join(count, "word", "left").fillna(0, ["total"])))
-            asked = asked.where("total is not null").unionByName(kept[1])
+        asked = picked.select("text", "train").mapInArrow(ask, "part long, blob binary")
+        # counts of words that are not cached, dealt as their questions are
+        count = words.where(F.col("n") <= int(vocabulary.counts.min()) if len(top) else F.lit(True)).where(F.lit(asks))
+        count = count.select(F.pmod("key", F.lit(buckets)).cast("long").alias("part"), F.col("key").alias("word"), F.col("n").alias("total"))
+        sought = ", ".join(f"n{k} long, one{k} boolean" for k in range(1, depth + 1))
+        met = asked.groupBy("part").cogroup(count.groupBy("part")).applyInArrow(meet, f"bucket long, {fields}, word long, total long, {sought}")
+        kept.append(asked := materialize(met))
         other = asked.where(F.col("c1") == NONE)
         told = other.select("bucket", *_CONTEXT, "word", F.lit(None).cast("double").alias("p"), F.col("total").alias("n"))
     if vocabulary.classes.max() > 1:

@@ -190,3 +190,50 @@ def test_contexts_part_only_if_they_are_frequent_themselves(spark):
     tree = Tree([split(t) for t in texts], lm.MIN_GAIN)
     for r in lm.score(frame(spark, texts), F.lit(True), bucket=bucket)[0].collect():
         assert math.isclose(r["score"], tree.score(split(texts[r["id"]])), rel_tol=1e-9)
+
+
+def questions(seed, n=20_000):
+    """Questions of 40 buckets after frequent words, some of words that are not cached, repeats included."""
+    rng = np.random.default_rng(seed)
+    depth = rng.integers(0, 4, n)
+    context = [np.where(depth >= k, rng.zipf(1.4, n) % 30, lm.NONE).astype(np.int32) for k in (1, 2, 3)]
+    hashes = rng.integers(-(1 << 63), (1 << 63) - 1, 50)
+    is_cached = (depth > 0) & (rng.random(n) < 0.9)
+    word = np.where(is_cached, 1 + rng.zipf(1.3, n) % 2000, hashes[rng.integers(0, 50, n)])
+    return [rng.integers(0, 40, n), *context, word, is_cached, rng.integers(0, 3, n)]
+
+
+def test_questions_are_asked_once_and_packed():
+    """Each question goes once, in a few bytes, to the part that its word before it and its word tell, or the hash of a rare word."""
+    cols, want = questions(1), {}
+    for *key, times in zip(*(c.tolist() for c in cols)):
+        want[tuple(key)] = want.get(tuple(key), 0) + times
+    got, of, size = {}, {}, 0
+    for part, blob in lm.pack_questions(cols, 7):
+        size += len(blob)
+        for *key, times in zip(*(c.tolist() for c in lm.unpack_questions(blob))):
+            assert tuple(key) not in got
+            got[tuple(key)] = times
+            assert of.setdefault((key[1] if key[-1] else None, key[-2]), part) == part
+            assert key[-1] or key[-2] % 7 == part
+    assert got == want and size < 11 * len(want)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_questions_meet_over_all_buckets(depth):
+    cols = questions(2)
+    rows = list(zip(*(c.tolist() for c in cols)))
+    sums = [{} for _ in range(depth)]
+    for bucket, *context, word, is_cached, times in rows:
+        for k in range(depth):
+            key = (*context[: k + 1], word, is_cached)
+            sums[k][key] = sums[k].get(key, 0) + times
+    found = list(zip(*(c.tolist() for c in lm.gather(cols, depth))))
+    assert sorted(r[:6] for r in found) == sorted({r[:6] for r in rows})
+    firsts = [[] for _ in range(depth)]
+    for r in found:
+        for k in range(depth):
+            key = (*r[1 : k + 2], r[4], r[5])
+            assert r[6 + 2 * k] == sums[k][key]
+            firsts[k] += [key] * r[7 + 2 * k]
+    assert all(sorted(f) == sorted(s) for f, s in zip(firsts, sums))
