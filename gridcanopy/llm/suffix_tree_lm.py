@@ -277,7 +277,7 @@ def unpack(blob: bytes, kinds: list[str], sizes: list[int]) -> list[np.ndarray]:
     for kind, n in zip(kinds, sizes):
         width = np.dtype(kind).itemsize
         flat = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
-        out.append(np.ascontiguousarray(flat.T).reshape(-1).view(kind))
+        out.append(np.array(flat.T, order="C").reshape(-1).view(kind))  # a copy, of a single value too
         at += n * width
     return out
 

@@ -237,3 +237,15 @@ def test_questions_meet_over_all_buckets(depth):
             assert r[6 + 2 * k] == sums[k][key]
             firsts[k] += [key] * r[7 + 2 * k]
     assert all(sorted(f) == sorted(s) for f, s in zip(firsts, sums))
+
+
+def test_single_tokens_are_packed_and_worked(spark):
+    """In a large input a step sends some buckets one token, whose arrays were read-only."""
+    for kind in ("<u4", "u1", "<u8"):
+        (one,) = lm.unpack(lm.pack([np.array([7], kind)]), [kind], [1])
+        np.cumsum(one, out=one)
+        assert one.tolist() == [7]
+    texts = ["a", "b a", "", "a b", "c"] * 4
+    rows = lm.score(frame(spark, texts).repartition(20, "doc_id"), F.lit(True), bucket=2)[0].collect()
+    tree = Tree([split(t) for t in texts], lm.MIN_GAIN)
+    assert len(rows) == 20 and all(math.isclose(r["score"], tree.score(split(texts[r["id"]])), rel_tol=1e-9) for r in rows)
