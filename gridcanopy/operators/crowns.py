@@ -13,7 +13,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,37 +118,63 @@ def watershed(heights: np.ndarray, tops: list[tuple[int, int]], cutoff: float, m
     return out
 
 
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Arrays one after another, deflated, after their sizes."""
+    sizes = np.array([c.nbytes for c in columns], "<i8").tobytes()
+    return sizes + pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes, *kinds) -> list[np.ndarray]:
+    sizes = np.frombuffer(blob, "<i8", len(kinds))
+    total = int(sizes.sum())
+    raw = pa.decompress(blob[sizes.nbytes :], total, codec="zstd", asbytes=True) if total else b""
+    at = np.cumsum(sizes) - sizes
+    return [np.frombuffer(raw, k, int(n) // np.dtype(k).itemsize, int(a)) for k, n, a in zip(kinds, sizes, at)]
+
+
+def _placed(bits: np.ndarray, tile: int) -> np.ndarray:
+    """Places in a tile, by rows, of the cells that have a value."""
+    return np.flatnonzero(np.unpackbits(bits, count=tile * tile))
+
+
 def _packed(csm: DataFrame, tops: DataFrame, tile: int) -> DataFrame:
-    """``(tr, tc, heights, tops)``: a row a tile, heights as doubles and tops as places in it."""
+    """``(tr, tc, cells, tops)``: a row a tile; a bit a cell and the heights there are, and tops as places in it.
+
+    Rows are deflated here and not by the tables that hold them, as Spark and its joins go by the size that is written.
+    """
     none = F.lit(None).cast("double")
     cells = values(csm).select("row", "col", F.col("value").cast("double").alias("value"), F.lit(False).alias("top"))
     both = cells.unionByName(tops.select("row", "col", none.alias("value"), F.lit(True).alias("top")))
     both = both.withColumns({"tr": F.expr(f"cast(row div {tile} as int)"), "tc": F.expr(f"cast(col div {tile} as int)")})
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tr, tc = int(key[0]), int(key[1])
-        r, c, top = pdf["row"].to_numpy() - tr * tile, pdf["col"].to_numpy() - tc * tile, pdf["top"].to_numpy(bool)
-        h = np.full((tile, tile), np.nan)
-        h[r[~top], c[~top]] = pdf["value"].to_numpy()[~top]
-        places = np.unique(r[top] * tile + c[top]).astype("<i4")
-        return pd.DataFrame({"tr": [tr], "tc": [tc], "heights": [h.astype("<f8").tobytes()], "tops": [places.tobytes()]})
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        tr, tc = key[0].as_py(), key[1].as_py()
+        at, top = (t["row"].to_numpy() - tr * tile) * tile + t["col"].to_numpy() - tc * tile, t["top"].to_numpy()
+        h = np.full(tile * tile, np.nan)
+        h[at[~top]] = t["value"].to_numpy()[~top]
+        has = ~np.isnan(h)
+        cells, places = squeeze(np.packbits(has), h[has]), np.unique(at[top]).astype("<i4").tobytes()
+        return pa.table([pa.array([tr], pa.int32()), pa.array([tc], pa.int32()), pa.array([cells], pa.binary()), pa.array([places], pa.binary())], names=["tr", "tc", "cells", "tops"])
 
-    return both.groupBy("tr", "tc").applyInPandas(run, "tr int, tc int, heights binary, tops binary")
+    return both.groupBy("tr", "tc").applyInArrow(run, "tr int, tc int, cells binary, tops binary")
 
 
 def _flooded(tiles: DataFrame, tile: int, cutoff: float, max_height: float, bin_size: float) -> DataFrame:
     """``(tr, tc, crowns, reports)`` of tiles with the reports of their neighbours (``around``, null for none).
 
-    ``crowns`` holds the row and column of each cell's top, -1 where there is none and -2 under the cutoff;
-    ``reports`` is what each neighbour is told.
+    ``crowns`` holds a bit a cell, for each cell with a height the number of its top, -1 where there is none and -2 under
+    the cutoff, and the rows and columns of the tops; ``reports`` is what each neighbour is told.
     """
     schema = "tr int, tc int, crowns binary, reports array<struct<to_tr:int,to_tc:int,report:binary>>"
 
-    def one(tr: int, tc: int, heights: bytes, tops: bytes, around: list[bytes]) -> tuple[bytes, list[dict]]:
-        h = np.frombuffer(heights, "<f8").reshape(tile, tile)
+    def one(tr: int, tc: int, cells: bytes, tops: bytes, around: list[bytes]) -> tuple[bytes, list[dict]]:
+        bits, heights = unsqueeze(cells, "u1", "<f8")
+        places = _placed(bits, tile)
+        h = np.full((tile, tile), np.nan)
+        h.ravel()[places] = heights
         own = np.frombuffer(tops, "<i4").astype(np.int64)
         r, c = own // tile, own % tile
-        told = np.frombuffer(b"".join(around), REPORT)
+        told = np.concatenate([np.zeros(0, REPORT), *(unsqueeze(r, REPORT)[0] for r in around)])
         every = np.rec.fromarrays([
             np.append(h[r, c], told["value"]), np.append(r + tr * tile, told["top_row"]), np.append(c + tc * tile, told["top_col"]),
         ], names="value,row,col")
@@ -163,10 +188,11 @@ def _flooded(tiles: DataFrame, tile: int, cutoff: float, max_height: float, bin_
         at = f.at(told["row"].astype(np.int64) - tr * tile, told["col"].astype(np.int64) - tc * tile)
         f.run(f.at(r, c), rank[: len(own)], at, told["level"].astype(np.int64), told["step"].astype(np.int64), rank[len(own) :])
         got = f.inner(f.rank)
-        crowns = np.full((2, tile, tile), -1, "<i4")
-        crowns[:, ~np.isnan(h) & ~f.inner(f.canopy)] = -2
         has = got >= 0
-        crowns[0][has], crowns[1][has] = names["row"][got[has]], names["col"][got[has]]
+        top = np.where(f.inner(f.canopy), got, -2).ravel()[places]
+        used, number = np.unique(top[top >= 0], return_inverse=True)
+        top[top >= 0] = number
+        crowns = squeeze(bits, top.astype("<i4"), *(names[n][used].astype("<i4") for n in ("row", "col")))
         reports = []
         for dr, dc in AROUND:
             rows = np.arange(tile) if dr == 0 else np.array([0 if dr < 0 else tile - 1])
@@ -179,18 +205,18 @@ def _flooded(tiles: DataFrame, tile: int, cutoff: float, max_height: float, bin_
             out["level"], out["step"] = f.inner(f.level)[rr, cc], f.inner(f.step)[rr, cc]
             for name, of in (("value", "value"), ("top_row", "row"), ("top_col", "col")):
                 out[name] = names[of][got[rr, cc]]
-            reports.append({"to_tr": tr + dr, "to_tc": tc + dc, "report": out.tobytes()})
-        return crowns.tobytes(), reports
+            reports.append({"to_tr": tr + dr, "to_tc": tc + dc, "report": squeeze(out) if len(out) else b""})
+        return crowns, reports
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         kind = pa.list_(pa.struct([("to_tr", pa.int32()), ("to_tc", pa.int32()), ("report", pa.binary())]))
         tr, tc = key[0].as_py(), key[1].as_py()
-        heights, tops, around = (t[n][0].as_py() for n in ("heights", "tops", "around"))
-        crowns, reports = one(tr, tc, heights, tops, around or [])
+        cells, tops, around = (t[n][0].as_py() for n in ("cells", "tops", "around"))
+        crowns, reports = one(tr, tc, cells, tops, [r for r in around or [] if r])
         return pa.table([pa.array([tr], pa.int32()), pa.array([tc], pa.int32()), pa.array([crowns], pa.binary()), pa.array([reports], kind)], names=["tr", "tc", "crowns", "reports"])
 
     # by tile, as a batch of many tiles does not fit a task
-    return tiles.select("tr", "tc", "heights", "tops", "around").groupBy("tr", "tc").applyInArrow(run, schema)
+    return tiles.select("tr", "tc", "cells", "tops", "around").groupBy("tr", "tc").applyInArrow(run, schema)
 
 
 def segments(csm: DataFrame, tops: DataFrame, grid: Grid, tile: int = 512, cutoff: float = 2.0, max_height: float = 100.0, bin_size: float = 0.01) -> DataFrame:
@@ -237,10 +263,11 @@ def segments(csm: DataFrame, tops: DataFrame, grid: Grid, tile: int = 512, cutof
 def _unpacked(tiles: DataFrame, tile: int) -> DataFrame:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         tr, tc = key[0].as_py(), key[1].as_py()
-        row, col = np.frombuffer(t["crowns"][0].as_buffer(), "<i4").reshape(2, tile, tile)
-        r, c = np.nonzero(row != -1)
-        low = row[r, c] == -2
-        names = [pa.array(v[r, c], pa.int32(), mask=low) for v in (row, col)]
+        bits, own, *tops = unsqueeze(t["crowns"][0].as_py(), "u1", "<i4", "<i4", "<i4")
+        there = own != -1
+        (r, c), own = np.divmod(_placed(bits, tile)[there], tile), own[there]
+        low = own < 0
+        names = [pa.array(np.append(v, np.int32(0))[own.clip(-1)], pa.int32(), mask=low) for v in tops]
         return pa.table([pa.array((r + tr * tile).astype(np.int32)), pa.array((c + tc * tile).astype(np.int32)), *names], names=["row", "col", "tao_row", "tao_col"])
 
     return tiles.select("tr", "tc", "crowns").groupBy("tr", "tc").applyInArrow(run, "row int, col int, tao_row int, tao_col int")

@@ -111,3 +111,17 @@ def test_the_end_of_a_file_sends_blocks_not_cells(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("ended").count() == 360_000 and spark.table("ended").where("n = 1 and row = 597 and col = 1 and top = 7").count() == 1
     assert q.lastProgress is None or sum(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) == 0
+
+
+def test_tiles_of_few_cells_are_small(spark):
+    """A tile's rows hold its cells, not a raster of the tile with its gaps, and so do its crowns and reports."""
+    g = Grid(Extent(0, 2048, 0, 2048), 2048, 2048)
+    rows = [(k * 512 + 511, k * 512 + 511, 9.0) for k in range(3)] + [(k * 512 + 510, k * 512 + 511, 1.0) for k in range(3)]
+    cells = spark.createDataFrame(rows, "row int, col int, value double")
+    packed = crowns._packed(cells, cells.where("value > 2"), 512)
+    flooded = crowns._flooded(packed.withColumn("around", F.lit(None).cast("array<binary>")), 512, 2.0, 100.0, 0.01)
+    size = lambda v: len(v) if isinstance(v, (bytes, bytearray)) else sum(map(size, v)) if isinstance(v, (list, tuple)) else 0
+    for made in (packed.collect(), flooded.collect()):
+        assert len(made) == 3 and all(0 < size(tuple(r)) < 4096 for r in made)
+    got = crowns.segments(cells, cells.where("value > 2"), g, tile=512, cutoff=2.0).collect()
+    assert {(r["row"], r["col"], r["tao_row"], r["tao_col"]) for r in got} == {(r, c, *((r, c) if v > 2 else (None, None))) for r, c, v in rows}
