@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
 from ..functions.lineage import shared_root
-from ..streaming.ingest import completed, completed_ground
+from ..streaming.ingest import cells_of, completed_blocks, completed_ground
 from . import adapter
 from .catalogue import query
 
@@ -46,7 +46,7 @@ def _incomplete(s, d):
     nothing = F.lit(None).cast("double")
     ends = files.where("file not in (3, 6)").select("file", nothing.alias("x"), nothing.alias("y"), nothing.alias("z"), F.lit(True).alias("last"), F.lit(None).cast("boolean").alias("kept"))
     at = f"{shared_root(s)}/state-{uuid.uuid4().hex}"
-    return _through(s, rows.unionByName(ends), lambda x: completed(x, files, g, keep=F.col("kept")), at)
+    return cells_of(_through(s, rows.unionByName(ends), lambda x: completed_blocks(x, files, g, keep=F.col("kept")), at))
 
 
 @query(

@@ -12,35 +12,88 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.grid import CELLS_PER_TASK, MAX_TASKS, Grid
+from ..operators.crowns import squeeze, unsqueeze
 
 SUMS = ("n", "nc", "zsum", "top")
 METRICS = "row int, col int, n long, cover double, mean double, top double"
 
 
 # State by block of cells -----------------------------------------------------------------------------
+#: Cells along the side of a block, whose cells share a state.
+BLOCK = 256
+#: What a state holds of each cell with points that has not come out.
+HELD = np.dtype([("place", "<i4"), ("n", "<i8"), ("nc", "<i8"), ("zsum", "<f8"), ("top", "<f8")])
+#: Points that a task sums at a time, and cells with points in a row of cells that come out together.
+SUMMED, TOGETHER = 1 << 19, 4096
+BLOCKS = "br int, bc int, cells binary"
+
+
+def _sums(place: np.ndarray, n: np.ndarray, nc: np.ndarray, zsum: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places there are, in order, and sums and the maximum of each."""
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+    out = np.zeros(len(first), HELD)
+    if len(first):
+        for name, v in (("n", n), ("nc", nc), ("zsum", zsum)):
+            out[name] = np.add.reduceat(v[order], first)
+        out["top"] = np.fmax.reduceat(top[order], first)
+    return place[first], out
+
+
 def _partial(rows: DataFrame) -> DataFrame:
-    """Sums of each task's rows by cell, batch by batch, so that fewer rows are shuffled."""
+    """``(br, bc, cells)``: sums by cell of some of a task's rows, a row a block, so that few rows are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            row, col, *sums = (np.concatenate(c) for c in zip(*parts))
+            br, bc = row.astype(np.int64) // BLOCK, col.astype(np.int64) // BLOCK
+            key, held = _sums(((br << 23 | bc) << 16) | (row % BLOCK) * BLOCK + col % BLOCK, *sums)
+            held["place"] = key & 0xFFFF
+            key >>= 16
+            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            cells = [held[lo:hi].tobytes() for lo, hi in zip(cut, [*cut[1:], len(held)])]
+            return pa.RecordBatch.from_arrays([pa.array((key[cut] >> 23).astype(np.int32)), pa.array((key[cut] & 0x7FFFFF).astype(np.int32)), pa.array(cells, pa.binary())], names=["br", "bc", "cells"])
+
         for b in batches:
-            s = pa.Table.from_batches([b]).group_by(["row", "col"]).aggregate([("n", "sum"), ("nc", "sum"), ("zsum", "sum"), ("top", "max")])
-            got = {n: pc.cast(s[c], k) for n, c, k in zip(["row", "col", *SUMS], ["row", "col", "n_sum", "nc_sum", "zsum_sum", "top_max"], _KINDS)}
-            yield from pa.table(got).to_batches()
+            parts.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            size += b.num_rows
+            if size >= SUMMED:
+                yield out()
+                parts, size = [], 0
+        if size:
+            yield out()
 
-    return rows.mapInArrow(run, "row int, col int, n long, nc long, zsum double, top double")
+    return rows.select("row", "col", *SUMS).mapInArrow(run, BLOCKS)
 
 
-_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-#: Cells along the side of a block, whose cells share a state.
-BLOCK = 256
-#: What a state holds of each cell with points that has not come out.
-HELD = np.dtype([("place", "<i4"), ("n", "<i8"), ("nc", "<i8"), ("zsum", "<f8"), ("top", "<f8")])
+def cells_of(blocks: DataFrame) -> DataFrame:
+    """The cells of what :func:`completed_blocks` gives: ``(row, col, n, cover, mean, top)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for br, bc, raw in zip(*(b.column(k) for k in range(3))):
+                bits, held = unsqueeze(raw.as_py(), "u1", HELD)
+                ready = np.flatnonzero(np.unpackbits(bits, count=BLOCK * BLOCK))
+                at = np.searchsorted(ready, held["place"])
+                n = np.zeros(len(ready), np.int64)
+                n[at] = held["n"]
+                cover, mean, top = np.full((3, len(ready)), np.nan)
+                cover[at] = 100.0 * held["nc"] / held["n"]
+                high = held["nc"] > 0
+                mean[at[high]] = held["zsum"][high] / held["nc"][high]
+                top[at] = held["top"]
+                row, col = (ready // BLOCK + br.as_py() * BLOCK).astype(np.int32), (ready % BLOCK + bc.as_py() * BLOCK).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(col), pa.array(n), *(pa.array(v, from_pandas=True) for v in (cover, mean, top))], names=["row", "col", "n", "cover", "mean", "top"])
+
+    return blocks.mapInArrow(run, METRICS)
 
 
 def completed(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2.0, name: str = "file", keep: Column | None = None) -> DataFrame:
@@ -53,6 +106,15 @@ def completed(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2
     it, those that have ended, and sums of cells that hold points; it is
     dropped when all covered cells of the block have come out.  The end of a file sends each block its box, not its cells.
     """
+    return cells_of(completed_blocks(points, files, grid, canopy, name, keep))
+
+
+def completed_blocks(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2.0, name: str = "file", keep: Column | None = None) -> DataFrame:
+    """Stream of what :func:`completed` gives as ``(br, bc, cells)``: cells of a block that come out together, for :func:`cells_of`.
+
+    A row has a bit a cell and the sums of at most ``TOGETHER`` cells with points, so covered cells without points cost little
+    on their way through a table.
+    """
     side = lambda first, last: F.sequence(F.expr(f"{first} div {BLOCK}").cast("int"), F.expr(f"{last} div {BLOCK}").cast("int"))
     parts = grid.spans(files.select(name, "xmin", "xmax", "ymin", "ymax"), "out").withColumn("br", F.explode(side("_r0", "_r1")))
     tasks = min(MAX_TASKS, grid.ncell // (BLOCK * CELLS_PER_TASK))
@@ -60,16 +122,14 @@ def completed(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2
     sides = [F.greatest("_r0", F.col("br") * BLOCK), F.least("_r1", F.col("br") * BLOCK + BLOCK - 1), F.greatest("_c0", F.col("bc") * BLOCK), F.least("_c1", F.col("bc") * BLOCK + BLOCK - 1)]
     parts = parts.select(name, "br", "bc", F.array(*sides).alias("box"))
     boxes = parts.groupBy("br", "bc").agg(F.flatten(F.collect_list("box")).alias("boxes"))  # of the files that meet in a block
-    high = F.col("z") >= canopy
+    high = F.coalesce(F.col("z") >= canopy, F.lit(False))
     own = points.where(~F.col("last"))
     own = grid.with_cells(own.where(keep) if keep is not None else own)
     own = own.select("row", "col", F.lit(1).cast("long").alias("n"), high.cast("long").alias("nc"), F.when(high, F.col("z")).otherwise(0.0).alias("zsum"), F.when(high, F.col("z")).alias("top"))
-    own = _partial(own).withColumns({"br": F.expr(f"cast(row div {BLOCK} as int)"), "bc": F.expr(f"cast(col div {BLOCK} as int)")})
-    nothing = F.array().cast("array<int>")
-    own = own.select("br", "bc", "row", "col", *SUMS, nothing.alias("box"), nothing.alias("boxes"))
+    none = F.lit(None).cast("array<int>")
+    own = _partial(own).withColumns({"box": none, "boxes": none})
     ends = points.where("last").select(name).join(parts, name).join(boxes, ["br", "bc"])
-    none = F.lit(0).cast("long")
-    ends = ends.select("br", "bc", F.lit(-1).alias("row"), F.lit(-1).alias("col"), none.alias("n"), none.alias("nc"), F.lit(0.0).alias("zsum"), F.lit(None).cast("double").alias("top"), "box", "boxes")
+    ends = ends.select("br", "bc", F.lit(None).cast("binary").alias("cells"), "box", "boxes")
 
     def counted(of: np.ndarray, key: tuple) -> np.ndarray:
         """How many boxes cover each cell of a block."""
@@ -84,39 +144,34 @@ def completed(points: DataFrame, files: DataFrame, grid: Grid, canopy: float = 2
             held, of, ended = (np.frombuffer(raw, kind) for raw, kind in zip(state.get, (HELD, np.int32, np.int32)))
         total = counted(of, key)
         before = (total > 0) & (counted(ended, key) >= total)
-        sums = np.zeros(BLOCK * BLOCK, HELD)
-        sums["top"] = np.nan
-        sums[held["place"]] = held
+        sums = [held]
         for f in frames:
-            at_end = (f["row"] < 0).to_numpy()
+            at_end = f["cells"].isna().to_numpy()
             for box, boxes in zip(f["box"][at_end], f["boxes"][at_end]):
                 ended = np.append(ended, np.asarray(box, np.int32))
                 of = np.asarray(boxes, np.int32)
-            f = f[~at_end]
-            at = (f["row"].to_numpy() - key[0] * BLOCK) * BLOCK + f["col"].to_numpy() - key[1] * BLOCK
-            np.fmax.at(sums["top"], at, f["top"].to_numpy(float))
-            for name in ("n", "nc", "zsum"):
-                np.add.at(sums[name], at, f[name].to_numpy())
+            sums += [np.frombuffer(raw, HELD) for raw in f["cells"][~at_end]]
+        sums = np.concatenate(sums)
+        place, held = _sums(*(sums[c] for c in HELD.names))
+        held["place"] = place
         total = counted(of, key)
         out = (total > 0) & (counted(ended, key) >= total)
         if len(of) and (out | (total == 0)).all():
             if state.exists:
                 state.remove()
         else:
-            rest = np.flatnonzero((sums["n"] > 0) & ~out)
-            held = sums[rest]
-            held["place"] = rest
-            state.update((held.tobytes(), of.tobytes(), ended.tobytes()))
-        ready = np.flatnonzero(out & ~before)
-        done = sums[ready]
-        n, nc = done["n"].astype(float), done["nc"].astype(float)
-        share = lambda a, b: np.divide(a, b, out=np.full(len(a), np.nan), where=b > 0)
-        yield pd.DataFrame({
-            "row": (ready // BLOCK + key[0] * BLOCK).astype("int32"), "col": (ready % BLOCK + key[1] * BLOCK).astype("int32"),
-            "n": done["n"], "cover": share(100.0 * nc, n), "mean": share(done["zsum"], nc), "top": done["top"],
-        })
-
-    return own.unionByName(ends).groupBy("br", "bc").applyInPandasWithState(step, METRICS, "cells binary, boxes binary, ended binary", "append", GroupStateTimeout.NoTimeout)
+            state.update((held[~out[held["place"]]].tobytes(), of.tobytes(), ended.tobytes()))
+        ready = out & ~before
+        done = held[ready[held["place"]]]
+        edges = [0, *done["place"][TOGETHER::TOGETHER].tolist(), BLOCK * BLOCK] if ready.any() else []
+        cells = []
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            bits = np.zeros(BLOCK * BLOCK, bool)
+            bits[lo:hi] = ready[lo:hi]
+            cells.append(squeeze(np.packbits(bits), done[k * TOGETHER : (k + 1) * TOGETHER]))
+        yield pd.DataFrame({"br": np.full(len(cells), key[0], np.int32), "bc": np.full(len(cells), key[1], np.int32), "cells": cells})
+
+    return own.unionByName(ends).groupBy("br", "bc").applyInPandasWithState(step, BLOCKS, "cells binary, boxes binary, ended binary", "append", GroupStateTimeout.NoTimeout)
 
 
 # Sums of batches as files --------------------------------------------------------------------------

@@ -125,3 +125,26 @@ def test_tiles_of_few_cells_are_small(spark):
         assert len(made) == 3 and all(0 < size(tuple(r)) < 4096 for r in made)
     got = crowns.segments(cells, cells.where("value > 2"), g, tile=512, cutoff=2.0).collect()
     assert {(r["row"], r["col"], r["tao_row"], r["tao_col"]) for r in got} == {(r, c, *((r, c) if v > 2 else (None, None))) for r, c, v in rows}
+
+
+def test_cells_come_out_by_blocks(spark, tmp_path):
+    """What a stream gives are rows of blocks, some 4096 cells with points in each, however many cells the files cover."""
+    g = Grid(Extent(0, 600, 0, 600), 600, 600)
+    files = spark.createDataFrame([(0, 0.0, 600.0, 0.0, 500.0), (1, 0.0, 1.0, 0.0, 1.0)], "file int, xmin double, xmax double, ymin double, ymax double")
+    at = np.stack([v.ravel() for v in np.meshgrid(np.arange(90), np.arange(140))], 1)
+    rows = [(0, float(x) + 0.5, float(y) + 0.5, float(z), False) for x, y in at for z in {(x * y) % 5, 1}] + [(0, None, None, None, True)]
+    spark.createDataFrame(rows, "file int, x double, y double, z double, last boolean").repartition(3).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("file int, x double, y double, z double, last boolean").parquet(str(tmp_path / "in"))
+    q = ingest.completed_blocks(source, files, g).writeStream.format("memory").queryName("by_blocks").trigger(availableNow=True).start()
+    q.awaitTermination()
+    blocks = spark.table("by_blocks")
+    assert blocks.count() <= 12 and max(len(r["cells"]) for r in blocks.collect()) < 1 << 17
+    assert max(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["stateOperators"]) <= 12
+    found = {(r["row"], r["col"]): r[2:] for r in ingest.cells_of(blocks).where("n > 0").collect()}
+    want = {}
+    for x, y in at:
+        z = {int(x * y) % 5, 1}
+        high = [v for v in z if v >= 2]
+        want[599 - int(y), int(x)] = (len(z), 100.0 * len(high) / len(z), sum(high) / len(high) if high else None, max(high) if high else None)
+    del want[599, 0]  # the second file has not ended
+    assert found == want and ingest.cells_of(blocks).count() == 300_000 - 1
